@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, secrets, sharding, urlfilter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op5_url_filter", urlfilter.oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.entries(spark)).drop("url")
+
+
+@query("op6_lookup_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, [f"shard-{k:03d}" for k in range(256)])
+
+
+@query("op7_secret_scan", secrets.oracle())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op9_poisson_mixing", mixing.oracle())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
