@@ -64,3 +64,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
     return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op4_tiff_pages")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tiff
+
+    return tiff.text_media(read(spark, sf_dir, "documents"))
