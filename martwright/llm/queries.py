@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, sharding, urlfilter
+from . import mixing, secrets, sharding, topk, urlfilter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tiff
 
     return tiff.text_media(read(spark, sf_dir, "documents"))
+
+
+@query("op8_merge_dropout")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pieces
+
+    return pieces.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_exact_topk", topk.oracle())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
