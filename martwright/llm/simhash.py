@@ -260,3 +260,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = members.groupBy("root").agg(F.min("first").alias("least"))
     known = linked.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest id, one row if that id is repeated.
+
+    Rows with a null id stay. The ids that go are joined out, so texts are read once more and not held in any state.
+    """
+    found = stash(near_duplicates(docs, id_col, text_col, **options).select("doc_id", "component_id"), "components")
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(copies, docs[id_col] == copies["doc_id"], "left_anti")
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated.withColumnRenamed("doc_id", "_again"), F.col(id_col) == F.col("_again"))
+    once = again.groupBy("_again").agg(F.min(F.struct(text_col, *(c for c in docs.columns if c != text_col))).alias("_row")).select("_row.*")
+    alone = kept.join(repeated.withColumnRenamed("doc_id", "_again"), F.col(id_col) == F.col("_again"), "left_anti")
+    return alone.unionByName(once.select(*alone.columns))
