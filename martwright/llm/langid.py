@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bucket_of, slices, text_bytes
+from .common import MOST_FIT_CHARS, arrow_rows, bucket_of, sampled, slices, text_bytes
 
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 6
 WINDOW = 256
@@ -117,8 +117,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7, steps: int = 500,
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, **options) -> Model | None:
     """A network fitted on at most sample rows, those with the smallest hash of their id; None if no row is labelled."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    rows = labelled.orderBy(F.xxhash64(id_col), id_col).select(text_col, lang_col).limit(sample).collect()
+    picked = sampled(docs.where(F.col(lang_col).isNotNull()), id_col, sample)
+    rows = picked.where(F.length(text_col).between(1, MOST_FIT_CHARS)).select(text_col, lang_col).collect()
     return train([r[0] for r in rows], [str(r[1]) for r in rows], **options) if rows else None
 
 

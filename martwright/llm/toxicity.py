@@ -20,16 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bucket_of, slices, text_bytes
+from .common import MOST_FIT_CHARS, arrow_rows, bucket_of, sampled, slices, text_bytes
 
 WORD_BITS, GRAM_BITS, EMBED, HIDDEN = 18, 18, 4, 8
 WINDOW, HOP = 16, 8
 BLOCK = 1024  # windows read at a time: their states stay in the processor's cache
 CHUNK = 1 << 21  # bytes of text in arrays at a time
-SAMPLE = 4_000  # labelled texts that the network is fitted on, the same number for any input
+SAMPLE = 3_000  # labelled texts that the network is fitted on, the same number for any input
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -153,32 +153,42 @@ def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, np.minimum(WINDOW, first[row + 1] - begin), row
 
 
-def _odds(buckets: np.ndarray, row: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+def _odds(buckets: np.ndarray, first: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     """Log odds that a text with a bucket is toxic, against all texts, shrunk for buckets of few texts."""
-    seen = np.unique(row.astype(np.int64) * size + buckets)
-    in_toxic = np.bincount(seen % size, y[seen // size], size)
-    in_all = np.bincount(seen % size, minlength=size)
-    bad, all_bad, fine = in_toxic, max(1, y.sum()), max(1, len(y) - y.sum())
-    odds = np.log((bad + 0.3) / (all_bad + 0.6)) - np.log((in_all - bad + 0.3) / (fine + 0.6))
-    return np.where(in_all > 2, odds * in_all / (in_all + 5), 0).astype(np.float32)
+    bad, seen = np.zeros(size), np.zeros(size)
+    for k, toxic in enumerate(y):
+        own = np.unique(buckets[first[k] : first[k + 1]])
+        seen[own] += 1
+        bad[own] += toxic
+    odds = np.log((bad + 0.3) / (max(1, y.sum()) + 0.6)) - np.log((seen - bad + 0.3) / (max(1, len(y) - y.sum()) + 0.6))
+    return np.where(seen > 2, odds * seen / (seen + 5), 0).astype(np.float32)
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words() of many texts, a few at a time: word buckets, gram buckets, grams of each word, where each text's words begin."""
+    parts, n_words = [], [0]
+    for k in range(0, len(texts), 64):
+        word, grams, first_gram, first = words(*text_bytes(pa.array(texts[k : k + 64], pa.large_string())))
+        parts.append((word, grams, np.diff(first_gram, append=len(grams)).astype(np.int32)))
+        n_words += np.diff(first).tolist()
+    word, grams, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int32) for i in range(3))
+    return word, grams, n, np.cumsum(n_words)
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 3, steps: int = 300, batch: int = 32, rate: float = 0.01) -> Model:
     """Adam over texts, a quarter of each batch toxic. One class only: a network that says it."""
     rng, f32 = np.random.default_rng(seed), np.float32
     y = np.array(toxic, np.float64)
-    raw, at = text_bytes(pa.array(texts, pa.large_string()))
-    word, grams, first_gram, first = words(raw, at)
-    row_of_word = np.repeat(np.arange(len(y)), np.diff(first))
-    n_grams = np.diff(np.concatenate([first_gram, [len(grams)]]))
+    word, grams, n_grams, first = words_of(texts)
+    ends = np.concatenate([[0], np.cumsum(n_grams)])
 
     def init(*shape: int) -> np.ndarray:
         return rng.normal(0, 0.3, shape).astype(f32)
 
     p = {"word": init(1 << WORD_BITS, EMBED) * f32(0.1), "gram": init(1 << GRAM_BITS, EMBED) * f32(0.02)}
     if len(word):
-        p["word"][:, 0] = 0.5 * _odds(word, row_of_word, y, 1 << WORD_BITS)
-        p["gram"][:, 0] = 0.25 * _odds(grams, np.repeat(row_of_word, n_grams), y, 1 << GRAM_BITS)
+        p["word"][:, 0] = 0.5 * _odds(word, first, y, 1 << WORD_BITS)
+        p["gram"][:, 0] = 0.25 * _odds(grams, ends[first], y, 1 << GRAM_BITS)
     for d in "fb":
         p |= {f"{d}_in": init(2 * EMBED, 3 * HIDDEN), f"{d}_bias": np.zeros(3 * HIDDEN, f32), f"{d}_rz": init(HIDDEN, 2 * HIDDEN), f"{d}_c": init(HIDDEN, HIDDEN)}
     share = min(max(y.mean() if len(y) else 0, 1e-3), 1 - 1e-3)
@@ -190,7 +200,6 @@ def train(texts: list[str], toxic: list[int], seed: int = 3, steps: int = 300, b
         return model
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     dense = [k for k in p if k not in ("word", "gram")]
-    ends = np.concatenate([first_gram, [len(grams)]])
     by = [np.flatnonzero((y == k) & (np.diff(first) > 0)) for k in (0, 1)]
     if not (len(by[0]) and len(by[1])):
         return model
@@ -251,10 +260,11 @@ def score_rows(model: Model | None, raw: np.ndarray, at: np.ndarray) -> np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, **options) -> Model | None:
     """A network fitted on at most sample labelled texts of each class, those with the smallest hash of their id."""
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_toxic is not null"), "_id")
-    rows = []
-    for kind in (0, 1):
-        rows += known.where(F.col("_toxic") == kind).orderBy(F.xxhash64("_id"), "_id", "_text").select("_text", "_toxic").limit(sample // 2).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text").between(1, MOST_FIT_CHARS))
+    marks = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).distinct()
+    marks = marks.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
+    picked = [sampled(marks.where(F.col("_toxic") == kind), "_id", sample // 2) for kind in (0, 1)]
+    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "_id").orderBy("_id").limit(2 * sample).select("_text", "_toxic").collect()
     return train([r[0] or "" for r in rows], [int(r[1]) for r in rows], **options) if rows else None
 
 
@@ -265,12 +275,37 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     give a row, equal texts score alike. Long texts are read in stretches that overlap by a window, in bounded memory. An
     empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    wire = docs.sparkSession.sparkContext.broadcast(model.p if model else None)  # 8 MB, whatever the data
+    run = scorer(docs.sparkSession, model, 1)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out in run(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
+
+    return rows.mapInArrow(scores, f"doc_id {kind}, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under the threshold; each row by its own text."""
+    run = scorer(docs.sparkSession, model, docs.columns.index(text_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out in run(batches):
+            yield batch.filter(pa.array(out < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def scorer(spark: SparkSession, model: Model | None, text_at: int):
+    """Gives batches of at most 512 rows with the scores of the texts in a column of theirs."""
+    wire = spark.sparkContext.broadcast(model.p if model else None)  # 8 MB, whatever the data
+    arrow_rows(spark, 1024)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         net = Model(wire.value) if wire.value else None
         for batch in slices(batches, 512):
-            raw, at = text_bytes(batch.column(1))
+            raw, at = text_bytes(batch.column(text_at))
             out = np.zeros(batch.num_rows)
             k = 0
             while k < batch.num_rows:  # as many rows as fit in a chunk; one at least
@@ -280,12 +315,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 else:
                     out[k] = max(score_rows(net, s, np.array([0, len(s)]))[0] for s in stretches(raw[at[k] : at[e]]))
                 k = e
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
+            yield batch, out
 
-    arrow_rows(docs.sparkSession, 1024)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return run
 
 
 def stretches(raw: np.ndarray) -> Iterator[np.ndarray]:
