@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import relational  # noqa: F401
+from .queries import evaluation, relational  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
