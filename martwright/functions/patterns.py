@@ -49,8 +49,8 @@ def period(question: str) -> str | None:
 def unfenced(text: Column) -> Column:
     """The last complete fenced block of a reply, else the reply without stray fences."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?s)```[a-zA-Z]*\s*\n?(.*?)```"), F.lit(1))
-    bare = F.trim(F.regexp_replace(text, r"```[a-zA-Z]*", ""))
-    return F.when(F.size(blocks) > 0, F.trim(F.element_at(blocks, -1))).otherwise(bare)
+    bare = F.regexp_replace(text, r"```[a-zA-Z]*", "")
+    return F.regexp_replace(F.when(F.size(blocks) > 0, F.element_at(blocks, -1)).otherwise(bare), r"^\s+|\s+$", "")
 
 
 def normal_sql(sql: Column) -> Column:

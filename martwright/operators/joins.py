@@ -62,8 +62,9 @@ def close(gold: F.Column, pred: F.Column, tolerance: float) -> F.Column:
 
 def matched_within(gold: DataFrame, pred: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """gold's keys and value, and whether some row of pred with the same keys has its value within the tolerance."""
-    both = gold.join(pred.select(*keys, F.col(value).alias("_pred")), keys, "left")
-    return both.groupBy(*keys, F.col(value).alias("gold")).agg(F.coalesce(F.bool_or(close(F.col(value), F.col("_pred"), tolerance) & F.col("_pred").isNotNull()), F.lit(False)).alias("matched"))
+    both = gold.join(pred.select(*keys, F.col(value).alias("_pred"), F.lit(True).alias("_there")), keys, "left")
+    hit = F.coalesce(F.col("_there") & close(F.col(value), F.col("_pred"), tolerance), F.lit(False))
+    return both.groupBy(*keys, F.col(value).alias("gold")).agg(F.bool_or(hit).alias("matched"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, left_id: str, right_id: str) -> DataFrame:

@@ -50,16 +50,22 @@ class _Rows(HTMLParser):
         self.rows: list[list[str]] = []
         self.cell: list[str] | None = None
 
+    def flush(self) -> None:
+        if self.cell is not None:
+            self.rows[-1].append(" ".join("".join(self.cell).split()))
+            self.cell = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("tr", "td", "th"):
+            self.flush()  # cells and rows need not be closed
         if tag == "tr":
             self.rows.append([])
         elif tag in ("td", "th") and self.rows:
             self.cell = []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th") and self.cell is not None:
-            self.rows[-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+        if tag in ("td", "th", "tr", "table"):
+            self.flush()
 
     def handle_data(self, data: str) -> None:
         if self.cell is not None:
@@ -69,6 +75,7 @@ class _Rows(HTMLParser):
 def table_rows(html: str | None) -> list[list[str]]:
     parser = _Rows()
     parser.feed(html or "")
+    parser.flush()
     return [r for r in parser.rows if r]
 
 
