@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from io import BytesIO
+from pathlib import Path
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -102,3 +105,23 @@ def tag_dictionary(tags: DataFrame) -> DataFrame:
     """One row a tag and version: the latest quarter's."""
     best = F.max_by(F.struct(*[c for c in tags.columns if c not in ("tag", "version")]), F.col("quarter"))
     return tags.groupBy("tag", "version").agg(best.alias("_b")).select("tag", "version", "_b.*")
+
+
+def quarters(first: str, n: int) -> list[str]:
+    """The names of n quarters from one on, as in 2024q3."""
+    year, q = int(first[:4]), int(first[5])
+    return [f"{year + (q - 1 + k) // 4}q{(q - 1 + k) % 4 + 1}" for k in range(n)]
+
+
+def fetch(quarter: str, cache_dir: str, open_url: Callable[[str], IO[bytes]]) -> Path:
+    """A quarter's archive in the cache: not fetched twice, there whole or not at all. open_url gives its bytes."""
+    target = Path(cache_dir) / f"{quarter}.zip"
+    if not target.exists():
+        part = target.with_suffix(".zip.part")
+        try:
+            with open_url(quarter) as source, part.open("wb") as out:
+                shutil.copyfileobj(source, out)
+            part.replace(target)
+        finally:
+            part.unlink(missing_ok=True)
+    return target

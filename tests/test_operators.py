@@ -95,6 +95,26 @@ def test_archives(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "snap/n")).count() == 4
 
 
+def test_fetch(tmp_path):
+    import io
+
+    calls = []
+
+    def source(quarter, broken=False):
+        calls.append(quarter)
+        if broken:
+            raise OSError("no network")
+        return io.BytesIO(b"zip")
+
+    assert filings.quarters("2024q3", 4) == ["2024q3", "2024q4", "2025q1", "2025q2"]
+    with pytest.raises(OSError):
+        filings.fetch("2024q3", str(tmp_path), lambda q: source(q, True))
+    assert not list(tmp_path.iterdir())
+    for _ in range(2):
+        assert filings.fetch("2024q3", str(tmp_path), source).read_bytes() == b"zip"
+    assert len(calls) == 2
+
+
 def test_logs_and_html(spark, tmp_path):
     (tmp_path / "j.txt").write_text("JobID|JobName|NodeList|Start|End|State|ExitCode\n1|run-30b|n1|2025-01-01T00:00:00|2025-01-01T01:00:00|DONE|0\n1.batch|x|n1|Unknown|Unknown|DONE|0\n2|xyz|n1|Unknown|2025-01-01T00:30:00|DONE|0\n")
     rows = logs.jobs(spark, str(tmp_path / "j.txt")).collect()
