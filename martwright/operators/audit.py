@@ -15,6 +15,12 @@ from itertools import permutations
 _TOKEN = re.compile(r"(?P<sign>(?<![\w.])[-−])?(?<![\w.,])(?P<body>\d[\d,]*(?:\.\d+)?)(?:\s?(?P<mark>%|percent\b|trillion\b|billion\b|million\b|thousand\b|(?:[kmbt]|bn|mn)(?![A-Za-z0-9])))?", re.I)
 _SKIP = re.compile(r"(?<![\w-])(?:10-[KQ](?:/A|T)?|8-K(?:/A)?|20-F|40-F|6-K|11-K)(?![\w-])|\b\d+(?:st|nd|rd|th)\b|\bFY ?\d{2}(?:\d{2})?\b|\d{4}-\d{2}-\d{2}|\b[QH][1-4]\b|\d+(?:-\d+){2,}|(?:[A-Z][a-z]+\.? \d{1,2}(?:, \d{4})?)(?!\d| (?:million|billion|trillion|thousand|percent))", re.M)
 _PLACES = {"k": 3, "thousand": 3, "m": 6, "mn": 6, "million": 6, "b": 9, "bn": 9, "billion": 9, "t": 12, "trillion": 12}
+_HEDGE = re.compile(r"(?:about|approximately|roughly|around|nearly|~)\s*[$€£]?$", re.I)
+_LABELS = re.compile(r"\b(?:Q[1-4]|H[12])\b")
+_YEARS = re.compile(r"\bFY ?(\d{4}|\d{2})\b|\b(?:\d{1,2} )?[A-Z][a-z]{2,8}\.? \d{1,2}?,? ?(20\d\d)\b|\b(20\d\d)-\d\d-\d\d\b|\b\d{1,2}/\d{1,2}/(20\d\d)\b")
+_SAYS = {w: n for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+_SAYS |= {w: 10 * n for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+_THOUSANDS = ("thousand", "million", "billion", "trillion")
 OPERANDS = 40  # distinct cells that derived numbers are tried on, in the order of the result
 
 
@@ -32,30 +38,76 @@ class Stated:
         return self.value in near
 
 
+def in_words(text: str) -> list[Stated]:
+    """Numbers in words: a phrase is split at its magnitudes, and each part is a number under a thousand."""
+    out, phrase, start = [], [], 0
+
+    def close() -> None:
+        words = [w for w in phrase if w != "and"]
+        if not any(w in _SAYS for w in words) and not (words[:1] == ["a"] and len(words) > 1) or words == ["one"]:
+            return
+        percent, fraction = words[-1] == "percent", ""
+        words = words[:-1] if percent else words
+        if "point" in words:
+            k = words.index("point")
+            fraction = "".join(str(_SAYS[w]) for w in words[k + 1 :] if w in _SAYS)
+            words = words[:k] + [w for w in words[k + 1 :] if w in _THOUSANDS]
+        total, part, last = Decimal(0), Decimal(0), 0
+        for w in words:
+            if w in _THOUSANDS:
+                last = 3 * (1 + _THOUSANDS.index(w))
+                part = part if part or fraction else Decimal(1)
+                total, part = total + (part + Decimal("0." + (fraction or "0"))).scaleb(last), Decimal(0)
+            elif w == "hundred":
+                part = max(part, Decimal(1)) * 100
+            else:
+                part += 1 if w == "a" and len(words) > 1 and words[1] not in (*_THOUSANDS, "hundred") else _SAYS.get(w, 0)
+        total += part if not fraction or last else part + Decimal("0." + fraction)
+        places = last - len(fraction) if fraction or not part else 0
+        whole = str(int(total.scaleb(-places)))
+        if not fraction and _HEDGE.search(text[:start]) and len(whole) > 2 and (places or len(whole) > 3):
+            places += len(whole) - len(whole.rstrip("0"))
+        out.append(Stated(" ".join(phrase), total, places, percent, False))
+
+    for m in re.finditer(r"[A-Za-z]+|[^A-Za-z]+", text + " ."):
+        w = m[0].lower()
+        if w in _SAYS or w in _THOUSANDS or w in ("hundred", "a") or phrase and w in ("and", "point", "percent"):
+            start = start if phrase else m.start()
+            phrase.append(w)
+        elif not (w in (" ", "-") and phrase):
+            close()
+            phrase = []
+    return out
+
+
 def stated(answer: str, strings: list[str]) -> list[Stated]:
     text = answer
     for s in sorted((s for s in strings if re.search("[A-Za-z]", s)), key=len, reverse=True):
         text = re.sub(rf"(?<!\w){re.escape(s)}(?!\w)", lambda m: "_" * len(m[0]), text)
+    out = [Stated(m[0], Decimal("20" + y[-2:]), 0, False, True) for m in _YEARS.finditer(text) if (y := next(filter(None, m.groups())))]
     text = _SKIP.sub(lambda m: " " * len(m[0]), text)
-    out = []
+    out += in_words(text)
     for m in _TOKEN.finditer(text):
         body, mark = m["body"].rstrip(",").replace(",", ""), (m["mark"] or "").lower()
         power = _PLACES.get(mark, 0)
         value = Decimal(("-" if m["sign"] else "") + body).scaleb(power)
         year = not mark and bool(re.fullmatch(r"20\d\d", m["body"]))
-        out.append(Stated(m[0], value, power - len(body.partition(".")[2]), mark in ("%", "percent"), year))
+        places = power - len(body.partition(".")[2])
+        if _HEDGE.search(text[: m.start()]) and "." not in body and (mark or len(body) > 3):
+            places += len(body) - len(body.rstrip("0"))
+        out.append(Stated(m[0], value, places, mark in ("%", "percent"), year))
     return out
 
 
 def audit(answer: str, columns: list[str], rows: list[tuple], sql: str | None = None) -> list[tuple[str, str]]:
-    """(claim as written, tier) for every number of an answer."""
+    """(claim as written, tier) for every number, year and period label of an answer."""
     cells = [c for r in rows for c in r]
     numbers = [Decimal(str(c)) for c in cells if isinstance(c, int | float | Decimal) and not isinstance(c, bool) and Decimal(str(c)).is_finite()]
     strings = [c for c in cells if isinstance(c, str)]
     text = " ".join([*map(str, cells), sql or ""])
     some = list(dict.fromkeys(numbers))[:OPERANDS]
     derived = [x for a, b in permutations(some, 2) for x in (a + b, a - b)] + [x for a, b in permutations(some, 2) if b for x in (a / b, 100 * a / b, 100 * (a - b) / b)]
-    out = []
+    out = [(m[0], "weak" if re.search(rf"\b{m[0]}\b", text) else "ungrounded") for m in _LABELS.finditer(answer)]
     for c in stated(answer, strings):
         scaled = [n * 100 for n in numbers] if c.percent else []
         if any(map(c.matches, numbers + scaled)):

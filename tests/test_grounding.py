@@ -98,3 +98,11 @@ def test_refusals():
     assert "fiscal year" in patterns.refusal("AMBIGUOUS", "How big is it?")[0]
     with pytest.raises(ValueError):
         patterns.refusal("NOPE", "x")
+
+
+@pytest.mark.parametrize("text,clean", [
+    ("Revenue was four hundred sixteen billion.", True), ("Roughly four hundred billion came in.", True), ("It was ~$420B in FY25.", True), ("One company and one row.", True),
+    ("Revenue was nine hundred billion.", False), ("Nineteen percent was kept.", False), ("A hundred million came in.", False), ("It closed on May 3, 2021.", False), ("In Q4 of FY23.", False), ("Two point five trillion.", False),
+])
+def test_auditor_on_words_years_and_labels(text, clean):
+    assert ("ungrounded" not in {t for _, t in audit(text, COLUMNS, ROWS)}) == clean
