@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import sums_before
+
 
 def ratio(n: Column, d: Column) -> Column:
     return F.when(d == 0, F.lit(0.0)).otherwise(n.cast("double") / F.when(d != 0, d))
@@ -72,11 +74,10 @@ def twin_consistency(rows: DataFrame, key: str, score: str, label: str) -> DataF
 def auroc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve, ties half, from average ranks; null where a class is missing.
 
-    Ranks come from counts per distinct score, so that the only ordered window is over those counts.
+    Ranks come from counts per distinct score, summed by ranges of scores.
     """
     c = rows.groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = c.withColumn("_won", F.col("p") * (below + F.col("n") / 2.0))
+    wins = sums_before(c, score, "n", "_below").withColumn("_won", F.col("p") * (F.col("_below") + F.col("n") / 2.0))
     area = wins.agg(F.sum("_won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return area.select(F.round(F.try_divide(F.col("w"), (F.col("p") * F.col("n")).cast("double")), 9).alias("auroc"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import joins, mart
+from ..operators import joins, mart, ranges
 from ..registry import query
 from ..session import table
 
@@ -101,11 +101,9 @@ shared("a12_bool_or_and", "SELECT user_id, bool_or(event_type = 'purchase') AS a
 shared("a24_outcome_partition", "SELECT CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS answered, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS abstained, CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS BIGINT) AS assumed, count(*) AS total FROM orders")
 shared("a27_cube", "SELECT coalesce(o_orderstatus, 'all') AS status, coalesce(o_orderpriority, 'all') AS priority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 shared("w06_frames", "SELECT o_custkey, o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS last_three, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS quarter FROM orders")
-shared("w05_round_robin", "SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_size, p_partkey) - 1) % 10 AS INT) AS dealt_to FROM part")
 shared("o01_latest", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
 shared("o02_top_n", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
 shared("o03_top_by_aggregate", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 1")
-shared("o04_nulls_last", "SELECT o_custkey, CAST(k AS INT) AS k FROM (SELECT o_custkey, v, row_number() OVER (ORDER BY v ASC NULLS LAST, o_custkey) AS k FROM (SELECT o_custkey, max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS v FROM orders GROUP BY o_custkey) x) y")
 shared("u01_union", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 1")
 shared("u02_stray_names", "SELECT c_name AS stray FROM customer EXCEPT SELECT c_name FROM customer WHERE c_mktsegment <> 'BUILDING'")
 shared("u06_intersect_except", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW'")
@@ -114,6 +112,19 @@ shared("u04_exact_set_equal", """SELECT (SELECT count(*) FROM (SELECT n_name FRO
  AND (SELECT count(*) FROM (SELECT n_name FROM nation WHERE n_regionkey < 4 EXCEPT SELECT n_name FROM nation) y) = 0 AS equal""")
 
 
+@query("w05_round_robin", "SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_size, p_partkey) - 1) % 10 AS INT) AS dealt_to FROM part")
+def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = ranges.row_numbers(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", ["p_partkey"], "n")
+    return dealt.select("p_partkey", ((F.col("n") - 1) % 10).cast("int").alias("dealt_to"))
+
+
+@query("o04_nulls_last", "SELECT o_custkey, CAST(k AS INT) AS k FROM (SELECT o_custkey, v, row_number() OVER (ORDER BY v ASC NULLS LAST, o_custkey) AS k FROM (SELECT o_custkey, max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS v FROM orders GROUP BY o_custkey) x) y")
+def o04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urgent = F.max(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice")))
+    best = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(urgent.alias("v"))
+    return ranges.row_numbers(best, "v", ["o_custkey"], "k").select("o_custkey", F.col("k").cast("int").alias("k"))
+
+
 @query("o05_cap_flag", "SELECT (SELECT count(*) FROM orders) > 1000 AS truncated, least((SELECT count(*) FROM orders), 1000) AS n_rows")
 def o05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.capped(table(spark, sf_dir, "orders"), 1000)
