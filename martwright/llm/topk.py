@@ -1,33 +1,32 @@
 """Exact top-k by inner product from an impact-ordered index, a score at a time.
 
 Components are quantised to floor(64 x). For each block of vectors the index holds, for each dimension, its postings in
-order of the component: runs of equal components are segments. Relative to the least component of its dimension (or, for
-a negative query weight, to the greatest) every contribution to a score is at least zero. A query goes through a block's
-segments in rounds of descending contribution and adds them to the vectors' accumulators. What a vector can still gain in
-a dimension that it hasn't been met in is at most that dimension's next segment; so each vector has a lower and an upper
-bound. Vectors whose upper bound is under the k-th best lower bound are out, by proof; the query stops when few enough
-can be members, and these are rescored exactly from the vectors themselves. Blocks' answers meet in a window per query.
+order of the component: runs of equal components are segments, and a query's weight times the component is a segment's
+impact. A query goes through a block's segments in rounds of descending impact, from both ends of every dimension at
+once, and adds them to the vectors' accumulators. What a vector has not met is smaller than the round's level, so each
+vector has a lower and an upper bound. Vectors whose upper bound is under the k-th best lower bound, here or in the
+blocks before, are out, by proof; the query stops when a small enough part of the block can be members, and these are
+rescored exactly from the vectors themselves. Blocks' answers meet in a window per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, stash
+from .common import stash
 
 SCALE = 64
 LIMIT = float(1 << 22)  # quantised components are held within +-LIMIT, so that sums of products stay exact
-BLOCK = 4096  # vectors in a block of the index
-QUERIES = 512  # queries in a block of queries
-FIRST, FALL = 0.08, 0.5  # the first round goes down to so much of the greatest contribution, each later one of the level before
-SLACK = 1e-5  # of the sums, in favour of keeping a vector
-FEW = 100  # a query stops when so many vectors for each of the k results may still be members
+BLOCK = 8192  # vectors in a block of the index
+GROUP = 8  # blocks that one task goes through in a row, each with the k-th best score of those before it
+QUERIES = 256  # queries in a part
+LANE = 64  # parts, at most, that go through one copy of a group of blocks; fewer where there would be too few tasks
+FIRST, FALL = 0.06, 0.6  # the first round goes down to so much of the greatest impact, each later one of the level before
+FEW = 0.5  # a query stops when at most so much of the block may still be members, or k times 4
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -60,58 +59,55 @@ def unpack(raw: bytes) -> dict:
 
 
 def opened(index: dict) -> dict:
-    """The index with its postings' components beside them, and room to work in that all queries share."""
-    n, d = index["q"].shape
-    up = index["order"]
-    held = np.take_along_axis(index["q"].T, up, axis=1).astype(np.float32)
-    flip = np.ascontiguousarray
-    room = {"gain": np.empty((d, n), np.float32), "lists": np.empty((d, n), np.int32), "met": np.empty((d, n), np.float32)}
-    return index | room | {"up": (up, held), "down": (flip(up[:, ::-1]), flip(held[:, ::-1]))}
-
-
-def search(index: dict, qid: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores, postings read) of an opened block's k best for one query, ties to the smaller id, its own id left out."""
-    ids, q = index["ids"], index["q"]
-    n = len(ids)
-    w = weights.astype(np.int64)
-    dims = [np.flatnonzero(w > 0), np.flatnonzero(w < 0)]
-    m = len(dims[0]) + len(dims[1])
-    gain, lists, met = (index[x][:m] for x in ("gain", "lists", "met"))
-    at = 0
-    for own_dims, way in zip(dims, ("down", "up"), strict=True):  # each dimension's postings, those that contribute most first
-        order, held = index[way]
-        to = at + len(own_dims)
-        np.take(order, own_dims, axis=0, out=lists[at:to])
-        np.take(held, own_dims, axis=0, out=gain[at:to])
-        gain[at:to] -= gain[at:to, -1:].copy()
-        gain[at:to] *= w[own_dims, None].astype(np.float32)
-        at = to
-    met[:] = 0
-    done = np.zeros(m, np.int64)
-    acc, read = np.zeros(n), 0
+    """The index with its postings' components beside them, and the vectors in double precision, exact for sums under 2^53."""
+    order = index["order"].astype(np.intp)
+    return index | {"order": order, "held": np.take_along_axis(index["q"].T, order, axis=1).astype(np.float64), "whole": index["q"].astype(np.float64)}
+
+
+def search(index: dict, qid: int, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, scores, postings read) of an opened block's k best for one query, ties to the smaller id, its own id left out.
+
+    floor: a score that k vectors elsewhere have reached; what is under it may be left out.
+    """
+    ids, q, order, held = index["ids"], index["q"], index["order"], index["held"]
+    n, m = len(ids), len(weights)
+    w = weights.astype(np.float64)
+    most = np.abs(w) * np.maximum(np.abs(held[:, 0]), np.abs(held[:, -1]))  # each dimension's greatest impact
+    reach = np.divide(1.0, np.abs(w), out=np.full(m, np.inf), where=w != 0)
+    low, high = np.zeros(m, np.int64), np.full(m, n)  # postings before low and from high on have been read
+    acc, met, read = np.zeros(n), np.zeros(n), 0
     own = ids == qid
-    level = float(gain.max(initial=0.0)) * FIRST / FALL
+    slack = 1e-9 * most.sum() if most.sum() >= 2.0**52 else 0.0  # beyond that, sums in double precision aren't exact
+    much = 2.0 ** np.ceil(np.log2(4 * most.sum() + 4))
+    much = much if m * much < 2.0**52 else 0.0  # else sums wouldn't be exact: then in two passes
+    level = most.max(initial=0.0) * FIRST / FALL
     while True:
-        level *= FALL
-        to = np.count_nonzero(gain >= level, axis=1) if level >= 1 else np.full(m, n)  # segments with at least this contribution
-        for i in np.flatnonzero(to > done):
-            part = lists[i, done[i] : to[i]]
-            acc[part] += gain[i, done[i] : to[i]]  # a vector is in a dimension's postings once
-            met[i, part] = 1
-            read += len(part)
-        done = to
-        left = np.where(done < n, gain[np.arange(m), np.minimum(done, n - 1)], 0).astype(np.float64)
-        rest = left.sum()
-        # sums of single precision: their error is far under the slack, which only keeps more
-        slack = SLACK * (1 + rest + acc.max(initial=0.0))
-        upper = acc + (rest - left.astype(np.float32) @ met) + slack if rest else acc + slack
-        lower = np.where(own, -1.0, acc) - slack
-        best = np.partition(lower, n - k)[n - k] if n > k else -np.inf
-        possible = ~own & (upper >= best)
-        if not rest or np.count_nonzero(possible) <= FEW * k:
+        level = level * FALL if level >= 2 else 0.0
+        open_dims = np.flatnonzero((most >= level) & (w != 0))
+        parts, adds = [], []
+        for d in open_dims:
+            a, b = (int(held[d].searchsorted(-level * reach[d], "right")), int(held[d].searchsorted(level * reach[d], "left"))) if level else (n, n)
+            for x, y in ((low[d], min(a, high[d])), (max(a, b), high[d])):  # what has impacts of at least the level and hasn't been read
+                if y > x:
+                    parts.append(order[d, x:y])
+                    adds.append(held[d, x:y] * w[d])
+            low[d], high[d] = max(low[d], a), min(high[d], max(a, b))
+        if parts:  # one sum holds both: what is added, and how often, in multiples of a number far larger
+            postings = np.concatenate(parts)
+            total = np.bincount(postings, np.concatenate(adds) + much, n)
+            times = np.rint(total / much) if much else np.bincount(postings, minlength=n)
+            acc += total - times * much
+            met += times
+            read += len(postings)
+        # a dimension that hasn't been met gives less than the level, and one with no posting that large its greatest impact
+        rest = ((len(open_dims) - met) * level + most[most < level].sum()) * (1 + 1e-12) if level else 0.0
+        lower = np.where(own, -np.inf, acc - rest)
+        best = max(np.partition(lower, n - k)[n - k] if n > k else -np.inf, floor)
+        possible = ~own & (acc + rest + slack >= best)
+        if not level or np.count_nonzero(possible) <= max(4 * k, FEW * n):
             break
     rows = np.flatnonzero(possible)
-    exact = q[rows].astype(np.int64) @ w
+    exact = q[rows].astype(np.int64) @ weights.astype(np.int64) if slack else (index["whole"][rows] @ w).astype(np.int64)
     top = np.lexsort((ids[rows], -exact))[:k]
     return ids[rows][top], exact[top], read
 
@@ -121,7 +117,6 @@ def index_blocks(vectors: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int
     n = max(1, -(-vectors.count() // block))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group[~group.assign(q=group["q"].map(bytes_of)).duplicated(["vec_id", "q"])]
         payload = pack(build(group["vec_id"].to_numpy(np.int64), np.stack(group["q"].to_list())))
         return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "block": [int(group["block"].iloc[0])], "payload": [payload]})
 
@@ -130,10 +125,6 @@ def index_blocks(vectors: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int
     return dealt.groupBy("dim", "block").applyInPandas(one, "dim int, block int, payload binary"), n
 
 
-def bytes_of(q: np.ndarray) -> bytes:
-    return np.asarray(q, np.int64).tobytes()
-
-
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by every, its k best others by inner product.
 
@@ -155,23 +146,32 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
     dealt = asked.select("vec_id", "q", F.size("q").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("part"))
     parts = dealt.groupBy("dim", "part").applyInPandas(bundle, "dim int, part int, asked binary")
-    pairs = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, ["dim", "block"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload, raw in zip(batch.column(0), batch.column(1), strict=True):
-                index, raw = opened(unpack(payload.as_py())), raw.as_py()
-                count, d = np.frombuffer(raw, np.int64, 2).tolist()
-                qids = np.frombuffer(raw, np.int64, count, 16)
-                q = np.frombuffer(raw, np.int32, count * d, 16 + 8 * count).reshape(count, d)
-                found = [search(index, int(i), w, k) for i, w in zip(qids, q, strict=True)]
-                query = np.repeat(qids, [len(f[0]) for f in found])
-                ids, scores = (np.concatenate([f[c] for f in found]).astype(np.int64) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
-
-    arrow_rows(spark, 4)
-    tasks = min(n * m, 100_000)
-    found = pairs.repartition(tasks, "dim", "block", "part").select("payload", "asked").mapInArrow(run, "query_id long, vec_id long, score long")
+    spans = -(-n // GROUP)
+    lane = max(1, min(LANE, m * spans // (3 * spark.sparkContext.defaultParallelism)))  # parts that share a copy of the index
+    lanes = parts.withColumn("lane", F.floor(F.col("part") / lane)).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1)))).groupBy("dim", "span", "lane")
+    copies = blocks.withColumn("span", F.floor(F.col("block") / GROUP).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((m - 1) // lane).cast("long"))))
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        index = [opened(unpack(x.as_py())) for _, x in sorted(zip(held["block"].to_pylist(), held["payload"], strict=True), key=lambda p: p[0])]
+        out: list[list] = [[], [], []]
+        for raw in (x.as_py() for x in asked["asked"]) if index else ():
+            count, d = np.frombuffer(raw, np.int64, 2).tolist()
+            qids = np.frombuffer(raw, np.int64, count, 16).tolist()
+            q = np.frombuffer(raw, np.int32, count * d, 16 + 8 * count).reshape(count, d)
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * count  # each query's k best of the blocks so far
+            for block in index:
+                for i, (qid, w) in enumerate(zip(qids, q, strict=True)):
+                    ids, scores = best[i]
+                    new, more, _ = search(block, qid, w, k, scores[-1] if len(scores) == k else -np.inf)
+                    ids, scores = np.concatenate([ids, new]), np.concatenate([scores, more])
+                    top = np.lexsort((ids, -scores))[:k]
+                    best[i] = ids[top], scores[top]
+            out[0].append(np.repeat(np.array(qids, np.int64), [len(x[0]) for x in best]))
+            out[1] += [x[0] for x in best]
+            out[2] += [x[1] for x in best]
+        return pa.table([np.concatenate([np.zeros(0, np.int64), *c]) for c in out], ["query_id", "vec_id", "score"])
+
+    found = copies.groupBy("dim", "span", "lane").cogroup(lanes).applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
