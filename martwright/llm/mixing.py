@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 MOST_SOURCES = 10_000  # rates of more sources than this are joined, not broadcast
 
 
@@ -40,16 +42,16 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     weights: relative, by source; sources that it doesn't name get 0. None: equal weights for all sources.
     """
     size = F.sum(F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("_chars")
-    own = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source")).agg(size)
+    own = stash(docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source")).agg(size), "sources")  # texts are read once
     if weights is None:
         own = own.withColumn("_weight", F.lit(1.0))
     else:
         named = docs.sparkSession.createDataFrame([(str(k), float(v)) for k, v in weights.items()], "_source string, _weight double")
         own = own.join(named, "_source", "left").fillna(0.0, ["_weight"])
     live = own.where("_chars > 0 and _weight > 0")
-    all_of = live.agg(F.sum("_weight").alias("_weights")).crossJoin(own.agg(F.sum("_chars").alias("_all")))
-    goal = F.lit(total) if total is not None else F.col("_all")
-    return live.crossJoin(F.broadcast(all_of)).select("_source", (F.col("_weight") / F.col("_weights") * goal / F.col("_chars")).alias("_rate"))
+    all_weights, all_chars = live.agg(F.sum("_weight")).first()[0] or 1.0, own.agg(F.sum("_chars")).first()[0] or 0
+    goal = all_chars if total is None else total
+    return live.select("_source", (F.col("_weight") / F.lit(all_weights) * F.lit(goal) / F.col("_chars")).alias("_rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total: int | None = None) -> DataFrame:
