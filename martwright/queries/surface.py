@@ -64,6 +64,11 @@ def s19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.size(logs.html_tables(F.col("html"))).alias("n_rows"))
 
 
+@query("s19_html_tables_all")  # no SQL: what looks like a row inside a script or a comment is none
+def s19_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.size(logs.html_tables(F.col("html"))).alias("n_rows"))
+
+
 # Scalar functions.
 @query("x_s01_name_tokens", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''))), ' ') AS words FROM part")
 def xs01(spark: SparkSession, sf_dir: str) -> DataFrame:
