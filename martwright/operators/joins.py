@@ -54,6 +54,27 @@ def contained_names(rows: DataFrame, key: str, name: str) -> DataFrame:
     return both.select("small", "large")
 
 
+def word_classes(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, words): each row's class, its distinct words in order; rows without words are left out."""
+    return rows.select(key, F.array_sort(tokens(F.col(name))).alias("words")).where(F.size("words") > 0)
+
+
+def contained_classes(rows: DataFrame) -> DataFrame:
+    """(small, large, pairs): classes of words whose words are all among another's, and how many pairs of different rows that makes.
+
+    With the classes of the rows this stands for all pairs of rows, without a row for each. A class with several rows
+    contains itself. Classes meet on the word of the smaller that the fewest classes have.
+    """
+    classes = rows.groupBy("words").agg(F.count("*").alias("n"))
+    spread = classes.select("words", "n", F.explode("words").alias("word"))
+    held = spread.groupBy("word").agg(F.count("*").alias("held"))
+    rarest = spread.join(held, "word").groupBy(F.col("words").alias("small"), F.col("n").alias("n_small")).agg(F.min_by("word", F.struct("held", "word")).alias("word"))
+    both = rarest.join(spread.select(F.col("words").alias("large"), F.col("n").alias("n_large"), "word"), "word").where(F.size(F.array_except("small", "large")) == 0)
+    same = F.col("small") == F.col("large")
+    pairs = F.when(same, F.col("n_small") * (F.col("n_small") - 1)).otherwise(F.col("n_small") * F.col("n_large"))
+    return both.select("small", "large", pairs.alias("pairs")).where("pairs > 0")
+
+
 def close(gold: F.Column, pred: F.Column, tolerance: float) -> F.Column:
     """Equal within a relative tolerance; both NULL is equal, one NULL is not."""
     near = F.abs(gold - pred) <= F.greatest(F.abs(gold) * tolerance, F.lit(1e-9))

@@ -78,6 +78,7 @@ shared("j08_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SEL
 shared("j09_scalar_sub", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
 shared("j10_correlated_latest", "SELECT o.o_orderkey, o.o_custkey FROM orders o WHERE o.o_orderdate = (SELECT max(i.o_orderdate) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 shared("j11_keyed_lookup", "SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_custkey < 100) x WHERE k = 1")
+shared("j11_keyed_lookup_all", "SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) x WHERE k = 1")
 RUNS = "runs AS (SELECT o_orderkey AS id, o_custkey % 3 AS model, o_orderpriority AS expected, o_orderstatus AS answer, o_custkey % 7 AS picked FROM orders)"
 shared("j12_record_gold", f"WITH {RUNS} SELECT r.expected, n.n_regionkey, count(*) AS n FROM runs r JOIN nation n ON n.n_nationkey = r.picked GROUP BY r.expected, n.n_regionkey")
 shared("j13_same_case_runs", f"WITH {RUNS}, c AS (SELECT picked AS case_id, model, min(answer) AS answer FROM runs WHERE answer <> 'P' GROUP BY 1, 2) SELECT a.case_id, a.model AS model_a, b.model AS model_b, a.answer = b.answer AS same FROM c a JOIN c b ON a.case_id = b.case_id AND a.model < b.model")
@@ -181,6 +182,21 @@ def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.contained_names(table(spark, sf_dir, "part").where("p_partkey <= 200"), "p_partkey", "p_name")
 
 
+CLASSES = """t AS (SELECT p_partkey, list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))) AS w FROM part),
+c AS (SELECT w, count(*) AS n FROM t WHERE len(w) > 0 GROUP BY w)"""
+
+
+@query("j19_token_classes", f"WITH {CLASSES} SELECT p_partkey, array_to_string(w, ' ') AS words FROM t WHERE len(w) > 0")
+def j19_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.word_classes(table(spark, sf_dir, "part"), "p_partkey", "p_name").select("p_partkey", F.array_join("words", " ").alias("words"))
+
+
+@query("j19_class_containment", f"WITH {CLASSES} SELECT array_to_string(a.w, ' ') AS small, array_to_string(b.w, ' ') AS large, CASE WHEN a.w = b.w THEN a.n * (a.n - 1) ELSE a.n * b.n END AS pairs FROM c a JOIN c b ON list_has_all(b.w, a.w) WHERE a.w <> b.w OR a.n > 1")
+def j19_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = joins.contained_classes(joins.word_classes(table(spark, sf_dir, "part"), "p_partkey", "p_name"))
+    return found.select(F.array_join("small", " ").alias("small"), F.array_join("large", " ").alias("large"), "pairs")
+
+
 AGG2 = "g AS (SELECT o_orderpriority AS k, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders GROUP BY 1), p AS (SELECT k, v * (CASE WHEN k LIKE '1%' THEN 1.1 ELSE 1.0000001 END) AS v FROM g)"
 
 
