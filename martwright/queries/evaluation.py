@@ -186,7 +186,12 @@ def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g02_years", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) < 2000 THEN 0 ELSE 1 END AS INT) AS n_years FROM orders WHERE o_orderkey < 2000")
 def g02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    return g02_all(spark, sf_dir).where("o_orderkey < 2000")
+
+
+@query("g02_years_all", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) < 2000 THEN 0 ELSE 1 END AS INT) AS n_years FROM orders")
+def g02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
     text = F.concat(F.lit("In fiscal "), F.year("o_orderdate").cast("string"), F.lit(" it held."))
     return o.select("o_orderkey", F.size(patterns.year_list(text)).alias("n_years"))
 
@@ -213,10 +218,19 @@ def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e01_link", "SELECT c_custkey AS id, 'C' || c_custkey AS ticker, CASE WHEN c_custkey % 2 = 0 AND c_custkey > 9 THEN 'ticker' ELSE 'name' END AS how FROM customer WHERE c_custkey <= 300")
 def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    co = mart.companies(spark, sf_dir)
+    return _links(spark, sf_dir, mart.companies(spark, sf_dir).where("cik <= 300"))
+
+
+@query("e01_link_all", "SELECT c_custkey AS id, 'C' || c_custkey AS ticker, CASE WHEN c_custkey % 2 = 0 AND c_custkey > 9 THEN 'ticker' ELSE 'name' END AS how FROM customer")
+def e01_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir, mart.companies(spark, sf_dir))
+
+
+def _links(spark: SparkSession, sf_dir: str, meant: DataFrame) -> DataFrame:
+    """A question on each of some companies, linked to all companies."""
     said = F.when((F.col("cik") % 2 == 0) & (F.col("cik") > 9), F.col("ticker")).otherwise(F.regexp_replace("name", "[^A-Za-z0-9]", " "))
-    asked = co.where("cik <= 300").select(F.col("cik").alias("id"), F.concat(F.lit("What was the revenue of "), said, F.lit(" in 1997?")).alias("text"))
-    return names.linked(asked, "id", "text", co).select("id", "ticker", "how")
+    asked = meant.select(F.col("cik").alias("id"), F.concat(F.lit("What was the revenue of "), said, F.lit(" in 1997?")).alias("text"))
+    return names.linked(asked, "id", "text", mart.companies(spark, sf_dir)).select("id", "ticker", "how")
 
 
 @query("e05_empty_cause", "SELECT CASE WHEN o_orderstatus <> 'P' THEN 'not_empty' WHEN o_custkey % 2 = 0 THEN 'no_entity_predicate' WHEN o_custkey % 3 = 0 THEN 'wrong_entity' WHEN o_custkey % 5 = 0 THEN 'wrong_period' ELSE 'absent' END AS cause, count(*) AS n FROM orders GROUP BY 1")
@@ -233,8 +247,13 @@ def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x_s10_intent", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'mutation_verb' WHEN 1 THEN 'engine_command' WHEN 2 THEN 'filesystem_access' END AS event FROM orders WHERE o_orderkey < 3000")
 def xs10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xs10_all(spark, sf_dir).where("o_orderkey < 3000")
+
+
+@query("x_s10_intent_all", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'mutation_verb' WHEN 1 THEN 'engine_command' WHEN 2 THEN 'filesystem_access' END AS event FROM orders")
+def xs10_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.element_at(F.array(F.lit("please drop the table"), F.lit("run PRAGMA now"), F.lit("copy everything to /etc/data.csv"), F.lit("what did it earn?")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").where("o_orderkey < 3000").select("o_orderkey", patterns.intent(asked).alias("event"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", patterns.intent(asked).alias("event"))
 
 
 CASES = "c AS (SELECT o_orderpriority AS k, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1)"
