@@ -58,6 +58,13 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("model", "profile", F.size("candidates").cast("long").alias("n"), F.array_join(F.transform("candidates", lambda c: c["idx"].cast("string")), ",").alias("members"))
 
 
+@query("s17_evidence_pack_all", "SELECT o_custkey AS case_id, o_custkey % 3 AS model, o_orderpriority AS profile, count(*) AS n, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY 1, 2, 3")
+def s17_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 3).alias("model"), F.col("o_orderpriority").alias("profile"), F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("idx"), F.lit("").alias("sql"), F.lit(True).alias("ok"))
+    e = logs.evidence(runs)
+    return e.select("case_id", "model", "profile", F.size("candidates").cast("long").alias("n"), F.array_join(F.transform("candidates", lambda c: c["idx"].cast("string")), ",").alias("members"))
+
+
 @query("s19_html_tables", "SELECT page_id, CAST(len(regexp_extract_all(html, '<tr')) AS INT) AS n_rows FROM pages WHERE page_id < 100 AND NOT contains(html, '<script')")
 def s19(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").where((F.col("page_id") < 100) & ~F.contains("html", F.lit("<script")))

@@ -8,7 +8,7 @@ from martwright.operators import joins
 from martwright.sources import logs
 
 TABLES = ("customer", "orders", "part")
-WHOLE = {"j11_keyed_lookup_all": "j11_keyed_lookup", "j19_token_classes": None, "j19_class_containment": None, "e01_link_all": "e01_link", "g02_years_all": "g02_years", "x_s10_intent_all": "x_s10_intent"}
+WHOLE = {"s17_evidence_pack_all": "s17_evidence_pack", "j11_keyed_lookup_all": "j11_keyed_lookup", "j19_token_classes": None, "j19_class_containment": None, "e01_link_all": "e01_link", "g02_years_all": "g02_years", "x_s10_intent_all": "x_s10_intent"}
 MIDDLE = "/root/testdata/sf0.01"
 
 
