@@ -3,13 +3,14 @@
 A merge-type (BPE) vocabulary is applied as its library applies it: spaces become U+2581, one is put in front, and of all
 neighbours whose concatenation is a piece the pair with the best score, leftmost among equals, is merged until none is
 left; characters without a piece fall back to their bytes. Dropout skips candidate merges when they come up on the
-agenda: a candidate (start, merged piece) of a unit is skipped if a hash keyed by seed, variant, unit and candidate falls
+agenda: a candidate (start, merged piece) of a unit is skipped if a hash keyed by seed, row, unit and candidate falls
 under the dropout rate. Rate 0 gives the library's own segmentation, any other a varied one; all decode losslessly.
 
 No piece has a space after another character, and none a line break, so texts fall into units that never merge with each
 other: each run of spaces with the word after it. A batch's different units are segmented together, as arrays with one
 row a unit: all best candidates are merged at once, round by round. Units too long for that go through a heap.
-A document's variant, one of VARIANTS, is a keyed hash of its id, so equal words of a batch share their work.
+A row's variant is a keyed hash of its id, and of its copy where it has one; so each document is cut in its own way, and
+equal words share their work within a document, or everywhere at rate 0.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 LONGEST = 32  # characters of a unit that is segmented as a row of an array
-VARIANTS = 4
 NONE = np.int32(2**31 - 1)
 _MIX1, _MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -280,27 +280,30 @@ def encode_texts(v: Vocabulary, texts: list[str | None], variants: list[int], se
     return np.split(flat[index], ends[:-1])
 
 
-def variant_of(id_text: str, seed: int) -> int:
-    return xxhash.xxh64_intdigest(id_text.encode(), seed) % VARIANTS
+def variant_of(id_text: str, seed: int, copy: int = 0) -> int:
+    return xxhash.xxh64_intdigest(f"{id_text}\0{copy}".encode() if copy else id_text.encode(), seed)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, rate: float = 0.1, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, rate: float = 0.1, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
     """docs with ids array<int>: the pieces of each whole text.
 
-    Equal (seed, variant, text) give equal ids. A null text has null ids, an empty text none; a null id draws the variant
+    Equal (seed, id, copy, text) give equal ids; copy_col (integers, not null) numbers the rows of an id, 0 as if there were
+    none. A null text has null ids, an empty text none; a null id draws the variant
     of the empty name. Repeated rows each keep their row. Lines of any length are read whole. An empty table gives an
     empty result. A column named ids is replaced.
     """
     wire = docs.sparkSession.sparkContext.broadcast(vocabulary or load())  # the vocabulary: a few MB, whatever the data
     others = [c for c in docs.columns if c != "ids"]
-    i, t = others.index(id_col), others.index(text_col)
+    i, t, c = others.index(id_col), others.index(text_col), others.index(copy_col) if copy_col else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = wire.value
         for batch in slices(batches, 256):
             texts = batch.column(t).to_pylist()
             names = ["" if x is None else str(x) for x in batch.column(i).to_pylist()]
-            ids = encode_texts(v, texts, [variant_of(x, seed) for x in names], seed, rate)
+            copies = batch.column(c).to_pylist() if copy_col else [0] * len(names)
+            variants = [variant_of(x, seed, k) if rate else 0 for x, k in zip(names, copies, strict=True)]
+            ids = encode_texts(v, texts, variants, seed, rate)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.int32(), mask=None)
             nulls = pa.array([x is None for x in texts])
             column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()), mask=nulls)
