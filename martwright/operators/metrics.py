@@ -119,6 +119,35 @@ def pool_budget(candidates: DataFrame, case: str, run: str, index: str, correct:
     return per.groupBy("plan").agg(F.count("*").alias("cases"), F.count_if("solved").alias("solved"))
 
 
+def pool_expectations(candidates: DataFrame, case: str, run: str, model: str, prompt: str, correct: str, k: int = 5) -> DataFrame:
+    """(plan, cases, solved, rate, low, high, ahead, ahead_low, ahead_high): expected pass@k of pools of the same budget.
+
+    Each case's k candidates are drawn from one run, one prompt's runs, one model's runs, all runs, or one each from k
+    distinct runs, without replacement; a pool with fewer gives all it has. The expectations are exact, by counts, over
+    all runs and candidates; a plan with several pools is their mean. ahead: the difference to single_run. The 95 %
+    intervals are normal ones over cases. A candidate's null verdict counts as wrong.
+    """
+    runs = candidates.groupBy(F.col(case).alias("case"), F.col(run).alias("run"), F.col(model).alias("model"), F.col(prompt).alias("prompt")).agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col(correct), F.lit(False))).alias("bad"))
+    pools = {"single_run": F.col("run"), "one_prompt": F.col("prompt"), "one_model": F.col("model"), "all_runs": F.lit(0)}
+    spread = runs.select("case", "n", "bad", F.explode(F.array(*(F.struct(F.lit(p).alias("plan"), c.cast("string").alias("pool")) for p, c in pools.items()))).alias("_p")).select("case", "n", "bad", "_p.*")
+    pooled = spread.groupBy("case", "plan", "pool").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    none = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n")).cast("int") - 1), F.lit(1.0), lambda p, j: p * F.greatest(F.col("bad") - j, F.lit(0)) / (F.col("n") - j))
+    drawn = pooled.select("case", "plan", (1 - none).alias("x"))
+    # one from each of k runs: the mean of products of k runs' shares of wrong ones, as elementary symmetric sums
+    start = F.array(F.lit(1.0), *[F.lit(0.0)] * k)
+    sums = F.aggregate("shares", start, lambda e, f: F.transform(e, lambda v, j: F.when(j == 0, v).otherwise(v + f * F.get(e, j - 1))))
+    ways = F.aggregate("shares", start, lambda e, f: F.transform(e, lambda v, j: F.when(j == 0, v).otherwise(v + F.get(e, j - 1))))
+    most = F.least(F.lit(k), F.size("shares"))
+    shares = runs.groupBy("case").agg(F.array_sort(F.collect_list(F.col("bad") / F.col("n"))).alias("shares"))  # as many as a case has runs
+    apart = shares.select("case", F.lit("distinct_runs").alias("plan"), (1 - F.get(sums, most) / F.get(ways, most)).alias("x"))
+    per = drawn.unionByName(apart).groupBy("case", "plan").agg(F.avg("x").alias("x"))
+    wide = per.groupBy("case").pivot("plan", ["single_run", "one_prompt", "one_model", "all_runs", "distinct_runs"]).agg(F.first("x"))
+    both = wide.select(F.col("single_run").alias("base"), F.explode(F.map_from_arrays(F.array(*map(F.lit, wide.columns[1:])), F.array(*wide.columns[1:]))).alias("plan", "x"))
+    out = both.groupBy("plan").agg(F.count("*").alias("cases"), F.sum("x").alias("solved"), F.avg("x").alias("rate"), F.stddev_samp("x").alias("s"), F.avg(F.col("x") - F.col("base")).alias("ahead"), F.stddev_samp(F.col("x") - F.col("base")).alias("t"))
+    wide_s, wide_t = (1.959964 * F.coalesce(F.col(c), F.lit(0.0)) / F.sqrt("cases") for c in ("s", "t"))
+    return out.select("plan", "cases", "solved", "rate", (F.col("rate") - wide_s).alias("low"), (F.col("rate") + wide_s).alias("high"), "ahead", (F.col("ahead") - wide_t).alias("ahead_low"), (F.col("ahead") + wide_t).alias("ahead_high"))
+
+
 def empty_causes(candidates: DataFrame, case: str, has_entity: str, linked: str, has_period: str, empty: str) -> DataFrame:
     """(cause, n): why candidates came back empty, the first that holds."""
     cause = F.when(~F.col(empty), "not_empty").when(~F.col(has_entity), "no_entity_predicate").when(~F.col(linked), "wrong_entity").when(F.col(has_period), "wrong_period").otherwise("absent")

@@ -139,6 +139,13 @@ def m07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pool_budget(x, "case_id", "run", "idx", "correct")
 
 
+@query("m07_pool_expectations")  # no SQL: tests hold it against all draws
+def m07_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = F.col("o_orderkey") % 6
+    x = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), run.alias("run"), (run % 3).alias("model"), F.floor(run / 3).alias("prompt"), (F.col("o_orderstatus") == "P").alias("correct"))
+    return metrics.pool_expectations(x, "case_id", "run", "model", "prompt", "correct")
+
+
 @query("m09_what_if", f"WITH {REC}, w AS (SELECT id, expected, CASE WHEN id % 10 = 0 THEN 'ABSTAINED' ELSE state END AS state, CASE WHEN id % 10 = 0 AND state <> 'ABSTAINED' THEN 'NO_DATA' ELSE code END AS code FROM rec) " + ABSTAIN % "w")
 def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.abstain(metrics.what_if(records(spark, sf_dir), F.col("id") % 10 == 0, "NO_DATA"))
