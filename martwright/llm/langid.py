@@ -8,6 +8,7 @@ All filters are one matrix (narrow ones have zeros on their right), so a block o
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_FIT_CHARS, arrow_rows, bucket_of, sampled, slices, text_bytes
+from .common import bucket_of, excerpt, learnt, sampled, slices, text_bytes
 
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 6
 WINDOW = 256
 BLOCK = 32  # windows of one matrix product: their columns stay in the processor's cache
 SAMPLE = 2_000  # labelled texts that the network is fitted on, the same number for any input
+FIT_CHARS = 4_096  # of each of them, evenly spread over the whole text
+SPAN = 4_096  # windows cut out of a slice's bytes at a time
 
 
 @dataclass
@@ -48,18 +51,20 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def windows_of(raw: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, row of each, bytes of each): every row's bytes whole, the last window filled with zeros."""
+def window_starts(at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, row, bytes) of the windows that hold every row's bytes whole."""
     hop = window - max(WIDTHS) + 1
     size = np.diff(at)
     n = np.where(size > 0, np.maximum(1, -(-(size - (window - hop)) // hop)), 0)
     row = np.repeat(np.arange(len(size)), n)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = at[row] + k * hop
-    held = np.minimum(window, at[row + 1] - start)
-    index = start[:, None] + np.arange(window)
-    out = np.where(np.arange(window) < held[:, None], raw[np.minimum(index, max(0, len(raw) - 1))], 0).astype(np.uint8)
-    return out, row, held
+    begin = at[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * hop
+    return begin, row, np.minimum(window, at[row + 1] - begin)
+
+
+def cut(raw: np.ndarray, begin: np.ndarray, held: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The windows' bytes; those of fewer bytes are filled with zeros."""
+    index = begin[:, None] + np.arange(window)
+    return np.where(np.arange(window) < held[:, None], raw[np.minimum(index, max(0, len(raw) - 1))], 0).astype(np.uint8)
 
 
 def train(texts: list[str], labels: list[str], seed: int = 7, steps: int = 500, batch: int = 96, rate: float = 0.01) -> Model:
@@ -67,7 +72,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7, steps: int = 500,
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
     raw, at = text_bytes(pa.array(texts, pa.large_string()))
-    windows, row, _ = windows_of(raw, at, 128)
+    begin, row, held = window_starts(at, 128)
+    windows = cut(raw, begin, held, 128)
     y = np.array([langs.index(x) for x in labels], np.int64)[row] if len(row) else np.zeros(0, np.int64)
     wide, filters = max(WIDTHS) * EMBED, len(WIDTHS) * FILTERS
     mask = np.concatenate([np.repeat((np.arange(wide) < w * EMBED)[:, None], FILTERS, axis=1) for w in WIDTHS], axis=1)
@@ -115,11 +121,17 @@ def train(texts: list[str], labels: list[str], seed: int = 7, steps: int = 500,
     return Model(langs, **p)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, **options) -> Model | None:
-    """A network fitted on at most sample rows, those with the smallest hash of their id; None if no row is labelled."""
-    picked = sampled(docs.where(F.col(lang_col).isNotNull()), id_col, sample)
-    rows = picked.where(F.length(text_col).between(1, MOST_FIT_CHARS)).select(text_col, lang_col).collect()
-    return train([r[0] for r in rows], [str(r[1]) for r in rows], **options) if rows else None
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, chars: int = FIT_CHARS, **options) -> Model | None:
+    """A network fitted on at most sample rows, those with the smallest hash of id and text; None if no row is labelled.
+
+    Texts of any length are learnt from: of one with more than chars code points, eight parts spread over it, chars in all.
+    The fitting runs in one task of the cluster.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    key = F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string"))
+    picked = sampled(rows, key, sample).select(excerpt(F.col(text_col), chars).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    raw = learnt(picked, lambda held: pickle.dumps(train([r["text"] for r in held], [r["lang"] for r in held], **options)))
+    return pickle.loads(raw) if raw else None
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,20 +139,23 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     score is the probability of lang_pred. Texts that are null, empty or without any letter are `und` with score 0, and
     so is every text where no row was labelled. Repeated rows each give a row; ties go to the language first by name.
-    Whole texts are read, of any length, in bounded blocks. Other columns are ignored, whatever their names.
+    Whole texts are read, of any length, in bounded blocks. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 256, 1):
             texts = batch.column(1)
             n = len(texts)
             total = np.zeros((n, len(model.langs) if model else 1))
             if model:
                 raw, at = text_bytes(texts)
-                windows, row, held = windows_of(raw, at)
-                for k in range(0, len(windows), BLOCK):
-                    s = slice(k, k + BLOCK)
-                    np.add.at(total, row[s], model.probs(windows[s]) * held[s, None])
+                begin, row, held = window_starts(at)
+                for a in range(0, len(begin), SPAN):
+                    windows = cut(raw, begin[a : a + SPAN], held[a : a + SPAN])
+                    for k in range(0, len(windows), BLOCK):
+                        s = slice(a + k, min(a + k + BLOCK, a + SPAN))
+                        np.add.at(total, row[s], model.probs(windows[k : k + BLOCK]) * held[s, None])
                 total /= np.maximum(np.bincount(row, held, n), 1)[:, None]
             best = total.argmax(axis=1)
             letters = [bool(model) and t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()]
@@ -148,7 +163,6 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             score = np.where(letters, np.minimum(total.max(axis=1), 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    arrow_rows(docs.sparkSession, 1024)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")

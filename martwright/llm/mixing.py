@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import fresh, stash, without
 
 MOST_SOURCES = 10_000  # rates of more sources than this are joined, not broadcast
+SALTS = 64  # parts of a source's rows in such a join
 
 
 def unit(seed: str, *parts: Column) -> Column:
@@ -54,29 +55,39 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     return live.select("_source", (F.col("_weight") / F.lit(all_weights) * F.lit(goal) / F.col("_chars")).alias("_rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total: int | None = None, parts: int | None = None) -> DataFrame:
     """The mixture: docs' rows, each as often as drawn, with copy (int, from 0) and mix_key (double), in order of mix_key.
 
-    A null source is the source "". Rows with equal ids in one source draw the same count; a null id draws as the empty
-    text. A document of a source without any text, or without weight, isn't in the mixture. An empty table gives an empty
-    result. Columns named copy, mix_key, _source or _rate are replaced.
+    Keys are spread evenly over [0, 1), so rows go to one of parts ranges of equal width (by default as many as the session
+    has shuffle partitions) without a look at them first. Rows of equal keys, which are those of one id, source and copy,
+    are in order of their texts. A null source is the source "". Rows with equal ids in one source draw the same count; a
+    null id draws as the empty text; null and empty texts add nothing to their source's size, and are drawn like others. A
+    document of a source without any text, or without weight, isn't in the mixture. An empty table gives an empty result.
+    Further columns stay, whatever their names; columns named copy or mix_key are replaced.
     """
-    docs = docs.drop("copy", "mix_key", "_source", "_rate", "_cdf")
-    by_source = rates(docs, weights, source_col, text_col, total)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / 500)).cast("int")
-    by_source = by_source.select("_source", parts.alias("_parts"), cumulative(F.col("_rate") / parts).alias("_cdf"))
-    few = by_source.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
-    keyed = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    keyed = keyed.join(F.broadcast(by_source) if few else by_source, "_source")
-
-    def drawn(part: Column) -> Column:
-        u = unit(seed, F.col("_source"), F.col(id_col), part)
-        return F.size(F.filter("_cdf", lambda c: c <= u))
-
-    count = F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), lambda n, part: n + drawn(part))
-    counted = keyed.withColumn("_n", count).where("_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_source", "_parts", "_cdf", "_n")
-    return copies.withColumn("mix_key", unit(seed + "/order", F.col(source_col), F.col(id_col), F.col("copy"))).orderBy("mix_key")
+    docs = docs.select(*without(docs.columns, "copy", "mix_key"))
+    kept = docs.columns
+    source, rate, pieces, cdf, times, salt = fresh([*kept, "copy", "mix_key"], "source_text", "rate", "pieces", "cdf", "times", "salt")
+    by_source = rates(docs, weights, source_col, text_col, total).select(F.col("_source").alias(source), F.col("_rate").alias(rate))
+    split = F.greatest(F.lit(1), F.ceil(F.col(rate) / 500)).cast("int")
+    by_source = by_source.select(source, split.alias(pieces), cumulative(F.col(rate) / split).alias(cdf))
+    keyed = docs.withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    if by_source.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        keyed = keyed.join(F.broadcast(by_source), source)
+    else:
+        dealt = by_source.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int")).join(dealt, [source, salt])
+
+    def drawn(piece: Column) -> Column:
+        u = unit(seed, F.col(source), F.col(id_col), piece)
+        return F.size(F.filter(cdf, lambda c: c <= u))
+
+    count = F.aggregate(F.sequence(F.lit(0), F.col(pieces) - 1), F.lit(0), lambda n, piece: n + drawn(piece))
+    counted = keyed.select(*kept, source, count.alias(times)).where(F.col(times) > 0)
+    copies = counted.select(*kept, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("copy"))
+    placed = copies.withColumn("mix_key", unit(seed + "/order", F.col(source_col), F.col(id_col), F.col("copy")))
+    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionById(n, F.floor(F.col("mix_key") * n).cast("int")).sortWithinPartitions("mix_key", id_col, source_col, text_col)
 
 
 def oracle(seed: str = "mix-1") -> str:

@@ -7,10 +7,12 @@ agenda: a candidate (start, merged piece) of a unit is skipped if a hash keyed b
 under the dropout rate. Rate 0 gives the library's own segmentation, any other a varied one; all decode losslessly.
 
 No piece has a space after another character, and none a line break, so texts fall into units that never merge with each
-other: each run of spaces with the word after it. A batch's different units are segmented together, as arrays with one
-row a unit: all best candidates are merged at once, round by round. Units too long for that go through a heap.
-A row's variant is a keyed hash of its id, and of its copy where it has one; so each document is cut in its own way, and
-equal words share their work within a document, or everywhere at rate 0.
+other: each run of spaces with the word after it; long ones are cut further where no piece has both neighbours.
+A unit's key is a hash of the seed, the row's id (and its copy, where it has one) and the unit, so each document is cut in
+its own way. What a key does to a unit is which of its candidates, the pieces among its substrings, it skips. A segmentation
+follows from the unit and that set alone, so of units that come often a worker keeps segmentations by (unit, set) and finds
+nearly all of them there. Those it lacks are made together, as arrays with one row a unit: all best candidates are merged at once, round by round.
+Units with more characters or candidates than that is made for go through a heap, by their keys.
 """
 
 from __future__ import annotations
@@ -26,14 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices
+from .common import slices, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 LONGEST = 32  # characters of a unit that is segmented as a row of an array
+MOST_CANDIDATES = 62  # of a unit whose segmentations are kept: a set of them is a number of 64 bits
+OFTEN = 3  # documents with a unit, before its segmentations are kept
+KEPT_UNITS, KEPT_IDS = 300_000, 6_000_000  # that a worker holds before it begins anew
 NONE = np.int32(2**31 - 1)
-_MIX1, _MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX1, _MIX2, _ALL = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (1 << 64) - 1
 
 
 @dataclass
@@ -59,7 +65,46 @@ class Vocabulary:
             while self.slots[at] >= 0:
                 at += 1
             self.slots[at], self.values[at] = key, piece
-        self.longest_probe = 64
+        self.pairs = dict(zip(self.pair_key.tolist(), self.pair_piece.tolist(), strict=True))
+        long = {p.replace(SPACE, " "): k for k, p in enumerate(self.pieces) if len(p) > 1 and self.rank[k] < NONE}
+        self.neighbours = {p[k : k + 2] for p in long for k in range(len(p) - 1)}
+        self.sizes = sorted({len(p) for p in long})
+        self.powers = np.cumprod(np.full(max(self.sizes, default=1) + 1, _BASE), dtype=np.uint64)
+        names = np.array([self._names(np.frombuffer(p.encode("utf-32-le"), np.uint32), len(p))[0] for p in long], np.uint64)
+        order = np.argsort(names)
+        self.names, self.named = names[order], np.array(list(long.values()), np.uint64)[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(names >> np.uint64(44)).astype(np.int64)] = True
+
+    def _names(self, code: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of all runs of so many characters."""
+        out = np.zeros(max(0, len(code) - size + 1), np.uint64)
+        for k in range(size):
+            out += code[k : k + len(out)].astype(np.uint64) * self.powers[k]
+        return out * np.uint64(_MIX1)
+
+    def substrings(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(unit's number, start << 32 | piece) of the pieces of two characters or more among the units' substrings, by unit.
+
+        They are told by hashes of 64 bits: one too many does no harm, as a candidate that never comes up changes nothing.
+        """
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(u) for u in units], np.int64)
+        unit = np.repeat(np.arange(len(units)), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # characters from here to the unit's end
+        start = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        rows, cands = [], []
+        for n in self.sizes:
+            names = self._names(code, n)
+            at = np.flatnonzero(self.seen[(names >> np.uint64(44)).astype(np.int64)] & (left[: len(names)] >= n))
+            where = np.minimum(np.searchsorted(self.names, names[at]), len(self.names) - 1)
+            hit = self.names[where] == names[at]
+            at, where = at[hit], where[hit]
+            rows.append(unit[at])
+            cands.append(start[at].astype(np.uint64) << np.uint64(32) | self.named[where])
+        row, cand = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((rows, np.int64), (cands, np.uint64)))
+        order = np.argsort(row, kind="stable")
+        return row[order], cand[order]
 
     def _home(self, key: int) -> int:
         return (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - self.bits)
@@ -117,17 +162,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def skipped(unit: np.ndarray, start: np.ndarray, piece: np.ndarray, rate: float) -> np.ndarray:
-    """Whether each candidate (start, merged piece) of a unit, given by its keyed hash, is dropped."""
-    h = _mix(unit + (start.astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+def drops(unit: np.ndarray, candidate: np.ndarray, rate: float) -> np.ndarray:
+    """Whether each candidate (start << 32 | merged piece) of a unit, given by its keyed hash, is dropped."""
+    h = _mix(unit + candidate * np.uint64(0x9E3779B97F4A7C15))
     return (h >> np.uint64(11)).astype(np.float64) < rate * 2.0**53
 
 
+def skipped(unit: np.ndarray, start: np.ndarray, piece: np.ndarray, rate: float) -> np.ndarray:
+    return drops(unit, start.astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64), rate)
+
+
+def skips(unit: int, start: int, piece: int, rate: float) -> bool:
+    """skipped() of one candidate."""
+    x = unit + (start << 32 | piece) * 0x9E3779B97F4A7C15 & _ALL
+    x = (x ^ x >> 30) * _MIX1 & _ALL
+    x = (x ^ x >> 27) * _MIX2 & _ALL
+    return (x ^ x >> 31) >> 11 < rate * 2.0**53
+
+
 def by_heap(v: Vocabulary, symbols: list[int], unit: int, rate: float) -> list[int]:
     """One unit through an agenda of candidates, best first; what comes up stale or is skipped by its hash is let go."""
-    pairs = dict(zip(v.pair_key.tolist(), v.pair_piece.tolist(), strict=True)) if not hasattr(v, "pairs") else v.pairs
-    v.pairs = pairs
-    n = len(symbols)
+    pairs, n = v.pairs, len(symbols)
     own, left, right = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
     agenda: list[tuple] = []
 
@@ -143,7 +198,7 @@ def by_heap(v: Vocabulary, symbols: list[int], unit: int, rate: float) -> list[i
         _, a, b, x, y, piece = heapq.heappop(agenda)
         if own[a] != x or right[a] != b or own[b] != y:
             continue
-        if rate and skipped(np.array([unit], np.uint64), np.array([a]), np.array([piece]), rate)[0]:
+        if rate and skips(unit, a, piece, rate):
             continue
         own[a], own[b] = piece, -2
         right[a] = right[b]
@@ -162,42 +217,44 @@ def _alive(right: list[int]) -> Iterator[int]:
         k = right[k]
 
 
-def by_rows(v: Vocabulary, ids: np.ndarray, unit: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Units as rows of symbols, filled with -1: their segmentation, and its length. Merges the best pair of all rows at once."""
+def by_rows(v: Vocabulary, ids: np.ndarray, unit: np.ndarray, rate: float) -> np.ndarray:
+    """Units as rows of symbols, filled with -1: their segmentation, each piece where it begins, -1 elsewhere.
+
+    Merges the best pair of all rows at once; what is left and right of each symbol is linked, so that nothing moves.
+    """
     n, wide = ids.shape
     ids = np.concatenate([ids, np.full((n, 1), -1, np.int32)], axis=1)
-    start = np.tile(np.arange(wide + 1, dtype=np.int32), (n, 1))
-    piece, rank = np.full((n, wide), -1, np.int32), np.full((n, wide), NONE, np.int32)
+    rank = np.full((n, wide), NONE, np.int32)
+    right = np.tile(np.arange(1, wide + 2, dtype=np.int16), (n, 1))
+    left = np.tile(np.arange(-1, wide, dtype=np.int16), (n, 1))
 
     def candidates(rows: np.ndarray, at: np.ndarray) -> None:
-        found = v.merged(ids[rows, at], ids[rows, at + 1])
+        found = v.merged(ids[rows, at], ids[rows, right[rows, at]])
         ranked = np.where(found >= 0, v.rank[np.maximum(found, 0)], NONE)
         if rate:
-            ranked[(found >= 0) & skipped(unit[rows], start[rows, at], np.maximum(found, 0), rate)] = NONE
-        piece[rows, at], rank[rows, at] = found, ranked
+            ranked[(found >= 0) & skipped(unit[rows], at, np.maximum(found, 0), rate)] = NONE
+        rank[rows, at] = ranked
 
-    r, c = np.nonzero(ids[:, 1:] >= 0)
-    candidates(r, c)
+    candidates(*np.nonzero(ids[:, 1:] >= 0))
     live = np.arange(n)
     while len(live):
-        at = rank[live].argmin(axis=1)
-        go = rank[live, at] < NONE
+        held = rank[live]
+        at = held.argmin(axis=1)
+        go = held[np.arange(len(live)), at] < NONE
         live, at = live[go], at[go]
         if not len(live):
             break
-        ids[live, at] = piece[live, at]
-        for grid, last in ((ids, -1), (start, 0)):  # what is right of the merged pair moves up by one
-            part = grid[live]
-            moved = np.concatenate([part[:, 1:], np.full((len(live), 1), last, grid.dtype)], axis=1)
-            grid[live] = np.where(np.arange(wide + 1) > at[:, None], moved, part)
-        for grid, last in ((piece, -1), (rank, NONE)):
-            part = grid[live]
-            moved = np.concatenate([part[:, 1:], np.full((len(live), 1), last, grid.dtype)], axis=1)
-            grid[live] = np.where(np.arange(wide) > at[:, None], moved, part)
+        gone = right[live, at]
+        after = right[live, gone]
+        ids[live, at] = v.merged(ids[live, at], ids[live, gone])
+        ids[live, gone] = -1
+        inside = gone < wide
+        rank[live[inside], gone[inside]] = NONE
+        right[live, at], left[live, after] = after, at
         candidates(live, at)
-        inner = at > 0
-        candidates(live[inner], at[inner] - 1)
-    return ids[:, :wide], (ids >= 0).sum(axis=1)
+        inner = left[live, at] >= 0
+        candidates(live[inner], left[live, at][inner])
+    return ids[:, :wide]
 
 
 def segment(v: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +276,8 @@ def segment(v: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> t
             wide = int(size[rows[-1]])
             index = at[rows][:, None] + np.arange(wide)
             grid = np.where(np.arange(wide) < size[rows][:, None], symbols[np.minimum(index, len(symbols) - 1)], -1).astype(np.int32)
-            ids, n = by_rows(v, grid, keys[rows], rate)
-            lengths[rows] = n
+            ids = by_rows(v, grid, keys[rows], rate)
+            lengths[rows] = (ids >= 0).sum(axis=1)
             blocks.append((rows, ids))
     for k in order[edges[-1] :]:
         parts[k] = by_heap(v, symbols[at[k] : at[k + 1]].tolist(), int(keys[k]), rate)
@@ -228,9 +285,8 @@ def segment(v: Vocabulary, units: list[str], keys: np.ndarray, rate: float) -> t
     first = np.concatenate([[0], np.cumsum(lengths)])
     flat = np.zeros(first[-1], np.int32)
     for rows, ids in blocks:
-        mask = np.arange(ids.shape[1]) < lengths[rows][:, None]
-        r, c = np.nonzero(mask)
-        flat[first[rows][r] + c] = ids[r, c]
+        n = lengths[rows]
+        flat[np.arange(n.sum()) + np.repeat(first[rows] - (np.cumsum(n) - n), n)] = ids[ids >= 0]
     for k in order[edges[-1] :]:
         flat[first[k] : first[k + 1]] = parts[k]
     return fall_back(v, flat, lengths)
@@ -259,25 +315,127 @@ def fall_back(v: Vocabulary, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.
     return out, ends[at[1:]] - ends[at[:-1]]
 
 
-def encode_texts(v: Vocabulary, texts: list[str | None], variants: list[int], seed: int, rate: float) -> list[np.ndarray]:
-    """Piece ids of each text; equal (unit, variant) are segmented once."""
-    seen: dict[tuple[int, str], int] = {}
-    rows, sizes = [], []
-    for text, variant in zip(texts, variants, strict=True):
-        found = UNIT.findall(" " + text) if text else []
-        rows += [seen.setdefault((variant, u), len(seen)) for u in found]
-        sizes.append(len(found))
-    if not seen:
-        return [np.zeros(0, np.int32) for _ in texts]
-    units = [u for _, u in seen]
-    keys = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), seed * 1_000_003 + k & (1 << 64) - 1) for k, u in seen], np.uint64)
-    flat, n = segment(v, units, keys, rate)
-    first = np.cumsum(n) - n
-    row = np.array(rows, np.int64)
-    count = n[row]
-    index = np.arange(count.sum()) + np.repeat(first[row] - (np.cumsum(count) - count), count)
-    ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum(sizes)]
-    return np.split(flat[index], ends[:-1])
+def units_of(v: Vocabulary, text: str | None) -> list[str]:
+    found = UNIT.findall(" " + text) if text else []
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [part for u in found for part in (parted(v, u) if len(u) > LONGEST else (u,))]
+
+
+def parted(v: Vocabulary, unit: str) -> list[str]:
+    """A unit cut between neighbours that no piece has side by side: nothing merges over such a place."""
+    ends = [k + 1 for k in range(len(unit) - 1) if unit[k : k + 2] not in v.neighbours]
+    return [unit[a:b] for a, b in zip([0, *ends], [*ends, len(unit)], strict=True)]
+
+
+class Segmenter:
+    """Segmentations of units under keys; of units met OFTEN kept by unit and by the set of its candidates that the key skips."""
+
+    def __init__(self, v: Vocabulary, rate: float, seed: int):
+        self.v, self.rate, self.seed = v, rate, seed
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}  # of each unit
+        self.units: list[str] = []
+        self.hashes = np.zeros(0, np.uint64)
+        self.met = np.zeros(0, np.int64)  # how often, batch by batch; -1: too long or too many candidates to keep
+        self.n_cands, self.first_cand = np.zeros(0, np.int64), np.zeros(0, np.int64)  # n_cands: -1 where they haven't been listed
+        self.cands = np.zeros(0, np.uint64)  # start << 32 | piece
+        self.slot: dict[int, int] = {}  # by a hash of (unit, set), which slot_unit and slot_set confirm
+        self.slot_unit, self.slot_set = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)  # the kept segmentations end to end, and where each begins
+
+    def _learn(self, found: list[list[str]]) -> None:
+        number = self.number
+        new = list({u: None for own in found for u in own if u not in number})
+        if new:
+            number.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
+            self.units += new
+            hashes = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), self.seed & _ALL) for u in new], np.uint64)
+            self.hashes = np.concatenate([self.hashes, hashes])
+            self.met = np.concatenate([self.met, np.where([len(u) > LONGEST for u in new], -1, 0)])
+            self.n_cands, self.first_cand = (np.concatenate([x, np.full(len(new), -1, np.int64)]) for x in (self.n_cands, self.first_cand))
+
+    def _list_candidates(self, unit: np.ndarray) -> None:
+        """Lists the candidates of those of the units that were met often."""
+        new = np.unique(unit[(self.met[unit] >= (OFTEN if self.rate else 0)) & (self.n_cands[unit] < 0)])
+        if not len(new):
+            return
+        row, cand = self.v.substrings([self.units[k] for k in new.tolist()]) if self.rate else (new[:0], self.cands[:0])
+        n = np.bincount(row, minlength=len(new))
+        few = n <= MOST_CANDIDATES
+        self.met[new[~few]] = -1
+        cand, n, new = cand[few[row]], n[few], new[few]
+        self.n_cands[new], self.first_cand[new] = n, len(self.cands) + np.cumsum(n) - n
+        self.cands = np.concatenate([self.cands, cand])
+
+    def _sets(self, unit: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Which of each unit's candidates its key skips, as bits."""
+        n = self.n_cands[unit]
+        ends = np.cumsum(n)
+        local = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+        gone = np.flatnonzero(drops(np.repeat(key, n), self.cands[np.repeat(self.first_cand[unit], n) + local], self.rate))
+        out = np.zeros(len(unit), np.uint64)
+        np.bitwise_or.at(out, np.searchsorted(ends, gone, "right"), np.uint64(1) << local[gone].astype(np.uint64))
+        return out
+
+    def encode(self, texts: list[str | None], variants: list[int]) -> list[np.ndarray]:
+        """Piece ids of each text."""
+        if len(self.units) > KEPT_UNITS or len(self.ids) > KEPT_IDS:
+            self.clear()
+        found = [units_of(self.v, t) for t in texts]
+        self._learn(found)
+        sizes = np.array([len(f) for f in found], np.int64)
+        if not sizes.sum():
+            return [np.zeros(0, np.int32) for _ in texts]
+        number = self.number
+        unit = np.array([number[u] for f in found for u in f], np.int64)
+        text = np.repeat(np.arange(len(texts)) if self.rate else np.zeros(len(texts), np.int64), sizes)
+        pair, which = np.unique(text << 32 | unit, return_inverse=True)
+        unit = pair & 0xFFFFFFFF
+        key = _mix(self.hashes[unit] ^ np.array(variants, np.uint64)[pair >> 32]) if self.rate else np.zeros(len(pair), np.uint64)
+        np.add.at(self.met, unit, self.met[unit] >= 0)
+        self._list_candidates(unit)
+        place = np.full(len(pair), -1, np.int64)  # which segmentation: one that is kept, or after those one made now
+        listed = np.flatnonzero(self.n_cands[unit] >= 0)
+        own, chosen = unit[listed], self._sets(unit[listed], key[listed])
+        name = _mix(chosen * np.uint64(0x9E3779B97F4A7C15) ^ own.astype(np.uint64))
+        slot = np.array([self.slot.get(x, -1) for x in name.tolist()], np.int64)
+        kept = np.flatnonzero(slot >= 0)
+        kept = kept[(self.slot_unit[slot[kept]] == own[kept]) & (self.slot_set[slot[kept]] == chosen[kept])]
+        place[listed[kept]] = slot[kept]
+        _, first, same = np.unique(name, return_index=True, return_inverse=True)
+        twin = first[same]  # the first pair with the same name: equal, unless the hash is no good here
+        lacking = np.flatnonzero((slot < 0) & (twin == np.arange(len(listed))))
+        held = len(self.at) - 1
+        place[listed[lacking]] = held + np.arange(len(lacking))
+        follow = np.flatnonzero((slot < 0) & (own == own[twin]) & (chosen == chosen[twin]))
+        place[listed[follow]] = place[listed[twin[follow]]]
+        alone = np.flatnonzero(place < 0)
+        place[alone] = held + len(lacking) + np.arange(len(alone))
+        rows = np.concatenate([listed[lacking], alone])
+        flat, n = segment(self.v, [self.units[u] for u in unit[rows].tolist()], key[rows], self.rate)
+        at, ids = np.concatenate([self.at, self.at[-1] + np.cumsum(n)]), np.concatenate([self.ids, flat])
+        self.at = at[: held + len(lacking) + 1].copy()
+        self.ids = ids[: self.at[-1]]
+        self.slot.update(zip(name[lacking].tolist(), range(held, held + len(lacking)), strict=True))
+        self.slot_unit, self.slot_set = np.concatenate([self.slot_unit, own[lacking]]), np.concatenate([self.slot_set, chosen[lacking]])
+        place = place[which]
+        count = at[place + 1] - at[place]
+        ends = np.cumsum(count)
+        out = ids[np.arange(ends[-1]) + np.repeat(at[place] - (ends - count), count)]
+        return np.split(out, np.concatenate([[0], ends])[np.cumsum(sizes)][:-1])
+
+
+_HELD: list = []
+
+
+def segmenter(v: Vocabulary, rate: float, seed: int) -> Segmenter:
+    """This worker's Segmenter, which goes on to its next task."""
+    if not (_HELD and _HELD[0].v is v and (_HELD[0].rate, _HELD[0].seed) == (rate, seed)):
+        _HELD[:] = [Segmenter(v, rate, seed)]
+    return _HELD[0]
 
 
 def variant_of(id_text: str, seed: int, copy: int = 0) -> int:
@@ -293,41 +451,46 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, rate: float =
     empty result. A column named ids is replaced.
     """
     wire = docs.sparkSession.sparkContext.broadcast(vocabulary or load())  # the vocabulary: a few MB, whatever the data
-    others = [c for c in docs.columns if c != "ids"]
+    others = without(docs.columns, "ids")
     i, t, c = others.index(id_col), others.index(text_col), others.index(copy_col) if copy_col else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = wire.value
-        for batch in slices(batches, 256):
+        made = segmenter(wire.value, rate, seed)
+        for batch in slices(batches, 256, t, 1 << 20):
             texts = batch.column(t).to_pylist()
             names = ["" if x is None else str(x) for x in batch.column(i).to_pylist()]
             copies = batch.column(c).to_pylist() if copy_col else [0] * len(names)
-            variants = [variant_of(x, seed, k) if rate else 0 for x, k in zip(names, copies, strict=True)]
-            ids = encode_texts(v, texts, variants, seed, rate)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.int32(), mask=None)
+            ids = made.encode(texts, [variant_of(x, seed, k) if rate else 0 for x, k in zip(names, copies, strict=True)])
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.int32())
             nulls = pa.array([x is None for x in texts])
             column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()), mask=nulls)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), column], [*others, "ids"])
 
-    arrow_rows(docs.sparkSession, 1024)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "ids array<int>"])
     return docs.select(*others).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """tokens with the text that ids_col stands for; null ids give null, no ids the empty text."""
+    """tokens with the text that ids_col stands for; null ids give null, no ids the empty text.
+
+    Nulls among a row's ids stand for nothing; bytes that are no UTF-8 become U+FFFD. Repeated rows each keep their row. An
+    empty table gives an empty result. A column named as out_col is replaced.
+    """
     wire = tokens.sparkSession.sparkContext.broadcast(vocabulary or load())
-    others = [c for c in tokens.columns if c != out_col]
+    others = without(tokens.columns, out_col)
     t = others.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = wire.value
-        raw = [p.replace(SPACE, " ").encode() for p in v.pieces]
+        raw = [p.replace(SPACE, " ").encode() for p in v.pieces] + [b""]
         for b, k in enumerate(v.byte_id.tolist()):
             raw[k] = bytes([b])
         for batch in slices(batches, 256):
-            texts = [None if x is None else b"".join(map(raw.__getitem__, x))[1:].decode() for x in batch.column(t).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), pa.array(texts, pa.string())], [*others, out_col])
+            column = batch.column(t)
+            at = column.offsets.to_pylist()
+            flat = column.values.slice(at[0], at[-1] - at[0]).fill_null(len(v.pieces)).to_numpy(zero_copy_only=False).tolist()
+            texts = [b"".join(map(raw.__getitem__, flat[a - at[0] : e - at[0]]))[1:].decode(errors="replace") for a, e in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), pa.array(texts, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))], [*others, out_col])
 
     schema = ", ".join([*(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in others), f"`{out_col}` string"])
     return tokens.select(*others).mapInArrow(run, schema)
@@ -335,6 +498,7 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, ids, n_tokens, lossless) of each row: its pieces, and whether they decode to its very text."""
+    docs = docs.select("doc_id", "text")
     v = options.pop("vocabulary", None) or load()
     back = decode(encode(docs, v, **options), v)
     return back.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))

@@ -38,8 +38,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_lookup_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id")
-    return sharding.place(docs, [f"shard-{k:03d}" for k in range(256)])
+    return sharding.place(read(spark, sf_dir, "documents"), [f"shard-{k:03d}" for k in range(256)])
 
 
 @query("op7_secret_scan", secrets.oracle())

@@ -1,24 +1,26 @@
 """Secret scans through a trigram inverted index, in DataFrame functions only.
 
-From each rule's regular expression a Boolean query over trigrams is derived that every text with a match must satisfy.
-The index holds, for each trigram of those queries and each block of documents, the list of documents with it. The
-queries are answered by intersecting and uniting those lists; the answers are the candidates that the regular expression
-then verifies. A rule whose expression has no mandatory trigram is verified on every text. Trigrams are of the
-lower-cased text, so that one index serves rules of either case; for rules with cases that only adds candidates.
-
-re's parser reads the expressions while the plan is made; nothing of Python runs on the executors.
+From each rule's regular expression a Boolean query over trigrams is derived that every text with a match must satisfy:
+clauses of trigrams, of which one clause must hold whole. Trigrams are of the lower-cased text, so that one index serves
+rules of either case; for rules with cases that only adds candidates. A text that has the rarest trigram of no clause can
+satisfy none; it isn't indexed. The index holds, for each trigram and each block of documents, the list of the others that
+have it. The queries are answered by intersecting and uniting those lists; the answers are the candidates that the regular
+expression then verifies. A rule whose expression has no mandatory trigram is verified on every text. Only indexed texts
+meet the answers by a shuffle; all others are verified where they are read.
+
+The expressions are read by the small parser below while the plan is made; nothing of Python runs on the executors.
 """
 
 from __future__ import annotations
 
-import re._constants as sre
-import re._parser as parser
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, stash, without
+
 BLOCK_DOCS = 4096  # documents in a block of the index
 MOST_STRINGS = 64  # alternatives that the analysis follows before it settles for their trigrams
 
@@ -63,30 +65,100 @@ def _of(strings: set[str]) -> Clauses:
     return _absorb(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings)
 
 
-def _exact(items) -> set[str] | None:
-    """The lower-cased strings that a part of an expression can match, if they are few and of ASCII."""
+@dataclass(frozen=True)
+class Part:
+    """A part of an expression: a choice of sequences, or one of characters (None: too many to follow), so often."""
+
+    options: tuple[tuple[Part, ...], ...] = ()
+    chars: frozenset[str] | None = None
+    least: int = 1
+    most: int = 1 << 30
+
+
+def parse(pattern: str) -> tuple[tuple[Part, ...], ...]:
+    """The sequences that a pattern chooses from. It knows what the rules use: characters, escapes, sets, groups, |, ? * + {a,b}."""
+    options, at = _choice(pattern, 0)
+    if at < len(pattern):
+        raise ValueError(f"unbalanced at {at}: {pattern}")
+    return options
+
+
+def _choice(p: str, at: int) -> tuple[tuple[tuple[Part, ...], ...], int]:
+    options: list[list[Part]] = [[]]
+    while at < len(p) and p[at] != ")":
+        if p[at] == "|":
+            options.append([])
+            at += 1
+            continue
+        if p[at] == "(":
+            for opening in ("(?i:", "(?:", "("):
+                if p.startswith(opening, at):
+                    inner, at = _choice(p, at + len(opening))
+                    break
+            if p[at : at + 1] != ")":
+                raise ValueError(f"a group isn't closed: {p}")
+            part, at = Part(inner), at + 1
+        elif p[at] == "[":
+            chars, at = _set(p, at + 1)
+            part = Part(chars=chars)
+        else:
+            chars, at = _character(p, at)
+            part = Part(chars=chars)
+        least, most, at = _times(p, at)
+        options[-1].append(Part(part.options, part.chars, least, most))
+    return tuple(map(tuple, options)), at
+
+
+def _character(p: str, at: int) -> tuple[frozenset[str] | None, int]:
+    if p[at] == "\\":
+        if p[at + 1] == "x":
+            return frozenset(chr(int(p[at + 2 : at + 4], 16))), at + 4
+        return (None if p[at + 1].isalnum() else frozenset(p[at + 1])), at + 2  # classes such as \d aren't followed
+    if p[at] in ".^$":
+        raise ValueError(f"{p[at]} isn't read: {p}")
+    return frozenset(p[at]), at + 1
+
+
+def _set(p: str, at: int) -> tuple[frozenset[str] | None, int]:
+    """A set's characters; None where it has a range, is turned round or holds a class."""
+    out: set[str] | None = None if p[at] == "^" else set()
+    begin = at
+    while p[at] != "]" or at == begin:
+        chars, after = _character(p, at) if p[at] not in ".^$" else (frozenset(p[at]), at + 1)
+        if p[after] == "-" and p[after + 1] != "]":
+            chars, after = None, after + 2
+        out = None if out is None or chars is None else out | chars
+        at = after
+    return (None if out is None else frozenset(out)), at + 1
+
+
+def _times(p: str, at: int) -> tuple[int, int, int]:
+    mark = p[at : at + 1]
+    if mark == "{":
+        end = p.index("}", at)
+        low, comma, high = p[at + 1 : end].partition(",")
+        return int(low), int(high) if high else (1 << 30 if comma else int(low)), end + 1
+    return {"?": (0, 1, at + 1), "*": (0, 1 << 30, at + 1), "+": (1, 1 << 30, at + 1)}.get(mark, (1, 1, at))
+
+
+def _exact(parts: tuple[Part, ...] | list[Part]) -> set[str] | None:
+    """The lower-cased strings that a sequence can match, if they are few and of ASCII."""
     out = {""}
-    for op, value in items:
-        if op is sre.LITERAL:
-            own = {chr(value).lower()} if value < 128 else None
-        elif op is sre.IN:
-            own = {chr(v).lower() for o, v in value if o is sre.LITERAL and v < 128} if all(o is sre.LITERAL and v < 128 for o, v in value) else None
-        elif op is sre.SUBPATTERN:
-            own = _exact(value[3])
-        elif op is sre.BRANCH:
-            parts = [_exact(x) for x in value[1]]
-            own = None if None in parts else set().union(*parts)
-        elif op is sre.MAX_REPEAT and value[1] <= 4 and (one := _exact(value[2])) is not None:
-            own = {"".join(x) for n in range(value[0], value[1] + 1) for x in product(one, repeat=n)} if len(one) ** value[1] <= MOST_STRINGS else None
+    for part in parts:
+        if part.options:
+            each = [_exact(o) for o in part.options]
+            own = None if None in each else set().union(*each)
         else:
-            own = None
+            own = {c.lower() for c in part.chars} if part.chars is not None and all(c.isascii() for c in part.chars) else None
+        if own is not None and (part.least, part.most) != (1, 1):
+            own = {"".join(x) for n in range(part.least, part.most + 1) for x in product(own, repeat=n)} if part.most <= 4 and len(own) ** part.most <= MOST_STRINGS else None
         if own is None or len(own) * len(out) > MOST_STRINGS:
             return None
         out = {a + b for a in out for b in own}
     return out
 
 
-def _analyse(items) -> Clauses:
+def _analyse(parts: tuple[Part, ...]) -> Clauses:
     query, run = ALWAYS, []
 
     def settle() -> None:
@@ -94,36 +166,55 @@ def _analyse(items) -> Clauses:
         if run:
             query, run = _both(query, _of(_exact(run))), []
 
-    for item in items:
-        if _exact([*run, item]) is not None:
-            run.append(item)
-            continue
-        settle()
-        op, value = item
-        if _exact([item]) is not None:
-            run.append(item)
-        elif op is sre.SUBPATTERN:
-            query = _both(query, _analyse(value[3]))
-        elif op is sre.BRANCH:
-            query = _both(query, _absorb(c for x in value[1] for c in _analyse(x)))
-        elif op is sre.MAX_REPEAT and value[0] >= 1:
-            query = _both(query, _analyse(value[2]))
+    for part in parts:
+        if _exact([*run, part]) is None:
+            settle()
+        if _exact([*run, part]) is not None:
+            run.append(part)
+        elif part.options and part.least >= 1:
+            query = _both(query, _absorb(c for o in part.options for c in _analyse(o)))
     settle()
     return query
 
 
 def trigram_query(pattern: str) -> Clauses:
     """The trigrams that any text matched by the pattern must have, as clauses; ALWAYS if there are none."""
-    return _analyse(parser.parse(pattern))
+    return _absorb(c for o in parse(pattern) for c in _analyse(o))
+
 
+# Letters from the most to the least frequent in texts; other characters are rarer than all of them.
+FREQUENT = "etaoinshrdlucmwfgypbvkjxqz"
 
-def build_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text", blocks: int = 1) -> DataFrame:
-    """(block, trigram, ids): posting lists of the given trigrams, each of one block's documents; null ids have none."""
-    lower = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_low"))
-    has = [F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams]
-    rows = lower.select("_id", F.array(*has).alias("_has")).select("_id", F.explode("_has").alias("trigram")).where("trigram is not null")
-    block = F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("block")
-    return rows.select(block, "trigram", "_id").groupBy("block", "trigram").agg(F.collect_set("_id").alias("ids"))
+
+def rarest(clause: frozenset[str]) -> str:
+    """The trigram of a clause that the fewest texts should have, by its letters."""
+    return max(sorted(clause), key=lambda t: sum(FREQUENT.index(c) if c in FREQUENT else 15 for c in set(t)))
+
+
+def gate(low: Column, clauses: Clauses) -> Column:
+    """Whether a lower-cased text has the rarest trigram of some clause."""
+    names = sorted({rarest(c) for c in clauses})
+    return F.rlike(low, F.lit("|".join("".join("\\" + c if not c.isalnum() else c for c in t) for t in names)))
+
+
+def build_index(docs: DataFrame, clauses: Clauses, id_col: str = "doc_id", text_col: str = "text", blocks: int = 1) -> DataFrame:
+    """(block, trigram, ids): posting lists of the clauses' trigrams, each of one block's documents; null ids have none.
+
+    A text is looked through for a clause's other trigrams only if it has the rarest one.
+    """
+    low = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"))
+    none = F.array().cast("array<string>")
+
+    def has(t: str) -> Column:
+        return F.contains("low", F.lit(t))
+
+    def found(clause: frozenset[str]) -> Column:
+        first = rarest(clause)
+        return F.when(has(first), F.array(F.lit(first), *(F.when(has(t), F.lit(t)) for t in sorted(clause - {first})))).otherwise(none)
+
+    rows = low.select("id", F.explode(F.array_distinct(F.flatten(F.array(*map(found, sorted(clauses, key=sorted)))))).alias("trigram")).where("trigram is not null")
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
+    return rows.select(block, "trigram", "id").groupBy("block", "trigram").agg(F.collect_set("id").alias("ids"))
 
 
 def answer(index: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
@@ -173,24 +264,36 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     start and end count code points, end exclusive. Matches of one kind don't overlap; kinds may. A null text counts as
     empty. Repeated rows and ids each keep their row (candidates of one id are verified on each of its texts); rows with a
     null id are verified by every rule. Whole texts are verified. An empty table gives an empty result. Further columns
-    stay; a column named spans is replaced.
+    stay, whatever their names; a column named spans is replaced.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != ALWAYS}
-    docs = docs.drop("spans")
+    docs = docs.select(*without(docs.columns, "spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if indexed:
-        blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-        index = build_index(docs, sorted({t for q in indexed.values() for c in q for t in c}), id_col, text_col, blocks)
-        wanted = answer(index, indexed).select(F.col("id").alias("_cand"), F.col("kinds").alias("_kinds"))
-        docs = docs.join(wanted, docs[id_col] == F.col("_cand"), "left")
-    parts = []
-    for order, rule in enumerate(rules):
-        may = F.rlike(text, F.lit(rule.pattern))
-        if rule.kind in indexed:
-            may = (F.col(id_col).isNull() | F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))) & may
-        parts.append(F.when(may, _spans(text, rule, order)).otherwise(F.array().cast(SPANS)))
-    return docs.withColumn("spans", F.array_sort(F.flatten(F.array(*parts)))).drop("_cand", "_kinds")
+
+    def verified(rows: DataFrame, may) -> DataFrame:
+        parts = []
+        for order, rule in enumerate(rules):
+            wanted = may(rule.kind)
+            if wanted is not None:
+                parts.append(F.when(wanted & F.rlike(text, F.lit(rule.pattern)), _spans(text, rule, order)).otherwise(F.array().cast(SPANS)))
+        return rows.withColumn("spans", F.array_sort(F.flatten(F.array(*parts))) if parts else F.array().cast(SPANS))
+
+    always = verified(docs, lambda kind: None if kind in indexed else F.lit(True))
+    if not indexed:
+        return always
+    clauses = frozenset(c for q in indexed.values() for c in q)
+    passed = gate(F.lower(text), clauses)
+    held = stash(docs.where(passed), "indexed")
+    blocks = max(1, -(-held.count() // BLOCK_DOCS))
+    cand, kinds = fresh(docs.columns, "cand", "kinds")
+    wanted = answer(build_index(held, clauses, id_col, text_col, blocks), indexed).select(F.col("id").alias(cand), F.col("kinds").alias(kinds))
+    met = held.join(wanted, F.col(id_col) == F.col(cand), "left")
+
+    def may(kind: str) -> Column:
+        return F.col(id_col).isNull() | F.coalesce(F.array_contains(kinds, kind), F.lit(False)) if kind in indexed else F.lit(True)
+
+    return verified(met, may).drop(cand, kinds).unionByName(always.where(~passed))
 
 
 def spans_text(spans: Column) -> Column:

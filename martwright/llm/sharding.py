@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, without
+
 TABLE_SIZE = 65_537
 MOST_SLOTS = 1_000_003  # the lookup table is broadcast: 8 MB at most
 
@@ -52,9 +54,12 @@ def place(docs: DataFrame, shards: list[str], key_col: str = "doc_id", size: int
     """docs with slot (int) and shard (string); a narrow step, the table goes to the executors as a broadcast.
 
     The key is hashed as text; a null key counts as the empty text, so all such rows share a shard, as do repeated keys.
-    An empty table gives an empty result. Columns named slot or shard are replaced.
+    Keys of any length are hashed whole. An empty table gives an empty result. Further columns stay, whatever their names;
+    columns named slot or shard are replaced.
     """
     table = fill(shards, size)
-    names = docs.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(table.tolist())], "slot int, shard string")
+    docs = docs.select(*without(docs.columns, "slot", "shard"))
+    (number,) = fresh([*docs.columns, "slot", "shard"], "number")
+    names = docs.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(table.tolist())], f"{number} int, shard string")
     slot = F.pmod(F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit(""))), F.lit(size)).cast("int")
-    return docs.drop("slot", "shard").withColumn("slot", slot).join(F.broadcast(names), "slot")
+    return docs.withColumn("slot", slot).join(F.broadcast(names), F.col("slot") == F.col(number)).drop(number)

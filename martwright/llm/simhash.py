@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices, stash
+from .common import fresh, slices, stash
 
 SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, generates the [23,12,7] Golay code
-WHOLE_BUCKET = 1 << 18  # distinct fingerprints of a bucket searched in one task; larger buckets are dealt in blocks
+WHOLE_BUCKET = 1 << 12  # distinct fingerprints of a bucket searched in one task; larger buckets are dealt in blocks
 
 
 def hashes(raw: bytes, width: int) -> list[int]:
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): the 64-bit fingerprint as a signed long. Null and empty texts: zero. Repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 256, 1):
             values, counts = [], []
             for raw in batch.column(1).cast(pa.large_binary()).to_pylist():
                 own = hashes(raw or b"", width)
@@ -70,7 +70,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = majority(np.array(values, np.uint64), np.array(counts, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    arrow_rows(docs.sparkSession, 1024)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -210,7 +209,6 @@ def links(prints: DataFrame, bits: int = 4, whole: int = WHOLE_BUCKET) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[rows].view(np.int64))], ["key", "fp"])
 
     dealt = prints.select("fp").mapInArrow(emit, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    arrow_rows(prints.sparkSession, 100_000)
     found = stash(dealt.mapInArrow(bucket_links(bits, whole), "a long, b long, big boolean").distinct(), "links")
     small = found.where(~F.col("big")).select("a", "b")
     big = found.where("big").select(F.col("a").alias("key"), F.col("b").alias("fp"))
@@ -268,12 +266,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id stay. The ids that go are joined out, so texts are read once more and not held in any state.
     """
     found = stash(near_duplicates(docs, id_col, text_col, **options).select("doc_id", "component_id"), "components")
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, docs[id_col] == copies["doc_id"], "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    (gone,) = fresh(docs.columns, "gone")
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(copies, docs[id_col] == copies[gone], "left_anti")
+    repeated = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(gone)).agg(F.count("*").alias("n")).where("n > 1").select(gone)
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated.withColumnRenamed("doc_id", "_again"), F.col(id_col) == F.col("_again"))
-    once = again.groupBy("_again").agg(F.min(F.struct(text_col, *(c for c in docs.columns if c != text_col))).alias("_row")).select("_row.*")
-    alone = kept.join(repeated.withColumnRenamed("doc_id", "_again"), F.col(id_col) == F.col("_again"), "left_anti")
+    again = kept.join(repeated, F.col(id_col) == F.col(gone), "left_semi")
+    once = again.groupBy(id_col).agg(F.min(F.struct(text_col, *(c for c in docs.columns if c != text_col))).alias(gone)).select(f"{gone}.*")
+    alone = kept.join(repeated, F.col(id_col) == F.col(gone), "left_anti")
     return alone.unionByName(once.select(*alone.columns))

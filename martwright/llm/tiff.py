@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, slices
+from .common import slices, without
 
 # Fixed values of the TIFF 6.0 format.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -29,7 +29,8 @@ CLEAR, END = 256, 257
 
 ROW = 64  # samples in a row of stored bytes
 PAGE_ROWS, STRIP_ROWS, TILE = 1024, 256, 32
-MOST_PIXELS = 1 << 31  # bytes that one page may decode to
+MOST_PIXELS = 1 << 30  # bytes that one page may decode to
+MOST_HELD = 1 << 25  # bytes of pages that go out at a time, or one page
 #: How stored bytes are laid out, in turn by page: (compression, predictor, tiled).
 LAYOUTS = ((PACKBITS, 1, False), (LZW, 2, False), (DEFLATE, 2, False), (DEFLATE, 1, True))
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
@@ -322,37 +323,47 @@ def pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     gives a row with an error and null pixels at the page where reading ended; a null file gives no row. Repeated rows
     each give their pages. An empty table gives an empty result. Other columns named like PAGE's are replaced.
     """
-    others = [c for c in df.columns if c != media_col and c not in PAGE_ARROW]
+    others = without(df.columns, media_col, *PAGE_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 32):
-            row, found = [], []
-            for k, raw in enumerate(batch.column(len(others)).to_pylist()):
-                for page in read_pages(raw):
-                    row.append(k)
-                    found.append(page)
+        def out(batch: pa.RecordBatch, row: list[int], found: list[dict]) -> pa.RecordBatch:
             keep = pa.array(row, pa.int64())
             arrays = [batch.column(i).take(keep) for i in range(len(others))]
             arrays += [pa.array([p.get(name) for p in found], kind) for name, kind in PAGE_ARROW.items()]
-            yield pa.RecordBatch.from_arrays(arrays, [*others, *PAGE_ARROW])
+            return pa.RecordBatch.from_arrays(arrays, [*others, *PAGE_ARROW])
+
+        for batch in slices(batches, 32, len(others)):
+            row, found, held = [], [], 0
+            for k, raw in enumerate(batch.column(len(others))):
+                for page in read_pages(raw.as_py()):
+                    row.append(k)
+                    found.append(page)
+                    held += len(page.get("pixels") or b"")
+                    if held >= MOST_HELD:
+                        yield out(batch, row, found)
+                        row, found, held = [], [], 0
+            if row:
+                yield out(batch, row, found)
 
-    arrow_rows(df.sparkSession, 256)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others), PAGE])
     return df.select(*others, media_col).mapInArrow(run, schema)
 
 
 def stored(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs' other columns, n_bytes and media: each whole text as UTF-8, zero-filled to a positive multiple of 64, as TIFF."""
-    others = [c for c in docs.columns if c not in (text_col, "n_bytes", "media")]
+    """docs' other columns, n_bytes and media: each whole text as UTF-8, zero-filled to a positive multiple of 64, as TIFF.
+
+    A null text is empty. Repeated rows each keep their row. An empty table gives an empty result. Other columns named
+    n_bytes or media are replaced.
+    """
+    others = without(docs.columns, text_col, "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, len(others)):
             texts = [t or b"" for t in batch.column(len(others)).cast(pa.large_binary()).to_pylist()]
             media = [store(t + b"\0" * (-len(t) % ROW or (0 if t else ROW))) for t in texts]
             arrays = [batch.column(i) for i in range(len(others))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], [*others, "n_bytes", "media"])
 
-    arrow_rows(docs.sparkSession, 256)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "n_bytes long, media binary"])
     return docs.select(*others, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -385,7 +396,7 @@ def payloads(paged: DataFrame) -> DataFrame:
         kind = None
         for batch in batches:
             kind, done = batch.column(0).type, []
-            for row in batch.to_pylist():
+            for row in (r for part in slices([batch], 64) for r in part.to_pylist()):
                 if row["page"] == 0 and open_rows:
                     done.append(fold(open_rows))
                     open_rows = []

@@ -5,8 +5,9 @@ order of the component: runs of equal components are segments, and a query's wei
 impact. A query goes through a block's segments in rounds of descending impact, from both ends of every dimension at
 once, and adds them to the vectors' accumulators. What a vector has not met is smaller than the round's level, so each
 vector has a lower and an upper bound. Vectors whose upper bound is under the k-th best lower bound, here or in the
-blocks before, are out, by proof; the query stops when a small enough part of the block can be members, and these are
-rescored exactly from the vectors themselves. Blocks' answers meet in a window per query.
+blocks before, are out, by proof; the query stops when a small part of the block can still be members, and these are
+rescored exactly from the vectors themselves. Blocks' answers meet in a window per query. Blocks hold so many components,
+so a task's memory doesn't depend on the vectors' length.
 """
 
 from __future__ import annotations
@@ -20,22 +21,22 @@ from pyspark.sql import functions as F
 from .common import stash
 
 SCALE = 64
-LIMIT = float(1 << 22)  # quantised components are held within +-LIMIT, so that sums of products stay exact
-BLOCK = 8192  # vectors in a block of the index
+EXACT = float(1 << 52)  # sums of products in double precision are exact where their sizes stay under this
+COMPONENTS = 1 << 19  # in a block of the index, whatever the vectors' length
 GROUP = 8  # blocks that one task goes through in a row, each with the k-th best score of those before it
-QUERIES = 256  # queries in a part
+ASKED = 1 << 14  # components in a part of the queries
 LANE = 64  # parts, at most, that go through one copy of a group of blocks; fewer where there would be too few tasks
 FIRST, FALL = 0.06, 0.6  # the first round goes down to so much of the greatest impact, each later one of the level before
-FEW = 0.5  # a query stops when at most so much of the block may still be members, or k times 4
+FEW = 0.02  # a query stops when at most so much of the block may still be members, or k times 4
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, q array<long>) of the vectors that take part: not null, no null or non-finite component, id not null."""
-    x = F.col(vector_col)
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
-    whole = F.transform(x, lambda c: F.floor(F.greatest(F.least(c.cast("double") * SCALE, F.lit(LIMIT)), F.lit(-LIMIT))).cast("long"))
-    live = vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(~bad)
-    return live.select(F.col(id_col).alias("vec_id"), whole.alias("q"))
+    """(vec_id, q array<double> of whole numbers) of the vectors that take part: not null, no null or non-finite component, id not null."""
+    times = F.transform(F.col(vector_col), lambda c: c.cast("double") * SCALE)
+    bad = F.exists(times, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    whole = F.transform(times, lambda c: F.when(F.abs(c) < EXACT, F.floor(c).cast("double")).otherwise(c))
+    live = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(~bad)
+    return live.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("q"))
 
 
 def build(ids: np.ndarray, q: np.ndarray) -> dict:
@@ -46,40 +47,45 @@ def build(ids: np.ndarray, q: np.ndarray) -> dict:
     return {"ids": ids, "q": q, "order": np.ascontiguousarray(order)}
 
 
-def pack(index: dict) -> bytes:
-    n, d = index["q"].shape
-    return np.array([n, d], np.int64).tobytes() + index["ids"].astype(np.int64).tobytes() + index["q"].astype(np.int32).tobytes() + index["order"].tobytes()
+def pack(ids: np.ndarray, q: np.ndarray, order: np.ndarray | None = None) -> bytes:
+    """Bytes of vectors, in 32 bits a component where those do, and of a block's order."""
+    wide = bool(q.size and np.abs(q).max() >= 1 << 31)
+    return np.array([*q.shape, wide], np.int64).tobytes() + ids.astype(np.int64).tobytes() + q.astype(np.float64 if wide else np.int32).tobytes() + (b"" if order is None else order.tobytes())
 
 
 def unpack(raw: bytes) -> dict:
-    n, d = np.frombuffer(raw, np.int64, 2).tolist()
-    ids = np.frombuffer(raw, np.int64, n, 16)
-    q = np.frombuffer(raw, np.int32, n * d, 16 + 8 * n).reshape(n, d)
-    return {"ids": ids, "q": q, "order": np.frombuffer(raw, np.int32, n * d, 16 + 8 * n + 4 * n * d).reshape(d, n)}
+    n, d, wide = np.frombuffer(raw, np.int64, 3).tolist()
+    ids = np.frombuffer(raw, np.int64, n, 24)
+    q = np.frombuffer(raw, np.float64 if wide else np.int32, n * d, 24 + 8 * n).reshape(n, d)
+    order = np.frombuffer(raw, np.int32, -1, 24 + 8 * n + q.nbytes)
+    return {"ids": ids, "q": q.astype(np.float64), "order": order.reshape(d, n) if len(order) else order}
 
 
 def opened(index: dict) -> dict:
-    """The index with its postings' components beside them, and the vectors in double precision, exact for sums under 2^53."""
+    """The index with its postings' components beside them."""
     order = index["order"].astype(np.intp)
-    return index | {"order": order, "held": np.take_along_axis(index["q"].T, order, axis=1).astype(np.float64), "whole": index["q"].astype(np.float64)}
+    return index | {"order": order, "held": np.take_along_axis(index["q"].T, order, axis=1)}
 
 
-def search(index: dict, qid: int, weights: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores, postings read) of an opened block's k best for one query, ties to the smaller id, its own id left out.
+def search(index: dict, qid: int, w: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(ids, scores, postings read, vectors rescored) of an opened block's k best for one query, ties to the smaller id.
 
-    floor: a score that k vectors elsewhere have reached; what is under it may be left out.
+    Vectors with the query's own id are left out. floor: a score that k vectors elsewhere have reached; what is under it may
+    be left out. Scores are 64-bit numbers, or Python's own where double precision can't hold all sums.
     """
     ids, q, order, held = index["ids"], index["q"], index["order"], index["held"]
-    n, m = len(ids), len(weights)
-    w = weights.astype(np.float64)
-    most = np.abs(w) * np.maximum(np.abs(held[:, 0]), np.abs(held[:, -1]))  # each dimension's greatest impact
+    n, m = len(ids), len(w)
+    with np.errstate(over="ignore"):
+        most = np.abs(w) * np.maximum(np.abs(held[:, 0]), np.abs(held[:, -1]))  # each dimension's greatest impact
+    own = ids == qid
+    if not np.isfinite(4 * m * most.sum()):  # beyond double precision: no bounds
+        return *best_of(ids[~own], exactly(q[~own], w), k), 0, n
     reach = np.divide(1.0, np.abs(w), out=np.full(m, np.inf), where=w != 0)
     low, high = np.zeros(m, np.int64), np.full(m, n)  # postings before low and from high on have been read
     acc, met, read = np.zeros(n), np.zeros(n), 0
-    own = ids == qid
-    slack = 1e-9 * most.sum() if most.sum() >= 2.0**52 else 0.0  # beyond that, sums in double precision aren't exact
+    slack = 1e-9 * most.sum() if most.sum() >= EXACT else 0.0  # beyond that, sums in double precision aren't exact
     much = 2.0 ** np.ceil(np.log2(4 * most.sum() + 4))
-    much = much if m * much < 2.0**52 else 0.0  # else sums wouldn't be exact: then in two passes
+    much = much if m * much < EXACT else 0.0  # else sums wouldn't be exact: then in two passes
     level = most.max(initial=0.0) * FIRST / FALL
     while True:
         level = level * FALL if level >= 2 else 0.0
@@ -107,41 +113,76 @@ def search(index: dict, qid: int, weights: np.ndarray, k: int, floor: float = -n
         if not level or np.count_nonzero(possible) <= max(4 * k, FEW * n):
             break
     rows = np.flatnonzero(possible)
-    exact = q[rows].astype(np.int64) @ weights.astype(np.int64) if slack else (index["whole"][rows] @ w).astype(np.int64)
-    top = np.lexsort((ids[rows], -exact))[:k]
-    return ids[rows][top], exact[top], read
+    exact = exactly(q[rows], w) if slack else (q[rows] @ w).astype(np.int64)
+    return *best_of(ids[rows], exact, k), read, len(rows)
+
+
+def exactly(q: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Inner products in Python's whole numbers."""
+    weights = [int(x) for x in w]
+    return np.array([sum(int(x) * y for x, y in zip(row, weights, strict=True)) for row in q.tolist()] + [None], object)[:-1]
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if scores.dtype == object:
+        top = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+    else:
+        top = np.lexsort((ids, -scores))[:k]
+    return ids[top], scores[top]
 
 
-def index_blocks(vectors: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """(dim, block, payload) for quantised vectors, and the number of blocks. Repeated rows are indexed once."""
-    n = max(1, -(-vectors.count() // block))
+def reached(scores: np.ndarray, k: int) -> float:
+    """The k-th score as a bound for others, a little less where it isn't exact."""
+    if len(scores) < k:
+        return -np.inf
+    if scores.dtype != object:
+        return float(scores[-1])
+    return float(scores[-1]) - 1e-9 * abs(float(scores[-1])) if abs(scores[-1]) < 1e300 else -np.inf
+
+
+def side_and_key(score: int) -> tuple[int, str | None]:
+    """For scores that no long holds: 1 above and -1 below, and a text that sorts like the score."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 0, None
+    digits = str(abs(score))
+    if score > 0:
+        return 1, f"{len(digits):05d}{digits}"
+    return -1, f"{99_999 - len(digits):05d}" + "".join(str(9 - int(c)) for c in digits)
+
+
+def index_blocks(live: DataFrame, components: int = COMPONENTS) -> tuple[DataFrame, int]:
+    """(dim, block, payload) for quantised vectors, dealt out row by row, and the number of blocks."""
+    n = max(1, -(-(live.agg(F.sum(F.size("q"))).first()[0] or 0) // components))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        payload = pack(build(group["vec_id"].to_numpy(np.int64), np.stack(group["q"].to_list())))
-        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "block": [int(group["block"].iloc[0])], "payload": [payload]})
+        index = build(group["vec_id"].to_numpy(np.int64), np.stack(group["q"].to_list()))
+        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "block": [int(group["block"].iloc[0])], "payload": [pack(**index)]})
 
-    unique = vectors.distinct()
-    dealt = unique.select("vec_id", "q", F.size("q").alias("dim"), F.pmod(F.xxhash64("vec_id", "q"), F.lit(n)).cast("int").alias("block"))
+    dealt = live.select("vec_id", "q", F.size("q").alias("dim"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("block"))
     return dealt.groupBy("dim", "block").applyInPandas(one, "dim int, block int, payload binary"), n
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vector whose id is divisible by every, its k best others by inner product.
+FOUND = "query_id long, vec_id long, score long, side int, key string"
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", components: int = COMPONENTS) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each id divisible by every, the k best rows of other ids by inner product.
 
     Ties go to the smaller id; with fewer than k others all are given. Vectors that are null or hold null or non-finite
-    components, and rows with a null id, take no part. Vectors are compared with those of their own length, empty ones
-    with none. Equal rows count once, and rows with the query's id are never its results; several different vectors of
-    one id are each indexed, and as queries the least of them is taken. Components over 65,536 count as that much. An
-    empty table gives an empty result. Further columns are ignored, whatever their names.
+    components (also those that are so times 64), and rows with a null id, take no part. Vectors are compared with those of
+    their own length, empty ones with none. Repeated rows are candidates as often as they are there; an id asks once, with
+    the least of its vectors, and rows with its id are never its results. Scores are exact, of any size: ranks go by them,
+    and one that no long holds is given as the largest or smallest long. An empty table gives an empty result. Further
+    columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     live = stash(quantised(vectors, id_col, vector_col).where(F.size("q") > 0), "quantised")
-    blocks, n = index_blocks(live)
+    blocks, n = index_blocks(live, components)
     asked = live.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    m = max(1, -(-asked.count() // QUERIES))
+    m = max(1, -(-(asked.agg(F.sum(F.size("q"))).first()[0] or 0) // ASKED))
 
     def bundle(group: pd.DataFrame) -> pd.DataFrame:
-        payload = pack({"ids": group["vec_id"].to_numpy(np.int64), "q": np.stack(group["q"].to_list()), "order": np.zeros((0, 0), np.int32)})
+        payload = pack(group["vec_id"].to_numpy(np.int64), np.stack(group["q"].to_list()))
         return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "part": [int(group["part"].iloc[0])], "asked": [payload]})
 
     dealt = asked.select("vec_id", "q", F.size("q").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("part"))
@@ -153,34 +194,34 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         index = [opened(unpack(x.as_py())) for _, x in sorted(zip(held["block"].to_pylist(), held["payload"], strict=True), key=lambda p: p[0])]
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], [], []]
         for raw in (x.as_py() for x in asked["asked"]) if index else ():
-            count, d = np.frombuffer(raw, np.int64, 2).tolist()
-            qids = np.frombuffer(raw, np.int64, count, 16).tolist()
-            q = np.frombuffer(raw, np.int32, count * d, 16 + 8 * count).reshape(count, d)
-            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * count  # each query's k best of the blocks so far
+            queries = unpack(raw)
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries["ids"])  # each query's k best of the blocks so far
             for block in index:
-                for i, (qid, w) in enumerate(zip(qids, q, strict=True)):
+                for i, (qid, w) in enumerate(zip(queries["ids"].tolist(), queries["q"], strict=True)):
                     ids, scores = best[i]
-                    new, more, _ = search(block, qid, w, k, scores[-1] if len(scores) == k else -np.inf)
-                    ids, scores = np.concatenate([ids, new]), np.concatenate([scores, more])
-                    top = np.lexsort((ids, -scores))[:k]
-                    best[i] = ids[top], scores[top]
-            out[0].append(np.repeat(np.array(qids, np.int64), [len(x[0]) for x in best]))
-            out[1] += [x[0] for x in best]
-            out[2] += [x[1] for x in best]
-        return pa.table([np.concatenate([np.zeros(0, np.int64), *c]) for c in out], ["query_id", "vec_id", "score"])
-
-    found = copies.groupBy("dim", "span", "lane").cogroup(lanes).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                    new, more, _, _ = search(block, qid, w, k, reached(scores, k))
+                    best[i] = best_of(np.concatenate([ids, new]), np.concatenate([scores, more]), k)
+            for qid, (ids, scores) in zip(queries["ids"].tolist(), best, strict=True):
+                large = [side_and_key(int(x)) for x in scores] if scores.dtype == object else [(0, None)] * len(ids)
+                held_scores = [max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in scores]
+                for column, values in zip(out, ([qid] * len(ids), ids.tolist(), held_scores, [x[0] for x in large], [x[1] for x in large]), strict=True):
+                    column += values
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["query_id", "vec_id", "score", "side", "key"])
+
+    found = copies.groupBy("dim", "span", "lane").cogroup(lanes).applyInArrow(run, FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), F.desc("key"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle(k: int = 20, every: int = 20) -> str:
     """The same by brute force in DuckDB's SQL, for vectors of finite components."""
     return f"""
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % {every} = 0),
+a AS (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % {every} = 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

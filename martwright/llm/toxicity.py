@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
-A text is a sequence of words (letters, digits and all of non-ASCII). A word's input has two parts: the embedding of its
+A text is a sequence of words (runs of letters, digits and all of non-ASCII; a run of over LONGEST bytes is cut into
+words of so many). A word's input has two parts: the embedding of its
 hash, and the sum of the embeddings of its 4-grams of characters (bytes), word boundaries included, so that words never
 seen are known by their stems. Windows of WINDOW words begin every HOP words, so that all stretches of up to
 WINDOW - HOP words are inside one window. Two gated recurrent layers read each window forwards and backwards, attention
@@ -15,6 +16,7 @@ All steps are arrays over whole batches: hashes are differences of a running pol
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_FIT_CHARS, arrow_rows, bucket_of, sampled, slices, text_bytes
+from .common import bucket_of, excerpt, learnt, sampled, slices, text_bytes
 
 WORD_BITS, GRAM_BITS, EMBED, HIDDEN = 18, 18, 4, 8
 WINDOW, HOP = 16, 8
 BLOCK = 1024  # windows read at a time: their states stay in the processor's cache
+LONGEST = 64  # bytes of a word
 CHUNK = 1 << 21  # bytes of text in arrays at a time
 SAMPLE = 3_000  # labelled texts that the network is fitted on, the same number for any input
+FIT_CHARS = 16_384  # of each of them, evenly spread over the whole text
+LEARNING = 64  # windows of a text that a step of the fit goes back through: those with the highest scores
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -45,31 +50,40 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word buckets, gram buckets, where each word's grams begin, where each row's words begin)."""
+def words(raw: np.ndarray, at: np.ndarray, before: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word buckets, gram buckets, where each word's grams begin, where each row's words begin, where each word ends, in raw if that is one row).
+
+    before: the byte that raw follows, where it is cut out of a text; a run that goes on there goes on at a word's end.
+    """
+    if len(at) > 2:  # a gap between rows as long as a gram looks ahead, so that none sees another's bytes
+        raw, at = np.insert(raw, np.repeat(at[1:-1], 2), 32), at + 2 * np.minimum(np.arange(len(at)), len(at) - 2)
     low = np.concatenate([_LOWER[raw], np.zeros(1, np.uint8)])
     inside = _IN_WORD[low]
     inside[-1] = False
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate([[0], edge])
-    cut = at[1:-1][(at[1:-1] > 0) & inside[at[1:-1]] & inside[at[1:-1] - 1]] if len(at) > 2 else at[:0]  # texts that touch
-    edge = np.sort(np.concatenate([edge, cut, cut]))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(len(at), np.int64), np.zeros(0, np.int64)
+    pieces = -(-(end - start) // LONGEST)
+    if pieces.max() > 1:
+        k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.repeat(start, pieces) + k * LONGEST
+        end = np.minimum(np.repeat(end, pieces), start + LONGEST)
     powers = _powers(_P, len(low))
     run = np.concatenate([[np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)])
     h = (run[end] - run[start]) * _powers(_INVERSE, len(low))[start]
     word = (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
     clean = np.where(inside, low, np.uint8(32)).astype(np.uint32)
-    clean = np.concatenate([[np.uint32(32)], clean, np.full(3, 32, np.uint32)])  # clean[i + 1] is byte i
+    first_byte = _LOWER[before] if _IN_WORD[_LOWER[before]] else 32
+    clean = np.concatenate([[np.uint32(first_byte)], clean, np.full(3, 32, np.uint32)])  # clean[i + 1] is byte i
     gram = clean[:-3] | clean[1:-2] << np.uint32(8) | clean[2:-1] << np.uint32(16) | clean[3:] << np.uint32(24)  # begins before byte i
     gram = (gram * np.uint32(0x9E3779B1) >> np.uint32(32 - GRAM_BITS)).astype(np.int32)
     n = np.maximum(end - start - 1, 1)  # with both boundaries a word of k bytes has k - 1 grams, one at least
     first = np.concatenate([[0], np.cumsum(n)])
     index = np.arange(first[-1]) + np.repeat(start - first[:-1], n)
-    return word, gram[index], first[:-1], np.searchsorted(start, at)
+    return word, gram[index], first[:-1], np.searchsorted(start, at), end
 
 
 @dataclass
@@ -168,7 +182,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """words() of many texts, a few at a time: word buckets, gram buckets, grams of each word, where each text's words begin."""
     parts, n_words = [], [0]
     for k in range(0, len(texts), 64):
-        word, grams, first_gram, first = words(*text_bytes(pa.array(texts[k : k + 64], pa.large_string())))
+        word, grams, first_gram, first, _ = words(*text_bytes(pa.array(texts[k : k + 64], pa.large_string())))
         parts.append((word, grams, np.diff(first_gram, append=len(grams)).astype(np.int32)))
         n_words += np.diff(first).tolist()
     word, grams, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int32) for i in range(3))
@@ -214,6 +228,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 3, steps: int = 300, b
         gr = grams[np.arange(n.sum()) + np.repeat(ends[pick] - begin_gram, n)]
         x = model.inputs(w, gr, begin_gram)
         begin, size, row = windows_of(own)
+        begin, size, row = highest(model, x, begin, size, row)
         keep: dict = {}
         z = model.logits(x, begin, size, keep)
         at_doc = np.searchsorted(row, np.arange(len(docs)))
@@ -239,41 +254,104 @@ def train(texts: list[str], toxic: list[int], seed: int = 3, steps: int = 300, b
     return model
 
 
+def highest(model: Model, x: np.ndarray, begin: np.ndarray, size: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with over LEARNING windows those that score highest, which carry nearly all of the gradient; all of others'."""
+    n = np.bincount(row)
+    if n.max(initial=0) <= LEARNING:
+        return begin, size, row
+    z = blocked(model, x, begin, size)
+    by = np.lexsort((-z, row))
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    keep = np.sort(by[rank < LEARNING])
+    return begin[keep], size[keep], row[keep]
+
+
+def blocked(model: Model, x: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """logits() of windows in order, BLOCK at a time."""
+    z = np.empty(len(begin), np.float32)
+    for k in range(0, len(begin), BLOCK):
+        e = min(k + BLOCK, len(begin))
+        z[k:e] = model.logits(x[begin[k] : begin[e - 1] + size[e - 1]], begin[k:e] - begin[k], size[k:e])
+    return z
+
+
 def score_rows(model: Model | None, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Scores of rows of UTF-8 text: the highest window's; 0 without any word or without a model."""
     out = np.zeros(len(at) - 1)
     if model is None:
         return out
-    word, grams, first_gram, first = words(raw, at)
+    word, grams, first_gram, first, _ = words(raw, at)
     if not len(word):
         return out
-    x = model.inputs(word, grams, first_gram)
     begin, size, row = windows_of(first)
-    z = np.empty(len(begin), np.float32)
-    for k in range(0, len(begin), BLOCK):
-        e = min(k + BLOCK, len(begin))
-        z[k:e] = model.logits(x[begin[k] : begin[e - 1] + size[e - 1]], begin[k:e] - begin[k], size[k:e])
     best = np.full(len(out), -np.inf)
-    np.maximum.at(best, row, z)
+    np.maximum.at(best, row, blocked(model, model.inputs(word, grams, first_gram), begin, size))
+    return sigmoid(best)
+
+
+def sigmoid(best: np.ndarray) -> np.ndarray:
     return np.where(best > -np.inf, 1 / (1 + np.exp(-np.clip(best, -40, 40))), 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, **options) -> Model | None:
-    """A network fitted on at most sample labelled texts of each class, those with the smallest hash of their id."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text").between(1, MOST_FIT_CHARS))
+def score_long(model: Model | None, raw: np.ndarray, chunk: int = CHUNK) -> float:
+    """The same as score_rows() of one text, chunk bytes at a time: the same words, the same windows.
+
+    A part ends where its last word surely does, and the next one begins with the first window that wasn't whole.
+    """
+    if model is None:
+        return 0.0
+    best, at, seen = -np.inf, 0, 0
+    size = chunk
+    while at < len(raw):
+        part = raw[at : at + size]
+        last = at + size >= len(raw)
+        word, grams, first_gram, _, end = words(part, np.array([0, len(part)]), int(raw[at - 1]) if at else 32)
+        n = len(word) if last else int(np.searchsorted(end, len(part) - 1))  # a word at the very end may go on, and a gram reads one byte more
+        whole = max(0, (n - WINDOW) // HOP + 1)  # windows with all their words in this part
+        if not last and not whole:
+            if n == 0 and not len(word):  # nothing but gaps
+                at += len(part)
+            else:
+                size *= 2
+            continue
+        if last:
+            begin, width, _ = windows_of(np.array([0, n]))
+            if seen and n <= WINDOW - HOP:
+                begin, width = begin[:0], width[:0]  # all its words were in the window before
+        else:
+            begin, width = np.arange(whole) * HOP, np.full(whole, WINDOW)
+        if len(begin):
+            x = model.inputs(word, grams, first_gram)
+            best = max(best, float(blocked(model, x, begin, width).max()))
+        if last:
+            break
+        at += int(end[whole * HOP - 1])
+        seen += whole
+        size = chunk
+    return float(sigmoid(np.array([best]))[0])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = FIT_CHARS, **options) -> Model | None:
+    """A network fitted on at most sample labelled texts, half of each class, those with the smallest hash of their id.
+
+    Texts of any length are learnt from: of one with more than chars code points, eight parts spread over it, chars in all.
+    Rows with a null id have no label. The fitting runs in one task of the cluster.
+    """
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
     marks = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).distinct()
-    marks = marks.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
-    picked = [sampled(marks.where(F.col("_toxic") == kind), "_id", sample // 2) for kind in (0, 1)]
-    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "_id").orderBy("_id").limit(2 * sample).select("_text", "_toxic").collect()
-    return train([r[0] or "" for r in rows], [int(r[1]) for r in rows], **options) if rows else None
+    marks = marks.join(texts.select("_id").distinct(), "_id", "left_semi")
+    picked = [sampled(marks.where(F.col("_toxic") == kind), F.col("_id"), sample // 2) for kind in (0, 1)]
+    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "_id").orderBy("_id").limit(2 * sample).select(excerpt(F.col("_text"), chars).alias("text"), F.col("_toxic").cast("int").alias("toxic"))
+    raw = learnt(rows, lambda held: pickle.dumps(train([r["text"] for r in held], [r["toxic"] for r in held], **options).p))
+    return Model(pickle.loads(raw)) if raw else None
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row of docs, from its whole text alone.
 
     Null and empty texts and texts without any word score 0, and so does all if no row was labelled. Repeated rows each
-    give a row, equal texts score alike. Long texts are read in stretches that overlap by a window, in bounded memory. An
-    empty table gives an empty result. Other columns are ignored, whatever their names.
+    give a row, equal texts score alike. Long texts are read a part at a time, in bounded memory, and scored as if whole.
+    An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     run = scorer(docs.sparkSession, model, 1)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -287,7 +365,10 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores under the threshold; each row by its own text."""
+    """The rows of docs, with all their columns, whose text scores under the threshold; each row by its own text.
+
+    Null and empty texts score 0 and stay, as does all without a model. Repeated rows stay or go together.
+    """
     run = scorer(docs.sparkSession, model, docs.columns.index(text_col))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,43 +379,18 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", thr
 
 
 def scorer(spark: SparkSession, model: Model | None, text_at: int):
-    """Gives batches of at most 512 rows with the scores of the texts in a column of theirs."""
+    """Gives slices of batches with the scores of the texts in a column of theirs."""
     wire = spark.sparkContext.broadcast(model.p if model else None)  # 8 MB, whatever the data
-    arrow_rows(spark, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         net = Model(wire.value) if wire.value else None
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 512, text_at, CHUNK):
             raw, at = text_bytes(batch.column(text_at))
-            out = np.zeros(batch.num_rows)
-            k = 0
-            while k < batch.num_rows:  # as many rows as fit in a chunk; one at least
-                e = max(k + 1, int(np.searchsorted(at, at[k] + CHUNK, "right")) - 1)
-                if at[e] - at[k] <= 2 * CHUNK:
-                    out[k:e] = score_rows(net, raw[at[k] : at[e]], at[k : e + 1] - at[k])
-                else:
-                    out[k] = max(score_rows(net, s, np.array([0, len(s)]))[0] for s in stretches(raw[at[k] : at[e]]))
-                k = e
-            yield batch, out
+            yield batch, score_rows(net, raw, at) if len(raw) <= 2 * CHUNK else np.array([score_long(net, raw)])
 
     return run
 
 
-def stretches(raw: np.ndarray) -> Iterator[np.ndarray]:
-    """A very long text in parts that begin at word boundaries, each with the last 2 * WINDOW words of the one before."""
-    k = 0
-    while k < len(raw):
-        part = raw[k : k + CHUNK]
-        gaps = np.flatnonzero(~_IN_WORD[_LOWER[part]])
-        if k + CHUNK >= len(raw) or len(gaps) < 8 * WINDOW:
-            yield part
-            k += len(part)
-            continue
-        yield part[: gaps[-1]]
-        starts = gaps[:-1][np.diff(gaps) > 1]  # gaps that a word follows
-        k += int(starts[-2 * WINDOW]) if len(starts) > 4 * WINDOW else int(gaps[-1])
-
-
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """score() by a network fitted on docs' labelled rows outside the held-out fifth (crc32 of the id mod 5 = 0), with predicted."""
     model = fit(docs.where(bucket_of("doc_id", 5) != 0), labels, **options)

@@ -1,10 +1,10 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join.
 
 Lists hold canonical URLs: a host in lower case and a path prefix, joined, as in `example.com/en/`. A URL has one
-canonical form for every ending of its host at a label and every prefix of its path that is as long as some listed path.
-The Bloom filter has one block of 256 bits a hash picks, in which five more bits must be set: one read a probe. What it
-passes is joined with the list itself, which removes its false positives. The filter's size is fixed by a parameter, and
-a longer list only lets more through to the join, so results never depend on it.
+canonical form for every ending of its host with as many labels as some listed host has, and every prefix of its path that
+is as long as some listed path. The Bloom filter is a table of blocks of 256 bits: a hash picks the block, in which five
+more bits must be set. It has 16 bits for each listed URL, so it is sized by the list, and meets the forms by block. What it
+passes is joined with the list itself, which removes its false positives.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh, without
+
 BLOCK_BITS = 256
 PROBES = 5
-MOST_BLOCKS = 1 << 15  # 1 MB of filter at most, as 64-bit words in the plan
+FEW_BLOCKS = 1 << 17  # a filter of no more blocks (4 MB of bits) is broadcast
 FEW_ENTRIES = 20_000  # a list of no more entries is broadcast for the exact join
 
 # The rules of the contract, (verdict, host, path prefix).
@@ -49,58 +51,63 @@ def _bits(canonical: Column, blocks: int) -> tuple[Column, list[Column]]:
     return F.pmod(h, F.lit(blocks)).cast("int"), [F.shiftrightunsigned(g, 9 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for i in range(PROBES)]
 
 
-def bloom(listed: DataFrame, blocks: int) -> list[int]:
-    """The filter's words, 4 to a block, gathered by a bitwise or over the list; at most 4 * blocks words come back."""
+def bloom(listed: DataFrame, blocks: int) -> DataFrame:
+    """(block, words array<long>): the filter's blocks with any bit set, each as four words."""
     block, bits = _bits(F.concat("host", "path"), blocks)
     rows = listed.select(block.alias("block"), F.explode(F.array(*bits)).alias("bit"))
-    words = rows.groupBy((F.col("block") * 4 + F.shiftright("bit", 6)).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits"))
-    out = [0] * (4 * blocks)
-    for word, value in words.collect():
-        out[word] = value
-    return out
+    words = [F.coalesce(F.bit_or(F.when(F.shiftright("bit", 6) == k, F.expr("shiftleft(1L, bit & 63)"))), F.lit(0).cast("long")) for k in range(BLOCK_BITS // 64)]
+    return rows.groupBy("block").agg(F.array(*words).alias("words"))
 
 
 def blocks_for(n: int) -> int:
-    """16 bits an entry, up to the filter's largest size."""
-    return max(1, min(MOST_BLOCKS, -(-n * 16 // BLOCK_BITS)))
+    """16 bits an entry."""
+    return max(1, -(-n * 16 // BLOCK_BITS))
+
+
+def _counted(listed: DataFrame, number: Column) -> list[int]:
+    """The different values of a number of listed URLs, such as the lengths of their paths; they are at most as many as the longest is long."""
+    return sorted(r[0] for r in listed.select(number.alias("n")).distinct().collect())
+
+
+def _numbers(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<int>")
 
 
 def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", blocks: int | None = None) -> DataFrame:
     """pages with host, path, rule (the longest rule that fits, or null) and verdict (allow or block).
 
     verdict is the rule's; where no rule fits, block if a listed URL fits and allow otherwise. listed as of entries().
-    Null urls and urls without :// have empty host and path and are allowed. Repeated rows each keep their row. Of rules
-    equal in host and path the one that blocks wins. An empty list allows everything. Columns named host, path, rule or
-    verdict are replaced.
+    Null urls and urls without :// have empty host and path and are allowed. Urls of any length are judged whole. Repeated
+    rows each keep their row. Of rules equal in host and path the one that blocks wins. An empty list allows everything, an
+    empty table gives an empty result. Further columns stay, whatever their names; columns named host, path, rule or verdict
+    are replaced.
     """
-    spark = pages.sparkSession
     n = listed.count()
     blocks = blocks or blocks_for(n)
-    filled = spark.createDataFrame([(bloom(listed, blocks),)], "_words array<long>")
-    lengths = [r[0] for r in listed.select(F.length("path").alias("n")).distinct().orderBy("n").limit(2_049).collect()]
+    kept = without(pages.columns, "host", "path", "rule", "verdict")
+    known_host, known_path, best = fresh([*kept, "host", "path", "rule", "verdict"], "known_host", "known_path", "best")
     host, path = host_and_path(F.col(url_col))
-    rows = pages.drop("host", "path", "rule", "verdict", "_row").withColumn("host", host).withColumn("path", path)
-    rows = rows.withColumn("_key", F.struct("host", "path"))
-    seen = rows.select("host", "path").distinct()
-    labels = F.split("host", "[.]", -1)
-    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = F.array(*(F.lit(x) for x in lengths)) if len(lengths) <= 2_048 else F.sequence(F.lit(0), F.length("path"))
-    prefixes = F.transform(F.filter(fits, lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
-    canonical = seen.select("host", "path", F.explode(endings).alias("h")).select("host", "path", "h", F.explode(prefixes).alias("p"))
+    rows = pages.select(*kept, host.alias("host"), path.alias("path"))
+    labels = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
+    counts, lengths = _counted(listed, F.size(F.split("host", "[.]", -1))), _counted(listed, F.length("path"))
+    endings = F.transform(F.filter(_numbers(counts), lambda k: k <= labels), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    prefixes = F.transform(F.filter(_numbers(lengths), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
+    forms = rows.select("host", "path", F.explode(endings).alias("h")).select("host", "path", "h", F.explode(prefixes).alias("p"))
     block, bits = _bits(F.concat("h", "p"), blocks)
-    probed = canonical.withColumn("_b", block).crossJoin(F.broadcast(filled))
+    filled = bloom(listed, blocks)
+    probed = forms.withColumn("block", block).join(F.broadcast(filled) if blocks <= FEW_BLOCKS else filled, "block")
     hit = F.lit(True)
     for bit in bits:
-        word = F.element_at("_words", F.col("_b") * 4 + F.shiftright(bit, 6) + 1)
+        word = F.element_at("words", F.shiftright(bit, 6) + 1)
         hit = hit & (F.expr("1L").bitwiseAND(_shift(word, bit.bitwiseAND(F.lit(63)))) == 1)
     possible = probed.where(hit).select("host", "path", "h", "p")
     exact = listed.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict", "is_rule")
     sure = possible.join(F.broadcast(exact) if n <= FEW_ENTRIES else exact, ["h", "p"])
     rank = F.struct("is_rule", (F.length("h") + F.length("p")).alias("n"), (F.col("verdict") == "block").alias("b"), F.concat("h", "p").alias("rule"), "verdict")
-    best = sure.groupBy("host", "path").agg(F.max(rank).alias("_best"))
-    out = rows.join(best.select(F.struct("host", "path").alias("_known"), "_best"), F.col("_key") == F.col("_known"), "left")
-    rule = F.when(F.col("_best.is_rule"), F.col("_best.rule"))
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit("allow"))).drop("_key", "_known", "_best")
+    known = sure.groupBy(F.col("host").alias(known_host), F.col("path").alias(known_path)).agg(F.max(rank).alias(best))
+    out = rows.join(known, (F.col("host") == F.col(known_host)) & (F.col("path") == F.col(known_path)), "left")
+    rule = F.when(F.col(best)["is_rule"], F.col(best)["rule"])
+    return out.select(*kept, "host", "path", rule.alias("rule"), F.coalesce(F.col(best)["verdict"], F.lit("allow")).alias("verdict"))
 
 
 def _shift(word: Column, bits: Column) -> Column:

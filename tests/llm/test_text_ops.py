@@ -8,6 +8,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from martwright.llm import langid, mixing, pieces, secrets, tiff, toxicity
 from martwright.llm.common import read, text_bytes
@@ -42,7 +43,8 @@ def test_language_windows_hold_every_byte_and_ngram():
     sizes = [0, 1, 5, 255, 256, 257, 510, 5_000]
     texts = [bytes(rng.integers(1, 255, n).astype(np.uint8)) for n in sizes]
     raw, at = text_bytes(pa.array(texts, pa.large_binary()))
-    windows, row, held = langid.windows_of(raw, at)
+    begin, row, held = langid.window_starts(at)
+    windows = langid.cut(raw, begin, held)
     for k, text in enumerate(texts):
         mine = [windows[i][: held[i]].tobytes() for i in np.flatnonzero(row == k)]
         hop = langid.WINDOW - max(langid.WIDTHS) + 1
@@ -111,12 +113,105 @@ def test_toxicity_finds_planted_words_and_their_forms():
     assert (said == np.array([y == 1 for _, y in data[500:]])).mean() > 0.97
 
 
-def test_toxicity_stretches_keep_every_run_of_words(monkeypatch):
-    monkeypatch.setattr(toxicity, "CHUNK", 2_000)
-    words = [f"w{k}" for k in range(5_000)]
-    parts = [bytes(p).decode().split() for p in toxicity.stretches(np.frombuffer(" ".join(words).encode(), np.uint8))]
-    runs = {tuple(p[i : i + 8]) for p in parts for i in range(len(p) - 7)}
-    assert {tuple(words[i : i + 8]) for i in range(len(words) - 7)} <= runs
+TOXIC_TEXTS = ["you idiot", "a b c", "x" * 500 + " tail words here", "", " ", "日本語" * 90, "one two three four five six seven eight"] + [
+    " ".join(random.Random(k).choice(["a", "bb", "idiot", "word", "é中文", "z" * 200, "  \n"]) for _ in range(40 * k)) for k in range(12)
+]
+
+
+@pytest.fixture(scope="module")
+def small_model():
+    return toxicity.train(TOXIC_TEXTS, [k % 3 == 0 for k in range(len(TOXIC_TEXTS))], steps=15)
+
+
+def slow_score(p: dict, text: str) -> float:
+    """The network's score of a text, a word, window and step at a time."""
+    inside = lambda b: 48 <= b < 58 or 97 <= b < 123 or b >= 128
+    low = bytes(b + 32 if 65 <= b < 91 else b for b in text.encode())
+    runs = [(m.start(), m.end()) for m in re.finditer(rb"[0-9a-z\x80-\xff]+", low)]
+    spans = [(k, min(k + 64, b)) for a, b in runs for k in range(a, b, 64)]
+    flat = bytes(b if inside(b) else 32 for b in low)
+    flat = b" " + flat + b"   "
+    xs, mask = [], (1 << 64) - 1
+    for a, b in spans:
+        h = sum((low[i] + 1) * pow(int(toxicity._P), i - a, 1 << 64) for i in range(a, b)) & mask
+        x = list(p["word"][(h * 0xD6E8FEB86659FD93 & mask) >> 64 - toxicity.WORD_BITS])
+        gram = np.zeros(toxicity.EMBED)
+        for i in range(a, a + max(b - a - 1, 1)):
+            gram = gram + p["gram"][(int.from_bytes(flat[i : i + 4], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - toxicity.GRAM_BITS]
+        xs.append(np.concatenate([x, gram]))
+    if not xs:
+        return 0.0
+    H, best, sig = toxicity.HIDDEN, -np.inf, lambda v: 1 / (1 + np.exp(-v))
+    starts = [0, *(k for k in range(8, len(xs), 8) if k + 8 < len(xs))]
+    for k in starts:
+        own, states = xs[k : k + 16], {}
+        for d, order in (("f", own), ("b", own[::-1])):
+            h, states[d] = np.zeros(H), []
+            for x in order:
+                g = x @ p[f"{d}_in"] + p[f"{d}_bias"]
+                rz = sig(g[: 2 * H] + h @ p[f"{d}_rz"])
+                c = np.tanh(g[2 * H :] + (rz[:H] * h) @ p[f"{d}_c"])
+                h = h + rz[H:] * (c - h)
+                states[d].append(h)
+        both = [np.concatenate(pair) for pair in zip(states["f"], states["b"], strict=True)]
+        a = np.exp([v @ p["attend"] for v in both])
+        best = max(best, sum(w * v for w, v in zip(a / a.sum(), both, strict=True)) @ p["out"] + p["out_bias"][0])
+    return sig(best)
+
+
+def test_toxicity_against_a_slow_forward_pass(small_model):
+    raw, at = text_bytes(pa.array(TOXIC_TEXTS, pa.large_string()))
+    for text, got in zip(TOXIC_TEXTS, toxicity.score_rows(small_model, raw, at), strict=True):
+        assert got == pytest.approx(slow_score(small_model.p, text), abs=1e-5), text[:40]
+
+
+@pytest.mark.parametrize("chunk", [50, 120, 700, 1_500])
+def test_long_texts_score_as_if_whole(small_model, chunk):
+    for text in TOXIC_TEXTS:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert toxicity.score_long(small_model, raw, chunk) == pytest.approx(toxicity.score_rows(small_model, raw, np.array([0, len(raw)]))[0], abs=1e-6)
+
+
+def test_toxicity_held_out(spark):
+    """On the documents: what the labels of the held-out fifth say is found, by ranking and by the threshold."""
+    docs, labels = (read(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    rows = [r for r in toxicity.judge(docs, labels).join(labels, "doc_id").select("held_out", "score", "predicted", "toxic").collect() if r.held_out and r.toxic is not None]
+    bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    assert len(bad) >= 10 and np.mean([b > g for b in bad for g in good]) > 0.95
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.95
+
+
+def test_only_long_texts_are_labelled(spark):
+    """Labels of texts of any length are learnt from."""
+    rows = [(k, ("le chat est sur la table et le chien dort " if k % 2 else "the cat sits on the table and the dog sleeps ") * 2_600, "fr" if k % 2 else "en") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == ("fr" if r.doc_id % 2 else "en") for r in langid.predict(docs, langid.fit(docs, steps=60)).collect())
+    marks = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, steps=40)
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in toxicity.score(docs, model).collect())
+
+
+def slow_language(model: langid.Model, text: str) -> np.ndarray:
+    """The network's probabilities, a window, filter and place at a time."""
+    raw, hop = text.encode(), langid.WINDOW - 3
+    starts = [0, *(k for k in range(hop, len(raw), hop) if k + 3 < len(raw))]
+    total, weight = np.zeros(len(model.langs)), 0
+    for k in starts:
+        own = raw[k : k + langid.WINDOW]
+        x = [model.embed[b] for b in own.ljust(langid.WINDOW, b"\0")]
+        top = np.array([max(sum(x[i + j] @ model.conv[j * langid.EMBED : (j + 1) * langid.EMBED, f] for j in range(4)) for i in range(langid.WINDOW - 3)) for f in range(model.conv.shape[1])])
+        z = np.exp(np.maximum(top + model.bias, 0) @ model.out + model.out_bias)
+        total, weight = total + z / z.sum() * len(own), weight + len(own)
+    return total / weight
+
+
+def test_language_against_a_slow_forward_pass(spark):
+    texts = ["the cat sits on the table", "le chien dort", "é" * 200, "der Hund " * 40]
+    model = langid.train(texts * 2, ["en", "fr", "fr", "de"] * 2, steps=10)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.predict(docs, model).collect():
+        p = slow_language(model, texts[r.doc_id])
+        assert r.lang_pred == model.langs[p.argmax()] and r.score == pytest.approx(p.max(), abs=1e-4)
 
 
 def test_toxicity_odd(spark, odd, empty):
@@ -136,10 +231,61 @@ def test_pieces_without_dropout_are_the_librarys(spark, small):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [r.text for r in read(spark, small, "documents").collect()] + [t for _, t, *_ in ODD if t and pieces.SPACE not in t and len(t) < 1_000] + ["x" * 300, "    a  b\n\n c"]
-    for text, ids in zip(texts, pieces.encode_texts(VOCABULARY, texts, [0] * len(texts), 1, 0.0), strict=True):
+    for text, ids in zip(texts, pieces.Segmenter(VOCABULARY, 0.0, 1).encode(texts, [0] * len(texts)), strict=True):
         assert ids.tolist() == sp.encode(text)
 
 
+def slow_dropout(unit: str, key: int, rate: float) -> list[str]:
+    """Merge-dropout by its definition: the best of all neighbours that make a piece and aren't skipped, again and again."""
+    import sentencepiece
+
+    sp, mask = slow_dropout.__dict__.setdefault("sp", sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)), (1 << 64) - 1
+    own, start = [c.replace(" ", pieces.SPACE) if c != pieces.SPACE else "\0" for c in unit], list(range(len(unit)))
+    while True:
+        best = None
+        for k in range(len(own) - 1):
+            piece = sp.piece_to_id(own[k] + own[k + 1])
+            if piece == sp.unk_id() or sp.is_control(piece) or sp.is_byte(piece):
+                continue
+            x = key + (start[k] << 32 | piece) * 0x9E3779B97F4A7C15 & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            if (x ^ x >> 31) >> 11 < rate * 2.0**53:
+                continue
+            if best is None or sp.get_score(piece) > sp.get_score(best[1]):
+                best = (k, piece)
+        if best is None:
+            return own
+        k = best[0]
+        own[k : k + 2], start[k : k + 2] = [own[k] + own[k + 1]], [start[k]]
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.4])
+def test_dropout_against_its_definition(spark, small, rate):
+    texts = [r.text for r in read(spark, small, "documents").collect() if len(r.text) < 300][:4] + ["x" * 40 + " " + "considerable" * 3, "    a  b\n\n c", "日本語 ▁ \x00"]
+    variants = [pieces.variant_of(str(k), 11) for k in range(len(texts))]
+    made = pieces.Segmenter(VOCABULARY, rate, 11)
+    made.encode(texts, [v ^ 5 for v in variants])  # what is kept from other documents changes nothing
+    for text, variant, ids in zip(texts, variants, made.encode(texts, variants), strict=True):
+        units = pieces.units_of(VOCABULARY, text)
+        keys = pieces._mix(np.array([xxhash.xxh64_intdigest(u.encode(), 11) for u in units], np.uint64) ^ np.uint64(variant))
+        want = [p for u, k in zip(units, keys.tolist(), strict=True) for p in slow_dropout(u, k, rate)]
+        want = [q for p in want for q in ([p] if p in KNOWN else [f"<0x{b:02X}>" for b in ("▁" if p == "\0" else p).encode()])]
+        assert [VOCABULARY.pieces[i] for i in ids] == [q if q != "<0x00>" or "\x00" in text else q for q in want], text[:50]
+
+
+KNOWN = {p for k, p in enumerate(VOCABULARY.pieces) if VOCABULARY.rank[k] < pieces.NONE}
+
+
+def test_segmentations_are_kept_and_forgotten(monkeypatch):
+    texts = [f"{w} again and again the same words" for w in ("one", "two", "three", "four", "five", "six")] * 3
+    variants = [pieces.variant_of(str(k), 1) for k in range(len(texts))]
+    once = [x.tolist() for x in pieces.Segmenter(VOCABULARY, 0.3, 1).encode(texts, variants)]
+    monkeypatch.setattr(pieces, "KEPT_UNITS", 3)
+    few = pieces.Segmenter(VOCABULARY, 0.3, 1)
+    assert once == [few.encode([t], [v])[0].tolist() for t, v in zip(texts, variants, strict=True)]
+
+
 @pytest.mark.parametrize("rate", [0.1, 0.5, 1.0])
 def test_rows_and_heap_drop_the_same_merges(rate):
     rng = random.Random(2)
