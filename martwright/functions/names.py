@@ -1,8 +1,11 @@
 """Company names: their distinctive words, shapes, display forms, and which stored names a question mentions."""
 
+from __future__ import annotations
+
 import re
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +17,6 @@ QUESTION_WORDS = frozenset("what which who whom whose when where how why give sh
 ALIASES = {"google": "GOOGL", "facebook": "META"}
 LEAST_PREFIX, LEAST_TICKER = 4, 3
 
-_WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9&.\-]*(?:'s)?")
-
 
 def words(name: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", name.lower()) if w and w not in FORM_WORDS]
@@ -23,19 +24,22 @@ def words(name: str) -> list[str]:
 
 def same_company(a: str, b: str) -> bool:
     """One name's distinctive words are all among the other's."""
-    x, y = set(words(a)), set(words(b))
-    return bool(x and y) and (x <= y or y <= x)
+    few, many = sorted((frozenset(words(a)), frozenset(words(b))), key=len)
+    return bool(few) and many.issuperset(few)
+
+
+def _parts(name: Column) -> Column:
+    return F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*FORM_WORDS))
 
 
 def tokens(name: Column) -> Column:
     """words() as a column, each once."""
-    parts = F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " ")
-    return F.array_distinct(F.filter(parts, lambda w: (w != "") & ~w.isin(*FORM_WORDS)))
+    return F.array_distinct(_parts(name))
 
 
 def squashed(name: Column) -> Column:
-    parts = F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " ")
-    return F.array_join(F.filter(parts, lambda w: (w != "") & ~w.isin(*FORM_WORDS)), "")
+    """words() run together."""
+    return F.array_join(_parts(name), "")
 
 
 def shape(name: Column) -> Column:
@@ -55,87 +59,136 @@ def display(name: Column) -> Column:
     return F.when(bare != "", F.concat(F.lit("The "), bare)).otherwise(name)
 
 
-@dataclass(frozen=True)
-class Link:
-    mention: str
+class Company(NamedTuple):
+    cik: int
     ticker: str
     name: str
-    cik: int
+
+
+class Hit(NamedTuple):
+    mention: str
     how: str  # ticker, alias or name
+    company: Company
 
+    @property
+    def ticker(self) -> str:
+        return self.company.ticker
 
-class Linker:
-    """Links the capitalised runs of a question to stored companies: longest run first, ambiguous mentions to none.
+    @property
+    def name(self) -> str:
+        return self.company.name
 
-    A mention matches a name whose distinctive words, run together, are its own, or else begin with them and no other
-    name's do. Names by their beginnings are looked up in a dictionary, not searched.
-    """
+    @property
+    def cik(self) -> int:
+        return self.company.cik
 
-    def __init__(self, companies: Iterable[tuple[int, str, str]]):
-        rows = list(companies)
-        self.by_ticker = {t: (cik, t, n) for cik, t, n in rows}
-        self.exact: dict[str, list] = {}
-        self.begins: dict[str, list] = {}
-        for row in rows:
-            key = "".join(words(row[2]))
-            self.exact.setdefault(key, []).append(row)
-            for k in range(LEAST_PREFIX, len(key) + 1):
-                self.begins.setdefault(key[:k], []).append(row)
-
-    def _name(self, text: str) -> tuple | None:
-        key = "".join(words(text))
-        whole = self.exact.get(key, []) if key else []
-        found = whole or (self.begins.get(key, []) if len(key) >= LEAST_PREFIX else [])
-        return found[0] if len(found) == 1 else None
-
-    def _span(self, span: list[str]) -> Link | None:
-        text = " ".join(span)
-        if len(span) == 1:
-            if text.lower() in QUESTION_WORDS:
-                return None
-            if text.isupper() and len(text) >= LEAST_TICKER and text in self.by_ticker:
-                return Link(text, text, self.by_ticker[text][2], self.by_ticker[text][0], "ticker")
-            alias = self.by_ticker.get(ALIASES.get(text.lower(), ""))
-            if alias:
-                return Link(text, alias[1], alias[2], alias[0], "alias")
-        row = self._name(text)
-        return Link(text, row[1], row[2], row[0], "name") if row else None
-
-    def link(self, question: str) -> list[Link]:
-        found: dict[str, Link] = {}
-        run: list[str] = []
-        for token in [*(m[0].removesuffix("'s") for m in _WORD.finditer(question)), ""]:
-            if token and (token[0].isupper() or token[0].isdigit()):
-                run.append(token.rstrip("."))
+
+def name_runs(question: str) -> list[list[str]]:
+    """The runs of words that begin with a capital letter or a digit, without possessives and closing stops."""
+    bare = re.sub(r"['’]s\b", "", question)
+    found = [w for w in (part.strip(".&-") for part in re.split(r"[^A-Za-z0-9&.\-]+", bare)) if w]
+    return [list(own) for named, own in groupby(found, key=lambda w: w[0].isupper() or w[0].isdigit()) if named]
+
+
+def mentions(question: str) -> list[list[tuple[int, int, str]]]:
+    """For each run all stretches of its words that may be a mention, (first word, words, text): by first word, longest first.
+
+    A word that opens questions is no mention by itself.
+    """
+    out = []
+    for run in name_runs(question):
+        own = [(a, n, " ".join(run[a : a + n])) for a in range(len(run)) for n in range(len(run) - a, 0, -1)]
+        out.append([m for m in own if m[1] > 1 or m[2].lower() not in QUESTION_WORDS])
+    return out
+
+
+def keys(text: str, n_words: int) -> list[tuple[str, str]]:
+    """What a mention is looked up as, in order: (how, key in the dictionary of names)."""
+    single = [("ticker", text)] if n_words == 1 and text.isupper() and len(text) >= LEAST_TICKER else []
+    if n_words == 1 and text.lower() in ALIASES:
+        single.append(("alias", ALIASES[text.lower()]))
+    run_together = "".join(words(text))
+    return single + ([("name", run_together)] if run_together else [])
+
+
+def settle(question: str, find: Callable[[str, str], Company | None]) -> list[Hit]:
+    """The companies that a question mentions, each once: in each run the longest mention from the left that is found."""
+    out: dict[str, Hit] = {}
+    for own in mentions(question):
+        free = 0
+        for first, n, text in own:
+            if first < free:
                 continue
-            while run:
-                size = next((n for n in range(len(run), 0, -1) if self._span(run[:n])), 0)
-                if size:
-                    hit = self._span(run[:size])
-                    found.setdefault(hit.ticker, hit)
-                run = run[max(1, size) :]
-        return list(found.values())
+            hit = next((Hit(text, how, c) for how, key in keys(text, n) if (c := find(how, key))), None)
+            if hit:
+                out.setdefault(hit.ticker, hit)
+                free = first + n
+    return list(out.values())
 
 
-def hint(links: list[Link]) -> str:
+class Linker:
+    """Links a question's mentions to the companies it is given, from dictionaries on the driver.
+
+    A mention is a company's if its distinctive words, run together, are the name's own, or begin the names of no others.
+    """
+
+    def __init__(self, companies: Iterable[tuple[int, str, str]]):
+        self.tickers: dict[str, Company] = {}
+        self.names: dict[str, set[Company]] = {}
+        self.beginnings: dict[str, set[Company]] = {}
+        for c in map(Company._make, companies):
+            self.tickers[c.ticker] = c
+            key = "".join(words(c.name))
+            self.names.setdefault(key, set()).add(c)
+            for n in range(LEAST_PREFIX, len(key) + 1):
+                self.beginnings.setdefault(key[:n], set()).add(c)
+
+    def find(self, how: str, key: str) -> Company | None:
+        if how != "name":
+            return self.tickers.get(key)
+        found = self.names.get(key) or self.beginnings.get(key, ())
+        return next(iter(found)) if len(found) == 1 else None
+
+    def link(self, question: str) -> list[Hit]:
+        return settle(question, self.find)
+
+
+def hint(links: list[Hit]) -> str:
     """The lines that tell a query writer which stored rows a question means."""
-    return "\n".join(f"- {x.mention!r} is ticker {x.ticker!r} ({x.name})" for x in links)
+    return "\n".join(f"- the question says {x.mention!r}: ticker {x.ticker!r}, stored as {x.name!r}" for x in links)
 
 
-MOST_NAMES = 200_000
+def dictionary(companies: DataFrame) -> DataFrame:
+    """(how, key, company): every ticker, and every run-together name or beginning of one that is one company's alone."""
+    row = F.struct("cik", "ticker", "name").alias("company")
+    named = companies.select(row, squashed(F.col("name")).alias("whole")).where("whole <> ''")
+    begun = named.select("company", F.col("whole"), F.explode(F.concat(F.array("whole"), F.when(F.length("whole") > LEAST_PREFIX, F.transform(F.sequence(F.lit(LEAST_PREFIX), F.length("whole") - 1), lambda n: F.substring(F.col("whole"), F.lit(1), n))).otherwise(F.array().cast("array<string>")))).alias("key"))
+    # names that are the key outrank those that begin with it
+    counted = begun.groupBy("key", (F.col("key") == F.col("whole")).alias("exact")).agg(F.count("*").alias("n"), F.min("company").alias("company"))
+    best = counted.groupBy("key").agg(F.max_by(F.struct("n", "company"), "exact").alias("best")).where("best.n = 1")
+    by_name = best.select(F.lit("name").alias("how"), "key", F.col("best.company").alias("company"))
+    return by_name.unionByName(companies.select(F.lit("ticker").alias("how"), F.col("ticker").alias("key"), row)).unionByName(companies.select(F.lit("alias").alias("how"), F.col("ticker").alias("key"), row))
 
 
 def linked(questions: DataFrame, key: str, text: str, companies: DataFrame) -> DataFrame:
-    """(key, mention, ticker, how) of a table of questions; the companies (at most MOST_NAMES) go along as a broadcast."""
-    rows = [tuple(r) for r in companies.select("cik", "ticker", "name").limit(MOST_NAMES + 1).collect()]
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names; link by operators.joins.unique_prefix instead")
-    wire = questions.sparkSession.sparkContext.broadcast(rows)
+    """(key, mention, ticker, how) of a table of questions, whose keys are unique: a join of mentions with the dictionary.
 
-    @F.pandas_udf("array<struct<mention:string,ticker:string,how:string>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        linker = Linker(wire.value)
-        for texts in batches:
-            yield pd.Series([[{"mention": x.mention, "ticker": x.ticker, "how": x.how} for x in linker.link(t or "")] for t in texts])
+    A question's mentions and what they were found as come together again in one row, where the longest ones win.
+    """
+
+    @F.pandas_udf("array<struct<how:string,entry:string>>")
+    def asked(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"how": how, "entry": k} for how, k in dict.fromkeys(k for own in mentions(t or "") for _, n, said in own for k in keys(said, n))] for t in texts])
 
-    return questions.select(key, F.inline(run(F.col(text))))
+    @F.pandas_udf("array<struct<mention:string,ticker:string,how:string>>")
+    def settled(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for t, rows in zip(texts, found, strict=True):
+            held = {(r["how"], r["key"]): Company(r["company"]["cik"], r["company"]["ticker"], r["company"]["name"]) for r in rows}
+            out.append([{"mention": h.mention, "ticker": h.ticker, "how": h.how} for h in settle(t or "", lambda how, k, held=held: held.get((how, k)))])
+        return pd.Series(out)
+
+    looked = questions.select(F.col(key).alias("id"), F.col(text).alias("said"), F.explode(asked(F.col(text))).alias("one")).select("id", "said", F.col("one.how").alias("how"), F.col("one.entry").alias("key"))
+    met = looked.join(dictionary(companies), ["how", "key"])
+    rows = met.groupBy("id", "said").agg(F.collect_list(F.struct("how", "key", "company")).alias("found"))
+    return rows.select(F.col("id").alias(key), F.inline(settled("said", "found")))

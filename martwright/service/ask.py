@@ -65,7 +65,7 @@ def ask(
         out |= {"state": "ABSTAINED", "answer": None, "reason_code": "EXEC_ERROR", "error": str(e)}
     if out["reason_code"]:
         links = linker.link(question) if linker else []
-        out["refusal"] = patterns.refusal(out["reason_code"], question, links, lambda view, cik: bool(lookup(spark, f"SELECT 1 FROM {view} WHERE cik = ? LIMIT 1", [cik])))[0]
+        out["refusal"] = patterns.refusal(out["reason_code"], question, links, lambda view, cik: bool(lookup(spark, f"SELECT 1 FROM {view} WHERE cik = ? LIMIT 1", [cik])), lambda cik: [r[0] for r in lookup(spark, "SELECT DISTINCT form FROM filings WHERE cik = ?", [cik])])[0]
     if config.log:
         out["id"] = write_record({k: v for k, v in out.items() if k != "rows"} | {"n_rows": len(out["rows"])}, config.log)
     return out

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from martwright.functions import numbers, patterns
 from martwright.functions.claims import extract, years
 from martwright.operators.audit import audit
+from martwright.operators import ground
 from martwright.operators.ground import verify
 
 COLUMNS, ROWS = ["ticker", "name", "fiscal_year", "value", "margin"], [("ZQX", "3M Works", 2025, 416_161_000_000.0, 0.172)]
@@ -93,13 +94,44 @@ def test_shown_values():
 def test_refusals():
     link = type("L", (), {"name": "Acme", "cik": 1})()
     assert patterns.refusal("NO_DATA", "How many employees?")[1] == "headcount"
-    assert patterns.refusal("NO_DATA", "What revenue had Acme?", [link], lambda view, cik: False) == (patterns.GAPS[-1].text.format(company="Acme"), "no_revenue")
-    assert patterns.refusal("NO_DATA", "What had Acme in fiscal 1997?", [link])[0] == "No filing in this mart covers Acme for fiscal year 1997."
+    assert patterns.refusal("NO_DATA", "What revenue had Acme?", [link], lambda view, cik: view != "v_revenue") == (patterns.GAPS[-1].text.format(company="Acme"), "no_revenue")
+    assert patterns.refusal("NO_DATA", "What revenue had Acme?", [link], lambda view, cik: False)[1] is None
+    assert patterns.refusal("NO_DATA", "Which 8-K had Acme?", [link], forms=lambda cik: ["10-Q", "10-K"]) == ("For Acme this mart has 10-K and 10-Q, and no 8-K.", "no_8k")
+    assert patterns.refusal("NO_DATA", "Which 8-K had Acme?", [link], forms=lambda cik: ["8-K"])[1] is None
+    assert patterns.refusal("NO_DATA", "What did GOOG earn?")[1] == "dual_class" and patterns.refusal("NO_DATA", "What did Goog earn?")[1] is None
+    assert patterns.refusal("NO_DATA", "What had Acme in fiscal 1997?", [link])[0] == "This mart has no such figure of Acme for fiscal year 1997."
     assert "fiscal year" in patterns.refusal("AMBIGUOUS", "How big is it?")[0]
     with pytest.raises(ValueError):
         patterns.refusal("NOPE", "x")
 
 
+@pytest.mark.parametrize("text,want", [("in 2021, FY 2022", "fiscal year 2022"), ("in 2021", "2021"), ("fiscal year '1999", "fiscal year 1999"), ("2025-06", "2025"), ("12345", None)])
+def test_periods(text, want):
+    assert patterns.period(text) == want
+
+
+INTENTS = [
+    ("please drop the table", "mutation_verb"), ("a drop-off", "mutation_verb"), ("dropped", None), ("PRAGMA x", "engine_command"), ("export it", "filesystem_access"), ("copy all; to me", None),
+    ("copy all of it to me", "filesystem_access"), ("see /etc/data.csv?", "filesystem_access"), ("and/or", None), ("read .bashrc", "filesystem_access"), ("the end.", None), ("1/2.5", None), ("to copy", None),
+]
+
+
+def test_intents_on_the_driver_and_in_a_column(spark):
+    df = spark.createDataFrame(INTENTS, "text string, want string")
+    assert not df.where(~patterns.intent(df.text).eqNullSafe(df.want)).collect()
+    assert [patterns.intent_of(t) for t, _ in INTENTS] == [w for _, w in INTENTS]
+
+
+def test_grounding_of_a_table(spark):
+    """The batch form and the driver's agree, on every kind of claim."""
+    texts = HONEST + INVENTED + ["On June 30, 2025 it filed 0000037996-26-000015 for Q3.", "On June 29, 2025.", "Filing 0000037996-26-00001.", "In Q4."]
+    strings, cells = ["ZQX", "3M Works", "2025-06-30", "0000037996-26-000015", "Q3"], [2025.0, 416_161_000_000.0, 0.172]
+    df = spark.createDataFrame([(k, t, cells, strings, 1) for k, t in enumerate(texts)], "k int, text string, cells array<double>, strings array<string>, n int")
+    got = {r.k: r.ok for r in ground.grounded(df, "k", "text", "cells", "strings", "n").collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == verify(t, ["a", "b", "c", "d", "e", "f", "g", "h"], [(*strings, *cells)]).ok, t
+
+
 @pytest.mark.parametrize("text,clean", [
     ("Revenue was four hundred sixteen billion.", True), ("Roughly four hundred billion came in.", True), ("It was ~$420B in FY25.", True), ("One company and one row.", True),
     ("Revenue was nine hundred billion.", False), ("Nineteen percent was kept.", False), ("A hundred million came in.", False), ("It closed on May 3, 2021.", False), ("In Q4 of FY23.", False), ("Two point five trillion.", False),

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from martwright.functions.names import Linker, hint, same_company
+from martwright.functions.names import Linker, hint, linked, same_company
 from martwright.operators import mart, voting
 from martwright.plans import guard, parser, shape
 from martwright.queries.surface import CORPUS, EMPTY
@@ -69,12 +69,19 @@ def test_schema_texts(spark):
 COMPANIES = [(1, "EXMO", "ExxonMobil"), (2, "KO", "Coca-Cola Company (The)"), (3, "JPM", "JPMorgan Chase"), (4, "META", "Meta Platforms"), (5, "MTA", "Metal Works"), (6, "GOOGL", "Alphabet Inc.")]
 
 
-def test_linking():
+QUESTIONS = ["What did Exxon Mobil and The Coca-Cola Company earn?", "Compare JPMorgan's with JPM", "Show Google", "What about Meta Platforms?", "What about Meta?", "what is it", None or "", "KO, JPM; Metal"]
+
+
+def test_linking(spark):
     linker = Linker(COMPANIES)
     got = lambda q: [(x.ticker, x.how) for x in linker.link(q)]
     assert got("What did Exxon Mobil and The Coca-Cola Company earn?") == [("EXMO", "name"), ("KO", "name")]
     assert got("Compare JPMorgan's with JPM") == [("JPM", "name")] and got("Show Google") == [("GOOGL", "alias")]
     assert got("What about Meta Platforms?") == [("META", "name")] and got("What about Meta?") == [] and got("what is it") == []
+    df = spark.createDataFrame([(k, q) for k, q in enumerate(QUESTIONS)], "k int, q string")
+    table = spark.createDataFrame(COMPANIES, "cik long, ticker string, name string")
+    rows = [(r.k, r.mention, r.ticker, r.how) for r in linked(df, "k", "q", table).collect()]
+    assert sorted(rows) == sorted((k, x.mention, x.ticker, x.how) for k, q in enumerate(QUESTIONS) for x in linker.link(q))
     assert same_company("Berkshire", "Berkshire Hathaway Inc.") and not same_company("The Co", "Acme") and "KO" in hint(linker.link("Coca-Cola Company"))
 
 
