@@ -36,7 +36,7 @@ UNIT = re.compile(r"\n| *[^ \n]+| +")
 LONGEST = 32  # characters of a unit that is segmented as a row of an array
 MOST_CANDIDATES = 62  # of a unit whose segmentations are kept: a set of them is a number of 64 bits
 OFTEN = 3  # documents with a unit, before its segmentations are kept
-KEPT_UNITS, KEPT_IDS = 300_000, 6_000_000  # that a worker holds before it begins anew
+KEPT_UNITS, KEPT_IDS = 200_000, 2_000_000  # that a worker holds before it begins anew
 NONE = np.int32(2**31 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2, _ALL = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (1 << 64) - 1
