@@ -1,13 +1,15 @@
 """Aggregates of the evaluation side: modes, confusion, calibration, AUROC, bootstrap, caps and draws.
 
-Empty denominators give 0.0, as everywhere in these metrics. Random numbers come from Python's generator with a seed, one
-group a task, so the same groups give the same intervals on any cluster.
+Empty denominators give 0.0, as everywhere in these metrics. What is drawn at random follows from hashes of a seed and of
+what it is drawn for, so it is the same on any cluster, and no group has to be in one task.
 """
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
+from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,59 +84,92 @@ def auroc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     return area.select(F.round(F.try_divide(F.col("w"), (F.col("p") * F.col("n")).cast("double")), 9).alias("auroc"))
 
 
-def percentile_interval(values: list[float], level: float = 0.95) -> tuple[float, float]:
-    values = sorted(values)
-    cut = (1 - level) / 2
-    return values[int(cut * len(values))], values[min(len(values) - 1, int((1 - cut) * len(values)))]
+def _interval(values: Column, level: float = 0.95) -> tuple[Column, Column]:
+    """The percentiles that leave so much between them."""
+    held, cut = F.array_sort(values), (1 - level) / 2
+    n = F.size(held)
+    return F.get(held, F.floor(cut * n).cast("int")), F.get(held, F.least(n - 1, F.floor((1 - cut) * n)).cast("int"))
+
+
+def _weights(seed: int, name: object, value: object, kind: object, count: float, resamples: int) -> np.ndarray:
+    """How often each resample has a value that is there count times: Poisson counts, the same wherever they are drawn."""
+    key = sha256(f"{seed}|{name}|{value!r}|{kind}".encode()).digest()
+    return np.random.default_rng(int.from_bytes(key[:8], "big")).poisson(count, resamples).astype(float)
 
 
 def bootstrap_mean(rows: DataFrame, name: str, value: str, resamples: int = 500, seed: int = 0) -> DataFrame:
-    """(name, mean, low, high): percentile bootstrap of a mean per group.
+    """(name, mean, low, high): percentile bootstrap of a mean per group. NULL values don't count.
 
-    A group is first counted by value, so that what a task holds is a row for each distinct value.
+    A resample has each distinct value a Poisson number of times with its count as mean, drawn from a hash of seed, group
+    and value. Tasks give partial sums for each group and resample, so no task holds a group.
     """
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        rng, group = random.Random(seed), group.sort_values("x")
-        xs, ns = group["x"].tolist(), group["n"].tolist()
-        n = sum(ns)
-        means = [sum(rng.choices(xs, ns, k=n)) / n for _ in range(resamples)]
-        low, high = percentile_interval(means)
-        return pd.DataFrame({"name": [group["name"].iloc[0]], "mean": [sum(x * k for x, k in zip(xs, ns, strict=True)) / n], "low": [low], "high": [high]})
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for own, x, n in batch.itertuples(index=False):
+                w = _weights(seed, own, x, "", n, resamples)
+                held = sums.setdefault(own, [np.zeros(resamples), np.zeros(resamples)])
+                held[0] += w * x
+                held[1] += w
+        for own, (total, weight) in sums.items():
+            yield pd.DataFrame({"name": own, "b": range(resamples), "total": total, "weight": weight})
 
-    counted = rows.groupBy(F.col(name).alias("name"), F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    return counted.groupBy("name").applyInPandas(one, "name string, mean double, low double, high double")
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(name).alias("name"), F.col(value).cast("double").alias("x")).agg(F.count("*").cast("double").alias("n"))
+    kind = counted.schema["name"].dataType.simpleString()
+    means = counted.mapInPandas(partial, f"name {kind}, b int, total double, weight double").groupBy("name", "b").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("m"))
+    low, high = _interval(F.collect_list("m"))
+    held = means.groupBy("name").agg(low.alias("low"), high.alias("high"))
+    own = counted.groupBy("name").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
+    return own.join(held, "name").select("name", "mean", "low", "high")
 
 
-def area(pos: list[float], neg: list[float]) -> float | None:
-    """AUROC of two lists, ties half, by ranks."""
-    if not pos or not neg:
-        return None
-    ranked = pd.Series(pos + neg).rank()
-    return float((ranked[: len(pos)].sum() - len(pos) * (len(pos) + 1) / 2) / (len(pos) * len(neg)))
+CUTS = 64  # ranges of scores, each a task's
 
 
 def bootstrap_auroc(rows: DataFrame, name: str, score: str, label: str, resamples: int = 200, seed: int = 0) -> DataFrame:
-    """(name, auroc, low, high), resampling positives and negatives apart."""
+    """(name, auroc, low, high) per group: AUROC, ties half, and its percentile bootstrap; NULLs where a class is missing.
+
+    Resamples are Poisson as in bootstrap_mean, positives and negatives apart. Scores are cut into ranges; a range's task
+    gives what its own positives win within it and how many of either class it has, and ranges are put together by sums
+    over those before them.
+    """
+    counted = rows.where(F.col(score).isNotNull()).groupBy(F.col(name).alias("name"), F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    cuts = counted.groupBy("name").agg(F.percentile_approx("s", [k / CUTS for k in range(1, CUTS)], 1_000).alias("cuts"))
+    cut = counted.join(cuts, "name").select("name", F.size(F.filter("cuts", lambda c: c <= F.col("s"))).alias("part"), "s", "p", "n")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        rng, group = random.Random(seed), group.sort_values(["s", "y"])
-        pos, neg = group[group["y"] == 1]["s"].tolist(), group[group["y"] == 0]["s"].tolist()
-        if not pos or not neg:
-            return pd.DataFrame({"name": [group["name"].iloc[0]], "auroc": [None], "low": [None], "high": [None]})
-        low, high = percentile_interval([area(rng.choices(pos, k=len(pos)), rng.choices(neg, k=len(neg))) for _ in range(resamples)])
-        return pd.DataFrame({"name": [group["name"].iloc[0]], "auroc": [area(pos, neg)], "low": [low], "high": [high]})
+        own = group.sort_values("s")
+        key = own["name"].iloc[0]
+        pos, neg = (np.array([np.concatenate([[c], _weights(seed, key, s, kind, c, resamples)]) for s, c in zip(own["s"], own[kind], strict=True)]) for kind in ("p", "n"))
+        won = (pos * (np.cumsum(neg, axis=0) - neg / 2)).sum(axis=0)
+        return pd.DataFrame({"name": key, "part": own["part"].iloc[0], "b": range(resamples + 1), "won": won, "p": pos.sum(axis=0), "n": neg.sum(axis=0)})
 
-    return rows.select(F.col(name).alias("name"), F.col(score).alias("s"), F.col(label).alias("y")).groupBy("name").applyInPandas(one, "name string, auroc double, low double, high double")
+    kind = counted.schema["name"].dataType.simpleString()
+    parts = cut.groupBy("name", "part").applyInPandas(one, f"name {kind}, part int, b int, won double, p double, n double")
+    before = Window.partitionBy("name", "b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = parts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0))).groupBy("name", "b").agg(F.sum(F.col("won") + F.col("p") * F.col("below")).alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    areas = whole.select("name", "b", F.try_divide(F.col("won"), F.col("p") * F.col("n")).alias("area"))
+    low, high = _interval(F.collect_list(F.when(F.col("b") > 0, F.col("area"))))
+    return areas.groupBy("name").agg(F.max(F.when(F.col("b") == 0, F.col("area"))).alias("auroc"), low.alias("low"), high.alias("high"))
 
 
-def seeded_draw(rows: DataFrame, pool: str, item: str, k: int, seed: int) -> DataFrame:
-    """(pool, item): k items of each pool drawn without replacement by Python's generator."""
+def _drawn(seed: int, *parts: str) -> Column:
+    """The order of a draw: a hash of the seed and what is drawn."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(p).cast("string") for p in parts)).cast("binary"))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        items = sorted(group["item"].tolist())
-        rng = random.Random(f"{seed}/{group['pool'].iloc[0]}")
-        return pd.DataFrame({"pool": group["pool"].iloc[0], "item": rng.sample(items, min(k, len(items)))})
 
+def seeded_draw(rows: DataFrame, pool: str, item: str, k: int, seed: int) -> DataFrame:
+    """(pool, item): k items of each pool drawn without replacement, those with the smallest hash; tasks keep k a pool."""
+    w = Window.partitionBy("pool").orderBy(_drawn(seed, "pool", "item"), "item")
     kinds = rows.select(F.col(pool).alias("pool"), F.col(item).alias("item"))
-    return kinds.groupBy("pool").applyInPandas(one, kinds.schema)
+    return kinds.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
+
+
+def one_per_run(rows: DataFrame, pool: str, run: str, item: str, k: int, seed: int) -> DataFrame:
+    """(pool, run, item): of each pool k runs, and of each of them one item, drawn by hashes."""
+    kinds = rows.select(F.col(pool).alias("pool"), F.col(run).alias("run"), F.col(item).alias("item"))
+    first = Window.partitionBy("pool", "run").orderBy(_drawn(seed, "pool", "run", "item"), "item")
+    each = kinds.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    few = Window.partitionBy("pool").orderBy(_drawn(seed, "pool", "run"), "run")
+    return each.withColumn("place", F.row_number().over(few)).where(F.col("place") <= k).drop("place")

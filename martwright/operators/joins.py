@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlaps(spans: DataFrame, key: str, node: str, start: str, end: str) -> DataFrame:
-    """(id_a, id_b, seconds): unordered pairs on one node that share some time; the node's equality drives the join."""
-    a = spans.select(F.col(key).alias("id_a"), F.col(node).alias("_node"), F.col(start).alias("_a1"), F.col(end).alias("_a2"))
-    b = spans.select(F.col(key).alias("id_b"), F.col(node).alias("_node"), F.col(start).alias("_b1"), F.col(end).alias("_b2"))
-    both = a.join(b, "_node").where("id_a < id_b AND _a1 < _b2 AND _b1 < _a2")
-    return both.select("id_a", "id_b", (F.least("_a2", "_b2") - F.greatest("_a1", "_b1")).alias("seconds"))
+def overlaps(spans: DataFrame, key: str, node: str, start: str, end: str, width: int = 3600) -> DataFrame:
+    """(id_a, id_b, seconds): unordered pairs on one node that share some time.
+
+    Spans meet by node and by stretch of time, width seconds long, that they reach into, so that a busy node is many groups;
+    a pair counts in the stretch where its common time begins. A span of no length within another shares 0 seconds with it.
+    """
+
+    def side(s: str) -> DataFrame:
+        own = spans.select(F.col(key).alias(f"id_{s}"), F.col(node).alias("_node"), F.col(start).cast("long").alias(f"_{s}1"), F.col(end).cast("long").alias(f"_{s}2"))
+        return own.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col(f"_{s}1") / width), F.floor(F.col(f"_{s}2") / width))))
+
+    both = side("a").join(side("b"), ["_node", "_stretch"]).where("id_a < id_b AND _a1 < _b2 AND _b1 < _a2")
+    once = both.where(F.floor(F.greatest("_a1", "_b1") / width) == F.col("_stretch"))
+    return once.select("id_a", "id_b", (F.least("_a2", "_b2") - F.greatest("_a1", "_b1")).alias("seconds"))
+
+
+OPERANDS = 40  # of a result: its first distinct cells, which derived numbers are tried on
 
 
-def sums_to(cells: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
-    """Pairs of cells (each pair once) whose sum is a third cell, within a tolerance. Meets on sums rounded to a grid.
+def derived(cells: DataFrame, claims: DataFrame, result: str, order: str, value: str, claim: str, tolerance: float) -> DataFrame:
+    """(result, claim, form, a, b): claims that two cells of their result give, as a+b, a-b, a/b, 100a/b or 100(a-b)/b.
 
-    A sum and its total can fall on two neighbouring grid steps, so each total is looked up on three.
+    Operands are the result's first OPERANDS distinct cells by order, so a result has a bounded number of pairs. a+b counts
+    once, with the cell that comes first as a; the others are of ordered pairs.
     """
-    step = max(tolerance, 1e-12) * 2
-    a, b = (cells.select(F.col(key).alias(f"{s}_k"), F.col(value).alias(f"_{s}")) for s in ("left", "right"))
-    pairs = a.join(b, F.col("left_k") < F.col("right_k")).withColumn("_g", F.round((F.col("_left") + F.col("_right")) / step).cast("long"))
-    near = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.round(F.col(value) / step).cast("long") + d))
-    totals = cells.select(F.col(key).alias("total_k"), F.col(value).alias("_total"), near.alias("_g"))
-    close = F.abs(F.col("_left") + F.col("_right") - F.col("_total")) <= tolerance
-    return pairs.join(totals, "_g").where(close).select("left_k", "right_k", "total_k")
+    once = cells.groupBy(result, F.col(value).alias("v")).agg(F.min(order).alias("k"))
+    few = once.withColumn("n", F.row_number().over(Window.partitionBy(result).orderBy("k", "v"))).where(F.col("n") <= OPERANDS)
+    pairs = few.select(result, F.col("n").alias("na"), F.col("v").alias("a")).join(few.select(result, F.col("n").alias("nb"), F.col("v").alias("b")), result).where("na <> nb")
+    a, b = F.col("a"), F.col("b")
+    forms = {"a+b": F.when(F.col("na") < F.col("nb"), a + b), "a-b": a - b, "a/b": F.try_divide(a, b), "100a/b": F.try_divide(100 * a, b), "100(a-b)/b": F.try_divide(100 * (a - b), b)}
+    made = pairs.select(result, "a", "b", F.inline(F.array(*(F.struct(F.lit(n).alias("form"), x.alias("x")) for n, x in forms.items())))).where("x is not null")
+    met = made.join(claims.select(result, F.col(claim).alias("claim")).distinct(), result)
+    return met.where(F.abs(F.col("x") - F.col("claim")) <= tolerance).select(result, "claim", "form", "a", "b")
 
 
 def unique_prefix(mentions: DataFrame, mention: str, names: DataFrame, name: str) -> DataFrame:
@@ -40,20 +53,11 @@ def unique_prefix(mentions: DataFrame, mention: str, names: DataFrame, name: str
     return counted.where("_hits = 1").drop("_hits")
 
 
-def tokens(name: F.Column) -> F.Column:
+def tokens(name: Column) -> Column:
     words = F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " ")
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
-def contained_names(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """(small, large): different rows whose words are all among another's. Candidates share their rarest-sorted first word."""
-    t = rows.select(F.col(key).alias("_k"), tokens(F.col(name)).alias("_w")).where(F.size("_w") > 0)
-    small = t.select(F.col("_k").alias("small"), F.col("_w").alias("_s"), F.element_at("_w", 1).alias("_word"))
-    large = t.select(F.col("_k").alias("large"), F.col("_w").alias("_l"), F.explode("_w").alias("_word"))
-    both = small.join(large, "_word").where((F.col("small") != F.col("large")) & (F.size(F.array_except("_s", "_l")) == 0))
-    return both.select("small", "large")
-
-
 def word_classes(rows: DataFrame, key: str, name: str) -> DataFrame:
     """(key, words): each row's class, its distinct words in order; rows without words are left out."""
     return rows.select(key, F.array_sort(tokens(F.col(name))).alias("words")).where(F.size("words") > 0)
@@ -75,7 +79,7 @@ def contained_classes(rows: DataFrame) -> DataFrame:
     return both.select("small", "large", pairs.alias("pairs")).where("pairs > 0")
 
 
-def close(gold: F.Column, pred: F.Column, tolerance: float) -> F.Column:
+def close(gold: Column, pred: Column, tolerance: float) -> Column:
     """Equal within a relative tolerance; both NULL is equal, one NULL is not."""
     near = F.abs(gold - pred) <= F.greatest(F.abs(gold) * tolerance, F.lit(1e-9))
     return F.when(gold.isNull() | pred.isNull(), gold.isNull() & pred.isNull()).otherwise(near)
@@ -88,13 +92,51 @@ def matched_within(gold: DataFrame, pred: DataFrame, keys: list[str], value: str
     return both.groupBy(*keys, F.col(value).alias("gold")).agg(F.bool_or(hit).alias("matched"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, left_id: str, right_id: str) -> DataFrame:
+def sets_equal(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """(equal, unmatched): whether each row of either side has a partner on the other within the tolerance; repeats collapse."""
+    both = matched_within(a, b, keys, value, tolerance).unionByName(matched_within(b, a, keys, value, tolerance))
+    return both.agg((F.count_if(~F.col("matched")) == 0).alias("equal"), F.count_if(~F.col("matched")).alias("unmatched"))
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, left_id: str, right_id: str, days: int | None = None) -> DataFrame:
     """Each left row with the id of the latest right row of its key on or before it; rows without one are left out.
 
     Both sides become one sequence per key, in which the last right row seen is carried forward: one shuffle, no pairs.
+    days: where single keys have too many rows for a task, sequences are cut into stretches of so many days, and each
+    stretch begins with what the ones before it have last seen.
     """
     a = left.select(key, at, F.col(left_id), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_r"))
     b = right.select(key, at, F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), F.lit(0).alias("_side"), F.col(right_id).alias("_r"))
-    w = Window.partitionBy(key).orderBy(at, "_side", "_r", left_id).rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn(right_id, F.last("_r", ignorenulls=True).over(w))
-    return seen.where((F.col("_side") == 1) & F.col(right_id).isNotNull()).drop("_side", "_r")
+    both, order = a.unionByName(b), (at, "_side", "_r", left_id)
+    if not days:
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        seen = both.withColumn(right_id, F.last("_r", ignorenulls=True).over(w))
+        return seen.where((F.col("_side") == 1) & F.col(right_id).isNotNull()).drop("_side", "_r")
+    cut = both.withColumn("_stretch", F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / (86_400 * days)))
+    w = Window.partitionBy(key, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = cut.withColumn("_own", F.last("_r", ignorenulls=True).over(w))
+    last = cut.groupBy(key, "_stretch").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct(at, "_r"))).alias("_last"))
+    earlier = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(key, "_stretch", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    met = seen.where("_side = 1").join(carried, [key, "_stretch"]).withColumn(right_id, F.coalesce("_own", "_before"))
+    return met.where(F.col(right_id).isNotNull()).drop("_side", "_r", "_own", "_before", "_stretch")
+
+
+def paired_cells(cells: Column) -> Column:
+    """array<struct<label, value>> of a row's cells, an array of struct<label string, value double> with one of the two set.
+
+    From left to right a value takes the label right before it, if no other value has; else the one right after it.
+    """
+    at = F.sequence(F.lit(1), F.size(cells))
+    begin = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<label:string,value:double>>").alias("out"))
+
+    def step(acc: Column, k: Column) -> Column:
+        own, left, right = F.get(cells, k - 1), F.get(cells, k - 2), F.get(cells, k)
+        takes_left = (k > 1) & left["label"].isNotNull() & (acc["used"] < k - 1)
+        takes_right = right["label"].isNotNull()
+        made = F.struct(F.when(takes_left, left["label"]).otherwise(right["label"]).alias("label"), own["value"].alias("value"))
+        pairs = own["value"].isNotNull() & (F.coalesce(takes_left, F.lit(False)) | F.coalesce(takes_right, F.lit(False)))
+        used = F.when(pairs, F.when(takes_left, k - 1).otherwise(k + 1)).otherwise(acc["used"])
+        return F.struct(used.alias("used"), F.when(pairs, F.concat(acc["out"], F.array(made))).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.size(cells) > 0, F.aggregate(at, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<label:string,value:double>>"))

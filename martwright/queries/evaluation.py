@@ -191,13 +191,8 @@ def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.grounded(s, "s_suppkey", "text", "cells")
 
 
-@query("g02_years", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) < 2000 THEN 0 ELSE 1 END AS INT) AS n_years FROM orders WHERE o_orderkey < 2000")
+@query("g02_years", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) < 2000 THEN 0 ELSE 1 END AS INT) AS n_years FROM orders")
 def g02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g02_all(spark, sf_dir).where("o_orderkey < 2000")
-
-
-@query("g02_years_all", "SELECT o_orderkey, CAST(CASE WHEN year(o_orderdate) < 2000 THEN 0 ELSE 1 END AS INT) AS n_years FROM orders")
-def g02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     text = F.concat(F.lit("In fiscal "), F.year("o_orderdate").cast("string"), F.lit(" it held."))
     return o.select("o_orderkey", F.size(patterns.year_list(text)).alias("n_years"))
@@ -223,13 +218,8 @@ def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.draft_rate(table(spark, sf_dir, "orders").select((k % 9 == 0).alias("b"), (k % 18 == 0).alias("i")), "b", "i")
 
 
-@query("e01_link", "SELECT c_custkey AS id, 'C' || c_custkey AS ticker, CASE WHEN c_custkey % 2 = 0 AND c_custkey > 9 THEN 'ticker' ELSE 'name' END AS how FROM customer WHERE c_custkey <= 300")
+@query("e01_link", "SELECT c_custkey AS id, 'C' || c_custkey AS ticker, CASE WHEN c_custkey % 2 = 0 AND c_custkey > 9 THEN 'ticker' ELSE 'name' END AS how FROM customer")
 def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links(spark, sf_dir, mart.companies(spark, sf_dir).where("cik <= 300"))
-
-
-@query("e01_link_all", "SELECT c_custkey AS id, 'C' || c_custkey AS ticker, CASE WHEN c_custkey % 2 = 0 AND c_custkey > 9 THEN 'ticker' ELSE 'name' END AS how FROM customer")
-def e01_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir, mart.companies(spark, sf_dir))
 
 
@@ -252,17 +242,26 @@ def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", patterns.refusal_reason(F.concat(what, F.lit("customer "), F.col("c_custkey").cast("string")), F.lit("NO_DATA")).alias("why"))
 
 
-@query("x_s10_intent", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'mutation_verb' WHEN 1 THEN 'engine_command' WHEN 2 THEN 'filesystem_access' END AS event FROM orders WHERE o_orderkey < 3000")
+@query("x_s10_intent", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'mutation_verb' WHEN 1 THEN 'engine_command' WHEN 2 THEN 'filesystem_access' END AS event FROM orders")
 def xs10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xs10_all(spark, sf_dir).where("o_orderkey < 3000")
-
-
-@query("x_s10_intent_all", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'mutation_verb' WHEN 1 THEN 'engine_command' WHEN 2 THEN 'filesystem_access' END AS event FROM orders")
-def xs10_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.element_at(F.array(F.lit("please drop the table"), F.lit("run PRAGMA now"), F.lit("copy everything to /etc/data.csv"), F.lit("what did it earn?")), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", patterns.intent(asked).alias("event"))
 
 
+@query("e09_refusal_by_data", """WITH q AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Which 8-K had it?' WHEN 1 THEN 'What were its sales?' WHEN 2 THEN 'What did FOX earn?' ELSE 'What was it?' END AS text FROM customer),
+f AS (SELECT DISTINCT o_custkey AS cik FROM orders), k AS (SELECT DISTINCT o_custkey AS cik FROM orders WHERE o_orderpriority = '1-URGENT'), r AS (SELECT DISTINCT o_custkey AS cik FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')
+SELECT id, CASE WHEN id % 4 = 2 THEN 'dual_class' WHEN id % 4 = 0 AND id IN (SELECT cik FROM f) AND id NOT IN (SELECT cik FROM k) THEN 'no_8k' WHEN id % 4 = 1 AND id IN (SELECT cik FROM f) AND id NOT IN (SELECT cik FROM r) THEN 'no_revenue' ELSE 'NO_DATA' END AS why FROM q""")
+def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders stand for 8-K filings, returned lines for revenue: some companies have none of one or the other."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    said = F.element_at(F.array(*map(F.lit, ("Which 8-K had it?", "What were its sales?", "What did FOX earn?", "What was it?"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    asked = c.select(F.col("c_custkey").alias("id"), said.alias("text"), F.lit("NO_DATA").alias("reason"))
+    forms = o.select(F.col("o_custkey").alias("cik"), F.when(F.col("o_orderpriority") == "1-URGENT", "8-K").otherwise("10-K").alias("form"))
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey").distinct()
+    revenue = o.join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_custkey").alias("cik"))
+    return patterns.refusals(asked, c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("cik")), forms.select("cik"), forms, {"v_revenue": revenue})
+
+
 CASES = "c AS (SELECT o_orderpriority AS k, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1)"
 
 

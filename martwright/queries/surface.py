@@ -50,29 +50,15 @@ def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count("v").alias("kept"), (F.count("*") - F.count("v")).alias("rejected"))
 
 
-@query("s17_evidence_pack", "SELECT o_custkey % 3 AS model, o_orderpriority AS profile, count(*) AS n, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS members FROM orders WHERE o_orderkey < 500 GROUP BY 1, 2")
+@query("s17_evidence_pack", "SELECT o_custkey AS case_id, o_custkey % 3 AS model, o_orderpriority AS profile, count(*) AS n, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY 1, 2, 3")
 def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 500")
-    runs = o.select((F.col("o_custkey") % 3).alias("model"), F.col("o_orderpriority").alias("profile"), F.lit(0).alias("case_id"), F.col("o_orderkey").alias("idx"), F.lit("").alias("sql"), F.lit(True).alias("ok"))
-    e = logs.evidence(runs)
-    return e.select("model", "profile", F.size("candidates").cast("long").alias("n"), F.array_join(F.transform("candidates", lambda c: c["idx"].cast("string")), ",").alias("members"))
-
-
-@query("s17_evidence_pack_all", "SELECT o_custkey AS case_id, o_custkey % 3 AS model, o_orderpriority AS profile, count(*) AS n, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY 1, 2, 3")
-def s17_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 3).alias("model"), F.col("o_orderpriority").alias("profile"), F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("idx"), F.lit("").alias("sql"), F.lit(True).alias("ok"))
     e = logs.evidence(runs)
     return e.select("case_id", "model", "profile", F.size("candidates").cast("long").alias("n"), F.array_join(F.transform("candidates", lambda c: c["idx"].cast("string")), ",").alias("members"))
 
 
-@query("s19_html_tables", "SELECT page_id, CAST(len(regexp_extract_all(html, '<tr')) AS INT) AS n_rows FROM pages WHERE page_id < 100 AND NOT contains(html, '<script')")
+@query("s19_html_tables")  # no SQL: what looks like a row inside a script or a comment is none
 def s19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").where((F.col("page_id") < 100) & ~F.contains("html", F.lit("<script")))
-    return p.select("page_id", F.size(logs.html_tables(F.col("html"))).alias("n_rows"))
-
-
-@query("s19_html_tables_all")  # no SQL: what looks like a row inside a script or a comment is none
-def s19_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(logs.html_tables(F.col("html"))).alias("n_rows"))
 
 
@@ -221,8 +207,7 @@ def g05(spark: SparkSession, sf_dir: str) -> DataFrame:
     mart.register(spark, sf_dir)
     name = spark.table("companies").where("cik = 5").first()["name"]
     refs = shape.company_refs(parser.parse(spark, f"SELECT 1 FROM companies WHERE (cik IN (3, 4) OR upper(name) = '{name}') AND NOT ticker = 'C9'"))
-    ciks, _ = shape.resolve(spark, refs)
-    return spark.createDataFrame([(c,) for c in sorted(ciks)], "cik bigint")
+    return shape.resolved(spark, refs)
 
 
 @query("e03_name_to_ticker", "SELECT 'SELECT value FROM v_revenue WHERE ticker = ''C7'' AND fiscal_year = 1997' AS sql")

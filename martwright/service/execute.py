@@ -56,12 +56,18 @@ def execute(spark: SparkSession, sql: str, timeout: float = 10.0, row_cap: int =
     return out
 
 
+MOST_LABELS = 100_000
+
+
 def lookup(spark: SparkSession, sql: str, args: list | None = None) -> list[tuple]:
-    """A parameterised lookup of labels; any failure is no rows."""
+    """A parameterised lookup of labels; any failure is no rows. Over MOST_LABELS rows aren't labels any more: that is an error."""
     try:
-        return [tuple(r) for r in spark.sql(sql, args=args or []).limit(10_000).collect()]
+        found = spark.sql(sql, args=args or []).limit(MOST_LABELS + 1).collect()
     except Exception:  # noqa: BLE001 - a label that can't be read is a label that isn't there
         return []
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"a lookup of over {MOST_LABELS} rows: {sql}")
+    return [tuple(r) for r in found]
 
 
 def attempt(run, sql: str, attempts: int = 3, pause: float = 0.0) -> tuple[str, Execution]:

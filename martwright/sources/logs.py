@@ -22,8 +22,11 @@ def append_records(rows: DataFrame, path: str) -> None:
 
 
 def keyed(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
-    """Cases by their key, the first of each in order of the file's lines as JSON text."""
-    return spark.read.json(path).dropDuplicates([key])
+    """Cases by their key, the first of each in the order of files and of their lines."""
+    rows = spark.read.json(path)
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    first = rows.select("*", place.alias("_place")).groupBy(key).agg(F.min_by(F.struct(*rows.columns), "_place").alias("_row"))
+    return first.select("_row.*")
 
 
 def evidence(runs: DataFrame) -> DataFrame:

@@ -43,9 +43,100 @@ def test_joins(spark):
     assert {x.k: x.matched for x in joins.matched_within(g, far, ["k"], "v", 1e-6).collect()} == {"a": False, "b": False}
 
 
+def area(pos, neg):
+    """AUROC by all pairs, ties half."""
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+
+
+def test_bootstrap_intervals(spark):
+    """Against resamples drawn plainly, with replacement, by another generator; and the same from other partitions."""
+    import random
+
+    rng = random.Random(4)
+    data = [(g, round(rng.gauss(0.1 * y, 0.3), 2), y) for g in "ab" for y in [int(rng.random() < 0.4) for _ in range(400)]] + [("c", 0.5, 1), ("c", None, 0)]
+    df = spark.createDataFrame(data, "name string, s double, y int")
+    means = {r.name: r for r in aggregates.bootstrap_mean(df, "name", "s").collect()}
+    areas = {r.name: r for r in aggregates.bootstrap_auroc(df, "name", "s", "y").collect()}
+    for r in aggregates.bootstrap_mean(df.repartition(7), "name", "s").collect():
+        assert tuple(r)[1:] == pytest.approx(tuple(means[r.name])[1:])
+    for r in aggregates.bootstrap_auroc(df.repartition(3), "name", "s", "y").where("name <> 'c'").collect():
+        assert tuple(r)[1:] == pytest.approx(tuple(areas[r.name])[1:])
+    for g in "ab":
+        own = [(s, y) for n, s, y in data if n == g]
+        plain = sorted(sum(s for s, _ in rng.choices(own, k=len(own))) / len(own) for _ in range(500))
+        assert means[g].mean == pytest.approx(sum(s for s, _ in own) / len(own))
+        assert abs(means[g].low - plain[12]) < 0.02 and abs(means[g].high - plain[487]) < 0.02
+        pos, neg = [s for s, y in own if y], [s for s, y in own if not y]
+        some = sorted(area(rng.choices(pos, k=len(pos)), rng.choices(neg, k=len(neg))) for _ in range(100))
+        assert areas[g].auroc == pytest.approx(area(pos, neg)) and abs(areas[g].low - some[2]) < 0.04 and abs(areas[g].high - some[97]) < 0.04
+    assert areas["c"].auroc is None and means["c"].mean == 0.5
+
+
+def test_overlaps_of_a_busy_node(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, "n", a, a + rng.choice([0, 1, 50, 9_000])) for k in range(80) for a in [rng.randrange(20_000)]]
+    df = spark.createDataFrame(rows, "id int, node string, a long, b long")
+    got = {(r.id_a, r.id_b): r.seconds for r in joins.overlaps(df, "id", "node", "a", "b").collect()}
+    want = {(x[0], y[0]): min(x[3], y[3]) - max(x[2], y[2]) for x in rows for y in rows if x[0] < y[0] and x[2] < y[3] and y[2] < x[3]}
+    assert got == want and len(got) > 100
+
+
+def test_derived_numbers_take_the_first_forty(spark):
+    cells = spark.createDataFrame([("r", k, float(2**k if k < 41 else 3)) for k in range(50)] + [("r", 99, 1.0), ("s", 0, 0.0), ("s", 1, 5.0)], "r string, k int, v double")
+    claims = spark.createDataFrame([("r", 3.0), ("r", -1.0), ("r", float(2**40 + 1)), ("s", 5.0), ("s", 0.0), ("s", -100.0)], "r string, claim double")
+    got = {(x.r, x.claim, x.form, x.a, x.b) for x in joins.derived(cells, claims, "r", "k", "v", "claim", 1e-9).collect()}
+    assert got == {("r", 3.0, "a+b", 1.0, 2.0), ("r", 3.0, "a-b", 4.0, 1.0), ("r", -1.0, "a-b", 1.0, 2.0), ("s", 5.0, "a+b", 0.0, 5.0), ("s", 5.0, "a-b", 5.0, 0.0), ("s", 0.0, "a/b", 0.0, 5.0), ("s", 0.0, "100a/b", 0.0, 5.0), ("s", -100.0, "100(a-b)/b", 0.0, 5.0)}
+
+
+def test_as_of_in_stretches(spark):
+    import datetime as dt
+    import random
+
+    rng, day = random.Random(5), dt.datetime(2024, 1, 1)
+    at = lambda: day + dt.timedelta(hours=rng.randrange(24 * 400))
+    left = spark.createDataFrame([(k, "h" if k % 3 else "c", at()) for k in range(200)], "l int, key string, at timestamp")
+    right = spark.createDataFrame([(k, "h" if k % 3 else "c", at()) for k in range(60)], "r int, key string, at timestamp")
+    whole, cut = (sorted((x.l, x.r) for x in joins.as_of(left, right, "key", "at", "l", "r", days).collect()) for days in (None, 30))
+    assert whole == cut and len(whole) > 150
+
+
+def test_pairs_of_cells(spark):
+    rows = [(0, ["a", 1.0, 2.0, "b"]), (1, [1.0, "a", 2.0, "b"]), (2, ["a", "b", 1.0, 2.0]), (3, []), (4, [None, 3.0]), (5, [1.0, "a", 2.0]), (6, ["a", 1.0, "b", 2.0])]
+    cells = [(k, [{"label": c if isinstance(c, str) else None, "value": c if isinstance(c, float) else None} for c in row]) for k, row in rows]
+    df = spark.createDataFrame(cells, "k int, cells array<struct<label:string,value:double>>")
+    got = {r.k: [(p.label, p.value) for p in r.p] for r in df.select("k", joins.paired_cells(F.col("cells")).alias("p")).collect()}
+    assert got == {0: [("a", 1.0), ("b", 2.0)], 1: [("a", 1.0), ("b", 2.0)], 2: [("b", 1.0)], 3: [], 4: [], 5: [("a", 1.0)], 6: [("a", 1.0), ("b", 2.0)]}
+
+
+def test_cases_keep_the_first_line(spark, tmp_path):
+    path = tmp_path / "cases.jsonl"
+    path.write_text("".join(f'{{"id": "c{k % 3}", "n": {k}}}\n' for k in range(30)))
+    assert sorted((r.id, r.n) for r in logs.keyed(spark, str(path)).collect()) == [("c0", 0), ("c1", 1), ("c2", 2)]
+
+
+def test_lookups_drop_no_rows(spark):
+    from martwright.plans import shape
+    from martwright.service import execute
+
+    spark.range(1_500).selectExpr("id AS cik", "concat('T', id) AS ticker", "concat('Name ', id) AS name").createOrReplaceTempView("companies")
+    assert shape.resolved(spark, shape.CompanyRefs(patterns={"name%"})).count() == 1_500
+    assert len(execute.lookup(spark, "SELECT id FROM range(20000)")) == 20_000 and execute.lookup(spark, "SELECT nothing") == []
+    with pytest.raises(ValueError):
+        execute.lookup(spark, "SELECT id FROM range(200000)")
+
+
+def test_sets_are_equal_both_ways(spark):
+    a = spark.createDataFrame([("x", 1.0), ("x", 1.0), ("y", None)], "k string, v double")
+    b = spark.createDataFrame([("x", 1.0000001), ("y", None)], "k string, v double")
+    more = b.unionByName(spark.createDataFrame([("z", 2.0)], "k string, v double"))
+    assert joins.sets_equal(a, b, ["k"], "v", 1e-6).first()["equal"] and not joins.sets_equal(a, more, ["k"], "v", 1e-6).first()["equal"]
+
+
 def test_auroc_and_bootstrap(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.4, 1)], "s double, y int")
-    assert aggregates.auroc(df, "s", F.col("y") == 1).first().auroc == pytest.approx(aggregates.area([0.35, 0.8, 0.4], [0.1, 0.4]))
+    assert aggregates.auroc(df, "s", F.col("y") == 1).first().auroc == pytest.approx(area([0.35, 0.8, 0.4], [0.1, 0.4]))
     assert aggregates.auroc(df.where("y = 1"), "s", F.col("y") == 1).first().auroc is None
     row = aggregates.bootstrap_mean(df.withColumn("name", F.lit("x")), "name", "s").first()
     assert row.low <= row.mean <= row.high
