@@ -69,6 +69,32 @@ def concept(spark: SparkSession, sf_dir: str, priority: list[str] = REVENUE) ->
     return by_priority(tagged_revenue(spark, sf_dir), ["cik", "fiscal_year", "ddate"], "source_tag", priority, F.desc("value"))
 
 
+MEASURES = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+
+
+def wide(spark: SparkSession, sf_dir: str, period: Column) -> DataFrame:
+    """A row for each (cik, fy, fp) with fourteen metrics: four sums for each of the three tags, which are flows, and the
+    last order's total and key, which are instants. period: of an order, such as its quarter.
+
+    Line items are summed to their order and tag, and orders to the period, before they meet.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    sums = lines.groupBy("l_orderkey").agg(*(F.sum(F.when(F.col("l_returnflag") == f, F.col(c).cast(MONEY))).alias(f"{m}_{f}") for f in REVENUE for m, c in MEASURES.items()))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cik"), F.year("o_orderdate").alias("fy"), period.alias("fp"), "o_orderdate", F.col("o_totalprice").cast(MONEY).alias("v"))
+    both = o.join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    place = F.struct("o_orderdate", "o_orderkey")
+    flows = [F.sum(f"{m}_{f}").alias(f"{m}_{f}") for f in REVENUE for m in MEASURES]
+    return both.groupBy("cik", "fy", "fp").agg(*flows, F.max_by("v", place).alias("last_total"), F.max_by(F.col("o_orderkey").cast(MONEY), place).alias("last_key"))
+
+
+def with_q4(annual: DataFrame, quarters: DataFrame, flows: list[str], instants: list[str]) -> DataFrame:
+    """quarters, and a derived Q4 for each year: flows are the year's less the three quarters', where all are known;
+    instants are the year's own. is_derived tells them apart."""
+    three = quarters.groupBy("cik", "fy").agg(*(F.when(F.count(c) == 3, F.sum(c)).alias(f"_{c}") for c in flows))
+    own = annual.join(three, ["cik", "fy"], "left").select("cik", "fy", F.lit("Q4").alias("fp"), *((F.col(c) - F.col(f"_{c}")).alias(c) for c in flows), *instants, F.lit(True).alias("is_derived"))
+    return quarters.select("cik", "fy", "fp", *flows, *instants, F.lit(False).alias("is_derived")).unionByName(own)
+
+
 def keep_first(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     """The first row of each key in the order of an explicit ordinal column."""
     w = Window.partitionBy(key).orderBy(ordinal)

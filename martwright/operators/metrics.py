@@ -59,6 +59,103 @@ def what_if(records: DataFrame, rule: Column, code: str, state: str = "state", r
     return records.withColumn("flipped", flip).withColumn(reason, F.when(flip, F.lit(code)).otherwise(F.col(reason))).withColumn(state, F.when(flip, "ABSTAINED").otherwise(F.col(state)))
 
 
+def replays(records: DataFrame, rules: dict[str, tuple[Column, str]], expected: str = "expected", state: str = "state", code: str = "code", accepted: str = "accepted") -> DataFrame:
+    """(replay, flipped, right_flips, tp, fp, fn, right_reason, precision, recall): what each rule would have changed.
+
+    A rule (condition, code) makes the records that it holds for abstain with the code; "" as code: it makes them answer.
+    The records are read once, whatever the number of rules; "recorded" is what happened.
+    """
+    made = [F.struct(F.lit("recorded").alias("replay"), F.col(state).alias("state"), F.col(code).alias("code"))]
+    for name, (rule, why) in rules.items():
+        hit = F.coalesce(rule, F.lit(False))
+        told = (F.when(hit, "ABSTAINED"), F.when(hit & (F.col(state) != "ABSTAINED"), F.lit(why))) if why else (F.when(hit, "ANSWERED"), F.when(hit, F.lit(None).cast("string")))
+        reason = F.coalesce(told[1], F.col(code)) if why else F.when(~hit, F.col(code))
+        made.append(F.struct(F.lit(name).alias("replay"), F.coalesce(told[0], F.col(state)).alias("state"), reason.alias("code")))
+    each = records.select(F.col(expected).alias("expected"), F.col(accepted).alias("accepted"), F.col(state).alias("was"), F.inline(F.array(*made)))
+    should, did = F.col("expected") == "ABSTAIN", F.col("state") == "ABSTAINED"
+    flipped, right = F.col("state") != F.col("was"), F.coalesce(F.array_contains("accepted", F.col("code")), F.lit(False))
+    c = each.groupBy("replay").agg(
+        F.count_if(flipped).alias("flipped"), F.count_if(flipped & (should == did)).alias("right_flips"), F.count_if(did & should).alias("tp"),
+        F.count_if(did & ~should).alias("fp"), F.count_if(~did & should).alias("fn"), F.count_if(did & should & right).alias("right_reason"),
+    )
+    return c.select("*", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+
+
+def case_verdicts(gold: DataFrame, pred: DataFrame, case: list[str], keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """(case, matched): whether a case's predicted rows are its gold rows, whatever their order; repeats collapse.
+
+    Rows are partners if their keys are equal and their values within the relative tolerance. Each row needs one on the other
+    side; a case that only one side has isn't matched. Sides meet by case and keys, so no case has to be in one task.
+    """
+    from .joins import matched_within
+
+    both = matched_within(gold, pred, [*case, *keys], value, tolerance).unionByName(matched_within(pred, gold, [*case, *keys], value, tolerance))
+    return both.groupBy(*case).agg(F.bool_and("matched").alias("matched"))
+
+
+def rescored(golds: DataFrame, pred: DataFrame, edition: str, case: str, keys: list[str], value: str, tolerance: float, before: str, after: str) -> DataFrame:
+    """(change, n): predictions scored by two editions of the gold rows, and how their verdicts moved between them."""
+    spread = pred.withColumn(edition, F.explode(F.array(F.lit(before), F.lit(after))))
+    verdicts = case_verdicts(golds.where(F.col(edition).isin(before, after)), spread, [case, edition], keys, value, tolerance)
+    own = verdicts.groupBy(case).agg(*(F.coalesce(F.bool_or(F.when(F.col(edition) == e, F.col("matched"))), F.lit(False)).alias(n) for e, n in ((before, "_a"), (after, "_b"))))
+    return editions(own, case, "_a", "_b")
+
+
+def verdict_changes(old: DataFrame, new: DataFrame, key: str, verdict: str) -> DataFrame:
+    """(was, now, n): two verifiers' verdicts on the same records; one that a side lacks is null."""
+    both = old.select(key, F.col(verdict).alias("was")).join(new.select(key, F.col(verdict).alias("now")), key, "full")
+    return both.groupBy("was", "now").agg(F.count("*").alias("n"))
+
+
+def agreement(grades: DataFrame, case: str, grader: str, verdict: str) -> DataFrame:
+    """(a, b, n, agree, rate, kappa) of every two graders over the cases that both have graded, blind to each other.
+
+    kappa is Cohen's; null where chance alone agrees always. A null verdict counts as no.
+    """
+    own = grades.select(F.col(case).alias("c"), F.col(grader).alias("g"), F.coalesce(F.col(verdict), F.lit(False)).alias("v"))
+    both = own.select("c", F.col("g").alias("a"), F.col("v").alias("x")).join(own.select("c", F.col("g").alias("b"), F.col("v").alias("y")), "c").where("a < b")
+    c = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("agree"), F.count_if("x").alias("px"), F.count_if("y").alias("py"))
+    n = F.col("n").cast("double")
+    chance = (F.col("px") * F.col("py") + (F.col("n") - F.col("px")) * (F.col("n") - F.col("py"))) / (n * n)
+    return c.select("a", "b", "n", "agree", (F.col("agree") / n).alias("rate"), F.round(F.try_divide(F.col("agree") / n - chance, 1 - chance), 9).alias("kappa"))
+
+
+def adjudicated(grades: DataFrame, decisions: DataFrame, case: str, verdict: str) -> DataFrame:
+    """(case, verdict, how): the graders' verdict where they agree, else the adjudicator's; open where there is none."""
+    own = grades.groupBy(case).agg(F.bool_and(F.coalesce(F.col(verdict), F.lit(False))).alias("_all"), F.bool_or(F.coalesce(F.col(verdict), F.lit(False))).alias("_any"))
+    both = own.join(decisions.select(case, F.col(verdict).alias("_said")), case, "left")
+    agreed = F.col("_all") == F.col("_any")
+    how = F.when(agreed, "agreed").when(F.col("_said").isNotNull(), "adjudicated").otherwise("open")
+    return both.select(case, F.when(agreed, F.col("_all")).otherwise(F.col("_said")).alias("verdict"), how.alias("how"))
+
+
+def ablation(records: DataFrame, arm: str, tier: str, right: str, on: str, off: str) -> DataFrame:
+    """(tier, n_on, n_off, rate_on, rate_off, gain), with the overall row: what one part of the service is worth."""
+    out = records.where(F.col(arm).isin(on, off)).rollup(tier).agg(
+        *(x for a, n in ((on, "on"), (off, "off")) for x in (F.count_if(F.col(arm) == a).alias(f"n_{n}"), F.count_if((F.col(arm) == a) & F.col(right)).alias(f"_{n}")))
+    )
+    rates = out.select(F.coalesce(F.col(tier), F.lit("overall")).alias("tier"), "n_on", "n_off", ratio(F.col("_on"), F.col("n_on")).alias("rate_on"), ratio(F.col("_off"), F.col("n_off")).alias("rate_off"))
+    return rates.withColumn("gain", F.col("rate_on") - F.col("rate_off"))
+
+
+def acceptance(records: DataFrame, tier: str, right: str, least: dict[str, float]) -> DataFrame:
+    """(tier, total, right, rate, place, accepted): tiers from the best on, and whether each reaches what it must."""
+    from pyspark.sql import Window
+
+    out = records.groupBy(F.col(tier).alias("tier")).agg(F.count("*").alias("total"), F.count_if(right).alias("right"))
+    rate, need = ratio(F.col("right"), F.col("total")), F.coalesce(*(F.when(F.col("tier") == t, F.lit(x)) for t, x in least.items()), F.lit(0.0))
+    place = F.row_number().over(Window.orderBy(F.desc("right"), "tier"))  # a row for each tier
+    return out.select("tier", "total", "right", rate.alias("rate"), place.alias("place"), (rate >= need).alias("accepted"))
+
+
+def signal_report(scores: DataFrame, name: str, score: str, label: str, resamples: int = 200) -> DataFrame:
+    """signals() with the bootstrap interval (low, high) of each AUROC."""
+    from .aggregates import bootstrap_auroc
+
+    held = bootstrap_auroc(scores, name, score, label, resamples).select(F.col("name").alias(name), "low", "high")
+    return signals(scores, name, score, F.col(label) == 1).join(held, name, "left")
+
+
 def editions(verdicts: DataFrame, case: str, before: str, after: str) -> DataFrame:
     """(change, n): how verdicts moved from one edition of the gold set to the next."""
     change = F.when(F.col(before) == F.col(after), "same").when(F.col(after), "gained").otherwise("lost")

@@ -146,6 +146,81 @@ def m07_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pool_expectations(x, "case_id", "run", "model", "prompt", "correct")
 
 
+REPLAY = """SELECT replay, count(*) FILTER (state <> was) AS flipped, count(*) FILTER (state <> was AND (state = 'ABSTAINED') = (expected = 'ABSTAIN')) AS right_flips, count(*) FILTER (state = 'ABSTAINED' AND expected = 'ABSTAIN') AS tp,
+ count(*) FILTER (state = 'ABSTAINED' AND expected <> 'ABSTAIN') AS fp, count(*) FILTER (state <> 'ABSTAINED' AND expected = 'ABSTAIN') AS fn, count(*) FILTER (state = 'ABSTAINED' AND expected = 'ABSTAIN' AND code = 'NO_DATA') AS right_reason FROM x GROUP BY replay"""
+
+
+@query("m09_replays", f"""WITH {REC}, x AS (SELECT 'recorded' AS replay, expected, state AS was, state, code FROM rec
+ UNION ALL SELECT 'naive_empty', expected, state, CASE WHEN id % 5 = 0 THEN 'ABSTAINED' ELSE state END, CASE WHEN id % 5 = 0 AND state <> 'ABSTAINED' THEN 'NO_DATA' ELSE code END FROM rec
+ UNION ALL SELECT 'entity_bound', expected, state, CASE WHEN id % 10 = 0 THEN 'ABSTAINED' ELSE state END, CASE WHEN id % 10 = 0 AND state <> 'ABSTAINED' THEN 'NO_DATA' ELSE code END FROM rec
+ UNION ALL SELECT 'tautology', expected, state, CASE WHEN id % 97 = 0 THEN 'ABSTAINED' ELSE state END, CASE WHEN id % 97 = 0 AND state <> 'ABSTAINED' THEN 'SCHEMA_MISMATCH' ELSE code END FROM rec
+ UNION ALL SELECT 'repair_on', expected, state, CASE WHEN state = 'ABSTAINED' AND id % 3 = 0 THEN 'ANSWERED' ELSE state END, CASE WHEN state = 'ABSTAINED' AND id % 3 = 0 THEN NULL ELSE code END FROM rec),
+c AS ({REPLAY}) SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp)::DOUBLE END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn)::DOUBLE END AS recall FROM c""")
+def m09_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("id")
+    rules = {"naive_empty": (k % 5 == 0, "NO_DATA"), "entity_bound": (k % 10 == 0, "NO_DATA"), "tautology": (k % 97 == 0, "SCHEMA_MISMATCH"), "repair_on": ((F.col("state") == "ABSTAINED") & (k % 3 == 0), "")}
+    return metrics.replays(records(spark, sf_dir), rules)
+
+
+@query("m10_rescore", """WITH p AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS v FROM orders), a AS (SELECT c, k, CASE WHEN c % 4 = 0 THEN v * 1.01 ELSE v END AS v FROM p), b AS (SELECT c, k, CASE WHEN c % 6 = 0 THEN v * 1.01 ELSE v * 1.0000001 END AS v FROM p WHERE NOT (c % 5 = 0 AND k % 2 = 0)),
+va AS (SELECT p.c, bool_and(abs(a.v - p.v) <= greatest(abs(a.v) * 1e-6, 1e-9) AND abs(a.v - p.v) <= greatest(abs(p.v) * 1e-6, 1e-9)) AS ok FROM p JOIN a USING (c, k) GROUP BY p.c),
+vb AS (SELECT p.c, bool_and(b.v IS NOT NULL AND abs(b.v - p.v) <= greatest(abs(b.v) * 1e-6, 1e-9) AND abs(b.v - p.v) <= greatest(abs(p.v) * 1e-6, 1e-9)) AS ok FROM p LEFT JOIN b USING (c, k) GROUP BY p.c)
+SELECT CASE WHEN va.ok = vb.ok THEN 'same' WHEN vb.ok THEN 'gained' ELSE 'lost' END AS change, count(*) AS n FROM va JOIN vb USING (c) GROUP BY 1""")
+def m10_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    a = p.select(F.lit("first").alias("edition"), "c", "k", F.when(F.col("c") % 4 == 0, F.col("v") * 1.01).otherwise(F.col("v")).alias("v"))
+    b = p.where(~((F.col("c") % 5 == 0) & (F.col("k") % 2 == 0))).select(F.lit("second").alias("edition"), "c", "k", F.when(F.col("c") % 6 == 0, F.col("v") * 1.01).otherwise(F.col("v") * 1.0000001).alias("v"))
+    return metrics.rescored(a.unionByName(b), p, "edition", "c", ["k"], "v", 1e-6, "first", "second")
+
+
+GRADES = "g AS (SELECT o_custkey AS c, unnest(['p', 'q', 'r']) AS g, unnest([min(o_orderkey) % 2 = 0, min(o_orderkey) % 3 = 0, count(*) % 2 = 0]) AS v FROM orders GROUP BY 1)"
+
+
+def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.min("o_orderkey"), F.count("*")
+    own = F.array(F.struct(F.lit("p").alias("g"), (k % 2 == 0).alias("v")), F.struct(F.lit("q").alias("g"), (k % 3 == 0).alias("v")), F.struct(F.lit("r").alias("g"), (n % 2 == 0).alias("v")))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c")).agg(own.alias("o")).select("c", F.inline("o"))
+
+
+@query("m13_agreement", f"""WITH {GRADES}, x AS (SELECT a.g AS a, b.g AS b, count(*) AS n, count(*) FILTER (a.v = b.v) AS agree, count(*) FILTER (a.v) AS px, count(*) FILTER (b.v) AS py FROM g a JOIN g b ON a.c = b.c AND a.g < b.g GROUP BY 1, 2),
+y AS (SELECT *, agree / n::DOUBLE AS rate, (px * py + (n - px) * (n - py)) / (n::DOUBLE * n) AS chance FROM x) SELECT a, b, n, agree, rate, round((rate - chance) / (1 - chance), 9) AS kappa FROM y""")
+def m13_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.agreement(_grades(spark, sf_dir), "c", "g", "v")
+
+
+@query("m13_adjudication", f"""WITH {GRADES}, x AS (SELECT c, bool_and(v) AS al, bool_or(v) AS an FROM g GROUP BY c)
+SELECT c, CASE WHEN al = an THEN al WHEN c % 4 <> 0 THEN c % 3 = 0 END AS verdict, CASE WHEN al = an THEN 'agreed' WHEN c % 4 <> 0 THEN 'adjudicated' ELSE 'open' END AS how FROM x""")
+def m13_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("c"), (F.col("c_custkey") % 3 == 0).alias("v"))
+    return metrics.adjudicated(_grades(spark, sf_dir), c, "c", "v")
+
+
+@query("m14_ablation", """WITH x AS (SELECT o_orderpriority AS tier, CASE WHEN o_custkey % 2 = 0 THEN 'framed' ELSE 'plain' END AS arm, o_orderstatus = 'F' AS ok FROM orders),
+c AS (SELECT coalesce(tier, 'overall') AS tier, count(*) FILTER (arm = 'framed') AS n_on, count(*) FILTER (arm = 'plain') AS n_off, count(*) FILTER (arm = 'framed' AND ok) / count(*) FILTER (arm = 'framed')::DOUBLE AS rate_on, count(*) FILTER (arm = 'plain' AND ok) / count(*) FILTER (arm = 'plain')::DOUBLE AS rate_off FROM x GROUP BY ROLLUP (tier))
+SELECT *, rate_on - rate_off AS gain FROM c""")
+def m14_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("t"), F.when(F.col("o_custkey") % 2 == 0, "framed").otherwise("plain").alias("arm"), (F.col("o_orderstatus") == "F").alias("ok"))
+    return metrics.ablation(x, "arm", "t", "ok", "framed", "plain")
+
+
+@query("m05_signal_intervals")  # no SQL: the intervals are bootstrap ones
+def m05_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("a"), F.length("source").cast("double").alias("b"))
+    cells = F.array(*(F.struct(F.lit(n).alias("name"), c.alias("s")) for n, c in (("n_chars", F.col("a")), ("source_len", F.col("b")))))
+    x = table(spark, sf_dir, "labels").join(d, "doc_id").select(F.col("quality").alias("y"), F.inline(cells))
+    return metrics.signal_report(x, "name", "s", "y")
+
+
+@query("g08_replay", "SELECT was, now, count(*) AS n FROM (SELECT s_suppkey % 3 <> 0 AND s_suppkey % 5 = 9 AS was, s_suppkey % 3 <> 0 AND s_suppkey % 5 = 3 AS now FROM supplier) GROUP BY 1, 2")
+def g08_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with a count of rows and a figure, held against a verifier that knows the row count and one that doesn't."""
+    cents = (F.col("s_suppkey") * 1_234_567 + 1_000_003).cast("decimal(18,0)") / 100
+    told = F.when(F.col("s_suppkey") % 3 == 0, cents + 7).otherwise(cents)
+    text = F.format_string("There are %s rows and $%s.", (F.col("s_suppkey") % 5).cast("string"), F.format_number(told, 2))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text"), F.array(cents.cast("double")).alias("cells"), F.lit(3).alias("n"))
+    return metrics.verdict_changes(ground.grounded(s, "s_suppkey", "text", "cells"), ground.grounded(s, "s_suppkey", "text", "cells", None, "n"), "s_suppkey", "ok")
+
+
 @query("m09_what_if", f"WITH {REC}, w AS (SELECT id, expected, CASE WHEN id % 10 = 0 THEN 'ABSTAINED' ELSE state END AS state, CASE WHEN id % 10 = 0 AND state <> 'ABSTAINED' THEN 'NO_DATA' ELSE code END AS code FROM rec) " + ABSTAIN % "w")
 def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.abstain(metrics.what_if(records(spark, sf_dir), F.col("id") % 10 == 0, "NO_DATA"))

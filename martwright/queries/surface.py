@@ -262,24 +262,36 @@ def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The wide mart.
-QUARTERS = "q AS (SELECT o_custkey AS cik, CAST(year(o_orderdate) AS INT) AS fy, CAST(quarter(o_orderdate) AS INT) AS qtr, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders GROUP BY 1, 2, 3)"
+FLOWS = [f"{m}_{f}" for f in "ANR" for m in ("quantity", "price", "discount", "tax")]
+INSTANTS = ["last_total", "last_key"]
+_SUMS = ", ".join(f"sum(CASE WHEN l_returnflag = '{f}' THEN CAST({c} AS DECIMAL(18,2)) END) AS {m}_{f}" for f in "ANR" for m, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("tax", "l_tax")))
+_LAST = "max_by(CAST(o_totalprice AS DECIMAL(18,2)), (o_orderdate, o_orderkey)) AS last_total, CAST(max_by(o_orderkey, (o_orderdate, o_orderkey)) AS DECIMAL(18,2)) AS last_key"
 
 
-@query("wide1_metrics", "SELECT cik, CAST(max(CASE WHEN tag = 'Quantity' THEN v END) AS DOUBLE) AS quantity, CAST(max(CASE WHEN tag = 'Tax' THEN v END) AS DOUBLE) AS tax FROM (SELECT o_custkey AS cik, unnest(['Quantity', 'Tax']) AS tag, unnest([sum(CAST(l_quantity AS DECIMAL(18,2))), sum(CAST(l_tax AS DECIMAL(18,2)))]) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY cik")
+def _wide(period: str) -> str:
+    """The fourteen metrics by company, year and period, as common table expressions w_<period>."""
+    p = "'Q' || quarter(o_orderdate)" if period == "q" else "'FY'"
+    return f"""l_{period} AS (SELECT o_custkey AS cik, CAST(year(o_orderdate) AS INT) AS fy, {p} AS fp, {_SUMS} FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+o_{period} AS (SELECT o_custkey AS cik, CAST(year(o_orderdate) AS INT) AS fy, {p} AS fp, {_LAST} FROM orders GROUP BY 1, 2, 3), w_{period} AS (SELECT * FROM o_{period} LEFT JOIN l_{period} USING (cik, fy, fp))"""
+
+
+def _double(names: list[str], prefix: str = "") -> str:
+    return ", ".join(f"CAST({prefix}{n} AS DOUBLE) AS {n}" for n in names)
+
+
+@query("wide1_metrics", f"WITH {_wide('q')} SELECT cik, fy, fp, {_double(FLOWS + INSTANTS)} FROM w_q")
 def wide1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = mart.facts(spark, sf_dir).where(F.col("tag").isin("Quantity", "Tax"))
-    wide = f.groupBy("cik").pivot("tag", ["Quantity", "Tax"]).agg(F.sum(F.col("value").cast(mart.MONEY)))
-    return wide.select("cik", F.col("Quantity").cast("double").alias("quantity"), F.col("Tax").cast("double").alias("tax"))
+    return mart.wide(spark, sf_dir, F.concat(F.lit("Q"), F.quarter("o_orderdate"))).select("cik", "fy", "fp", *(F.col(c).cast("double").alias(c) for c in FLOWS + INSTANTS))
 
 
-@query("wide2_q4", f"""WITH {QUARTERS}, f AS (SELECT cik, fy, sum(v) AS total, sum(CASE WHEN qtr < 4 THEN v END) AS three, count(*) FILTER (qtr < 4) AS n FROM q GROUP BY 1, 2)
-SELECT cik, fy, CAST(CASE WHEN n = 3 THEN total - three END AS DOUBLE) AS q4, n = 3 AS is_derived FROM f""")
+@query("wide2_q4", f"""WITH {_wide('q')}, {_wide('y')}, early AS (SELECT * FROM w_q WHERE fp <> 'Q4'),
+s AS (SELECT cik, fy, {", ".join(f"CASE WHEN count({n}) = 3 THEN sum({n}) END AS {n}" for n in FLOWS)} FROM early GROUP BY 1, 2)
+SELECT cik, fy, fp, {_double(FLOWS + INSTANTS)}, false AS is_derived FROM early
+UNION ALL SELECT w_y.cik, w_y.fy, 'Q4', {", ".join(f"CAST(w_y.{n} - s.{n} AS DOUBLE) AS {n}" for n in FLOWS)}, {_double(INSTANTS, "w_y.")}, true FROM w_y LEFT JOIN s USING (cik, fy)""")
 def wide2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    q = o.groupBy(F.col("o_custkey").alias("cik"), F.year("o_orderdate").alias("fy"), F.quarter("o_orderdate").alias("qtr")).agg(F.sum(F.col("o_totalprice").cast(mart.MONEY)).alias("v"))
-    early = F.col("qtr") < 4
-    f = q.groupBy("cik", "fy").agg(F.sum("v").alias("total"), F.sum(F.when(early, F.col("v"))).alias("three"), F.count_if(early).alias("n"))
-    return f.select("cik", "fy", F.when(F.col("n") == 3, F.col("total") - F.col("three")).cast("double").alias("q4"), (F.col("n") == 3).alias("is_derived"))
+    quarters = mart.wide(spark, sf_dir, F.concat(F.lit("Q"), F.quarter("o_orderdate"))).where("fp <> 'Q4'")
+    both = mart.with_q4(mart.wide(spark, sf_dir, F.lit("FY")), quarters, FLOWS, INSTANTS)
+    return both.select("cik", "fy", "fp", *(F.col(c).cast("double").alias(c) for c in FLOWS + INSTANTS), "is_derived")
 
 
 @query("wide3_tag_dictionary", "SELECT tag, version, kind FROM (SELECT p_brand AS tag, p_size AS version, p_type AS kind, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey DESC) AS k FROM part) WHERE k = 1")
@@ -295,7 +307,10 @@ def m08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(decide((0.16, 0.34), (0.04, 0.19), (0.24, 0.11)),)], "verdict string")
 
 
-@query("m14_acceptance", "SELECT o_orderpriority AS tier, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS right, CAST(row_number() OVER (ORDER BY count(*) FILTER (o_orderstatus = 'F') DESC, o_orderpriority) AS INT) AS place FROM orders GROUP BY 1")
+@query("m14_acceptance", """WITH t AS (SELECT o_orderpriority AS tier, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS "right" FROM orders GROUP BY 1)
+SELECT *, "right" / total::DOUBLE AS rate, CAST(row_number() OVER (ORDER BY "right" DESC, tier) AS INT) AS place, "right" / total::DOUBLE >= CASE tier WHEN '1-URGENT' THEN 0.9 WHEN '2-HIGH' THEN 0.1 ELSE 0 END AS accepted FROM t""")
 def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("tier")).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("right"))
-    return t.withColumn("place", F.row_number().over(Window.orderBy(F.desc("right"), "tier")))
+    from ..operators.metrics import acceptance
+
+    x = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("t"), (F.col("o_orderstatus") == "F").alias("ok"))
+    return acceptance(x, "t", "ok", {"1-URGENT": 0.9, "2-HIGH": 0.1})
