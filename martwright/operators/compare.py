@@ -6,10 +6,10 @@ forms (matched_within) for results that stay on the cluster.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
-from itertools import permutations
 
 Row = Sequence
 WIDEST = 16  # columns of a prediction that are tried in other orders
@@ -53,6 +53,11 @@ class Entities:
     def __init__(self, companies: Iterable[tuple[int, str, str]]):
         rows = list(companies)
         self.by = {"cik": {c: c for c, _, _ in rows}, "ticker": {t: c for c, t, _ in rows}, "name": {n: c for c, _, n in rows}}
+        self.called = {c: (t, n) for c, t, n in rows}
+
+    def names_of(self, cik: int) -> tuple[str, str]:
+        """The ticker and the name of a company."""
+        return self.called[cik]
 
     def resolve(self, cell: object) -> tuple[int, str] | None:
         for how, table in self.by.items():
@@ -128,23 +133,88 @@ def without_context(case: Case, gold_cols: list[str], gold: list[Row], pred_cols
     return strict(case, gold, pred, who) or strict(case, project(gold_cols, gold), project(pred_cols, pred), who)
 
 
-def long_form(columns: list[str], rows: list[Row]) -> list[Row]:
-    """A wide single row as (label, value) rows."""
-    return [[c, v] for c, v in zip(columns, rows[0], strict=True) if is_number(v) or v is None] if len(rows) == 1 else []
+@dataclass(frozen=True)
+class Pivot:
+    """Which gold columns are the label and the value of a long result, and whether labels are companies."""
+
+    label: int = 0
+    value: int = 1
+    entity: bool = False
+
+
+def _labelled(gold: list[Row], how: Pivot, who: Entities | None) -> tuple[Callable[[object], object], Callable[[str], object]]:
+    """(of a cell, of a header): the gold label that it stands for, or None. A header must stand for exactly one."""
+    labels = list(dict.fromkeys(r[how.label] for r in gold))
+    if not how.entity:
+        of_cell = {x: x for x in labels if not isinstance(x, float | bool) and x is not None}
+        words = {x: {str(x).lower()} for x in labels}
+    else:
+        ids = {x: who.resolve(x)[0] for x in labels if who and who.resolve(x)}
+        of_id = {i: x for x, i in ids.items()}
+        of_cell = None
+        words = {x: {str(n).lower() for n in who.names_of(i)} for x, i in ids.items()}
+
+    def cell(c: object) -> object:
+        if isinstance(c, bool) or c is None:
+            return None
+        if of_cell is not None:
+            return of_cell.get(c) if not isinstance(c, float) else None
+        found = who.resolve(c) if who else None
+        return of_id.get(found[0]) if found else None
+
+    def header(name: str) -> object:
+        spaced = " " + re.sub("[^a-z0-9]+", " ", name.lower()) + " "
+        hits = [x for x, own in words.items() if any(" " + re.sub("[^a-z0-9]+", " ", w).strip() + " " in spaced for w in own)]
+        return hits[0] if len(hits) == 1 else None
+
+    return cell, header
+
+
+def label_value_pairs(gold: list[Row], how: Pivot, columns: list[str] | None, rows: list[Row], who: Entities | None = None) -> tuple[list[tuple], int]:
+    """(pairs, cells left over) of a prediction in any layout.
+
+    In each row a number takes the label in the cell before it, if that is free, else the one in the cell after it, else the
+    label that its column's header stands for.
+    """
+    of_cell, of_header = _labelled(gold, how, who)
+    heads = [of_header(c) for c in columns or []]
+    pairs, left = [], 0
+    for row in rows:
+        names = [of_cell(c) for c in row]
+        free = {i for i, x in enumerate(names) if x is not None}
+        taken = 0
+        for i, c in enumerate(row):
+            if names[i] is not None or not is_number(c):
+                continue
+            beside = next((j for j in (i - 1, i + 1) if j in free), None)
+            if beside is not None:
+                free.discard(beside)
+                taken += 2
+                pairs.append((names[beside], c))
+            elif i < len(heads) and heads[i] is not None:
+                taken += 1
+                pairs.append((heads[i], c))
+        left += len(row) - taken
+    return pairs, left
+
+
+def pivot(case: Case, gold: list[Row], pred_cols: list[str] | None, pred: list[Row], how: Pivot = Pivot(), who: Entities | None = None, mode: str = "strict") -> bool:
+    """A long gold result against a prediction in another layout. strict: nothing in the prediction may be left over."""
+    pairs, left = label_value_pairs(gold, how, pred_cols, pred, who)
+    want = [(r[how.label], r[how.value]) for r in gold]
+    if not pairs or mode == "strict" and left:
+        return False
 
+    def same(a: tuple, b: tuple) -> bool:
+        return a[0] == b[0] and _cell(case, how.value, a[1], b[1], who)
 
-def pivot(case: Case, gold: list[Row], pred_cols: list[str], pred: list[Row], same_label: Callable[[object, str], bool] = lambda a, b: str(a).lower() in b.lower()) -> bool:
-    """A gold result of (label, value) rows against a prediction in which the labels have become headers."""
-    wide = long_form(pred_cols, pred)
-    if not gold or len(gold[0]) != 2 or len(wide) < len(gold):
-        return False
-    return all(any(same_label(label, head) and near(value, v, case.tolerance, case.kind) for head, v in wide) for label, value in gold)
+    return all(any(same(g, p) for p in pairs) for g in want) and all(any(same(g, p) for g in want) for p in pairs)
 
 
-def match(case: Case, gold: list[Row], pred: list[Row], who: Entities | None = None, mode: str = "strict", pred_cols: list[str] | None = None, alternatives: Iterable[list[Row]] = ()) -> bool:
-    """Any of the accepted shapes: the gold rows, its alternatives, or its pivot."""
+def match(case: Case, gold: list[Row], pred: list[Row], who: Entities | None = None, mode: str = "strict", pred_cols: list[str] | None = None, alternatives: Iterable[list[Row]] = (), how: Pivot | None = None) -> bool:
+    """Any of the accepted shapes: the gold rows, its alternatives, or, for a case that allows it, its pivot."""
     test = strict if mode == "strict" else relaxed
-    return any(test(case, g, pred, who) for g in [gold, *alternatives]) or bool(pred_cols) and pivot(case, gold, pred_cols, pred)
+    return any(test(case, g, pred, who) for g in [gold, *alternatives]) or bool(how) and pivot(case, gold, pred_cols, pred, how, who, mode)
 
 
 def float_equal(a: list[Row], b: list[Row], tolerance: float = 1e-6) -> bool:
@@ -155,20 +225,3 @@ def float_equal(a: list[Row], b: list[Row], tolerance: float = 1e-6) -> bool:
 
     a, b = sorted(a, key=key), sorted(b, key=key)
     return len(a) == len(b) and all(len(x) == len(y) and all(near(p, q, tolerance) for p, q in zip(x, y, strict=True)) for x, y in zip(a, b, strict=True))
-
-
-def column_orders(width: int) -> int:
-    """How many orders relaxed() may have to consider; for reports."""
-    return sum(1 for _ in permutations(range(width))) if width <= 8 else 0
-
-
-def case_violations(case: dict) -> list[str]:
-    """What is wrong with a gold case's structure."""
-    found = [f"missing {k}" for k in ("id", "tier", "expected", "question") if not case.get(k)]
-    if case.get("expected") not in ("ANSWER", "ABSTAIN", "ANSWER_WITH_ASSUMPTION"):
-        found.append("unknown expectation")
-    if case.get("expected") == "ABSTAIN" and not case.get("reason_code"):
-        found.append("an abstention without a reason")
-    if case.get("expected") == "ANSWER" and not case.get("gold_sql"):
-        found.append("an answer without gold SQL")
-    return found

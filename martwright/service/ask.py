@@ -1,7 +1,7 @@
 """A question to an answer: intent, scope, candidates, guard, execution, vote, routing, prose, verification, log.
 
 Everything a model does is a callable that is passed in: generate(question, context, seed) -> SQL text,
-write(columns, rows) -> sentence, classify(question) -> verdict text. Only the statements themselves touch the cluster.
+write(columns, rows) -> sentence, classify(question) -> verdict text, repair(question, sql, error) -> SQL text. Only the statements themselves touch the cluster.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import SparkSession
 from ..functions import names, patterns
 from ..functions.numbers import as_text
 from ..operators import ground
-from ..operators.voting import Candidate, settle
-from ..plans import guard, shape
+from ..operators.voting import Candidate, repair_trigger, settle
+from ..plans import framing, guard, shape
 from ..plans.parser import ParseError, parse
 from .execute import Config, execute, lookup
 
@@ -55,12 +55,13 @@ def ask(
     linker: names.Linker | None = None,
     context: str = "",
     config: Config = Config(),
+    repair: Callable[[str, str, str], str] | None = None,
 ) -> dict:
     """The answer, or why there is none: state, answer, refusal, reason_code, sql, columns, rows, truncated, assumptions,
     guardrail_events, confidence, candidates, blocked_draft and blocked_claims. Never raises; every call is logged."""
-    out: dict = {"question": question, "state": "ABSTAINED", "answer": None, "refusal": None, "reason_code": None, "sql": None, "columns": [], "rows": [], "truncated": False, "assumptions": [], "guardrail_events": [], "confidence": None, "candidates": [], "blocked_draft": None, "blocked_claims": []}
+    out: dict = {"question": question, "state": "ABSTAINED", "answer": None, "refusal": None, "reason_code": None, "sql": None, "columns": [], "rows": [], "truncated": False, "assumptions": [], "guardrail_events": [], "confidence": None, "candidates": [], "blocked_draft": None, "blocked_claims": [], "repair": None}
     try:
-        _answer(spark, question, generate, write, classify, linker, context, config, out)
+        _answer(spark, question, generate, write, classify, linker, context, config, repair, out)
     except Exception as e:  # noqa: BLE001 - a question must end in one of its states
         out |= {"state": "ABSTAINED", "answer": None, "reason_code": "EXEC_ERROR", "error": str(e)}
     if out["reason_code"]:
@@ -71,7 +72,7 @@ def ask(
     return out
 
 
-def _answer(spark, question, generate, write, classify, linker, context, config, out) -> None:
+def _answer(spark, question, generate, write, classify, linker, context, config, repair, out) -> None:
     event = patterns.intent_of(question)
     if event:
         out |= {"reason_code": "OUT_OF_SCOPE", "guardrail_events": [event]}
@@ -84,6 +85,12 @@ def _answer(spark, question, generate, write, classify, linker, context, config,
     told = "\n".join(x for x in (context, names.hint(links)) if x)
     candidates = [_candidate(spark, unfenced(generate(question, told, config.seed + i)), config) for i in range(config.candidates)]
     vote = settle(candidates)
+    trigger = repair_trigger(vote.reason, candidates, config.repair_triggers) if repair else None
+    if trigger:
+        second = _repaired(spark, question, trigger, candidates, repair, config, out)
+        if second:  # the one candidate that there is now
+            candidates = [second]
+            vote = settle(candidates)
     winner = candidates[vote.winner] if vote.winner is not None else None
     survivors = [c.rows for c in candidates if c.rows is not None]
     out |= {"guardrail_events": vote.events, "confidence": vote.agreement, "sql": winner.sql if winner else None}
@@ -100,11 +107,10 @@ def _answer(spark, question, generate, write, classify, linker, context, config,
         return
     draft = write(winner.columns, winner.rows)
     try:
-        clauses = shape.frame(question, shape.facts(parse(spark, winner.sql)), [x.ticker for x in links], winner.columns, len(winner.rows))
+        clauses = framing.frame(question, shape.facts(parse(spark, winner.sql)), links, winner.columns, len(winner.rows), lambda sql, args: lookup(spark, sql, args))
     except ParseError:
         clauses = []
-    stated = {y for c in clauses for y in map(int, re.findall(r"\b20\d\d\b", c.text))}
-    checked = ground.verify(draft, winner.columns, winner.rows, winner.sql, stated)
+    checked = ground.verify(draft, winner.columns, winner.rows, winner.sql, *framing.labels(clauses))
     out |= {"columns": winner.columns, "rows": winner.rows, "truncated": winner.truncated}
     if not checked.ok:
         out |= {"reason_code": "UNGROUNDED_ANSWER", "blocked_draft": draft, "blocked_claims": checked.claims}
@@ -113,6 +119,27 @@ def _answer(spark, question, generate, write, classify, linker, context, config,
     out |= {"answer": " ".join([draft, *(c.text for c in clauses)]), "assumptions": assumed, "state": "ANSWERED_WITH_ASSUMPTION" if assumed else "ANSWERED"}
 
 
+def _repaired(spark, question, trigger, candidates, repair, config, out) -> Candidate | None:
+    """A second try: repair(question, statement, what went wrong) gives another statement, which must pass and run like any.
+
+    Nothing comes of one that fails, is turned down or is the same again; the first reason then stands.
+    """
+    failed = next((c for c in candidates if not c.ok), None) or next((c for c in candidates if c.error), candidates[0])
+    out["repair"] = {"trigger": trigger, "sql": None, "succeeded": False}
+    try:
+        sql = unfenced(repair(question, failed.sql, failed.error or failed.reason or "it gave nothing"))
+    except Exception as e:  # noqa: BLE001 - a repair that fails must not hide why it was needed
+        out["repair"]["error"] = str(e)
+        return None
+    out["repair"]["sql"] = sql
+    plain = lambda s: " ".join((s or "").rstrip("; \n").lower().split())
+    if not sql or plain(sql) == plain(failed.sql):
+        return None
+    second = _candidate(spark, sql, config)
+    out["repair"]["succeeded"] = second.ok and second.error is None
+    return second if out["repair"]["succeeded"] else None
+
+
 def _candidate(spark: SparkSession, sql: str, config: Config) -> Candidate:
     checked = guard.validate(spark, sql)
     made = Candidate(checked.sql, checked.ok, checked.reason_code, checked.events)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import threading
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 from pyspark import inheritable_thread_target
@@ -25,6 +26,18 @@ class Config:
     repair_triggers: frozenset[str] = frozenset()
     log: str | None = None
 
+    @classmethod
+    def from_env(cls, environ: dict[str, str] | None = None, prefix: str = "MARTWRIGHT_") -> Config:
+        """The settings that the environment names, such as MARTWRIGHT_TIMEOUT=5; others keep their defaults."""
+        held = os.environ if environ is None else environ
+        made = {}
+        for f in fields(cls):
+            text = held.get(prefix + f.name.upper())
+            if text is not None:
+                kind = type(f.default)
+                made[f.name] = frozenset(x for x in text.split(",") if x) if kind is frozenset else kind(text) if kind in (int, float) else text
+        return cls(**made)
+
 
 @dataclass
 class Execution:

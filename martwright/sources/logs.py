@@ -38,11 +38,21 @@ def evidence(runs: DataFrame) -> DataFrame:
 JOBS = "JobID string, JobName string, NodeList string, Start string, End string, State string, ExitCode string"
 
 
-def jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Pipe-separated accounting: steps (ids with a dot) left out, times parsed or NULL, the model by the job's name."""
+# Jobs by model: what a job's name has in it, in the order it is looked for.
+MODELS = (("30b", "30b"), ("32b", "32b"), ("7b", "7b"))
+
+
+def jobs(spark: SparkSession, path: str, models: tuple[tuple[str, str], ...] = MODELS, prefix: str = "") -> DataFrame:
+    """Pipe-separated accounting: steps (ids with a dot) left out, times parsed or NULL, the model by the job's name.
+
+    models: (expression, model), the first that a lower-cased name matches; names without the prefix, or with none of them,
+    are other.
+    """
     raw = spark.read.schema(JOBS).option("header", True).option("sep", "|").csv(path)
     name = F.lower("JobName")
-    model = F.when(name.contains("30b"), "30b").when(name.contains("32b"), "32b").when(name.contains("7b"), "7b").otherwise("other")
+    model = F.lit("other")
+    for pattern, known in reversed(models):
+        model = F.when(name.startswith(prefix) & name.rlike(pattern), known).otherwise(model)
     at = {c: F.expr(f"try_to_timestamp({c}, \"yyyy-MM-dd'T'HH:mm:ss\")") for c in ("Start", "End")}
     return raw.where(~F.col("JobID").contains(".")).withColumns({"model": model, **at})
 

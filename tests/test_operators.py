@@ -25,9 +25,14 @@ def test_comparators():
     assert compare.strict(compare.Case(ratios=frozenset({0})), [(0.172,)], [(17.2,)]) and compare.strict(compare.Case(scales={0: 1e9}), [(416e9,)], [(416,)])
     assert compare.relaxed(CASE, gold, [(9, 1.0, "a"), (9, 2.0, "b")]) and not compare.relaxed(CASE, gold, [(9, 2.0, "a"), (9, 1.0, "b")])
     assert compare.pivot(CASE, gold, ["total_a", "total_b"], [(1.0, 2.0)]) and compare.match(CASE, [("z", 1)], gold, alternatives=[gold])
+    assert compare.pivot(CASE, gold, None, [("a", 1.0, "b", 2.0)]) and compare.pivot(CASE, gold, None, [(1.0, "a", 2.0, "b")]) and not compare.pivot(CASE, gold, ["total_a", "total_b"], [(1.0, 3.0)])
+    assert not compare.pivot(CASE, gold, ["a", "b", "year"], [(1.0, 2.0, 1997.0)]) and compare.pivot(CASE, gold, ["a", "b", "year"], [(1.0, 2.0, 1997.0)], mode="relaxed")
+    who = compare.Entities([(1, "AA", "Alpha Co"), (2, "BB", "Beta")])
+    by_name, entity = [("AA", 5.0), ("BB", 6.0)], compare.Pivot(entity=True)
+    assert compare.pivot(CASE, by_name, ["alpha_co_total", "BB"], [(5.0, 6.0)], entity, who) and compare.pivot(CASE, by_name, None, [("Beta", 6.0), (1, 5.0)], entity, who)
+    assert not compare.pivot(CASE, by_name, ["aa", "aa_bb"], [(5.0, 6.0)], entity, who) and compare.match(CASE, by_name, [(5.0, 6.0)], who, pred_cols=["AA", "BB"], how=entity)
     assert compare.float_equal([(1.0, None), (2.0, "x")], [(2.0 + 1e-9, "x"), (1.0, None)]) and not compare.float_equal([(1,)], [(1,), (1,)])
     assert compare.near(None, None, 0.1) and not compare.near(None, 1, 0.1) and not compare.near(True, 2, 5)
-    assert compare.case_violations({"id": 1, "tier": 1, "expected": "ABSTAIN", "question": "q"}) == ["an abstention without a reason"]
 
 
 def test_joins(spark):
