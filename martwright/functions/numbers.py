@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from decimal import Decimal
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # English number words and the powers of ten that magnitudes stand for.
 SMALL = {w: n for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: 10 * n for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
@@ -98,6 +101,14 @@ def shown(value: object) -> str:
     return str(value)
 
 
+def shown_number(value: Column) -> Column:
+    """shown() of a column of numbers: six decimals at most, without needless zeros; NULL is empty."""
+    whole = value == F.floor(value)
+    year = whole & value.between(1900, 2099)
+    parts = F.regexp_replace(F.regexp_replace(F.format_number(value, 6), "0+$", ""), "[.]$", "")
+    return F.when(value.isNull(), "").when(year, value.cast("long").cast("string")).when(whole, F.format_number(value, 0)).otherwise(parts)
+
+
 def as_text(columns: list[str], rows: list[tuple]) -> str:
     """A result as tab-separated text."""
     if not rows:

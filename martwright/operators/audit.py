@@ -1,8 +1,10 @@
 """An auditor of its own for grounding: other code than ground.py, so that the two can be held against each other.
 
 Numbers are compared as decimal text, by rounding a candidate to the places the claim shows. A claim gets the first tier
-that holds: grounded (a cell says it), weak (a label, the row count or the SQL has it), derived (sum, difference, ratio or
-change of two cells), else ungrounded.
+that holds: grounded (a cell says it, or a label of the company that is meant), weak (a label, the row count or the SQL has
+it, or a cell read as coarsely as a hedged round number allows), derived (sum, difference, ratio or change of two cells, for
+claims of at least three significant digits), unresolved (a label that some company has, where it isn't known which one is
+meant), else ungrounded.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from dataclasses import dataclass
 from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
 from itertools import permutations
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 _TOKEN = re.compile(r"(?P<sign>(?<![\w.])[-−])?(?<![\w.,])(?P<body>\d[\d,]*(?:\.\d+)?)(?:\s?(?P<mark>%|percent\b|trillion\b|billion\b|million\b|thousand\b|(?:[kmbt]|bn|mn)(?![A-Za-z0-9])))?", re.I)
 _SKIP = re.compile(r"(?<![\w-])(?:10-[KQ](?:/A|T)?|8-K(?:/A)?|20-F|40-F|6-K|11-K)(?![\w-])|\b\d+(?:st|nd|rd|th)\b|\bFY ?\d{2}(?:\d{2})?\b|\d{4}-\d{2}-\d{2}|\b[QH][1-4]\b|\d+(?:-\d+){2,}|(?:[A-Z][a-z]+\.? \d{1,2}(?:, \d{4})?)(?!\d| (?:million|billion|trillion|thousand|percent))", re.M)
 _PLACES = {"k": 3, "thousand": 3, "m": 6, "mn": 6, "million": 6, "b": 9, "bn": 9, "billion": 9, "t": 12, "trillion": 12}
@@ -31,9 +37,16 @@ class Stated:
     places: int  # the power of ten of the last place shown
     percent: bool
     year: bool
+    loose: int | None = None  # the last place that isn't zero, where a round number is hedged
+
+    @property
+    def significant(self) -> int:
+        """The digits that are stated; zeros at the end of a number in words aren't."""
+        digits = str(abs(int(self.value.scaleb(-self.places)))).lstrip("0")
+        return len(digits.rstrip("0") if self.text[:1].isalpha() and self.places >= 0 else digits)
 
-    def matches(self, cell: Decimal) -> bool:
-        step = Decimal(1).scaleb(self.places)
+    def matches(self, cell: Decimal, places: int | None = None) -> bool:
+        step = Decimal(1).scaleb(self.places if places is None else places)
         near = {(cell / step).quantize(Decimal(1), rounding=r) * step for r in (ROUND_HALF_UP, ROUND_HALF_EVEN)}
         return self.value in near
 
@@ -65,9 +78,8 @@ def in_words(text: str) -> list[Stated]:
         total += part if not fraction or last else part + Decimal("0." + fraction)
         places = last - len(fraction) if fraction or not part else 0
         whole = str(int(total.scaleb(-places)))
-        if not fraction and _HEDGE.search(text[:start]) and len(whole) > 2 and (places or len(whole) > 3):
-            places += len(whole) - len(whole.rstrip("0"))
-        out.append(Stated(" ".join(phrase), total, places, percent, False))
+        rounded = not fraction and _HEDGE.search(text[:start]) and len(whole) > 2 and (places or len(whole) > 3)
+        out.append(Stated(" ".join(phrase), total, places, percent, False, places + len(whole) - len(whole.rstrip("0")) if rounded else None))
 
     for m in re.finditer(r"[A-Za-z]+|[^A-Za-z]+", text + " ."):
         w = m[0].lower()
@@ -93,30 +105,66 @@ def stated(answer: str, strings: list[str]) -> list[Stated]:
         value = Decimal(("-" if m["sign"] else "") + body).scaleb(power)
         year = not mark and bool(re.fullmatch(r"20\d\d", m["body"]))
         places = power - len(body.partition(".")[2])
-        if _HEDGE.search(text[: m.start()]) and "." not in body and (mark or len(body) > 3):
-            places += len(body) - len(body.rstrip("0"))
-        out.append(Stated(m[0], value, places, mark in ("%", "percent"), year))
+        rounded = _HEDGE.search(text[: m.start()]) and "." not in body and (mark or len(body) > 3)
+        out.append(Stated(m[0], value, places, mark in ("%", "percent"), year, places + len(body) - len(body.rstrip("0")) if rounded else None))
     return out
 
 
-def audit(answer: str, columns: list[str], rows: list[tuple], sql: str | None = None) -> list[tuple[str, str]]:
+@dataclass(frozen=True)
+class Known:
+    """Years that companies have: the ones that are meant, all of them, and whether it is open which are meant."""
+
+    own: frozenset[int] = frozenset()
+    all: frozenset[int] = frozenset()
+    open: bool = False
+
+
+TIERS = ("grounded", "weak", "derived", "unresolved", "ungrounded")  # from the best on
+
+
+def audit(answer: str, columns: list[str], rows: list[tuple], sql: str | None = None, known: Known = Known()) -> list[tuple[str, str]]:
     """(claim as written, tier) for every number, year and period label of an answer."""
     cells = [c for r in rows for c in r]
     numbers = [Decimal(str(c)) for c in cells if isinstance(c, int | float | Decimal) and not isinstance(c, bool) and Decimal(str(c)).is_finite()]
     strings = [c for c in cells if isinstance(c, str)]
     text = " ".join([*map(str, cells), sql or ""])
     some = list(dict.fromkeys(numbers))[:OPERANDS]
-    derived = [x for a, b in permutations(some, 2) for x in (a + b, a - b)] + [x for a, b in permutations(some, 2) if b for x in (a / b, 100 * a / b, 100 * (a - b) / b)]
+    derived: list[Decimal] | None = None
     out = [(m[0], "weak" if re.search(rf"\b{m[0]}\b", text) else "ungrounded") for m in _LABELS.finditer(answer)]
     for c in stated(answer, strings):
-        scaled = [n * 100 for n in numbers] if c.percent else []
-        if any(map(c.matches, numbers + scaled)):
+        pool = numbers + ([n * 100 for n in numbers] if c.percent else [])
+        said = int(c.value) if c.year else None
+        if any(map(c.matches, pool)) or said in known.own:
             tier = "grounded"
         elif (c.year and re.search(rf"(?<!\d){c.value}(?!\d)", text)) or (not c.percent and c.places == 0 and c.value == len(rows)):
             tier = "weak"
-        elif not c.year and any(map(c.matches, derived)):
-            tier = "derived"
+        elif c.loose is not None and any(c.matches(n, c.loose) for n in pool):
+            tier = "weak"
+        elif c.year:
+            tier = "unresolved" if known.open and said in known.all else "ungrounded"
         else:
-            tier = "ungrounded"
+            if derived is None and c.significant >= 3:
+                derived = [x for a, b in permutations(some, 2) for x in (a + b, a - b, *((a / b, 100 * a / b, 100 * (a - b) / b) if b else ()))]
+            tier = "derived" if c.significant >= 3 and any(map(c.matches, derived)) else "ungrounded"
         out.append((c.text.strip(), tier))
     return out
+
+
+def worst(text: Column, cells: Column, strings: Column) -> Column:
+    """The worst tier of a text's claims against one row of numbers and strings; null without claims."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, numbers: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for t, n, w in zip(texts, numbers, words, strict=True):
+            row = (*(float(x) for x in (n if n is not None else ())), *(w if w is not None else ()))
+            tiers = [tier for _, tier in audit(t or "", [], [row])]
+            out.append(max(tiers, key=TIERS.index) if tiers else None)
+        return pd.Series(out, dtype=object)
+
+    return run(text, cells, strings)
+
+
+def company_labels(filings: DataFrame) -> DataFrame:
+    """(cik, years, days): the fiscal years and the days on which periods end of each company, each once, in order."""
+    return filings.groupBy("cik").agg(F.array_sort(F.collect_set("fiscal_year")).alias("years"), F.array_sort(F.collect_set("period_end_date")).alias("days"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,11 +142,7 @@ def xh1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x_s13_shown_values", "SELECT c_custkey, CASE WHEN c_custkey BETWEEN 1900 AND 2099 THEN CAST(c_custkey AS VARCHAR) ELSE format('{:,}', c_custkey) END AS shown FROM customer")
 def xs13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def shown(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: numbers.shown(int(v)))
-
-    return table(spark, sf_dir, "customer").select("c_custkey", shown("c_custkey").alias("shown"))
+    return table(spark, sf_dir, "customer").select("c_custkey", numbers.shown_number(F.col("c_custkey")).alias("shown"))
 
 
 @query("x_j1_json", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events")
@@ -216,21 +211,20 @@ def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(sql,)], "sql string")
 
 
-SAID = (("Revenue was $416.2 billion in 2025.", True, "grounded"), ("Revenue was $431 billion in 2025.", False, "ungrounded"), ("In 2024 revenue was 416.161 billion.", False, "ungrounded"), ("It had 1 row.", True, "weak"), ("Revenue and cash were 417.161 billion together.", False, "derived"))
-
-
-@query("g04_two_auditors", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()}, '{tier}')" for i, (_, ok, tier) in enumerate(SAID)) + ") t(i, verified, worst)")
+@query("g04_two_auditors", "SELECT s_suppkey, s_suppkey % 3 = 2 AS verified, CASE s_suppkey % 3 WHEN 0 THEN 'ungrounded' WHEN 1 THEN 'derived' ELSE 'grounded' END AS worst FROM supplier")
 def g04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns, rows = ["ticker", "fiscal_year", "value", "cash"], [("AAPL", 2025, 416_161_000_000.0, 1_000_000_000.0)]
-    tiers = ["grounded", "weak", "derived", "ungrounded"]
-    out = [(i, ground.verify(text, columns, rows).ok, max((t for _, t in audit.audit(text, columns, rows)), key=tiers.index)) for i, (text, _, _) in enumerate(SAID)]
-    return spark.createDataFrame(out, "i int, verified boolean, worst string")
+    """Sentences with a figure, a sum of two figures or neither, before the verifier and the auditor."""
+    a = (F.col("s_suppkey") * 1_234_567 + 1_000_003).cast("decimal(18,0)") / 100
+    b = (F.col("s_suppkey") * 31 + 17).cast("decimal(18,0)") / 100
+    told = F.when(F.col("s_suppkey") % 3 == 0, a + 7).when(F.col("s_suppkey") % 3 == 1, a + b).otherwise(a)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("It came to $%s.", F.format_number(told, 2)).alias("text"), F.array(a.cast("double"), b.cast("double")).alias("cells"), F.array(F.col("s_name")).alias("strings"))
+    verdicts = ground.grounded(s, "s_suppkey", "text", "cells", "strings").select("s_suppkey", F.col("ok").alias("verified"))
+    return verdicts.join(s.select("s_suppkey", audit.worst(F.col("text"), F.col("cells"), F.col("strings")).alias("worst")), "s_suppkey")
 
 
 @query("g06_company_labels", "SELECT o_custkey AS cik, string_agg(DISTINCT CAST(year(o_orderdate) AS VARCHAR), ',' ORDER BY CAST(year(o_orderdate) AS VARCHAR)) AS years FROM orders GROUP BY 1")
 def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = F.array_sort(F.collect_set(F.col("fiscal_year").cast("string")))
-    return mart.filings(spark, sf_dir).groupBy("cik").agg(F.array_join(years, ",").alias("years"))
+    return audit.company_labels(mart.filings(spark, sf_dir)).select("cik", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
 
 
 @query("g08_changed_verdicts", "SELECT CASE WHEN old = new THEN 'same' WHEN new THEN 'now_passes' ELSE 'now_fails' END AS change, count(*) AS n FROM (SELECT o_orderkey % 5 <> 0 AS old, o_orderkey % 7 <> 0 AS new FROM orders) GROUP BY 1")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import shutil
 import zipfile
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from io import BytesIO
 from pathlib import Path
 from typing import IO
@@ -55,13 +54,6 @@ def members(spark: SparkSession, path: str, name: str, columns: list[str]) -> Da
     return files.mapInPandas(rows, ", ".join(f"{c} string" for c in [*columns, "quarter"]))
 
 
-@dataclass(frozen=True)
-class IngestStats:
-    rows: int
-    null_values: int
-    skipped: int
-
-
 def typed_num(num: DataFrame) -> DataFrame:
     """Facts with their types: a blank value is NULL and stays; a value or qtrs that isn't a number marks the row as bad."""
     blank = F.trim(F.coalesce("value", F.lit(""))) == ""

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from martwright.functions import numbers, patterns
 from martwright.functions.claims import extract, years
-from martwright.operators.audit import audit
+from martwright.operators.audit import Known, audit
 from martwright.operators import ground
 from martwright.operators.ground import verify
 
@@ -36,6 +36,15 @@ def test_invented(text):
     assert not verify(text, COLUMNS, ROWS).ok
 
 
+def test_auditors_tiers():
+    tier = lambda text, rows=ROWS, **more: audit(text, COLUMNS, rows, **more)[-1][1]
+    assert tier("About 420 billion came in.") == "weak" and tier("It was 416.2 billion.") == "grounded" and tier("There were 1.") == "weak"
+    two = [("ZQX", "3M Works", 2025, 416_161_000_000.0, 1_000_000_000.0)]
+    assert tier("Together 417.161 billion.", two) == "derived" and tier("Together 42 percent.", two) == "ungrounded"
+    assert tier("In 2019 it was.", known=Known(all=frozenset({2019}), open=True)) == "unresolved" and tier("In 2019 it was.", known=Known(all=frozenset({2019}))) == "ungrounded"
+    assert tier("In 2019 it was.", known=Known(own=frozenset({2019}))) == "grounded"
+
+
 def test_labels_dates_identifiers():
     cols, rows = ["adsh", "period", "label"], [("0000037996-26-000015", "2025-06-30", "Q3")]
     assert verify("Filing 0000037996-26-000015 for June 30, 2025 is Q3.", cols, rows).ok
@@ -86,7 +95,9 @@ def test_any_text_is_read(text):
     patterns.intent_of(text)
 
 
-def test_shown_values():
+def test_shown_values(spark):
+    df = spark.createDataFrame([(v,) for v in (1997.0, 1234567.0, 3.0, 1234.5, None, 0.25, -1234.75)], "v double")
+    assert [r[0] for r in df.select(numbers.shown_number(df.v)).collect()] == [numbers.shown(r.v) for r in df.collect()]
     assert [numbers.shown(v) for v in (1997, 1234567, 3.0, 1234.5, None, True, 0.25)] == ["1997", "1,234,567", "3", "1,234.5", "", "True", "0.25"]
     assert numbers.as_text(["a"], []) == "(no rows)" and numbers.as_text(["a", "b"], [(1, 2500)]) == "a\tb\n1\t2,500"
 
