@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from martwright.functions import numbers, patterns
+from martwright.functions import names, numbers, patterns
 from martwright.functions.claims import extract, years
 from martwright.operators.audit import Known, audit
 from martwright.operators import ground
@@ -95,6 +95,16 @@ def test_any_text_is_read(text):
     patterns.intent_of(text)
 
 
+def test_signs_of_a_broken_machine(spark):
+    df = spark.createDataFrame([("Connection REFUSED by peer",), ("no such column",), (None,)], "t string")
+    assert [r[0] for r in df.select(patterns.infra_error(df.t)).collect()] == [True, False, False]
+
+
+def test_squashed_names(spark):
+    df = spark.createDataFrame([("The Coca-Cola Company",), ("Inc.",)], "n string")
+    assert [r[0] for r in df.select(names.squashed(df.n)).collect()] == ["cocacola", ""]
+
+
 def test_shown_values(spark):
     df = spark.createDataFrame([(v,) for v in (1997.0, 1234567.0, 3.0, 1234.5, None, 0.25, -1234.75)], "v double")
     assert [r[0] for r in df.select(numbers.shown_number(df.v)).collect()] == [numbers.shown(r.v) for r in df.collect()]
