@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STASH_ROWS = 1024  # in the Arrow batches of jobs that write tables, so that a batch is a few MB of ordinary texts
 SLICE_BYTES = 1 << 22  # text that Python turns into arrays or lists at a time; one longer text is a slice of its own
 
 
@@ -31,6 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, Arrow batches hold at most so many rows (and, as always, so many bytes); then the session is as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the system, as the worker goes on to other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives the loss of any executor.
 
@@ -38,10 +63,34 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark, STASH_ROWS):
+        df.write.parquet(path)
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*stashes: DataFrame) -> None:
+    """Deletes what stash() has written, once nothing is read from it any more."""
+    for df in stashes:
+        held = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        held.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(held, True)
+
+
+MOST_IDS = 1 << 20  # ids that are broadcast, 8 bytes each; more are shuffled
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if there are at most MOST_IDS."""
+    return F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
+
+
+def leave_out(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id isn't among ids (one column); rows with a null id stay. Rows only move where the ids are many."""
+    (gone,) = fresh(rows.columns, "gone")
+    return rows.join(few(ids.toDF(gone)), F.col(id_col) == F.col(gone), "left_anti")
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
@@ -122,6 +171,8 @@ def learnt(rows: DataFrame, train: Callable[[list[dict]], bytes | None]) -> byte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: [str(x) for x in r.values()])
         made = train(held) if held else None
+        del held
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
 
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()

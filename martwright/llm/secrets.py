@@ -230,11 +230,11 @@ def answer(index: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
             first = F.array_intersect(first, x)
         return first
 
-    found = [lists.select(F.explode(F.array_distinct(F.flatten(F.array(*map(meet, q))))).alias("id"), F.lit(kind).alias("kind")) for kind, q in queries.items()]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+    def hits(kind: str, q: Clauses) -> Column:
+        return F.transform(F.array_distinct(F.flatten(F.array(*map(meet, sorted(q, key=sorted))))), lambda x: F.struct(x.alias("id"), F.lit(kind).alias("kind")))
+
+    found = lists.select(F.inline(F.flatten(F.array(*(hits(kind, q) for kind, q in queries.items())))))
+    return found.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, stash
+from .common import discard, few, fresh, leave_out, slices, stash
 
 SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
@@ -231,7 +231,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        last, e = e, stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(last)
         now = state(e)
         if now == before:
             break
@@ -260,19 +261,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:
+    """(the ids of all near-duplicates but each component's smallest, ids that stay but are there more than once), as tables."""
+    found = stash(near_duplicates(docs, id_col, text_col, **options).select("doc_id", "component_id"), "components")
+    gone = stash(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    again = stash(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    discard(found)
+    return gone, again
+
+
+def once(rows: DataFrame, id_col: str, text_col: str, repeated: DataFrame) -> DataFrame:
+    """Of the rows with each repeated id one, the least by its text and then its other columns; all other rows."""
+    if repeated.isEmpty():
+        return rows
+    (one,) = fresh(rows.columns, "one")
+    again = rows.join(few(repeated.toDF(one)), F.col(id_col) == F.col(one), "left_semi")
+    least = again.groupBy(id_col).agg(F.min(F.struct(text_col, *(c for c in rows.columns if c != text_col))).alias(one)).select(f"{one}.*")
+    return leave_out(rows, id_col, repeated).unionByName(least.select(*rows.columns))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id, one row if that id is repeated.
 
     Rows with a null id stay. The ids that go are joined out, so texts are read once more and not held in any state.
     """
-    found = stash(near_duplicates(docs, id_col, text_col, **options).select("doc_id", "component_id"), "components")
-    (gone,) = fresh(docs.columns, "gone")
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    kept = docs.join(copies, docs[id_col] == copies[gone], "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(gone)).agg(F.count("*").alias("n")).where("n > 1").select(gone)
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, F.col(id_col) == F.col(gone), "left_semi")
-    once = again.groupBy(id_col).agg(F.min(F.struct(text_col, *(c for c in docs.columns if c != text_col))).alias(gone)).select(f"{gone}.*")
-    alone = kept.join(repeated, F.col(id_col) == F.col(gone), "left_anti")
-    return alone.unionByName(once.select(*alone.columns))
+    gone, again = copies(docs, id_col, text_col, **options)
+    return once(leave_out(docs, id_col, gone), id_col, text_col, again)
