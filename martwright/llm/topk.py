@@ -26,8 +26,8 @@ COMPONENTS = 1 << 19  # in a block of the index, whatever the vectors' length
 GROUP = 8  # blocks that one task goes through in a row, each with the k-th best score of those before it
 ASKED = 1 << 14  # components in a part of the queries
 LANE = 64  # parts, at most, that go through one copy of a group of blocks; fewer where there would be too few tasks
-FIRST, FALL = 0.06, 0.6  # the first round goes down to so much of the greatest impact, each later one of the level before
-FEW = 0.02  # a query stops when at most so much of the block may still be members, or k times 4
+FIRST, FALL = 0.03, 0.6  # the first round goes down to so much of the greatest impact, each later one of the level before
+FEW = 0.1  # a query stops when at most so much of the block may still be members, or k times 4
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

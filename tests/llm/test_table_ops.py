@@ -238,7 +238,7 @@ def test_top_k_of_large_components(spark, components):
 
 
 def test_few_vectors_are_rescored():
-    """The index does the work: on unit vectors it stops with a fiftieth of a block as possible members, by proof."""
+    """The index does the work: on unit vectors it stops with a tenth of a block as possible members, by proof."""
     rng = np.random.default_rng(1)
     x = rng.normal(0, 1, (4_000, 64))
     q = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True))
