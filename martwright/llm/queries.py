@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, sharding, topk, urlfilter
+from . import chat, mixing, secrets, sharding, topk, urlfilter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_exact_topk", topk.oracle())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op11_chat_format", chat.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_chats(chat.with_fixed(read(spark, sf_dir, "conversations"))))
