@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, secrets, sharding, topk, urlfilter
+from . import attribution, chat, mixing, secrets, sharding, topk, urlfilter
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_chat_format", chat.oracle())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chat.with_fixed(read(spark, sf_dir, "conversations"))))
+
+
+@query("op12_click_attribution", attribution.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(read(spark, sf_dir, "clicks"), read(spark, sf_dir, "sales"))
