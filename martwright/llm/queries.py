@@ -92,3 +92,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_click_attribution", attribution.oracle())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(read(spark, sf_dir, "clicks"), read(spark, sf_dir, "sales"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import align
+
+    return align.digest(read(spark, sf_dir, "documents"))
