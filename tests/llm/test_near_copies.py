@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from martwright.llm import shingles
 
@@ -56,3 +58,46 @@ def test_large_buckets_link_their_texts(spark, monkeypatch):
     monkeypatch.setattr(shingles, "FEW", 4)
     assert [r.doc_id for r in shingles.keep_first(df).collect()] == [0]
     assert shingles.keep_first(df.limit(0)).collect() == []
+
+
+def test_templates_lose_no_links(spark):
+    """40 pairs at 0.84 that share a template with 3,000 other texts at 0.78: all are found, and nothing else is linked."""
+    rng = random.Random(4)
+    word = iter(range(10**9))
+    template = [f"t{next(word)}" for _ in range(400)]
+    own = lambda n: [f"w{next(word)}" for _ in range(n)]
+    texts = [" ".join(template + own(56)) for _ in range(3000)]
+    for _ in range(40):
+        both = own(20)
+        texts += [" ".join(template + both + own(36)) for _ in range(2)]
+    assert 0.82 < likeness(texts[-1], texts[-2]) < 0.86 and 0.76 < likeness(texts[0], texts[1]) < 0.8
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(k, texts[k]) for k in order], "doc_id long, text string").repartition(8)
+    assert {r.id for r in shingles.copies(df).collect()} == {3001 + 2 * k for k in range(40)}
+
+
+def test_shared_counts_by_definition(monkeypatch):
+    rng = np.random.default_rng(3)
+    common = rng.choice(10**6, 40, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(common, 25, replace=False), rng.choice(300, rng.integers(0, 60), replace=False).astype(np.uint64)])) for _ in range(90)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    for dense in (1, 4, 64):
+        monkeypatch.setattr(shingles, "DENSE", dense)
+        monkeypatch.setattr(shingles, "COLUMNS", 7)
+        assert shingles.shared(sets).tolist() == want
+
+
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join(words[: rng.randrange(60, 120)]) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(shingles, "FEW", 4)
+    monkeypatch.setattr(shingles, "BLOCK", 7)
+    group = list(range(80))
+    for a, b in combinations(range(80), 2):
+        if likeness(texts[a], texts[b]) >= 0.8 and group[a] != group[b]:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = [new if g == old else g for g in group]
+    assert {r.id for r in shingles.copies(df).collect()} == {k for k in range(80) if group[k] != k}
