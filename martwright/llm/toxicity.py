@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, excerpt, learnt, sampled, slices, text_bytes
+from .common import bucket_of, discard, excerpt, learnt, sampled, slices, stash, text_bytes
 
 WORD_BITS, GRAM_BITS, EMBED, HIDDEN = 18, 18, 4, 8
 WINDOW, HOP = 16, 8
@@ -332,17 +332,21 @@ def score_long(model: Model | None, raw: np.ndarray, chunk: int = CHUNK) -> floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = FIT_CHARS, **options) -> Model | None:
-    """A network fitted on at most sample labelled texts, half of each class, those with the smallest hash of their id.
+    """A network fitted on at most sample labelled texts, half of each class, those with the smallest hash of id and text.
 
     Texts of any length are learnt from: of one with more than chars code points, eight parts spread over it, chars in all.
-    Rows with a null id have no label. The fitting runs in one task of the cluster.
+    An id with several labels counts as toxic if one says so. Of rows that repeat an id and text one is learnt from; other
+    rows of one id each count. Rows with a null id have no label. The fitting runs in one task of the cluster.
     """
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    marks = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).distinct()
-    marks = marks.join(texts.select("_id").distinct(), "_id", "left_semi")
-    picked = [sampled(marks.where(F.col("_toxic") == kind), F.col("_id"), sample // 2) for kind in (0, 1)]
-    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "_id").orderBy("_id").limit(2 * sample).select(excerpt(F.col("_text"), chars).alias("text"), F.col("_toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash")).where(F.length("_text") > 0)
+    marks = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
+    known = stash(texts.select("_id", "_hash").join(marks, "_id").distinct(), "labelled")
+    key = F.concat_ws(":", F.col("_id").cast("string"), F.col("_hash").cast("string"))
+    picked = [sampled(known.where(F.col("_toxic") == kind), key, sample // 2) for kind in (0, 1)]
+    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), ["_id", "_hash"]).select("_id", "_hash", "_toxic", excerpt(F.col("_text"), chars).alias("text"))
+    rows = rows.groupBy("_id", "_hash", F.col("_toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text")).select("text", "toxic")
     raw = learnt(rows, lambda held: pickle.dumps(train([r["text"] for r in held], [r["toxic"] for r in held], **options).p))
+    discard(known)
     return Model(pickle.loads(raw)) if raw else None
 
 
