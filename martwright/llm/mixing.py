@@ -3,7 +3,9 @@
 The mixture shall have `total` code points (by default as many as the input), of which each source gives the share of its
 weight. A source's mean repetition rate is weight * total / its own code points, and each of its documents is repeated
 k times, where k is the Poisson distribution with that mean, inverted at a number that a keyed hash draws from the
-document's id: the smallest k whose cumulative probability is over it. Rows are then dealt and sorted by another keyed
+document's id: the smallest k whose cumulative probability is over it. Means over TABLED are inverted by the Cornish-Fisher
+expansion of the quantile, off by at most one there. A row that is repeated more than CHUNK times is exploded in two steps:
+into chunks, which are dealt to all tasks, and those into copies. Rows are then dealt and sorted by another keyed
 hash of (id, copy): a global shuffle that is the same in every run and on every cluster.
 """
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import fresh, stash, without
 
 MOST_SOURCES = 10_000  # rates of more sources than this are joined, not broadcast
+TABLED = 500.0  # means up to this are inverted in a table of cumulative probabilities
+CHUNK = 1024  # copies that a task makes of a row at once; no mean that is tabled draws more
 SALTS = 64  # parts of a source's rows in such a join
 
 
@@ -25,7 +29,7 @@ def unit(seed: str, *parts: Column) -> Column:
 
 
 def cumulative(mean: Column) -> Column:
-    """Poisson's cumulative probabilities of 0, 1, ... far into the tail (means are at most 500 here; larger ones are drawn in parts)."""
+    """Poisson's cumulative probabilities of 0, 1, ... far into the tail, for means up to TABLED."""
     steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int"))
     first = F.exp(-mean)
     start = F.struct(first.alias("p"), F.array(first).alias("cdf"))
@@ -37,6 +41,34 @@ def cumulative(mean: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["cdf"])
 
 
+def normal_quantile(u: Column) -> Column:
+    """The standard normal distribution's quantile by Acklam's rational approximations, with a relative error of about 1e-9."""
+    # fixed values: the coefficients of the approximations, highest powers first
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+    def at(coefficients: tuple[float, ...], x: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for k in coefficients[1:]:
+            out = out * x + F.lit(k)
+        return out
+
+    half = u - 0.5
+    tail = F.greatest(F.least(u, 1 - u), F.lit(2.0**-53))
+    far = F.sqrt(-2 * F.log(tail))
+    low = at(c, far) / at(d, far)
+    return F.when(tail >= 0.02425, at(a, half * half) * half / at(b, half * half)).when(half < 0, low).otherwise(-low)
+
+
+def drawn(u: Column, mean: Column, cdf: Column) -> Column:
+    """The smallest k, a long, whose cumulative probability is over u; cdf is used for means up to TABLED."""
+    z, root = normal_quantile(u), F.sqrt(mean)
+    far = mean + root * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * root)
+    return F.when(mean <= TABLED, F.size(F.filter(cdf, lambda c: c <= u)).cast("long")).otherwise(F.greatest(F.lit(0.0), F.ceil(far - 0.5)).cast("long"))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", text_col: str = "text", total: int | None = None) -> DataFrame:
     """(_source, _rate): each source's mean repetition rate. Sources without text, or without a weight, have none.
 
@@ -63,31 +95,43 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
     are in order of their texts. A null source is the source "". Rows with equal ids in one source draw the same count; a
     null id draws as the empty text; null and empty texts add nothing to their source's size, and are drawn like others. A
     document of a source without any text, or without weight, isn't in the mixture. An empty table gives an empty result.
+    Rates have no bound: a tiny source's row may be repeated a million times, by all tasks; copy numbers go up to 2^31.
     Further columns stay, whatever their names; columns named copy or mix_key are replaced.
     """
     docs = docs.select(*without(docs.columns, "copy", "mix_key"))
     kept = docs.columns
-    source, rate, pieces, cdf, times, salt = fresh([*kept, "copy", "mix_key"], "source_text", "rate", "pieces", "cdf", "times", "salt")
+    counts, most, source, times, chunk = counted(docs, weights, seed, id_col, source_col, text_col, total)
+
+    def copies(df: DataFrame, first, n) -> DataFrame:
+        return df.select(*kept, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: (first + k).cast("int"))).alias("copy"))
+
+    few = counts.where(F.col(times) <= CHUNK) if most > TABLED else counts
+    made = copies(few, F.lit(0).cast("long"), F.col(times))
+    if most > TABLED:  # else no row is drawn so often
+        parts_of = counts.where(F.col(times) > CHUNK).withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))))
+        spread = parts_of.repartition(F.xxhash64(source, id_col, chunk))
+        made = made.unionByName(copies(spread, F.col(chunk) * CHUNK, F.least(F.lit(CHUNK).cast("long"), F.col(times) - F.col(chunk) * CHUNK)))
+    placed = made.withColumn("mix_key", unit(seed + "/order", F.col(source_col), F.col(id_col), F.col("copy")))
+    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionById(n, F.floor(F.col("mix_key") * n).cast("int")).sortWithinPartitions("mix_key", id_col, source_col, text_col)
+
+
+def counted(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total: int | None = None) -> tuple[DataFrame, float, str, str, str]:
+    """(docs' rows that are drawn at all with how often, the largest mean, and the names of the columns of the source, of the number of times, and of one more that is free)."""
+    kept = docs.columns
+    source, rate, cdf, times, salt, chunk = fresh([*kept, "copy", "mix_key"], "source_text", "rate", "cdf", "times", "salt", "chunk")
     by_source = rates(docs, weights, source_col, text_col, total).select(F.col("_source").alias(source), F.col("_rate").alias(rate))
-    split = F.greatest(F.lit(1), F.ceil(F.col(rate) / 500)).cast("int")
-    by_source = by_source.select(source, split.alias(pieces), cumulative(F.col(rate) / split).alias(cdf))
+    sources, most = by_source.agg(F.count("*"), F.max(rate)).first()
+    by_source = by_source.select(source, rate, F.when(F.col(rate) <= TABLED, cumulative(F.least(F.col(rate), F.lit(TABLED)))).alias(cdf))
     keyed = docs.withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    if by_source.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+    if sources <= MOST_SOURCES:
         keyed = keyed.join(F.broadcast(by_source), source)
     else:
         dealt = by_source.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int")).join(dealt, [source, salt])
-
-    def drawn(piece: Column) -> Column:
-        u = unit(seed, F.col(source), F.col(id_col), piece)
-        return F.size(F.filter(cdf, lambda c: c <= u))
-
-    count = F.aggregate(F.sequence(F.lit(0), F.col(pieces) - 1), F.lit(0), lambda n, piece: n + drawn(piece))
-    counted = keyed.select(*kept, source, count.alias(times)).where(F.col(times) > 0)
-    copies = counted.select(*kept, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("copy"))
-    placed = copies.withColumn("mix_key", unit(seed + "/order", F.col(source_col), F.col(id_col), F.col("copy")))
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionById(n, F.floor(F.col("mix_key") * n).cast("int")).sortWithinPartitions("mix_key", id_col, source_col, text_col)
+    u = unit(seed, F.col(source), F.col(id_col), F.lit(0))
+    counts = keyed.select(*kept, source, drawn(u, F.col(rate), F.col(cdf)).alias(times)).where(F.col(times) > 0)
+    return counts, most or 0.0, source, times, chunk
 
 
 def oracle(seed: str = "mix-1") -> str:
