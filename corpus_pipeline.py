@@ -1,14 +1,14 @@
 """A training corpus from documents: toxicity, near-duplicates, secrets, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
-columns of documents. Between stages the rows are written as Parquet to the shared folder and read again.
+columns of documents (the mixture with the number of each copy besides). Between stages the rows are written as Parquet to the shared folder and read again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.llm import mixing, pieces, secrets, shingles, simhash, toxicity
@@ -28,13 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows with a null id stay."""
-    return simhash.keep_first(docs.select(*COLUMNS))
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of drop_copies' documents, one of each group linked by five-word shingles of Jaccard similarity 0.8 or more.
+    """One document of each group of near-duplicates (fingerprints at most 4 bits apart), and then of each group linked by five-word shingles of Jaccard similarity 0.8 or more: the one with the smallest id.
 
     Null and empty texts are copies of each other. Of repeated rows one stays; rows with a null id all stay.
     """
@@ -60,18 +55,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources give equally many characters, in a global shuffle.
 
     A null source is one of its own. Rows of one id and source are repeated alike. Null and empty texts are drawn like
-    others; a source without any text isn't in the mixture.
+    others; a source without any text isn't in the mixture. copy numbers a document's copies, for the next stage.
     """
-    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS, "copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the pieces of the text and how many; a document repeated by the mixture is there as often, each time cut in its own way.
 
-    A null text has null pieces and an empty one none, both n_tokens 0. Long texts are cut whole.
+    Rows stay where the mixture has put them. A null text has null pieces and an empty one none, both n_tokens 0. Long texts
+    are cut whole. Documents without a copy number are cut as copy 0.
     """
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")
-    numbered = docs.select("doc_id", "source", "text", (F.row_number().over(same) - 1).alias("copy"))
+    numbered = docs.select("doc_id", "source", "text", F.col("copy") if "copy" in docs.columns else F.lit(0).alias("copy"))
     encoded = pieces.encode(numbered, copy_col="copy")
     return encoded.select("doc_id", "source", "ids", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).alias("n_tokens"))
 

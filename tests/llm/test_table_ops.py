@@ -267,7 +267,7 @@ def test_pipeline_stages(spark, small):
     docs = read(spark, small, "documents")
     clean = corpus_pipeline.drop_toxic(spark, docs, small)
     assert clean.columns == list(corpus_pipeline.COLUMNS)
-    unique = corpus_pipeline.drop_copies(spark, docs, small)
+    unique = simhash.keep_first(docs)
     comps = simhash.near_duplicates(docs).collect()
     assert {r.doc_id for r in unique.collect()} == {r.component_id for r in comps}
     hidden = corpus_pipeline.hide_secrets(spark, docs, small)
@@ -275,7 +275,7 @@ def test_pipeline_stages(spark, small):
     for r in hidden.collect():
         assert ("[SECRET]" in r.text) == bool(r.text != before[r.doc_id]) and (r.text == before[r.doc_id] or r.n_chars == len(r.text))
     assert not [r for r in secrets.digest(secrets.scan(hidden)).collect() if r.n_access]
-    assert corpus_pipeline.mix_sources(spark, docs, small).columns == list(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.mix_sources(spark, docs, small).columns == [*corpus_pipeline.COLUMNS, "copy"]
     out = corpus_pipeline.run(spark, small).collect()
     assert out and all(r.n_tokens == len(r.ids) for r in out)
 
@@ -293,6 +293,8 @@ def test_queries_return_their_contracts(spark, small):
         "op7": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}, "op10": {"query_id", "rank", "vec_id", "score"},
     }
     want |= {"op6": {"doc_id", "text", "slot", "shard"}, "op8": {"doc_id", "ids", "n_tokens", "lossless"}, "op9": {"doc_id", "text", "copy", "mix_key"}}
+    want |= {"op11": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"}, "op12": {"sale_id", "batch", "late", "click_id", "n_clicks"}}
+    want |= {"op13": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"}}
     for name, f in queries.QUERIES.items():
         assert want[name.split("_")[0]] <= set(f(spark, small).columns)
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
