@@ -16,6 +16,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,12 @@ def files(spark: SparkSession, byte_bpe: str, pieces: str):
     return spark.sparkContext.broadcast(tuple(held))
 
 
+def united(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """np.union1d for two sorted arrays: a stable sort only merges them."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return both[np.diff(both, prepend=both[0] - 1) != 0] if len(both) else both
+
+
 class Overlaps:
     """The overlaps in texts that lie end to end: their bytes are counted on, so that texts' ends are shared ends.
 
@@ -94,15 +101,16 @@ class Overlaps:
     def __init__(self, t: Tokenizers, cut_a: list[list[int]], cut_b: list[list[int]]) -> None:
         self.t = t
         self.of_a, self.of_b = (np.array([len(x) for x in c], np.int64) for c in (cut_a, cut_b))
-        self.a, self.b = (np.fromiter((i for x in c for i in x), np.int64, int(n.sum())) for c, n in ((cut_a, self.of_a), (cut_b, self.of_b)))
+        self.a, self.b = (np.fromiter(chain.from_iterable(c), np.int64, int(n.sum())) for c, n in ((cut_a, self.of_a), (cut_b, self.of_b)))
         ends_a, ends_b = np.cumsum(t.size_a[self.a]), np.cumsum(t.size_b[self.b])
-        ends = np.union1d(ends_a, ends_b)
+        ends = united(ends_a, ends_b)
         self.owner_a, self.owner_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        self.shared = (ends_a[self.owner_a] == ends) & (ends_b[self.owner_b] == ends) if len(ends) else np.zeros(0, bool)
-        closed = ends[self.shared]
-        self.group_a, self.group_b = np.searchsorted(closed, ends_a), np.searchsorted(closed, ends_b)
-        text_end = np.concatenate([[0], ends_a])[np.cumsum(self.of_a)]
-        self.link_end, self.group_end = np.searchsorted(ends, text_end, "right"), np.searchsorted(closed, text_end, "right")
+        last_a, last_b = (e[o] == ends if len(ends) else np.zeros(0, bool) for e, o in ((ends_a, self.owner_a), (ends_b, self.owner_b)))
+        self.shared = last_a & last_b
+        group = np.cumsum(self.shared) - self.shared  # of each interval
+        self.group_a, self.group_b = group[last_a], group[last_b]
+        self.link_end = np.searchsorted(ends, np.concatenate([[0], ends_a])[np.cumsum(self.of_a)], "right")
+        self.group_end = np.concatenate([[0], np.cumsum(self.shared)])[self.link_end]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of both sides of each link, text by text."""
