@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import evaluation, relational, surface  # noqa: F401
+from .queries import comparators, evaluation, relational, surface  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

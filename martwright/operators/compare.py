@@ -1,7 +1,7 @@
 """Result comparators: when does a predicted result answer the same question as a gold one.
 
-Results here are bounded (row-capped) lists at the edge, as the service returns them; operators.joins has the DataFrame
-forms (matched_within) for results that stay on the cluster.
+Results here are bounded (row-capped) lists at the edge, as the service returns them; operators.cases has the same tests as
+column expressions over tables of cases, and operators.joins (matched_within) over results of any size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 
 Row = Sequence
-WIDEST = 16  # columns of a prediction that are tried in other orders
 RATIOS = (1.0, 100.0, 0.01)
 
 
@@ -103,19 +102,14 @@ def relaxed(case: Case, gold: list[Row], pred: list[Row], who: Entities | None =
     """The gold columns are found among the predicted ones, in any order; further columns are ignored."""
     if strict(case, gold, pred, who):
         return True
-    if not gold or not pred or not len(gold[0]) <= len(pred[0]) <= WIDEST:
+    if not gold or not pred or len(gold[0]) > len(pred[0]):
         return False
-    fits = [[j for j in range(len(pred[0])) if any(_cell(case, i, gold[0][i], p[j], who) for p in pred)] for i in range(len(gold[0]))]
-    return any(len(set(cols)) == len(cols) and strict(case, gold, [[p[j] for j in cols] for p in pred], who) for cols in _choices(fits))
-
-
-def _choices(fits: list[list[int]]) -> Iterable[tuple[int, ...]]:
-    if not fits:
-        yield ()
-        return
-    for j in fits[0]:
-        for rest in _choices([[k for k in f if k != j] for f in fits[1:]]):
-            yield (j, *rest)
+    columns = list(zip(*pred, strict=True))
+    ways: list[list[int]] = [[]]
+    for i in range(len(gold[0])):  # the gold columns placed so far must already find their rows; of equal columns the first free one will do
+        longer = [[*w, j] for w in ways for j in range(len(columns)) if j not in w and columns.index(columns[j]) not in set(range(j)) - set(w)]
+        ways = [w for w in longer if strict(case, [g[: i + 1] for g in gold], [[p[j] for j in w] for p in pred], who)]
+    return bool(ways)
 
 
 def context_columns(columns: list[str], rows: list[Row], names: frozenset[str] = frozenset({"fiscal_year", "ticker", "name", "uom"})) -> set[int]:

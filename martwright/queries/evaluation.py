@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as cl
 from ..functions import names, patterns
-from ..operators import compare, ground, mart, metrics, voting
+from ..operators import ground, mart, metrics, voting
 from ..registry import query
 from ..session import table
 
@@ -337,43 +337,3 @@ def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.refusals(asked, c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("cik")), forms.select("cik"), forms, {"v_revenue": revenue})
 
 
-CASES = "c AS (SELECT o_orderpriority AS k, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1)"
-
-
-def _verdicts(spark: SparkSession, sf_dir: str, test) -> DataFrame:
-    """One verdict a prediction, for gold counts by priority against predictions of several shapes."""
-    gold = [tuple(r) for r in table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").cast("double").alias("v")).collect()]
-    shapes = {
-        "same": gold, "reordered": gold[::-1], "near": [(k, v * (1 + 1e-9)) for k, v in gold], "off": [(k, v * 1.1) for k, v in gold], "swapped": [(v, k) for k, v in gold],
-        "extra": [(k, 1997, v) for k, v in gold], "repeated": [*gold, gold[0]], "short": gold[1:],
-    }
-    return spark.createDataFrame([(name, bool(test(gold, rows))) for name, rows in shapes.items()], "shape string, matched boolean")
-
-
-def _truth(*right: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {str(s in right).lower()})" for s in ("same", "reordered", "near", "off", "swapped", "extra", "repeated", "short")) + ") t(shape, matched)"
-
-
-@query("c01_v1_match", _truth("same", "reordered", "repeated"))
-def c01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir, lambda g, p: compare.v1(g, p, "set"))
-
-
-@query("c02_strict", _truth("same", "reordered", "near", "repeated"))
-def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir, lambda g, p: compare.strict(compare.Case(), g, p))
-
-
-@query("c03_relaxed", _truth("same", "reordered", "near", "repeated", "swapped", "extra"))
-def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir, lambda g, p: compare.relaxed(compare.Case(), g, p))
-
-
-@query("c07_context", _truth("same", "reordered", "near", "repeated", "extra"))
-def c07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir, lambda g, p: compare.without_context(compare.Case(), ["k", "v"], g, ["k", "fiscal_year", "v"] if len(p[0]) == 3 else ["k", "v"], p))
-
-
-@query("c08_float_equal", _truth("same", "reordered", "near"))
-def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir, compare.float_equal)
