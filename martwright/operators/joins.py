@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefixes
+from .ranges import RANGES, cut_points, ranged, ranged_as
 
-def overlaps(spans: DataFrame, key: str, node: str, start: str, end: str, width: int = 3600) -> DataFrame:
-    """(id_a, id_b, seconds): unordered pairs on one node that share some time.
 
-    Spans meet by node and by stretch of time, width seconds long, that they reach into, so that a busy node is many groups;
-    a pair counts in the stretch where its common time begins. A span of no length within another shares 0 seconds with it.
-    """
-
-    def side(s: str) -> DataFrame:
-        own = spans.select(F.col(key).alias(f"id_{s}"), F.col(node).alias("_node"), F.col(start).cast("long").alias(f"_{s}1"), F.col(end).cast("long").alias(f"_{s}2"))
-        return own.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col(f"_{s}1") / width), F.floor(F.col(f"_{s}2") / width))))
+def overlaps(spans: DataFrame, key: str, node: str, start: str, end: str, ranges: int = RANGES) -> DataFrame:
+    """(id_a, id_b, seconds): unordered pairs on one node that share some time, id_a < id_b.
 
-    both = side("a").join(side("b"), ["_node", "_stretch"]).where("id_a < id_b AND _a1 < _b2 AND _b1 < _a2")
-    once = both.where(F.floor(F.greatest("_a1", "_b1") / width) == F.col("_stretch"))
-    return once.select("id_a", "id_b", (F.least("_a2", "_b2") - F.greatest("_a1", "_b1")).alias("seconds"))
+    A sweep over starts, in ranges of time that hold about equally many of them: a pair is found where the later of its spans
+    begins. A span is carried on from its own range into each later one that it reaches and in which its node has a start, so
+    there are fewer carried rows than spans and pairs. In a range the partners of a span are the starts from its own to its
+    end, a stretch of the sorted ones: work is linear but for the sort and the pairs themselves. A span of no length within
+    another shares 0 seconds with it; spans that end before they start, or lack an end, are in no pair. Ids must be unique.
+    """
+    own = spans.select(F.col(key).alias("_id"), F.col(node).alias("_node"), F.col(start).cast("long").alias("_a"), F.col(end).cast("long").alias("_b")).where("_a <= _b and _node is not null and _id is not null")
+    cut = ranged(own, "_a", ranges).withColumnRenamed("_range", "_own")
+    last = ranged_as(F.col("_b"), cut_points(own, "_a", ranges))
+    there = cut.groupBy("_node").agg(F.array_sort(F.collect_set("_own")).alias("_ranges"))  # at most as many as there are ranges
+    placed = cut.withColumn("_last", last).join(there, "_node")
+    carried = placed.withColumn("_range", F.explode(F.filter("_ranges", lambda r: (r >= F.col("_own")) & (r <= F.col("_last")))))
+    kind = spans.schema[key].dataType.simpleString()
+
+    def sweep(group: pa.Table) -> pa.Table:
+        a, b = group["_a"].to_numpy(), group["_b"].to_numpy()
+        mine = group["_own"].to_numpy() == group["_range"].to_numpy()
+        order = np.lexsort((b, a, mine))  # carried spans, then those that start here in order
+        a, b, ids = a[order], b[order], group["_id"].combine_chunks().take(pa.array(order))
+        first = int(np.count_nonzero(~mine))
+        starts, lengths = a[first:], b[first:] - a[first:]
+        begin = np.where(np.arange(len(a)) < first, 0, np.arange(len(a)) - first + 1)
+        n = np.maximum(np.searchsorted(starts, b, "left") - begin, 0)
+        x = np.repeat(np.arange(len(a)), n)
+        y = first + np.arange(len(x)) - np.repeat(np.cumsum(n) - n - begin, n)
+        held = (lengths[y - first] > 0) | (a[x] < a[y])
+        x, y = x[held], y[held]
+        left, right = ids.take(pa.array(x)), ids.take(pa.array(y))
+        seconds = pa.array(np.minimum(b[x], b[y]) - a[y], pa.int64())
+        swap = pc.less(right, left)
+        return pa.table([pc.if_else(swap, right, left), pc.if_else(swap, left, right), seconds], ["id_a", "id_b", "seconds"])
+
+    return carried.select("_id", "_node", "_a", "_b", "_own", "_range").groupBy("_node", "_range").applyInArrow(sweep, f"id_a {kind}, id_b {kind}, seconds long")
 
 
 OPERANDS = 40  # of a result: its first distinct cells, which derived numbers are tried on
@@ -42,16 +70,9 @@ def derived(cells: DataFrame, claims: DataFrame, result: str, order: str, value:
 
 
 def unique_prefix(mentions: DataFrame, mention: str, names: DataFrame, name: str) -> DataFrame:
-    """Mentions that begin exactly one name, with that name's row; ambiguous mentions have none.
-
-    Names are cut to the lengths that occur among mentions, so the join is an equality on the cut text.
-    """
-    lengths = mentions.select(F.length(mention).alias("_n")).distinct()
-    cut = names.join(F.broadcast(lengths), F.length(name) >= F.col("_n")).withColumn(mention, F.substring(F.col(name), F.lit(1), F.col("_n"))).drop("_n")
-    hits = mentions.distinct().join(cut, mention)
-    counted = hits.withColumn("_hits", F.count("*").over(Window.partitionBy(mention)))
-    return counted.where("_hits = 1").drop("_hits")
-
+    """Mentions that begin exactly one name, with that row's columns. Found in the sorted names by their shortest unique beginnings."""
+    found = prefixes.resolved(mentions, mention, names, name).withColumnRenamed(name, "_name")
+    return mentions.distinct().join(found, mention).join(names, F.col("_name") == F.col(name)).drop("_name")
 
 def tokens(name: Column) -> Column:
     words = F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " ")

@@ -61,10 +61,34 @@ def v06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy(voting.state(F.col("route") == "ANSWER", F.col("winner_empty")).alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("v01_fingerprint", "SELECT o_custkey, sha256(string_agg(o_orderkey || '|' || o_orderstatus, chr(10) ORDER BY o_orderkey || '|' || o_orderstatus)) AS print FROM orders GROUP BY 1")
+def _print_sql(row: str) -> str:
+    """The fingerprint of voting.fingerprint() in SQL; row is the text of a row."""
+    parts = " || '-' || ".join(f"CAST(coalesce(sum(CAST(CAST('0x' || substr(sha256({row}), {k}, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR)" for k in (1, 16, 31, 46))
+    return f"count({row}) || '-' || {parts}"
+
+
+def _cells_sql(*cells: str) -> str:
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in cells)
+
+
+@query("v01_fingerprint", f"SELECT o_custkey, {_print_sql(_cells_sql('o_orderkey', 'o_orderstatus'))} AS print FROM orders GROUP BY 1")
 def v01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.concat(F.col("o_orderkey").cast("string"), F.lit("|"), F.col("o_orderstatus"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(voting.fingerprint(F.collect_list(row)).alias("print"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(voting.fingerprint(voting.row_text(F.col("o_orderkey"), F.col("o_orderstatus"))).alias("print"))
+
+
+@query(
+    "v01_vote",
+    f"""WITH x AS (SELECT l_orderkey AS case_id, idx, CASE WHEN idx = 2 THEN l_suppkey ELSE l_partkey END AS k, CASE WHEN idx = 4 THEN NULL ELSE l_linestatus END AS s FROM lineitem, (SELECT unnest(range(0, 5)) AS idx) i WHERE NOT (idx = 3 AND l_returnflag = 'R')),
+f AS (SELECT case_id, idx, {_print_sql(_cells_sql('k', 's'))} AS print FROM x GROUP BY 1, 2), g AS (SELECT case_id, print, count(*) AS size, min(idx) AS first FROM f GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY size DESC, first) AS n FROM g) SELECT case_id, CAST(first AS INT) AS winner_idx, CAST(size AS DOUBLE) / (SELECT count(*) FROM f WHERE f.case_id = b.case_id) AS agreement FROM b WHERE n = 1""",
+)
+def v01_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five candidates' results for each order, of which some agree: rows never meet but in sums."""
+    idx = F.col("idx")
+    rows = table(spark, sf_dir, "lineitem").withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(4)))).where(~((idx == 3) & (F.col("l_returnflag") == "R")))
+    text = voting.row_text(F.when(idx == 2, F.col("l_suppkey")).otherwise(F.col("l_partkey")), F.when(idx != 4, F.col("l_linestatus")))
+    prints = rows.groupBy(F.col("l_orderkey").alias("case_id"), "idx").agg(voting.fingerprint(text).alias("key")).withColumn("reason_code", F.lit(None).cast("string"))
+    return voting.vote(prints).select("case_id", "winner_idx", "agreement")
 
 
 REC = """rec AS (SELECT o_orderkey AS id, o_orderpriority AS tier, CASE WHEN o_custkey % 3 = 0 THEN 'ABSTAIN' ELSE 'ANSWER' END AS expected, CASE WHEN o_orderstatus = 'P' THEN 'ABSTAINED' ELSE 'ANSWERED' END AS state,

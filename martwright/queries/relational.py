@@ -89,7 +89,13 @@ shared("a01_count_where", "SELECT count(*) AS n, CAST(count(*) FILTER (WHERE o_o
 shared("a02_having_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 2")
 shared("a03_scaled_sum", "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / 1e9 AS billions FROM lineitem")
 shared("a04_avg_by_sector", "SELECT c_mktsegment, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean FROM customer GROUP BY c_mktsegment")
-shared("a05_median", "SELECT o_orderpriority, median(o_totalprice) AS middle FROM orders GROUP BY o_orderpriority")
+
+
+@query("a05_median", "SELECT o_orderpriority, median(o_totalprice) AS middle FROM orders GROUP BY o_orderpriority")
+def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.median(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", "middle")
+
+
 shared("a06_min_max", f"WITH {FI} SELECT form, min(fiscal_year) AS first, max(fiscal_year) AS latest FROM fi GROUP BY form")
 shared("a07_distinct", "SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS forms FROM orders")
 shared("a08_pivot_case", f"WITH {YR} SELECT cik, CAST(max(CASE WHEN fy = 1996 THEN v END) AS DOUBLE) AS v96, CAST(max(CASE WHEN fy = 1997 THEN v END) AS DOUBLE) AS v97 FROM yr GROUP BY cik")
