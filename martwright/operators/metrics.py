@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import comb
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import ratio
@@ -140,8 +143,6 @@ def ablation(records: DataFrame, arm: str, tier: str, right: str, on: str, off:
 
 def acceptance(records: DataFrame, tier: str, right: str, least: dict[str, float]) -> DataFrame:
     """(tier, total, right, rate, place, accepted): tiers from the best on, and whether each reaches what it must."""
-    from pyspark.sql import Window
-
     out = records.groupBy(F.col(tier).alias("tier")).agg(F.count("*").alias("total"), F.count_if(right).alias("right"))
     rate, need = ratio(F.col("right"), F.col("total")), F.coalesce(*(F.when(F.col("tier") == t, F.lit(x)) for t, x in least.items()), F.lit(0.0))
     place = F.row_number().over(Window.orderBy(F.desc("right"), "tier"))  # a row for each tier
@@ -164,8 +165,6 @@ def editions(verdicts: DataFrame, case: str, before: str, after: str) -> DataFra
 
 def signals(scores: DataFrame, name: str, score: str, positive: Column) -> DataFrame:
     """(name, n, constant, auroc) for each signal: ranks by counts of its distinct scores."""
-    from pyspark.sql import Window
-
     c = scores.groupBy(name, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
     w = Window.partitionBy(name).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     won = c.withColumn("_won", F.col("p") * (F.coalesce(F.sum("q").over(w), F.lit(0)) + F.col("q") / 2.0))
@@ -245,6 +244,54 @@ def pool_expectations(candidates: DataFrame, case: str, run: str, model: str, pr
     return out.select("plan", "cases", "solved", "rate", (F.col("rate") - wide_s).alias("low"), (F.col("rate") + wide_s).alias("high"), "ahead", (F.col("ahead") - wide_t).alias("ahead_low"), (F.col("ahead") + wide_t).alias("ahead_high"))
 
 
+def plurality_chance(sizes: list[int], right: list[bool], failed: int, k: int) -> float:
+    """The chance that a vote over k candidates, drawn without replacement, picks a right cluster; ties are shared.
+
+    Exact, by counting draws: for each right cluster and each number of its members drawn, the others' draws with fewer, or
+    with as many (a tie), are counted by a product of polynomials in how many are drawn and how many tie. Failed candidates
+    are drawn but never win. Fewer candidates than k: all are drawn.
+    """
+    total = sum(sizes) + failed
+    k = min(k, total)
+    if not k:
+        return 0.0
+    won = 0.0
+    for j in (j for j, ok in enumerate(right) if ok):
+        for m in range(1, min(sizes[j], k) + 1):
+            ways = {(0, 0): 1}  # (drawn of the others, ties): draws
+            for n in [s for i, s in enumerate(sizes) if i != j]:
+                more: dict = {}
+                for (d, t), x in ways.items():
+                    for a in range(min(n, m, k - m - d) + 1):
+                        at = (d + a, t + (a == m))
+                        more[at] = more.get(at, 0) + x * comb(n, a)
+                ways = more
+            won += comb(sizes[j], m) * sum(x * comb(failed, k - m - d) / (t + 1) for (d, t), x in ways.items() if k - m - d <= failed)
+    return won / comb(total, k)
+
+
+def vote_expectations(candidates: DataFrame, case: str, pool: str, key: str, correct: str, k: int = 5) -> DataFrame:
+    """(pool, cases, rate, place): each pool's expected share of cases that a vote over k of its candidates gets right, best first.
+
+    A case's candidates of a pool are clusters of equal keys; a null key is one that failed; a cluster is right if one of its
+    members is. place 1 is the best single pool, the highest place the worst; the mean over pools is that of a pool picked
+    at random.
+    """
+    own = candidates.select(F.col(case).alias("case"), F.col(pool).alias("pool"), F.col(key).alias("key"), F.coalesce(F.col(correct), F.lit(False)).alias("right"))
+    clusters = own.groupBy("case", "pool", "key").agg(F.count("*").alias("n"), F.bool_or("right").alias("right"))
+    sizes = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("n", "right")))  # a pool's clusters of one case
+    held = clusters.groupBy("case", "pool").agg(sizes.alias("c"), F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("failed"))
+    shape = held.groupBy("pool", F.array_sort("c").alias("c"), "failed").agg(F.count("*").alias("cases"))  # cases alike are counted once
+
+    @F.pandas_udf("double")
+    def chance(c: pd.Series, failed: pd.Series) -> pd.Series:
+        return pd.Series([plurality_chance([x["n"] for x in rows], [x["right"] for x in rows], int(f), k) for rows, f in zip(c, failed, strict=True)], dtype=float)
+
+    out = shape.groupBy("pool").agg(F.sum("cases").alias("cases"), (F.sum(F.col("cases") * chance("c", "failed")) / F.sum("cases")).alias("rate"))
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("rate", 9)), "pool"))  # a row for each pool
+    return out.select("pool", "cases", F.round("rate", 9).alias("rate"), place.alias("place"))
+
+
 def empty_causes(candidates: DataFrame, case: str, has_entity: str, linked: str, has_period: str, empty: str) -> DataFrame:
     """(cause, n): why candidates came back empty, the first that holds."""
     cause = F.when(~F.col(empty), "not_empty").when(~F.col(has_entity), "no_entity_predicate").when(~F.col(linked), "wrong_entity").when(F.col(has_period), "wrong_period").otherwise("absent")

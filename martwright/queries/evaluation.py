@@ -170,6 +170,24 @@ def m07_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pool_expectations(x, "case_id", "run", "model", "prompt", "correct")
 
 
+@query(
+    "m07_vote_expectations",
+    """WITH x AS (SELECT o_custkey AS c, o_orderkey % 3 AS pool, o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS k, o_orderstatus = 'F' AS ok FROM orders),
+q AS (SELECT c, pool, k, bool_or(ok) AS ok FROM x WHERE k IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT c, pool, count(*) AS n FROM x GROUP BY 1, 2),
+d AS (SELECT c, pool, [a.k] AS ks FROM x a JOIN n USING (c, pool) WHERE n = 1 UNION ALL SELECT a.c, a.pool, [a.k, b.k] FROM x a JOIN x b ON a.c = b.c AND a.pool = b.pool AND a.id < b.id JOIN n ON n.c = a.c AND n.pool = a.pool WHERE n = 2
+ UNION ALL SELECT a.c, a.pool, [a.k, b.k, e.k] FROM x a JOIN x b ON a.c = b.c AND a.pool = b.pool AND a.id < b.id JOIN x e ON e.c = b.c AND e.pool = b.pool AND b.id < e.id),
+i AS (SELECT c, pool, row_number() OVER () AS draw, ks FROM d), u AS (SELECT c, pool, draw, k, count(*) AS size FROM (SELECT c, pool, draw, unnest(ks) AS k FROM i) WHERE k IS NOT NULL GROUP BY 1, 2, 3, 4),
+t AS (SELECT *, max(size) OVER (PARTITION BY draw) AS top FROM u), w AS (SELECT t.c, t.pool, t.draw, avg(CASE WHEN q.ok THEN 1.0 ELSE 0.0 END) AS won FROM t JOIN q ON q.c = t.c AND q.pool = t.pool AND q.k = t.k WHERE size = top GROUP BY 1, 2, 3),
+e AS (SELECT i.c, i.pool, avg(coalesce(w.won, 0.0)) AS x FROM i LEFT JOIN w ON w.draw = i.draw GROUP BY 1, 2), r AS (SELECT pool, count(*) AS cases, round(avg(x), 9) AS rate FROM e GROUP BY 1)
+SELECT pool, cases, rate, CAST(row_number() OVER (ORDER BY rate DESC, pool) AS INTEGER) AS place FROM r""",
+)
+def m07_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are cases, their orders candidates of three pools; a vote over three of a pool's. The SQL goes through all draws."""
+    k = F.col("o_orderkey")
+    x = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), (k % 3).alias("pool"), F.when(k % 7 != 0, F.col("o_orderpriority")).alias("key"), (F.col("o_orderstatus") == "F").alias("correct"))
+    return metrics.vote_expectations(x, "case_id", "pool", "key", "correct", 3)
+
+
 REPLAY = """SELECT replay, count(*) FILTER (state <> was) AS flipped, count(*) FILTER (state <> was AND (state = 'ABSTAINED') = (expected = 'ABSTAIN')) AS right_flips, count(*) FILTER (state = 'ABSTAINED' AND expected = 'ABSTAIN') AS tp,
  count(*) FILTER (state = 'ABSTAINED' AND expected <> 'ABSTAIN') AS fp, count(*) FILTER (state <> 'ABSTAINED' AND expected = 'ABSTAIN') AS fn, count(*) FILTER (state = 'ABSTAINED' AND expected = 'ABSTAIN' AND code = 'NO_DATA') AS right_reason FROM x GROUP BY replay"""
 

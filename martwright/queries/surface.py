@@ -9,7 +9,7 @@ from ..functions import names, numbers, patterns
 from ..operators import audit, ground, mart
 from ..plans import guard, parser, shape
 from ..registry import query
-from ..session import table
+from ..session import scratch, table
 from ..sources import filings, logs
 from ..streaming import windows
 from .relational import shared
@@ -41,6 +41,41 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.stats(filings.typed_num(raw))
 
 
+EVENTS_TYPED = f"t AS (SELECT event_id, user_id, {TYPED} AS v FROM events)"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    raw = table(spark, sf_dir, "events").select(k, (F.col("user_id") % 7).alias("quarter"), F.when(k % 10 == 0, "").when(k % 10 == 1, "n/a").otherwise(k.cast("string")).alias("value"), F.lit("4").alias("qtrs"))
+    return filings.typed_num(raw)
+
+
+@query("s08_ingest_observed", f"WITH {EVENTS_TYPED} SELECT count(*) FILTER (v <> 'n/a') AS rows, count(*) FILTER (v = '') AS null_values, count(*) FILTER (v = 'n/a') AS skipped, count(*) FILTER (v <> 'n/a') AS stored FROM t")
+def s08_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted while the rows are written by partition, and the rows that are then there."""
+    path = scratch(spark)
+    seen = filings.ingest(_facts(spark, sf_dir), path)
+    return spark.read.parquet(path).agg(*(F.lit(seen[c]).cast("long").alias(c) for c in ("rows", "null_values", "skipped")), F.count("*").alias("stored"))
+
+
+@query("s07_partition_loads", f"WITH {EVENTS_TYPED} SELECT CAST(user_id % 7 AS INTEGER) AS quarter, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM t WHERE v <> 'n/a' AND (user_id % 7 <> 3 OR event_id % 2 = 0) GROUP BY 1")
+def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All quarters are loaded twice, and then one again with fewer rows: partitions are replaced, others stay."""
+    path, rows = scratch(spark), _facts(spark, sf_dir)
+    for part in (rows, rows, rows.where("quarter = 3 AND event_id % 2 = 0")):
+        filings.replace_partitions(part.where("NOT bad").select("event_id", "quarter"), path)
+    return spark.read.parquet(path).groupBy("quarter").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("s05_tsv_file", "SELECT p_partkey, p_name || ' \"' || p_brand || '\" ' || chr(39) AS said, CAST(p_size AS VARCHAR) AS size FROM part")
+def s05_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as tab-separated files, quotes and all, and read as such."""
+    path = scratch(spark)
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(' "'), "p_brand", F.lit("\" '")).alias("said"), F.col("p_size").cast("string").alias("size"))
+    part.write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    return filings.tsv(spark, path, "p_partkey long, said string, size string")
+
+
 @query("f02_int_rejects", f"WITH t AS (SELECT TRY_CAST({TYPED} AS INT) AS v FROM events) SELECT count(v) AS kept, count(*) - count(v) AS rejected FROM t")
 def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import shutil
-import zipfile
-from collections.abc import Callable, Iterator
-from io import BytesIO
+from collections.abc import Callable
 from pathlib import Path
 from typing import IO
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import archives
+
 SUB = "adsh string, cik string, name string, sic string, form string, period string, fy string, fp string, filed string"
 NUM = "adsh string, tag string, version string, ddate string, qtrs string, uom string, segments string, coreg string, value string, footnote string"
 TAG = "tag string, version string, custom string, abstract string, datatype string, iord string, crdr string, tlabel string, doc string"
@@ -28,30 +27,14 @@ def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("sep", "\t").option("quote", "").csv(path)
 
 
-def members(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
-    """The named columns, as text, of one member of every zip under a path; (quarter) is the archive's own name.
+def members(spark: SparkSession, path: str, name: str, columns: list[str], part_bytes: int | None = None, only: list[str] | None = None) -> DataFrame:
+    """The named columns, as text, of one member of every zip under a path, or of the quarters in only; (quarter) is the archive's own name.
 
-    Archives are read as whole files, one a task; lines are split there and never by the driver.
+    A large member is read by several tasks, each a part of its text, and no task holds an archive: see sources.archives.
     """
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(BytesIO(content)) as z, z.open(name) as f:
-                    head = f.readline().decode().rstrip("\r\n").split("\t")
-                    at = [head.index(c) if c in head else -1 for c in columns]
-                    quarter = file.rsplit("/", 1)[-1].removesuffix(".zip")
-                    part = []
-                    for line in f:
-                        cells = line.decode().rstrip("\r\n").split("\t")
-                        part.append([cells[i] if 0 <= i < len(cells) else None for i in at] + [quarter])
-                        if len(part) == 50_000:
-                            yield pd.DataFrame(part, columns=[*columns, "quarter"])
-                            part = []
-                    yield pd.DataFrame(part, columns=[*columns, "quarter"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(rows, ", ".join(f"{c} string" for c in [*columns, "quarter"]))
+    archives.register(spark)
+    schema = ", ".join(f"`{c}` string" for c in [*columns, archives.QUARTER])
+    return spark.read.format("zip_member").schema(schema).option("member", name).option("part_bytes", part_bytes or archives.PART_BYTES).option("quarters", ",".join(only or [])).load(path)
 
 
 def typed_num(num: DataFrame) -> DataFrame:
@@ -68,6 +51,14 @@ def stats(typed: DataFrame) -> DataFrame:
     return typed.agg(F.count_if(~F.col("bad")).alias("rows"), F.count_if("blank").alias("null_values"), F.count_if("bad").alias("skipped"))
 
 
+def ingest(typed: DataFrame, path: str, column: str = "quarter") -> dict[str, int]:
+    """Writes the rows that aren't bad by partition, as replace_partitions() does, and gives stats(): counted while they are written, in the same pass."""
+    seen = Observation("ingest")
+    counted = typed.observe(seen, F.count_if(~F.col("bad")).alias("rows"), F.count_if("blank").alias("null_values"), F.count_if("bad").alias("skipped"))
+    replace_partitions(counted.where("NOT bad").drop("bad", "blank"), path, column)
+    return seen.get
+
+
 def registrants(sub: DataFrame, ciks: DataFrame) -> DataFrame:
     """Submissions whose cik is a number and in scope; joined as a semi join, not collected."""
     numbered = sub.withColumn("cik", F.expr("try_cast(cik AS INT)")).where("cik IS NOT NULL")
