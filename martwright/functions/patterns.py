@@ -15,7 +15,7 @@ MUTATIONS = ("drop", "delete", "truncate", "alter", "update", "insert")
 COMMANDS = ("pragma", "vacuum")
 REASONS = ("OUT_OF_SCOPE", "SCHEMA_MISMATCH", "AMBIGUOUS", "NO_DATA", "COST_LIMIT", "LOW_AGREEMENT", "UNGROUNDED_ANSWER", "EXEC_ERROR")
 INFRA = ("connection refused", "timed out", "connection reset", "out of memory", "service unavailable")
-_PATH, _DOTFILE = r"^/[\w./-]*\.\w+", r"^\.[a-z]\w{1,9}$"  # of a token: a rooted path to a file with an ending, a hidden file
+_PATH, _HIDDEN = r"^/[\w./-]*\.\w+", r"^[.][a-z][a-z0-9_-]+$"  # of a token: a rooted path to a file with an ending; a name behind a dot and nothing else
 
 
 def intent(question: Column) -> Column:
@@ -28,7 +28,7 @@ def intent(question: Column) -> Column:
     tokens = F.transform(F.split(F.lower(question), r"[\s()\"'`,;]+"), lambda t: F.regexp_replace(t, r"[?!:]+$", ""))
     clauses = F.transform(F.split(F.lower(question), "[.;]"), lambda c: F.split(c, r"\W+"))
     copied = F.exists(clauses, lambda c: (F.array_position(c, "copy") > 0) & (F.array_position(F.slice(c, F.greatest(F.array_position(c, "copy"), F.lit(1)).cast("int"), F.size(c)), "to") > 1))
-    files = F.array_contains(said, "export") | copied | F.exists(tokens, lambda t: t.rlike(_PATH) | t.rlike(_DOTFILE))
+    files = F.array_contains(said, "export") | copied | F.exists(tokens, lambda t: t.rlike(_PATH) | t.rlike(_HIDDEN))
 
     def any_of(listed: tuple[str, ...]) -> Column:
         return F.arrays_overlap(said, F.array(*map(F.lit, listed)))
@@ -42,7 +42,7 @@ def intent_of(question: str) -> str | None:
     tokens = [re.sub(r"[?!:]+$", "", t) for t in re.split(r"""[\s()"'`,;]+""", question.lower())]
     clauses = [re.split(r"\W+", c) for c in re.split("[.;]", question.lower())]
     copied = any("to" in c[c.index("copy") + 1 :] for c in clauses if "copy" in c)
-    files = "export" in said or copied or any(re.search(_PATH, t) or re.search(_DOTFILE, t) for t in tokens)
+    files = "export" in said or copied or any(re.search(_PATH, t) or re.search(_HIDDEN, t) for t in tokens)
     found = {"mutation_verb": set(MUTATIONS) & set(said), "engine_command": set(COMMANDS) & set(said), "filesystem_access": files}
     return next((event for event, hit in found.items() if hit), None)
 

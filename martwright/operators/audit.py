@@ -168,3 +168,76 @@ def worst(text: Column, cells: Column, strings: Column) -> Column:
 def company_labels(filings: DataFrame) -> DataFrame:
     """(cik, years, days): the fiscal years and the days on which periods end of each company, each once, in order."""
     return filings.groupBy("cik").agg(F.array_sort(F.collect_set("fiscal_year")).alias("years"), F.array_sort(F.collect_set("period_end_date")).alias("days"))
+
+
+DECIMAL = "decimal(38,10)"
+CLAIM = f"struct<text:string,value:{DECIMAL},half:{DECIMAL},even:boolean,loose_half:{DECIMAL},loose_even:boolean,percent:boolean,year:boolean,whole:boolean,significant:int,label:boolean>"
+_LARGEST = Decimal(10) ** 28
+
+
+def _even(value: Decimal, places: int) -> bool:
+    """Whether a value is an even multiple of its last place, as rounding half to even gives."""
+    return int((value / Decimal(1).scaleb(places)).to_integral_value()) % 2 == 0
+
+
+def _claim(c: Stated) -> dict:
+    half = lambda places: Decimal(5).scaleb(places - 1)
+    fits = abs(c.value) < _LARGEST and -9 <= c.places and max(c.places, c.loose or 0) < 28
+    return {
+        "text": c.text.strip(), "value": c.value if fits else None, "half": half(c.places) if fits else None, "even": _even(c.value, c.places), "loose_half": half(c.loose) if fits and c.loose is not None else None,
+        "loose_even": c.loose is not None and _even(c.value, c.loose), "percent": c.percent, "year": c.year, "whole": c.places == 0, "significant": c.significant, "label": False,
+    }
+
+
+def claims(text: Column, strings: Column) -> Column:
+    """array of CLAIM: what a text states, outside the strings of its result. Numbers of over 28 digits or under ten billionths have no value."""
+
+    @F.pandas_udf(f"array<{CLAIM}>")
+    def run(texts: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for t, w in zip(texts, words, strict=True):
+            none = dict.fromkeys(("value", "half", "loose_half")) | dict.fromkeys(("even", "loose_even", "percent", "year", "whole"), False) | {"significant": 0, "label": True}
+            out.append([{"text": m[0]} | none for m in _LABELS.finditer(t or "")] + [_claim(c) for c in stated(t or "", [x for x in (w if w is not None else ()) if x])])
+        return pd.Series(out)
+
+    return run(text, strings)
+
+
+def _says(value: Column, half: Column, even: Column, cell: Column) -> Column:
+    """Whether a cell, rounded half up or half to even to the places that a claim shows, is its value: by their distance alone."""
+    apart = F.abs(cell - value)
+    return F.coalesce((apart < half) | ((apart == half) & (even | (F.abs(value) > F.abs(cell)))), F.lit(False))
+
+
+def tiers(answers: DataFrame, key: str, text: str, numbers: str, strings: str, n_rows: str, sql: str, company: str, labels: DataFrame) -> DataFrame:
+    """(key, claim, tier) for each claim of a table of answers: audit(), with each answer's company by a join.
+
+    numbers: its result's cells (array<decimal>), strings: its texts, n_rows: its rows, sql: its statement, company: whom it is
+    about (cik), null where that is open. labels: (cik, year), the years that companies have. An answer's own years come by its
+    company, and whether anyone has a year by a join on the year; both sides may be of any size. Keys must be unique.
+    """
+    own = labels.where("cik is not null and year is not null").groupBy(F.col("cik").alias("_cik")).agg(F.collect_set(F.col("year").cast("int")).alias("_own"))
+    read = answers.select(F.col(key).alias("_key"), F.transform(numbers, lambda n: n.cast(DECIMAL)).alias("_n"), F.col(strings).alias("_s"), F.col(n_rows).cast(DECIMAL).alias("_rows"), F.coalesce(F.col(sql), F.lit("")).alias("_sql"), F.col(company).alias("_company"), F.explode(claims(F.col(text), F.col(strings))).alias("_c"))
+    years = labels.where("year is not null").select(F.col("year").cast("int").alias("_year")).distinct().withColumn("_anyone", F.lit(True))
+    said = F.when(F.col("_c.year"), F.col("_c.value").cast("int"))
+    met = read.join(own, F.col("_company") == F.col("_cik"), "left").withColumn("_said", said).join(years, F.col("_said") == F.col("_year"), "left")
+    c, cells = F.col("_c"), F.filter("_n", lambda n: n.isNotNull())
+    pool = F.when(c["percent"], F.concat(cells, F.transform(cells, lambda n: (n * 100).cast(DECIMAL)))).otherwise(cells)
+    found = lambda values, half, even: F.exists(values, lambda n: _says(c["value"], half, even, n))
+    shown = F.concat_ws(" ", F.transform(cells, lambda n: n.cast("string")), F.col("_s"), F.col("_sql"))
+    stands = lambda what, edge: F.regexp_like(shown, F.concat(F.lit(f"(?<!{edge})"), what, F.lit(f"(?!{edge})")))
+    some = F.slice(F.array_distinct(cells), 1, OPERANDS)
+    ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double")).cast(DECIMAL)
+    forms = lambda a, b: F.array((a + b).cast(DECIMAL), (a - b).cast(DECIMAL), ratio(a, b), ratio(a * 100, b), ratio((a - b) * 100, b))
+    pairs = F.exists(F.sequence(F.lit(0), F.size(some) - 1), lambda i: F.exists(F.sequence(F.lit(0), F.size(some) - 1), lambda j: (i != j) & found(forms(F.get(some, i), F.get(some, j)), c["half"], c["even"])))
+    tier = (
+        F.when(c["label"], F.when(stands(c["text"], r"\w"), "weak").otherwise("ungrounded"))
+        .when(found(pool, c["half"], c["even"]) | F.coalesce(F.array_contains("_own", F.col("_said")), F.lit(False)), "grounded")
+        .when(c["year"] & stands(F.col("_said").cast("string"), r"\d"), "weak")
+        .when(~c["percent"] & c["whole"] & (c["value"] == F.col("_rows")), "weak")
+        .when(c["loose_half"].isNotNull() & found(pool, c["loose_half"], c["loose_even"]), "weak")
+        .when(c["year"], F.when(F.col("_company").isNull() & F.col("_anyone"), "unresolved").otherwise("ungrounded"))
+        .when((c["significant"] >= 3) & (F.size(some) > 1) & pairs, "derived")
+        .otherwise("ungrounded")
+    )
+    return met.select(F.col("_key").alias(key), F.col("_c.text").alias("claim"), tier.alias("tier"))

@@ -63,7 +63,7 @@ shared("f01_projection_rename", f"WITH {FI} SELECT adsh, cik, form, fiscal_year
 shared("f04_conjunction", "SELECT count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 1")
 shared("f05_in_list", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_returnflag")
 shared("f06_range", "SELECT count(*) AS n, CAST(min(o_totalprice) AS DOUBLE) AS lowest FROM orders WHERE o_totalprice > 100000 AND o_totalprice <= 300000")
-shared("f07_ilike", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%1%' AND p_name NOT LIKE '%9%'")
+shared("f07_ilike", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'SMALL%' AND p_name NOT LIKE '%ring'")
 shared("f08_all_null_result", """SELECT c_custkey, CAST(count(o_totalprice) AS BIGINT) AS known, count(o_totalprice) = 0 AS is_empty
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2000-01-01 00:00:00' GROUP BY c_custkey""")
 shared("f12_state_filter", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority IS NOT NULL GROUP BY o_orderstatus")

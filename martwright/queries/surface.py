@@ -257,6 +257,39 @@ def g04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.join(s.select("s_suppkey", audit.worst(F.col("text"), F.col("cells"), F.col("strings")).alias("worst")), "s_suppkey")
 
 
+# o_totalprice and the order's quantity are the result; texts by o_orderkey modulo 7
+AUDITED = """q AS (SELECT l_orderkey AS k, CAST(sum(l_quantity) AS DECIMAL(18,2)) AS b FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey AS k, o_custkey AS cik, CAST(o_totalprice AS DECIMAL(18,2)) AS a, b, year(o_orderdate) + 10 AS y FROM orders JOIN q ON k = o_orderkey),
+x AS (SELECT *, CASE WHEN k % 3 = 0 THEN NULL ELSE cik END AS company, CASE k % 7 WHEN 0 THEN a WHEN 1 THEN 1 WHEN 2 THEN a + b WHEN 3 THEN y WHEN 4 THEN a * 3 + 7.77 WHEN 5 THEN 2000 + k % 100 ELSE round(a, -3) END AS v,
+ CASE k % 7 WHEN 1 THEN 0.5 WHEN 6 THEN CASE WHEN round(a, -3) = 0 THEN 0.5 ELSE 500 END ELSE 0.005 END AS h, k % 7 IN (3, 5) AS is_year FROM o),
+l AS (SELECT DISTINCT cik, y FROM o), d AS (SELECT DISTINCT y FROM o),
+f AS (SELECT x.*, unnest([a + b, a - b, b - a, CAST(CASE WHEN b <> 0 THEN CAST(a AS DOUBLE) / CAST(b AS DOUBLE) END AS DECIMAL(38,10)), CAST(CASE WHEN a <> 0 THEN CAST(b AS DOUBLE) / CAST(a AS DOUBLE) END AS DECIMAL(38,10)), CAST(CASE WHEN b <> 0 THEN 100 * CAST(a AS DOUBLE) / CAST(b AS DOUBLE) END AS DECIMAL(38,10)),
+ CAST(CASE WHEN a <> 0 THEN 100 * CAST(b AS DOUBLE) / CAST(a AS DOUBLE) END AS DECIMAL(38,10)), CAST(CASE WHEN b <> 0 THEN 100 * CAST(a - b AS DOUBLE) / CAST(b AS DOUBLE) END AS DECIMAL(38,10)), CAST(CASE WHEN a <> 0 THEN 100 * CAST(b - a AS DOUBLE) / CAST(a AS DOUBLE) END AS DECIMAL(38,10))]) AS made FROM x),
+g AS (SELECT k, bool_or(abs(made - v) <= h) AS derived FROM f WHERE a <> b GROUP BY 1)"""
+
+
+@query(
+    "g04_five_tiers",
+    f"""WITH {AUDITED} SELECT x.k AS o_orderkey, CASE WHEN NOT is_year AND k % 7 <> 6 AND (abs(a - v) <= h OR abs(b - v) <= h) THEN 'grounded' WHEN is_year AND EXISTS (SELECT 1 FROM l WHERE l.cik = x.company AND l.y = x.v) THEN 'grounded'
+ WHEN is_year AND (regexp_matches(CAST(a AS VARCHAR) || ' ' || CAST(b AS VARCHAR), '(^|[^0-9])' || CAST(CAST(v AS INTEGER) AS VARCHAR) || '($|[^0-9])') OR abs(a - v) < 0.5 OR abs(b - v) < 0.5) THEN CASE WHEN abs(a - v) <= 0.5 OR abs(b - v) <= 0.5 THEN 'grounded' ELSE 'weak' END
+ WHEN k % 7 = 6 THEN CASE WHEN abs(a - v) <= 0.5 OR abs(b - v) <= 0.5 THEN 'grounded' WHEN abs(a - v) <= h OR abs(b - v) <= h THEN 'weak' ELSE 'ungrounded' END
+ WHEN k % 7 = 1 THEN 'weak' WHEN is_year THEN CASE WHEN company IS NULL AND EXISTS (SELECT 1 FROM d WHERE d.y = x.v) THEN 'unresolved' ELSE 'ungrounded' END
+ WHEN coalesce((SELECT derived FROM g WHERE g.k = x.k), false) THEN 'derived' ELSE 'ungrounded' END AS tier FROM x""",
+)
+def g04_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's answer against its total and quantity; two of three are about a company, whose years are those of its orders."""
+    k, a, b = F.col("o_orderkey"), F.col("a"), F.col("b")
+    money = "decimal(18,2)"
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("_k")).agg(F.sum("l_quantity").cast(money).alias("b"))
+    o = table(spark, sf_dir, "orders").join(lines, k == F.col("_k")).withColumn("a", F.col("o_totalprice").cast(money)).withColumn("y", F.year("o_orderdate") + 10)
+    price = lambda x: F.concat(F.lit("It came to "), x.cast(money).cast("string"), F.lit("."))
+    year = lambda x: F.concat(F.lit("That was in FY"), x.cast("string"), F.lit("."))
+    kinds = [price(a), F.lit("1 row has it."), price(a + b), year(F.col("y")), price(a * 3 + F.lit("7.77").cast(money)), year(F.lit(2000) + k % 100), F.concat(F.lit("It came to about "), F.round(a, -3).cast("long").cast("string"), F.lit("."))]
+    said = o.select(k, F.get(F.array(*kinds), (k % 7).cast("int")).alias("text"), F.array(a, b).alias("numbers"), F.array("o_orderpriority").alias("strings"), F.lit(1).alias("n"), F.lit(None).cast("string").alias("sql"), F.when(k % 3 != 0, F.col("o_custkey")).alias("company"))
+    labels = o.select(F.col("o_custkey").alias("cik"), F.col("y").alias("year"))
+    return audit.tiers(said, "o_orderkey", "text", "numbers", "strings", "n", "sql", "company", labels).select("o_orderkey", "tier")
+
+
 @query("g06_company_labels", "SELECT o_custkey AS cik, string_agg(DISTINCT CAST(year(o_orderdate) AS VARCHAR), ',' ORDER BY CAST(year(o_orderdate) AS VARCHAR)) AS years FROM orders GROUP BY 1")
 def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.company_labels(mart.filings(spark, sf_dir)).select("cik", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
