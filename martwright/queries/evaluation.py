@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import claims as cl
 from ..functions import names, patterns
 from ..operators import ground, mart, metrics, voting
+from ..plans import framings
 from ..registry import query
 from ..session import table
 
@@ -353,6 +354,33 @@ def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.empty_causes(table(spark, sf_dir, "orders").select("o_orderkey", (k % 2 != 0).alias("a"), (k % 3 != 0).alias("b"), (k % 5 == 0).alias("c"), (F.col("o_orderstatus") == "P").alias("e")), "o_orderkey", "a", "b", "c", "e")
 
 
+@query(
+    "e07_framing",
+    """WITH f AS (SELECT o_custkey AS c, year(o_orderdate) AS y, max(CAST(o_orderdate AS DATE)) AS d FROM orders GROUP BY 1, 2),
+p AS (SELECT c, max(y) AS y, arg_max(d, y) AS d, list_transform(list_sort(list(y)), lambda x: CAST(x AS VARCHAR)) AS ys FROM f GROUP BY 1),
+x AS (SELECT c_custkey AS id, c_custkey % 4 AS kind, p.*, s.d AS stated FROM customer LEFT JOIN p ON p.c = c_custkey LEFT JOIN f s ON s.c = c_custkey AND s.y = 1997)
+SELECT id, 0 AS place, 'period' AS kind, '1997 is taken as fiscal year 1997' || coalesce(' (to ' || strftime(stated, '%B %-d, %Y') || ')', '') || '.' AS text, true AS assumption FROM x WHERE kind = 0
+UNION ALL SELECT id, 0, 'period', 'The year is the latest on record, as asked' || coalesce(': fiscal year ' || y || ' (to ' || strftime(d, '%B %-d, %Y') || ')', '') || '.', true FROM x WHERE kind = 1
+UNION ALL SELECT id, 1, 'term', 'By sales revenue is meant.', true FROM x WHERE kind = 1 UNION ALL SELECT id, 0, 'period', 'All fiscal years on record take part.', true FROM x WHERE kind = 2
+UNION ALL SELECT id, 1, 'metric', 'What is largest is measured by revenue.', true FROM x WHERE kind = 2
+UNION ALL SELECT id, 2, 'fiscal_year_ends', 'Companies end their fiscal years on different days, so the same year may not be the same months.', true FROM x WHERE kind = 2
+UNION ALL SELECT id, 0, 'metric', 'The figure is revenue.', true FROM x WHERE kind = 3
+UNION ALL SELECT id, 1, 'sum', CASE WHEN ys IS NULL THEN 'The figure is a sum over all that match.' ELSE 'The sum is over fiscal years ' || CASE WHEN len(ys) = 1 THEN ys[1] ELSE array_to_string(ys[1:len(ys) - 1], ', ') || ' and ' || ys[len(ys)] END || ', all that are on record for Customer#' || lpad(CAST(id AS VARCHAR), 9, '0') || '.' END, true FROM x WHERE kind = 3""",
+)
+def e07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question about each customer, of four kinds, framed with what their orders look up."""
+    c, kind = mart.companies(spark, sf_dir), (F.col("cik") % 4).cast("int")
+    of = lambda *texts: F.get(F.array(*texts), kind)
+    said = of(F.concat(F.lit("What was the revenue of "), F.col("ticker"), F.lit(" in 1997?")), F.concat(F.lit("What are the latest sales of "), F.col("ticker"), F.lit("?")), F.lit("Which is the largest?"), F.concat(F.lit("What did "), F.col("ticker"), F.lit(" earn?")))
+    nothing = F.array().cast("array<string>")
+    readings = c.select(
+        F.col("cik").alias("id"), said.alias("question"), F.array(F.lit("v_revenue")).alias("views"), F.when(kind != 2, F.array("ticker")).otherwise(nothing).alias("tickers"), F.when(kind == 0, F.array(F.lit(1997))).alias("years"), (kind == 1).alias("latest"),
+        (kind == 3).alias("sums"), (kind == 2).alias("ranking"), F.lit(None).cast("string").alias("scale"), nothing.alias("projects"), nothing.alias("columns"), F.lit(1).alias("n_rows"), F.lit(None).cast("array<struct<mention:string,how:string,ticker:string,name:string>>").alias("links"),
+    )
+    periods = mart.filings(spark, sf_dir).select(F.lit("v_revenue").alias("view"), F.concat(F.lit("C"), F.col("cik").cast("string")).alias("ticker"), "fiscal_year", "period_end_date", F.lit("USD").alias("uom"))
+    return framings.frames(readings, c.select("ticker", "name"), periods)
+
+
 @query("e08_refusal", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'headcount' WHEN c_custkey % 3 = 1 THEN 'annual_only' ELSE 'NO_DATA' END AS why FROM customer")
 def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
     what = F.element_at(F.array(F.lit("How many employees has "), F.lit("Show Q3 figures of "), F.lit("What is the total of ")), (F.col("c_custkey") % 3 + 1).cast("int"))
