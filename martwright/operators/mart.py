@@ -95,6 +95,22 @@ def with_q4(annual: DataFrame, quarters: DataFrame, flows: list[str], instants:
     return quarters.select("cik", "fy", "fp", *flows, *instants, F.lit(False).alias("is_derived")).unionByName(own)
 
 
+def derived_q4(quarters: DataFrame, flows: list[str], instants: list[str]) -> DataFrame:
+    """with_q4() where all four quarters are known: the year is made of them, so the rows are aggregated once.
+
+    A year's flows are the sums of its quarters, its instants those of its last one. The four rows of a year, at most, meet in
+    one and leave as the first three and the derived fourth.
+    """
+    early = F.col("fp") != "Q4"
+    row = lambda fp, f, i, derived: F.struct(fp.alias("fp"), *(f(c).alias(c) for c in flows), *(i(c).alias(c) for c in instants), F.lit(derived).alias("is_derived"))
+    three = lambda c: F.when(F.count(F.when(early, F.col(c))) == 3, F.sum(F.when(early, F.col(c))))
+    kind = dict(quarters.dtypes)
+    fourth = row(F.lit("Q4"), lambda c: (F.sum(c) - three(c)).cast(kind[c]), lambda c: F.max_by(c, "fp"), True)
+    own = F.collect_list(F.when(early, row(F.col("fp"), F.col, F.col, False)))
+    years = quarters.groupBy("cik", "fy").agg(own.alias("_own"), fourth.alias("_q4"))
+    return years.select("cik", "fy", F.inline(F.concat("_own", F.array("_q4"))))
+
+
 def keep_first(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     """The first row of each key in the order of an explicit ordinal column."""
     w = Window.partitionBy(key).orderBy(ordinal)

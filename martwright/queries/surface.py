@@ -351,8 +351,7 @@ s AS (SELECT cik, fy, {", ".join(f"CASE WHEN count({n}) = 3 THEN sum({n}) END AS
 SELECT cik, fy, fp, {_double(FLOWS + INSTANTS)}, false AS is_derived FROM early
 UNION ALL SELECT w_y.cik, w_y.fy, 'Q4', {", ".join(f"CAST(w_y.{n} - s.{n} AS DOUBLE) AS {n}" for n in FLOWS)}, {_double(INSTANTS, "w_y.")}, true FROM w_y LEFT JOIN s USING (cik, fy)""")
 def wide2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quarters = mart.wide(spark, sf_dir, F.concat(F.lit("Q"), F.quarter("o_orderdate"))).where("fp <> 'Q4'")
-    both = mart.with_q4(mart.wide(spark, sf_dir, F.lit("FY")), quarters, FLOWS, INSTANTS)
+    both = mart.derived_q4(mart.wide(spark, sf_dir, F.concat(F.lit("Q"), F.quarter("o_orderdate"))), FLOWS, INSTANTS)
     return both.select("cik", "fy", "fp", *(F.col(c).cast("double").alias(c) for c in FLOWS + INSTANTS), "is_derived")
 
 
