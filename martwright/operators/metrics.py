@@ -181,6 +181,26 @@ def decide(first: tuple[float, float], second: tuple[float, float], means: tuple
     return "on" if min(means) > 0 else "off"
 
 
+def decisions(records: DataFrame, group: str, on: str, first: str, second: str) -> DataFrame:
+    """(group, verdict): decide() for each group of records by two measures of being right, with the part on against off.
+
+    The intervals of a difference of rates are normal ones at 95 %; a group without records on either side has no row. Null
+    verdicts count as wrong.
+    """
+    rate = lambda c, arm: F.avg(F.when(arm, F.coalesce(F.col(c), F.lit(False)).cast("double")))
+    with_it, without = F.col(on), ~F.col(on)
+    sums = records.groupBy(group).agg(F.count_if(with_it).alias("_n1"), F.count_if(without).alias("_n0"), *(x for c, n in ((first, "a"), (second, "b")) for x in (rate(c, with_it).alias(f"_{n}1"), rate(c, without).alias(f"_{n}0"))))
+
+    def interval(n: str) -> tuple[Column, Column, Column]:
+        a, b = F.col(f"_{n}1"), F.col(f"_{n}0")
+        room = 1.959964 * F.sqrt(a * (1 - a) / F.col("_n1") + b * (1 - b) / F.col("_n0"))
+        return F.round(a - b - room, 9), F.round(a - b, 9), F.round(a - b + room, 9)
+
+    (low_a, mean_a, high_a), (low_b, mean_b, high_b) = interval("a"), interval("b")
+    verdict = F.when((low_a > 0) & (low_b > 0), "on").when((high_a < 0) | (high_b < 0), "off").when((mean_a > 0) & (mean_b > 0), "on").otherwise("off")
+    return sums.where("_n1 > 0 AND _n0 > 0").select(group, verdict.alias("verdict"))
+
+
 def guard_score(records: DataFrame, must_fire: str, fired: str, refused: str) -> DataFrame:
     """(outcome, n) of guard cases by category: refused is enough, whichever part of the guard did it."""
     outcome = F.when(~F.col(must_fire) & ~F.col(refused), "clean").when(~F.col(must_fire), "false_alarm").when(F.size(fired) > 0, "fired").when(F.col(refused), "refused_elsewhere").otherwise("missed")

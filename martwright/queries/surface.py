@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, numbers, patterns
-from ..operators import audit, ground, mart
+from ..operators import audit, ground, mart, metrics
 from ..plans import guard, parser, shape
 from ..registry import query
 from ..session import scratch, table
 from ..sources import filings, logs
 from ..streaming import windows
-from .relational import shared
+from .relational import REV, shared
 
 
 # Sources: text that is composed from the tables and parsed back.
@@ -207,29 +209,48 @@ CORPUS = (
 )
 
 
-@query("p06_guard_corpus", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}', {str(a).lower()})" for n, _, v, a in CORPUS) + ") t(name, verdict, anchored)")
+# what the accepted statements of the corpus return, as counts
+RETURNED = """SELECT 'anchored' AS name, count(*) AS n FROM customer WHERE 'C' || c_custkey = 'C1' UNION ALL SELECT 'aggregate', 1 UNION ALL SELECT 'cte', count(DISTINCT o_custkey) FROM orders
+ UNION ALL SELECT 'union', count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey = 1 UNION SELECT o_custkey FROM orders WHERE o_custkey = 2) UNION ALL SELECT 'comment', count(*) FROM customer WHERE c_custkey = 5"""
+
+
+def _executed(spark: SparkSession, statements: list[tuple[str, str]]) -> DataFrame:
+    """(name, n): how many rows each statement returns, all in one query over the mart."""
+    counts = [spark.sql(sql).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, sql in statements]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("p06_guard_corpus", f"WITH r AS ({RETURNED}) SELECT t.*, r.n FROM (VALUES " + ", ".join(f"('{n}', '{v}', {str(a).lower()})" for n, _, v, a in CORPUS) + ") t(name, verdict, anchored) LEFT JOIN r ON r.name = t.name")
 def p06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard's verdicts, and what the statements that it lets through return when they run over the whole mart."""
     mart.register(spark, sf_dir)
-    rows = []
+    rows, passed = [], []
     for name, sql, _, _ in CORPUS:
         r = guard.validate(spark, sql)
         rows.append((name, "ok" if r.ok else (r.events[0] if r.events else r.reason_code), shape.entity_bound(spark, sql)))
-    return spark.createDataFrame(rows, "name string, verdict string, anchored boolean")
+        passed += [(name, sql)] if r.ok else []
+    return spark.createDataFrame(rows, "name string, verdict string, anchored boolean").join(_executed(spark, passed), "name", "left")
 
 
 EMPTY = (("false", "SELECT name FROM companies WHERE 1 = 0", True), ("nulls", "SELECT NULL AS a, NULL AS b", True), ("both", "SELECT name FROM companies WHERE cik = 1 AND 1 = 2", True), ("real", "SELECT name FROM companies WHERE cik = -1", False), ("value", "SELECT 1 AS a", False))
 
 
-@query("f11_tautology", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(v).lower()})" for n, _, v in EMPTY) + ") t(name, empty)")
+@query("f11_tautology", "SELECT t.name, t.empty, CASE t.name WHEN 'nulls' THEN 1 WHEN 'value' THEN 1 WHEN 'real' THEN (SELECT count(*) FROM customer WHERE c_custkey = -1) ELSE 0 END AS n FROM (VALUES " + ", ".join(f"('{n}', {str(v).lower()})" for n, _, v in EMPTY) + ") t(name, empty)")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is empty by its plan alone, beside what the statements return over the mart."""
     mart.register(spark, sf_dir)
-    return spark.createDataFrame([(n, shape.tautologically_empty(spark, sql)) for n, sql, _ in EMPTY], "name string, empty boolean")
+    found = spark.createDataFrame([(n, shape.tautologically_empty(spark, sql)) for n, sql, _ in EMPTY], "name string, empty boolean")
+    return found.join(_executed(spark, [(n, sql) for n, sql, _ in EMPTY]), "name")
 
 
-@query("e06_sql_facts", "SELECT 'v_revenue' AS views, '1997' AS years, 'C1,C2' AS tickers, true AS sums, 'billion' AS scale, true AS ranking, false AS latest")
+@query("e06_sql_facts", f"WITH {REV} SELECT 'C' || cik AS ticker, CAST(sum(value) AS DOUBLE) / 1e9 AS b, 'v_revenue' AS views, '1997' AS years, true AS sums, 'billion' AS scale, true AS ranking, false AS latest FROM concept WHERE fiscal_year = 1997 GROUP BY cik ORDER BY b DESC, ticker LIMIT 30")
 def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = shape.facts(parser.parse(spark, "SELECT ticker, sum(value) / 1e9 AS b FROM v_revenue WHERE fiscal_year = 1997 AND ticker IN ('C1', 'C2') GROUP BY ticker ORDER BY b DESC LIMIT 3"))
-    return spark.createDataFrame([(",".join(f.views), ",".join(map(str, f.years)), ",".join(f.tickers), f.sums, f.scale, f.ranking, f.latest)], "views string, years string, tickers string, sums boolean, scale string, ranking boolean, latest boolean")
+    """A statement's result over the mart, with the facts that its plan tells beside each row."""
+    mart.register(spark, sf_dir)
+    sql = "SELECT ticker, sum(value) / 1e9 AS b FROM v_revenue WHERE fiscal_year = 1997 GROUP BY ticker ORDER BY b DESC, ticker LIMIT 30"
+    f = shape.facts(parser.parse(spark, sql))
+    told = {"views": ",".join(f.views), "years": ",".join(map(str, f.years)), "sums": f.sums, "scale": f.scale, "ranking": f.ranking, "latest": f.latest}
+    return spark.sql(sql).select("ticker", F.col("b").cast("double").alias("b"), *(F.lit(v).alias(k) for k, v in told.items()))
 
 
 @query("g05_company_refs", "SELECT c_custkey AS cik FROM customer WHERE c_custkey IN (3, 4) OR c_name = (SELECT c_name FROM customer WHERE c_custkey = 5)")
@@ -240,10 +261,12 @@ def g05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.resolved(spark, refs)
 
 
-@query("e03_name_to_ticker", "SELECT 'SELECT value FROM v_revenue WHERE ticker = ''C7'' AND fiscal_year = 1997' AS sql")
+@query("e03_name_to_ticker", f"WITH {REV} SELECT 'C' || cik AS ticker, fiscal_year, CAST(sum(value) AS DOUBLE) AS value FROM concept WHERE cik IN (7, 8) GROUP BY cik, fiscal_year")
 def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = shape.names_to_tickers(spark, "SELECT value FROM v_revenue WHERE name = 'Acme' AND fiscal_year = 1997", {"Acme": "C7"})
-    return spark.createDataFrame([(sql,)], "sql string")
+    """A statement that asks by names that the mart doesn't hold, rewritten to their tickers, and run."""
+    mart.register(spark, sf_dir)
+    asked = "SELECT ticker, fiscal_year, sum(value) AS value FROM v_revenue WHERE name = 'Acme' OR name = 'Bolt Works' GROUP BY ticker, fiscal_year"
+    return spark.sql(shape.names_to_tickers(spark, asked, {"Acme": "C7", "Bolt Works": "C8"})).select("ticker", "fiscal_year", F.col("value").cast("double").alias("value"))
 
 
 @query("g04_two_auditors", "SELECT s_suppkey, s_suppkey % 3 = 2 AS verified, CASE s_suppkey % 3 WHEN 0 THEN 'ungrounded' WHEN 1 THEN 'derived' ELSE 'grounded' END AS worst FROM supplier")
@@ -361,11 +384,18 @@ def wide3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.tag_dictionary(p).select("tag", "version", "kind")
 
 
-@query("m08_decision", "SELECT 'on' AS verdict")
+@query(
+    "m08_decision",
+    """WITH x AS (SELECT o_custkey AS c, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS arm, CAST(o_orderstatus = 'F' AS INT) AS strict, CAST(o_orderstatus <> 'O' OR o_orderkey % 5 = 0 AS INT) AS loose FROM orders),
+g AS (SELECT c, count(*) FILTER (arm = 1) AS n1, count(*) FILTER (arm = 0) AS n0, avg(strict) FILTER (arm = 1) AS s1, avg(strict) FILTER (arm = 0) AS s0, avg(loose) FILTER (arm = 1) AS l1, avg(loose) FILTER (arm = 0) AS l0 FROM x GROUP BY 1),
+d AS (SELECT c, s1 - s0 AS ds, 1.959964 * sqrt(s1 * (1 - s1) / n1 + s0 * (1 - s0) / n0) AS ws, l1 - l0 AS dl, 1.959964 * sqrt(l1 * (1 - l1) / n1 + l0 * (1 - l0) / n0) AS wl FROM g WHERE n1 > 0 AND n0 > 0)
+SELECT c, CASE WHEN round(ds - ws, 9) > 0 AND round(dl - wl, 9) > 0 THEN 'on' WHEN round(ds + ws, 9) < 0 OR round(dl + wl, 9) < 0 THEN 'off' WHEN round(ds, 9) > 0 AND round(dl, 9) > 0 THEN 'on' ELSE 'off' END AS verdict FROM d""",
+)
 def m08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.metrics import decide
-
-    return spark.createDataFrame([(decide((0.16, 0.34), (0.04, 0.19), (0.24, 0.11)),)], "verdict string")
+    """Each customer's orders as records with a part on or off: would it be kept, by two measures of being right."""
+    k = F.col("o_orderkey")
+    x = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), (k % 2 == 0).alias("on"), (F.col("o_orderstatus") == "F").alias("strict"), ((F.col("o_orderstatus") != "O") | (k % 5 == 0)).alias("loose"))
+    return metrics.decisions(x, "c", "on", "strict", "loose")
 
 
 @query("m14_acceptance", """WITH t AS (SELECT o_orderpriority AS tier, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS "right" FROM orders GROUP BY 1)
