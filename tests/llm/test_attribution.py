@@ -85,7 +85,7 @@ def test_by_definition(spark, shop):
 
 
 def test_hot_client_is_dealt_evenly(spark):
-    rows = spark.range(3000).selectExpr("cast(id % 3 > 0 as int) AS kind", "if(id % 2 = 0, 7L, id) AS client", "id AS t", "id", "id AS row", "0 AS batch")
+    rows = spark.range(3000).selectExpr("cast(id % 3 > 0 as int) AS kind", "if(id % 2 = 0, 7L, id + 10000) AS client", "id AS t", "id", "id AS row", "0 AS batch")
     made = at.dealt(rows, 64, 3000)
     assert made.where("client = 7 and kind = 0").groupBy("id").count().select("count").distinct().count() == 1
     by = [r["count"] for r in made.where("client = 7").groupBy("bucket").count().collect()]
