@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from martwright.llm import mixing, pieces, secrets, shingles, simhash, toxicity
@@ -64,9 +64,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, the pieces of the text and how many; a document repeated by the mixture is there as often, each time cut in its own way.
 
     Rows stay where the mixture has put them. A null text has null pieces and an empty one none, both n_tokens 0. Long texts
-    are cut whole. Documents without a copy number are cut as copy 0.
+    are cut whole. Where rows bear no copy numbers, rows of one id and text are numbered here, which moves them.
     """
-    numbered = docs.select("doc_id", "source", "text", F.col("copy") if "copy" in docs.columns else F.lit(0).alias("copy"))
+    if "copy" not in docs.columns:
+        docs = docs.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")) - 1)
+    numbered = docs.select("doc_id", "source", "text", "copy")
     encoded = pieces.encode(numbered, copy_col="copy")
     return encoded.select("doc_id", "source", "ids", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).alias("n_tokens"))
 
