@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import prefixes
-from .ranges import RANGES, cut_points, ranged, ranged_as
+from .ranges import RANGES, cut_points, ranged_as
 
 
 def overlaps(spans: DataFrame, key: str, node: str, start: str, end: str, ranges: int = RANGES) -> DataFrame:
@@ -22,8 +22,8 @@ def overlaps(spans: DataFrame, key: str, node: str, start: str, end: str, ranges
     another shares 0 seconds with it; spans that end before they start, or lack an end, are in no pair. Ids must be unique.
     """
     own = spans.select(F.col(key).alias("_id"), F.col(node).alias("_node"), F.col(start).cast("long").alias("_a"), F.col(end).cast("long").alias("_b")).where("_a <= _b and _node is not null and _id is not null")
-    cut = ranged(own, "_a", ranges).withColumnRenamed("_range", "_own")
-    last = ranged_as(F.col("_b"), cut_points(own, "_a", ranges))
+    cuts = cut_points(own, "_a", ranges)
+    cut, last = own.withColumn("_own", ranged_as(F.col("_a"), cuts)), ranged_as(F.col("_b"), cuts)
     there = cut.groupBy("_node").agg(F.array_sort(F.collect_set("_own")).alias("_ranges"))  # at most as many as there are ranges
     placed = cut.withColumn("_last", last).join(there, "_node")
     carried = placed.withColumn("_range", F.explode(F.filter("_ranges", lambda r: (r >= F.col("_own")) & (r <= F.col("_last")))))
