@@ -191,7 +191,8 @@ def linked(questions: DataFrame, key: str, text: str, companies: DataFrame) -> D
             out.append([{"mention": h.mention, "ticker": h.ticker, "how": h.how} for h in settle(t or "", lambda how, k, held=held: held.get((how, k)))])
         return pd.Series(out)
 
-    looked = questions.select(F.col(key).alias("id"), F.col(text).alias("said"), F.explode(asked(F.col(text))).alias("one")).select("id", "said", F.col("one.how").alias("how"), F.col("one.entry").alias("key"))
+    held = questions.select(F.col(key).alias("id"), F.col(text).alias("said")).repartition("id")  # a small file is one task's, but reading questions is work for all
+    looked = held.select("id", "said", F.explode(asked("said")).alias("one")).select("id", "said", F.col("one.how").alias("how"), F.col("one.entry").alias("key"))
     met = looked.join(dictionary(companies, looked.select("how", "key")), ["how", "key"])
     rows = met.groupBy("id", "said").agg(F.collect_list(F.struct("how", "key", "company")).alias("found"))
     return rows.select(F.col("id").alias(key), F.inline(settled("said", "found")))

@@ -15,8 +15,8 @@ RANGES, SAMPLED = 256, 8192
 
 
 def text_cuts(texts: DataFrame, name: str, ranges: int = RANGES) -> list[str]:
-    """At most ranges - 1 texts that cut the table into parts of about equal size, from the SAMPLED with the smallest hashes."""
-    held = texts.select(F.col(name).alias("_t")).where("_t is not null").orderBy(F.xxhash64("_t")).limit(SAMPLED).collect()
+    """At most ranges - 1 texts that cut the distinct texts into parts of about equal size, from the SAMPLED with the smallest hashes."""
+    held = texts.select(F.col(name).alias("_t")).where("_t is not null").distinct().orderBy(F.xxhash64("_t")).limit(SAMPLED).collect()
     ordered = sorted({r["_t"] for r in held}, key=lambda t: t.encode())  # as Spark compares texts
     return sorted({ordered[k * len(ordered) // ranges] for k in range(1, ranges)}, key=lambda t: t.encode()) if ordered else []
 
@@ -58,8 +58,8 @@ def first_at_or_after(texts: DataFrame, text: str, names: DataFrame, name: str,
     own = names.select(F.col(name).alias("_t"), F.lit(1).alias("_side")).where("_t is not null").distinct()
     asked = texts.select(F.col(text).alias("_t"), F.lit(0).alias("_side")).where("_t is not null").distinct()
     both = own.unionByName(asked).withColumn("_range", range_of(F.col("_t"), cuts))
-    w = Window.partitionBy("_range").orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    seen = both.withColumn("_next", F.first(F.when(F.col("_side") == 1, F.col("_t")), ignorenulls=True).over(w)).where("_side = 0")
+    w = Window.partitionBy("_range").orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)  # from the end on: a frame up to the end is computed anew for each row
+    seen = both.withColumn("_next", F.last(F.when(F.col("_side") == 1, F.col("_t")), ignorenulls=True).over(w)).where("_side = 0")
     firsts = both.where("_side = 1").groupBy("_range").agg(F.min("_t").alias("_low"))
     later = both.select("_range").distinct().join(firsts, "_range", "left").select("_range", F.min("_low").over(Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))  # a row for each range
     met = seen.join(F.broadcast(later), "_range")
@@ -69,9 +69,10 @@ def first_at_or_after(texts: DataFrame, text: str, names: DataFrame, name: str,
 def resolved(texts: DataFrame, text: str, names: DataFrame, name: str, whole_first: bool = False, cuts: list[str] | None = None) -> DataFrame:
     """(text, name): distinct texts that begin exactly one row's name. whole_first: a text that is a name means that one, even if it begins others.
 
-    Names that several rows have are no one's. Null and empty texts begin nothing. No side has to be small.
+    Names that several rows have are no one's. Null and empty texts begin nothing. No side has to be small: the cuts are of
+    both, as texts may lie where no name does.
     """
-    cuts = text_cuts(names, name) if cuts is None else cuts
+    cuts = text_cuts(names.select(F.col(name).alias("_t")).unionByName(texts.select(F.col(text).alias("_t"))), "_t") if cuts is None else cuts
     held = names.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_rows"))
     entries = held.join(beginnings(held, name, cuts), name)
     met = first_at_or_after(texts.where(F.col(text) != ""), text, held, name, cuts).join(entries, name)
