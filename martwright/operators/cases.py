@@ -66,7 +66,7 @@ class Kinds:
         return F.coalesce(F.abs(gold - pred) <= room, F.lit(False))
 
     def same(self, place: Column, gold: Column, pred: Column) -> Column:
-        plain = self.close(gold["num"], pred["num"]) | (gold["num"].isNull() & pred["num"].isNull() & gold["txt"].eqNullSafe(pred["txt"]))
+        plain = F.when(gold["num"].isNull(), pred["num"].isNull() & gold["txt"].eqNullSafe(pred["txt"])).otherwise(self.close(gold["num"], pred["num"]))
         if self.ratios is not None:
             plain = plain | (F.array_contains(self.ratios, place) & (self.close(gold["num"], pred["num"] * RATIOS[0]) | self.close(gold["num"], pred["num"] * RATIOS[1])))
         if self.scales is not None:
@@ -77,29 +77,47 @@ class Kinds:
         return plain
 
 
-def _row(kinds: Kinds, gold: Column, pred: Column, take: Column | None = None) -> Column:
-    """Whether a gold row's first cells are the predicted row's, at the places that take lists; without it, all of both."""
+def _row(kinds: Kinds, gold: Column, pred: Column, places: Column, take: Column | None = None) -> Column:
+    """Whether a gold row's cells at the places are the predicted row's, at the places that take lists; without it, all of both."""
     if take is None:
-        return (F.size(gold) == F.size(pred)) & F.forall(F.sequence(F.lit(0), F.size(gold) - 1), lambda i: kinds.same(i, F.get(gold, i), F.get(pred, i)))
-    return F.forall(F.sequence(F.lit(0), F.size(take) - 1), lambda i: kinds.same(i, F.get(gold, i), F.get(pred, F.get(take, i))))
+        return (F.size(gold) == F.size(pred)) & F.forall(places, lambda i: kinds.same(i, F.get(gold, i), F.get(pred, i)))
+    return F.forall(places, lambda i: kinds.same(i, F.get(gold, i), F.get(pred, F.get(take, i))))
+
+
+def _places(cells: Column) -> Column:
+    return F.sequence(F.lit(0), F.size(cells) - 1)
 
 
 def _both_ways(gold: Column, pred: Column, same: Callable[[Column, Column], Column]) -> Column:
     return F.forall(gold, lambda g: F.exists(pred, lambda p: same(g, p))) & F.forall(pred, lambda p: F.exists(gold, lambda g: same(g, p)))
 
 
+def _exactly(gold: Column, pred: Column) -> Column:
+    """Whether the rows are equal as sets, cell by cell. False where this wouldn't tell: an infinite number is close to none."""
+    plain = F.forall(gold, lambda r: r.isNotNull() & ~F.exists(r, lambda c: F.coalesce(F.abs(c["num"]) == F.lit(float("inf")), F.lit(False))))
+    return (F.size(F.array_except(gold, pred)) == 0) & (F.size(F.array_except(pred, gold)) == 0) & plain
+
+
 def strict(gold: Column, pred: Column, kinds: Kinds | None = None, ordered: Column | bool = False) -> Column:
     """The same columns in the same order. ordered: row by row; else each row has a partner both ways, and repeats collapse.
 
-    Two empty results are the same, whatever their columns; null (no result) is as no other result is.
+    Two empty results are the same, whatever their columns; null (no result) is as no other result is. Rows that match one by
+    one, or are equal as they stand, are partners; only others are tried against each.
     """
     kinds = kinds or Kinds()
-    lines = (F.size(gold) == F.size(pred)) & F.forall(F.sequence(F.lit(1), F.size(gold)), lambda i: _row(kinds, F.get(gold, i - 1), F.get(pred, i - 1)))
-    lines = F.when(F.size(gold) == 0, F.size(pred) == 0).otherwise(lines)
-    as_set = _both_ways(gold, pred, lambda g, p: _row(kinds, g, p))
-    if isinstance(ordered, bool):
-        return F.coalesce(lines if ordered else as_set, F.lit(False))
-    return F.coalesce(F.when(ordered, lines).otherwise(as_set), F.lit(False))
+
+    def test(gold: Column, pred: Column) -> Column:
+        one = lambda i: let(F.struct(F.get(gold, i - 1).alias("g"), F.get(pred, i - 1).alias("p")), lambda x: _row(kinds, x["g"], x["p"], _places(x["g"])))
+        lines = (F.size(gold) == F.size(pred)) & F.forall(F.sequence(F.lit(1), F.size(gold)), one)
+        placed = F.transform(gold, lambda g: F.struct(g.alias("cells"), _places(g).alias("places")))
+        tried = let(placed, lambda gs: _both_ways(gs, pred, lambda g, p: _row(kinds, g["cells"], p, g["places"])))
+        as_set = F.when((F.size(gold) > 0) & lines, True).when(_exactly(gold, pred), True).otherwise(tried)
+        in_order = F.when(F.size(gold) == 0, F.size(pred) == 0).otherwise(lines)
+        if isinstance(ordered, bool):
+            return F.coalesce(in_order if ordered else as_set, F.lit(False))
+        return F.coalesce(F.when(ordered, in_order).otherwise(as_set), F.lit(False))
+
+    return let(F.struct(gold.alias("g"), pred.alias("p")), lambda x: test(x["g"], x["p"]))
 
 
 def assignments(gold: Column, pred: Column, kinds: Kinds | None = None) -> Column:
@@ -121,7 +139,7 @@ def assignments(gold: Column, pred: Column, kinds: Kinds | None = None) -> Colum
 
     def longer(ways: Column, twin: Column) -> Column:
         next_ways = F.flatten(F.transform(ways, lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.size(twin) - 1), lambda j: free(w, j, twin)), lambda j: F.concat(w, F.array(j)))))
-        return F.filter(next_ways, lambda w: _both_ways(gold, pred, lambda g, p: _row(kinds, g, p, w)))
+        return F.filter(next_ways, lambda w: let(_places(w), lambda places: _both_ways(gold, pred, lambda g, p: _row(kinds, g, p, places, w))))
 
     start = F.array(F.array().cast("array<int>"))
     return let(twins, lambda twin: F.aggregate(F.sequence(F.lit(1), F.size(F.get(gold, F.lit(0)))), start, lambda ways, _: longer(ways, twin)))
@@ -132,8 +150,12 @@ def relaxed(gold: Column, pred: Column, kinds: Kinds | None = None) -> Column:
 
     All rows of a result have equally many cells. Without rows on one side only strict() can hold.
     """
-    some = (F.size(gold) > 0) & (F.size(pred) > 0) & (F.size(F.get(gold, F.lit(0))) > 0) & (F.size(F.get(gold, F.lit(0))) <= F.size(F.get(pred, F.lit(0))))
-    return F.when(strict(gold, pred, kinds), True).otherwise(F.coalesce(F.when(some, F.size(assignments(gold, pred, kinds)) > 0), F.lit(False)))
+
+    def test(gold: Column, pred: Column) -> Column:
+        some = (F.size(gold) > 0) & (F.size(pred) > 0) & (F.size(F.get(gold, F.lit(0))) > 0) & (F.size(F.get(gold, F.lit(0))) <= F.size(F.get(pred, F.lit(0))))
+        return F.when(strict(gold, pred, kinds), True).otherwise(F.coalesce(F.when(some, F.size(assignments(gold, pred, kinds)) > 0), F.lit(False)))
+
+    return let(F.struct(gold.alias("g"), pred.alias("p")), lambda x: test(x["g"], x["p"]))
 
 
 def projected(columns: Column, rows: Column, names: Sequence[str] = CONTEXT) -> Column:
@@ -145,8 +167,8 @@ def projected(columns: Column, rows: Column, names: Sequence[str] = CONTEXT) ->
 
 def without_context(gold_columns: Column, gold: Column, pred_columns: Column, pred: Column, kinds: Kinds | None = None) -> Column:
     """strict() as they are, or after constant columns of context are dropped on both sides. kinds go by the gold places left."""
-    both = F.struct(projected(gold_columns, gold).alias("g"), projected(pred_columns, pred).alias("p"))
-    return strict(gold, pred, kinds) | let(both, lambda x: strict(x["g"], x["p"], kinds))
+    both = F.struct(gold_columns.alias("gc"), gold.alias("g"), pred_columns.alias("pc"), pred.alias("p"))
+    return let(both, lambda x: strict(x["g"], x["p"], kinds) | strict(projected(x["gc"], x["g"]), projected(x["pc"], x["p"]), kinds))
 
 
 def any_of(golds: Column, pred: Column, test: Callable[..., Column] = strict, kinds: Kinds | None = None) -> Column:
@@ -169,8 +191,10 @@ def float_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     """Equal in any order of rows, numbers within a relative tolerance; repeats count. Rows are sorted on both sides and compared one by one."""
 
     def line(rows: Column) -> Column:
-        keyed = F.transform(rows, lambda r: F.struct(F.transform(r, lambda c: F.struct(c["num"].isNotNull().alias("n"), F.coalesce(c["txt"], F.lit("")).alias("t"), F.round(F.coalesce(c["num"], F.lit(0.0)), 6).alias("v"))).alias("key"), r.alias("cells")))
-        return F.transform(F.array_sort(keyed, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)), lambda k: k["cells"])
+        """Rows by their texts and rounded numbers; those that agree in these stay in their order."""
+        key = lambda r: F.transform(r, lambda c: F.struct(c["num"].isNotNull().alias("n"), F.coalesce(c["txt"], F.lit("")).alias("t"), F.round(F.coalesce(c["num"], F.lit(0.0)), 6).alias("v")))
+        keyed = F.transform(rows, lambda r, i: F.struct(key(r).alias("key"), i.alias("at"), r.alias("cells")))
+        return F.transform(F.sort_array(keyed), lambda k: k["cells"])
 
     return strict(line(a), line(b), Kinds(tolerance), ordered=True)
 

@@ -1,6 +1,6 @@
 """What a step costs as its tables grow, as far as a small table or a plan shows it."""
 
-from martwright.operators import prefixes
+from martwright.operators import cases, prefixes
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,11 @@ def test_cuts_are_of_distinct_texts(spark, monkeypatch):
     own = spark.range(500).select(F.format_string("n%03d", "id").alias("name"))
     often = own.orderBy(F.xxhash64("name")).limit(1).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(200)))).select("name")
     assert len(prefixes.text_cuts(own.unionByName(often), "name", 16)) == 15
+
+
+def test_results_to_compare_are_sorted_once(spark):
+    kinds = "array<array<" + cases.CELL + ">>"
+    frame = spark.createDataFrame([(1, [[(1.0, None, None)], [(float("inf"), None, None)]], [[(1.0, None, None)]] * 2)], f"k int, a {kinds}, b {kinds}").repartition(2)
+    made = frame.select(cases.float_equal(F.col("a"), F.col("b")).alias("m"), cases.float_equal(F.col("b"), F.reverse("b")).alias("n"), cases.strict(F.col("a"), F.col("a")).alias("s"))
+    assert plan(made.select("m")).count("sort_array(") + plan(made.select("m")).count("array_sort(") == 2
+    assert tuple(made.first()) == (False, True, False)  # an infinite number is close to none
