@@ -36,12 +36,11 @@ def vote(candidates: DataFrame, case: str = "case_id", index: str = "idx", key:
     aggregates: a case's candidates never meet in a list.
     """
     c = candidates.select(F.col(case).alias("case_id"), F.col(index).alias("i"), F.col(key).alias("k"), F.col(reason).alias("r"))
-    asked = c.groupBy("case_id").agg(F.count("*").alias("n"))
-    clusters = c.where("k is not null").groupBy("case_id", "k").agg(F.count("*").alias("size"), F.min("i").alias("first"))
-    best = clusters.groupBy("case_id").agg(F.max(F.struct("size", (-F.col("first")).alias("late"))).alias("b"))
+    clusters = c.groupBy("case_id", "k").agg(F.count("*").alias("size"), F.min("i").alias("first"))
+    asked = clusters.groupBy("case_id").agg(F.sum("size").alias("n"), F.max(F.when(F.col("k").isNotNull(), F.struct("size", (-F.col("first")).alias("late")))).alias("b"))
     named = c.where("r is not null").groupBy("case_id", "r").agg(F.count("*").alias("size"), F.min("i").alias("first"))
     why = named.groupBy("case_id").agg(F.max(F.struct((F.col("r") != "EXEC_ERROR").alias("named"), "size", (-F.col("first")).alias("late"), "r")).alias("w"))
-    out = asked.join(best, "case_id", "left").join(why, "case_id", "left")
+    out = asked.join(why, "case_id", "left")
     failed = F.col("b").isNull()
     return out.select(
         "case_id", (-F.col("b.late")).alias("winner_idx"), F.coalesce(F.col("b.size") / F.col("n"), F.lit(0.0)).alias("agreement"),

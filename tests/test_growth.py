@@ -1,6 +1,7 @@
 """What a step costs as its tables grow, as far as a small table or a plan shows it."""
 
 from martwright.operators import cases, prefixes
+from martwright.queries import evaluation, surface
 from pyspark.sql import functions as F
 
 
@@ -25,7 +26,18 @@ def test_cuts_are_of_distinct_texts(spark, monkeypatch):
 
 def test_results_to_compare_are_sorted_once(spark):
     kinds = "array<array<" + cases.CELL + ">>"
-    frame = spark.createDataFrame([(1, [[(1.0, None, None)], [(float("inf"), None, None)]], [[(1.0, None, None)]] * 2)], f"k int, a {kinds}, b {kinds}").repartition(2)
-    made = frame.select(cases.float_equal(F.col("a"), F.col("b")).alias("m"), cases.float_equal(F.col("b"), F.reverse("b")).alias("n"), cases.strict(F.col("a"), F.col("a")).alias("s"))
+    frame = spark.createDataFrame([(1, [[(1.0, None, None)], [(2.0, None, None)]], [[(1.0, None, None)]] * 2)], f"k int, a {kinds}, b {kinds}").repartition(2)
+    inf = F.array(F.array(cases.cell(F.lit(float("inf")))))
+    made = frame.select(cases.float_equal(F.col("a"), F.col("b")).alias("m"), cases.float_equal(F.col("b"), F.reverse("b")).alias("n"), cases.strict(inf, inf).alias("s"))
     assert plan(made.select("m")).count("sort_array(") + plan(made.select("m")).count("array_sort(") == 2
-    assert tuple(made.first()) == (False, True, False)  # an infinite number is close to none
+    assert tuple(made.first()) == (False, True, False)  # the last: an infinite number isn't close to itself
+
+
+def test_results_are_voted_on_where_their_lines_are(spark, small):
+    made = evaluation.v01_vote(spark, small)
+    assert plan(made).count("join") == 0 and made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_wide_rows_move_once(spark, small):
+    for made in (surface.wide1(spark, small), surface.wide2(spark, small)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3  # line items, orders, a row an order
