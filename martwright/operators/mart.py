@@ -76,12 +76,13 @@ def wide(spark: SparkSession, sf_dir: str, period: Column) -> DataFrame:
     """A row for each (cik, fy, fp) with fourteen metrics: four sums for each of the three tags, which are flows, and the
     last order's total and key, which are instants. period: of an order, such as its quarter.
 
-    Line items are summed to their order and tag, and orders to the period, before they meet.
+    Line items are summed to their order and tag, and orders to the period, before they meet. What is moved are the line items
+    themselves and a row an order, which goes to its company's year: half-made sums would be wider and hardly fewer.
     """
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *MEASURES.values()).repartition("l_orderkey")
     sums = lines.groupBy("l_orderkey").agg(*(F.sum(F.when(F.col("l_returnflag") == f, F.col(c).cast(MONEY))).alias(f"{m}_{f}") for f in REVENUE for m, c in MEASURES.items()))
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cik"), F.year("o_orderdate").alias("fy"), period.alias("fp"), "o_orderdate", F.col("o_totalprice").cast(MONEY).alias("v"))
-    both = o.join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    both = o.join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey").repartition("cik", "fy")
     place = F.struct("o_orderdate", "o_orderkey")
     flows = [F.sum(f"{m}_{f}").alias(f"{m}_{f}") for f in REVENUE for m in MEASURES]
     return both.groupBy("cik", "fy", "fp").agg(*flows, F.max_by("v", place).alias("last_total"), F.max_by(F.col("o_orderkey").cast(MONEY), place).alias("last_key"))
