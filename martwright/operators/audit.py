@@ -173,6 +173,7 @@ def company_labels(filings: DataFrame) -> DataFrame:
 DECIMAL = "decimal(38,10)"
 CLAIM = f"struct<text:string,value:{DECIMAL},half:{DECIMAL},even:boolean,loose_half:{DECIMAL},loose_even:boolean,percent:boolean,year:boolean,whole:boolean,significant:int,label:boolean>"
 _LARGEST = Decimal(10) ** 28
+SPREAD = 4096  # lots of rows that no join has to find anything for
 
 
 def _even(value: Decimal, places: int) -> bool:
@@ -214,13 +215,19 @@ def tiers(answers: DataFrame, key: str, text: str, numbers: str, strings: str, n
 
     numbers: its result's cells (array<decimal>), strings: its texts, n_rows: its rows, sql: its statement, company: whom it is
     about (cik), null where that is open. labels: (cik, year), the years that companies have. An answer's own years come by its
-    company, and whether anyone has a year by a join on the year; both sides may be of any size. Keys must be unique.
+    company, and whether anyone has a year, where no company is meant, by a join on the year; both sides may be of any size. Keys must be unique.
     """
     own = labels.where("cik is not null and year is not null").groupBy(F.col("cik").alias("_cik")).agg(F.collect_set(F.col("year").cast("int")).alias("_own"))
     read = answers.select(F.col(key).alias("_key"), F.transform(numbers, lambda n: n.cast(DECIMAL)).alias("_n"), F.col(strings).alias("_s"), F.col(n_rows).cast(DECIMAL).alias("_rows"), F.coalesce(F.col(sql), F.lit("")).alias("_sql"), F.col(company).alias("_company"), F.explode(claims(F.col(text), F.col(strings))).alias("_c"))
     years = labels.where("year is not null").select(F.col("year").cast("int").alias("_year")).distinct().withColumn("_anyone", F.lit(True))
     said = F.when(F.col("_c.year"), F.col("_c.value").cast("int"))
-    met = read.join(own, F.col("_company") == F.col("_cik"), "left").withColumn("_said", said).join(years, F.col("_said") == F.col("_year"), "left")
+    # answers without a company and claims that need no year find nothing: they are spread, not sent to the one task of null
+    spread = lambda asks: F.when(asks, F.lit(-1)).otherwise(F.pmod(F.xxhash64("_key"), F.lit(SPREAD)).cast("int"))
+    by_company = (F.col("_company") == F.col("_cik")) & (F.col("_lot") == F.col("_own_lot"))
+    with_own = read.withColumn("_lot", spread(F.col("_company").isNotNull())).join(own.withColumn("_own_lot", F.lit(-1)), by_company, "left").withColumn("_said", said)
+    open_year = F.col("_company").isNull() & F.col("_said").isNotNull()
+    by_year = (F.when(open_year, F.col("_said")) == F.col("_year")) & (F.col("_place") == F.col("_year_place"))
+    met = with_own.withColumn("_place", spread(open_year)).join(years.withColumn("_year_place", F.lit(-1)), by_year, "left")
     c, cells = F.col("_c"), F.filter("_n", lambda n: n.isNotNull())
     pool = F.when(c["percent"], F.concat(cells, F.transform(cells, lambda n: (n * 100).cast(DECIMAL)))).otherwise(cells)
     found = lambda values, half, even: F.exists(values, lambda n: _says(c["value"], half, even, n))
