@@ -60,12 +60,17 @@ class Kinds:
     def __init__(self, tolerance: float = 1e-6, absolute: bool = False, entities: Column | None = None, ratios: Column | None = None, scales: Column | None = None) -> None:
         self.tolerance, self.absolute, self.entities, self.ratios, self.scales = tolerance, absolute, entities, ratios, scales
 
+    @property
+    def plain(self) -> bool:
+        """Whether a cell's place doesn't matter."""
+        return self.entities is None and self.ratios is None and self.scales is None
+
     def close(self, gold: Column, pred: Column) -> Column:
-        """Numbers within the tolerance; false, not null, where one is none."""
-        room = F.lit(self.tolerance) if self.absolute else F.greatest(F.abs(gold) * self.tolerance, F.lit(1e-9))
+        """Numbers within the tolerance; false, not null, where one is none. NaN, which Spark takes for the largest number, is close to none."""
+        room = F.lit(self.tolerance) if self.absolute else F.greatest(F.nanvl(F.abs(gold) * self.tolerance, F.lit(0.0)), F.lit(1e-9))
         return F.coalesce(F.abs(gold - pred) <= room, F.lit(False))
 
-    def same(self, place: Column, gold: Column, pred: Column) -> Column:
+    def same(self, place: Column | None, gold: Column, pred: Column) -> Column:
         plain = F.when(gold["num"].isNull(), pred["num"].isNull() & gold["txt"].eqNullSafe(pred["txt"])).otherwise(self.close(gold["num"], pred["num"]))
         if self.ratios is not None:
             plain = plain | (F.array_contains(self.ratios, place) & (self.close(gold["num"], pred["num"] * RATIOS[0]) | self.close(gold["num"], pred["num"] * RATIOS[1])))
@@ -77,47 +82,48 @@ class Kinds:
         return plain
 
 
-def _row(kinds: Kinds, gold: Column, pred: Column, places: Column, take: Column | None = None) -> Column:
-    """Whether a gold row's cells at the places are the predicted row's, at the places that take lists; without it, all of both."""
-    if take is None:
-        return (F.size(gold) == F.size(pred)) & F.forall(places, lambda i: kinds.same(i, F.get(gold, i), F.get(pred, i)))
-    return F.forall(places, lambda i: kinds.same(i, F.get(gold, i), F.get(pred, F.get(take, i))))
+def _row(kinds: Kinds, gold: Column, pred: Column) -> Column:
+    """Whether a gold row's cells are the predicted row's, place by place."""
+    if kinds.plain:
+        return (F.size(gold) == F.size(pred)) & ~F.array_contains(F.zip_with(gold, pred, lambda g, p: kinds.same(None, g, p)), False)
+    pairs = F.transform(F.arrays_zip(gold.alias("g"), pred.alias("p")), lambda x, i: kinds.same(i, x["g"], x["p"]))
+    return (F.size(gold) == F.size(pred)) & ~F.array_contains(pairs, False)
 
 
-def _places(cells: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(cells) - 1)
+def _lines(gold: Column, pred: Column, kinds: Kinds) -> Column:
+    """Whether there are equally many rows and they match one by one; the first that don't end the search."""
+    return (F.size(gold) == F.size(pred)) & F.forall(F.arrays_zip(gold.alias("g"), pred.alias("p")), lambda x: _row(kinds, x["g"], x["p"]))
 
 
 def _both_ways(gold: Column, pred: Column, same: Callable[[Column, Column], Column]) -> Column:
     return F.forall(gold, lambda g: F.exists(pred, lambda p: same(g, p))) & F.forall(pred, lambda p: F.exists(gold, lambda g: same(g, p)))
 
 
-def _exactly(gold: Column, pred: Column) -> Column:
-    """Whether the rows are equal as sets, cell by cell. False where this wouldn't tell: an infinite number is close to none."""
-    plain = F.forall(gold, lambda r: r.isNotNull() & ~F.exists(r, lambda c: F.coalesce(F.abs(c["num"]) == F.lit(float("inf")), F.lit(False))))
-    return (F.size(F.array_except(gold, pred)) == 0) & (F.size(F.array_except(pred, gold)) == 0) & plain
+def _as_sets(gold: Column, pred: Column, kinds: Kinds) -> Column:
+    """Whether each row of some has a partner on the other side. The first gold row's is looked for first, as most that differ
+    have none; rows that match in sorted order, without repeats, are partners; only others are tried against each."""
+    ordered = lambda rows: F.sort_array(F.array_distinct(rows))
+    first = F.exists(pred, lambda p: _row(kinds, F.get(gold, F.lit(0)), p))
+    in_order = let(F.struct(ordered(gold).alias("g"), ordered(pred).alias("p")), lambda x: _lines(x["g"], x["p"], kinds))
+    return F.when(~first, False).when(in_order, True).otherwise(_both_ways(gold, pred, lambda g, p: _row(kinds, g, p)))
 
 
 def strict(gold: Column, pred: Column, kinds: Kinds | None = None, ordered: Column | bool = False) -> Column:
     """The same columns in the same order. ordered: row by row; else each row has a partner both ways, and repeats collapse.
 
-    Two empty results are the same, whatever their columns; null (no result) is as no other result is. Rows that match one by
-    one, or are equal as they stand, are partners; only others are tried against each.
+    Two empty results are the same, whatever their columns; null (no result) is as no other result is.
     """
     kinds = kinds or Kinds()
 
     def test(gold: Column, pred: Column) -> Column:
-        one = lambda i: let(F.struct(F.get(gold, i - 1).alias("g"), F.get(pred, i - 1).alias("p")), lambda x: _row(kinds, x["g"], x["p"], _places(x["g"])))
-        lines = (F.size(gold) == F.size(pred)) & F.forall(F.sequence(F.lit(1), F.size(gold)), one)
-        placed = F.transform(gold, lambda g: F.struct(g.alias("cells"), _places(g).alias("places")))
-        tried = let(placed, lambda gs: _both_ways(gs, pred, lambda g, p: _row(kinds, g["cells"], p, g["places"])))
-        as_set = F.when((F.size(gold) > 0) & lines, True).when(_exactly(gold, pred), True).otherwise(tried)
-        in_order = F.when(F.size(gold) == 0, F.size(pred) == 0).otherwise(lines)
+        lines = _lines(gold, pred, kinds)
+        empty = (F.size(gold) == 0) | (F.size(pred) == 0)
+        as_set = F.when(empty, F.size(gold) == F.size(pred)).when(lines, True).otherwise(_as_sets(gold, pred, kinds))
         if isinstance(ordered, bool):
-            return F.coalesce(in_order if ordered else as_set, F.lit(False))
-        return F.coalesce(F.when(ordered, in_order).otherwise(as_set), F.lit(False))
+            return lines if ordered else as_set
+        return F.when(ordered, lines).otherwise(as_set)
 
-    return let(F.struct(gold.alias("g"), pred.alias("p")), lambda x: test(x["g"], x["p"]))
+    return let(F.struct(gold.alias("g"), pred.alias("p")), lambda x: F.coalesce(F.when(x["g"].isNotNull() & x["p"].isNotNull(), test(x["g"], x["p"])), F.lit(False)))
 
 
 def assignments(gold: Column, pred: Column, kinds: Kinds | None = None) -> Column:
@@ -128,21 +134,30 @@ def assignments(gold: Column, pred: Column, kinds: Kinds | None = None) -> Colum
     throughout only the first free one is tried, as the others would give the same rows; so ways don't multiply by them.
     """
     kinds = kinds or Kinds()
-    wide = F.size(F.get(pred, F.lit(0)))
-    places_of = F.when(wide > 0, F.sequence(F.lit(0), wide - 1)).otherwise(F.array().cast("array<int>"))
+    places_of = let(F.size(F.get(pred, F.lit(0))), lambda wide: F.when(wide > 0, F.sequence(F.lit(0), wide - 1)).otherwise(F.array().cast("array<int>")))
     columns_of = F.transform(places_of, lambda j: F.transform(pred, lambda p: F.get(p, j)))
     twins = let(columns_of, lambda columns: F.transform(columns, lambda c: F.array_position(columns, c).cast("int") - 1))  # the first column that is the same
 
     def free(way: Column, j: Column, twin: Column) -> Column:
-        earlier = F.exists(F.sequence(F.lit(0), j), lambda k: (k < j) & (F.get(twin, k) == F.get(twin, j)) & ~F.array_contains(way, k))
+        earlier = (F.get(twin, j) < j) & F.exists(F.sequence(F.lit(0), j), lambda k: (k < j) & (F.get(twin, k) == F.get(twin, j)) & ~F.array_contains(way, k))
         return ~F.array_contains(way, j) & ~earlier
 
-    def longer(ways: Column, twin: Column) -> Column:
+    def longer(ways: Column, twin: Column, upto: Column) -> Column:
         next_ways = F.flatten(F.transform(ways, lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.size(twin) - 1), lambda j: free(w, j, twin)), lambda j: F.concat(w, F.array(j)))))
-        return F.filter(next_ways, lambda w: let(_places(w), lambda places: _both_ways(gold, pred, lambda g, p: _row(kinds, g, p, places, w))))
+        taken = lambda w: F.transform(pred, lambda p: F.transform(w, lambda j: F.get(p, j)))
+        cut = F.transform(gold, lambda g: F.slice(g, F.lit(1), upto))
+        return let(cut, lambda gs: F.filter(next_ways, lambda w: strict(gs, taken(w), kinds)))
 
     start = F.array(F.array().cast("array<int>"))
-    return let(twins, lambda twin: F.aggregate(F.sequence(F.lit(1), F.size(F.get(gold, F.lit(0)))), start, lambda ways, _: longer(ways, twin)))
+    return let(twins, lambda twin: F.aggregate(F.sequence(F.lit(1), F.size(F.get(gold, F.lit(0)))), start, lambda ways, n: longer(ways, twin, n)))
+
+
+def _all_there(gold: Column, pred: Column, kinds: Kinds) -> Column:
+    """Whether each cell of the first gold row is some predicted cell; if not, no assignment can place it."""
+    first = F.get(gold, F.lit(0))
+    if kinds.plain:
+        return let(F.flatten(pred), lambda cells: F.forall(first, lambda g: F.exists(cells, lambda p: kinds.same(None, g, p))))
+    return let(F.flatten(pred), lambda cells: ~F.array_contains(F.transform(first, lambda g, i: F.exists(cells, lambda p: kinds.same(i, g, p))), False))
 
 
 def relaxed(gold: Column, pred: Column, kinds: Kinds | None = None) -> Column:
@@ -150,9 +165,10 @@ def relaxed(gold: Column, pred: Column, kinds: Kinds | None = None) -> Column:
 
     All rows of a result have equally many cells. Without rows on one side only strict() can hold.
     """
+    kinds = kinds or Kinds()
 
     def test(gold: Column, pred: Column) -> Column:
-        some = (F.size(gold) > 0) & (F.size(pred) > 0) & (F.size(F.get(gold, F.lit(0))) > 0) & (F.size(F.get(gold, F.lit(0))) <= F.size(F.get(pred, F.lit(0))))
+        some = (F.size(gold) > 0) & (F.size(pred) > 0) & (F.size(F.get(gold, F.lit(0))) > 0) & (F.size(F.get(gold, F.lit(0))) <= F.size(F.get(pred, F.lit(0)))) & _all_there(gold, pred, kinds)
         return F.when(strict(gold, pred, kinds), True).otherwise(F.coalesce(F.when(some, F.size(assignments(gold, pred, kinds)) > 0), F.lit(False)))
 
     return let(F.struct(gold.alias("g"), pred.alias("p")), lambda x: test(x["g"], x["p"]))

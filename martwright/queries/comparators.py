@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cases
+from ..operators import batches, cases
 from ..registry import query
 from ..session import table
 
@@ -18,7 +20,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o, rows): an order's lines as an array of (k, v, w), in order."""
     part, price, quantity = F.concat(F.lit("P"), F.col("l_partkey").cast("string")), F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")
     one = F.struct("l_linenumber", "l_partkey", "l_extendedprice", part.alias("k"), price.alias("v"), quantity.alias("w"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
 
 
 def result(rows: Column, *columns) -> Column:
@@ -42,21 +44,33 @@ def scaled(by: Column):
     return lambda r: cases.cell(r["v"] * by)
 
 
-def shapes(rows: Column, o: Column) -> dict[str, Column]:
-    """What candidates returned for an order: the gold rows as they are, or changed in some way."""
-    n = F.size(rows)
+def cut(rows: Column, o: Column) -> Column:
+    """rows with each line's rows in the results of shapes(): gold, and in other columns or with other numbers."""
+    near, off = scaled(1 + (o % 4) * 4e-7), scaled(F.lit(1.1))
+
+    def line(c: Column, r: Column) -> Column:
+        made = {"gold": (c["k"], c["v"]), "near": (c["k"], near(r)), "off": (c["k"], off(r)), "swapped": (c["v"], c["k"]), "extra": (c["k"], c["w"], c["v"]), "other": (c["k"], c["w"])}
+        return F.struct(*(F.array(*cells).alias(n) for n, cells in made.items()))
+
+    return F.transform(rows, lambda r: cases.let(F.struct(k(r).alias("k"), v(r).alias("v"), w(r).alias("w")), lambda c: line(c, r)))
+
+
+def shapes(lines: Column) -> dict[str, Column]:
+    """What candidates returned for an order, from its lines as cut() has them: the gold rows as they are, or changed in some way."""
+    gold = lines["gold"]
     return {
-        "same": result(rows, k, v), "reordered": result(F.reverse(rows), k, v), "near": result(rows, k, scaled(1 + (o % 4) * 4e-7)), "off": result(rows, k, scaled(F.lit(1.1))), "swapped": result(rows, v, k),
-        "extra": result(rows, k, w, v), "repeated": result(F.concat(rows, F.slice(rows, 1, 1)), k, v), "short": result(F.slice(rows, 2, F.greatest(n - 1, F.lit(0))), k, v), "other": result(rows, k, w),
+        "same": gold, "reordered": F.reverse(gold), "near": lines["near"], "off": lines["off"], "swapped": lines["swapped"], "extra": lines["extra"],
+        "repeated": F.concat(gold, F.slice(gold, 1, 1)), "short": F.slice(gold, 2, F.greatest(F.size(gold) - 1, F.lit(0))), "other": lines["other"],
     }
 
 
-def asked(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """(o, rows, gold, shape, pred): every order with each of the shapes."""
-    own = lines(spark, sf_dir)
-    made = shapes(F.col("rows"), F.col("o"))
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("shape"), made[s].alias("pred")) for s in names)))
-    return own.select("o", "rows", each.alias("s")).select("o", "rows", result(F.col("rows"), k, v).alias("gold"), "s.shape", "s.pred")
+def judged(spark: SparkSession, sf_dir: str, names: Sequence[str], test: Callable[[Column, list[Column]], Column]) -> DataFrame:
+    """(o, shape, matched): every order with each of the shapes, by a test of its lines and what the shapes predict, which gives
+    an array. Results are made and compared where the order's lines are; only what the test says gets a row."""
+    made = lines(spark, sf_dir).select("o", cut(F.col("rows"), F.col("o")).alias("lines"))
+    preds = shapes(F.col("lines"))
+    said = made.select("o", test(F.col("lines"), [preds[s] for s in names]).alias("matched"))
+    return said.select("o", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("shape"), F.col("matched"))).alias("s")).select("o", "s.shape", "s.matched")
 
 
 def tolerant(strict_only: tuple[str, ...] = (), loose: dict[str, str] | None = None, gold: str = "v", t: str = "t") -> str:
@@ -77,19 +91,18 @@ ALL = ("same", "reordered", "near", "off", "swapped", "extra", "repeated", "shor
 
 @query("c02_strict", f"WITH {LINES}, {tolerant(('swapped', 'extra'))} SELECT * FROM t")
 def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir, *ALL).select("o", "shape", cases.strict(F.col("gold"), F.col("pred")).alias("matched"))
+    return judged(spark, sf_dir, ALL, lambda lines, preds: F.array(*(cases.strict(lines["gold"], p) for p in preds)))
 
 
 @query("c03_relaxed", f"WITH {LINES}, {tolerant(loose={'swapped': 'v', 'extra': 'v'})} SELECT * FROM t")
 def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir, *ALL).select("o", "shape", cases.relaxed(F.col("gold"), F.col("pred")).alias("matched"))
+    return judged(spark, sf_dir, ALL, lambda lines, preds: batches.relaxed(lines["gold"], preds))
 
 
 @query("c06_alternatives", f"WITH {LINES}, {tolerant(('swapped', 'extra'))}, {tolerant(('swapped', 'extra'), gold='w', t='u')} SELECT o, shape, t.matched OR u.matched AS matched FROM t JOIN u USING (o, shape)")
 def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices or quantities: either is accepted."""
-    golds = F.array("gold", result(F.col("rows"), k, w))
-    return asked(spark, sf_dir, *ALL).select("o", "shape", cases.any_of(golds, F.col("pred")).alias("matched"))
+    return judged(spark, sf_dir, ALL, lambda lines, preds: F.array(*(cases.any_of(F.array(lines["gold"], lines["other"]), p) for p in preds)))
 
 
 @query("c07_context", f"WITH {LINES}, c AS (SELECT o, count(DISTINCT n % 2) AS years, bool_and(n % 2 = 1) AS odd FROM b GROUP BY 1) SELECT o, 'constant' AS shape, true AS matched FROM c UNION ALL SELECT o, 'varying', years = 1 FROM c UNION ALL SELECT o, 'not_context', false FROM c UNION ALL SELECT o, 'both', true FROM c")
@@ -116,7 +129,7 @@ SELECT s.o, s.shape, (SELECT count(*) FROM g WHERE g.o = s.o) = (SELECT count(*)
 )
 def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("same", "reordered", "near", "off", "repeated", "short", "other")
-    return asked(spark, sf_dir, *names).select("o", "shape", cases.float_equal(F.col("gold"), F.col("pred")).alias("matched"))
+    return judged(spark, sf_dir, names, lambda lines, preds: F.array(*(cases.float_equal(lines["gold"], p) for p in preds)))
 
 
 MODES = ("none", "empty", "count", "scalar", "scalar_or_null", "set", "ordered")
