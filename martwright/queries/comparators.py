@@ -91,7 +91,7 @@ ALL = ("same", "reordered", "near", "off", "swapped", "extra", "repeated", "shor
 
 @query("c02_strict", f"WITH {LINES}, {tolerant(('swapped', 'extra'))} SELECT * FROM t")
 def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(spark, sf_dir, ALL, lambda lines, preds: F.array(*(cases.strict(lines["gold"], p) for p in preds)))
+    return judged(spark, sf_dir, ALL, lambda lines, preds: batches.strict(lines["gold"], preds))
 
 
 @query("c03_relaxed", f"WITH {LINES}, {tolerant(loose={'swapped': 'v', 'extra': 'v'})} SELECT * FROM t")
