@@ -102,7 +102,7 @@ def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c06_alternatives", f"WITH {LINES}, {tolerant(('swapped', 'extra'))}, {tolerant(('swapped', 'extra'), gold='w', t='u')} SELECT o, shape, t.matched OR u.matched AS matched FROM t JOIN u USING (o, shape)")
 def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices or quantities: either is accepted."""
-    return judged(spark, sf_dir, ALL, lambda lines, preds: F.array(*(cases.any_of(F.array(lines["gold"], lines["other"]), p) for p in preds)))
+    return judged(spark, sf_dir, ALL, lambda lines, preds: F.zip_with(*(batches.strict(lines[g], preds) for g in ("gold", "other")), lambda a, b: a | b))
 
 
 @query("c07_context", f"WITH {LINES}, c AS (SELECT o, count(DISTINCT n % 2) AS years, bool_and(n % 2 = 1) AS odd FROM b GROUP BY 1) SELECT o, 'constant' AS shape, true AS matched FROM c UNION ALL SELECT o, 'varying', years = 1 FROM c UNION ALL SELECT o, 'not_context', false FROM c UNION ALL SELECT o, 'both', true FROM c")

@@ -48,7 +48,7 @@ def test_one_long_result_is_compared_in_blocks(spark):
 
 
 def test_results_are_made_and_compared_once_an_order(spark, small):
-    for query in (comparators.c02, comparators.c03,):
+    for query in (comparators.c02, comparators.c03, comparators.c06,):
         made = plan(query(spark, small))
         assert "array_except" not in made and "array_sort" not in made  # what was tried of each pair of results
         exploded = query(spark, small)._jdf.queryExecution().executedPlan().toString().split("Generate explode")[1].split("\n")[0]
