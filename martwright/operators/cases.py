@@ -176,9 +176,10 @@ def relaxed(gold: Column, pred: Column, kinds: Kinds | None = None) -> Column:
 
 def projected(columns: Column, rows: Column, names: Sequence[str] = CONTEXT) -> Column:
     """rows without the columns of context that are constant over them; columns: their names, array<string>."""
-    constant = lambda i: F.size(F.array_distinct(F.transform(rows, lambda r: F.get(r, i)))) <= 1
-    kept = F.filter(F.sequence(F.lit(0), F.size(columns) - 1), lambda i: ~(F.lower(F.get(columns, i)).isin(*names) & constant(i)))
-    return F.when(F.size(columns) > 0, let(kept, lambda places: F.transform(rows, lambda r: F.transform(places, lambda i: F.get(r, i))))).otherwise(rows)
+    constant = lambda i: let(F.get(F.get(rows, F.lit(0)), i), lambda first: F.forall(rows, lambda r: F.get(r, i).eqNullSafe(first)))
+    dropped = F.filter(F.sequence(F.lit(0), F.size(columns) - 1), lambda i: F.lower(F.get(columns, i)).isin(*names) & constant(i))
+    cut = lambda places: F.when(F.size(places) == 0, rows).otherwise(F.transform(rows, lambda r: F.filter(r, lambda _, i: ~F.array_contains(places, i))))
+    return F.when(F.size(columns) > 0, let(dropped, cut)).otherwise(rows)
 
 
 def without_context(gold_columns: Column, gold: Column, pred_columns: Column, pred: Column, kinds: Kinds | None = None) -> Column:

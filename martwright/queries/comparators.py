@@ -108,15 +108,19 @@ def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c07_context", f"WITH {LINES}, c AS (SELECT o, count(DISTINCT n % 2) AS years, bool_and(n % 2 = 1) AS odd FROM b GROUP BY 1) SELECT o, 'constant' AS shape, true AS matched FROM c UNION ALL SELECT o, 'varying', years = 1 FROM c UNION ALL SELECT o, 'not_context', false FROM c UNION ALL SELECT o, 'both', true FROM c")
 def c07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A year beside the rows: constant, or one that varies if the order has more than one line; and one under another name."""
-    own = lines(spark, sf_dir)
-    rows = F.col("rows")
-    numbered = F.transform(rows, lambda r, i: F.array(k(r), cases.cell(F.lit(1997.0) + i % 2), v(r)))
-    year = result(rows, k, lambda r: cases.cell(F.lit(1997.0)), v)
-    plain, gold = F.array(F.lit("k"), F.lit("v")), result(rows, k, v)
+    plain = F.array(F.lit("k"), F.lit("v"))
     named = lambda name: F.array(F.lit("k"), F.lit(name), F.lit("v"))
-    tests = {"constant": (plain, gold, named("Fiscal_Year"), year), "varying": (plain, gold, named("fiscal_year"), numbered), "not_context": (plain, gold, named("season"), year), "both": (named("uom"), year, named("fiscal_year"), year)}
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("shape"), cases.without_context(*args).alias("matched")) for s, args in tests.items())))
-    return own.select("o", each.alias("s")).select("o", "s.shape", "s.matched")
+
+    def line(r: Column, i: Column) -> Column:
+        year = lambda n: F.array(r["k"], cases.cell(F.lit(1997.0) + n), r["v"])
+        return F.struct(F.array(r["k"], r["v"]).alias("gold"), year(F.lit(0)).alias("year"), year(i % 2).alias("numbered"))
+
+    def each(lines: Column) -> Column:
+        tests = {"constant": (plain, lines["gold"], named("Fiscal_Year"), lines["year"]), "varying": (plain, lines["gold"], named("fiscal_year"), lines["numbered"]), "not_context": (plain, lines["gold"], named("season"), lines["year"]), "both": (named("uom"), lines["year"], named("fiscal_year"), lines["year"])}
+        return F.array(*(F.struct(F.lit(s).alias("shape"), cases.without_context(*args).alias("matched")) for s, args in tests.items()))
+
+    cells = F.transform("rows", lambda r: F.struct(k(r).alias("k"), v(r).alias("v")))
+    return lines(spark, sf_dir).select("o", F.explode(cases.let(F.transform(cells, line), each)).alias("s")).select("o", "s.shape", "s.matched")
 
 
 @query(

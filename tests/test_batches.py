@@ -48,9 +48,13 @@ def test_one_long_result_is_compared_in_blocks(spark):
 
 
 def test_results_are_made_and_compared_once_an_order(spark, small):
-    for query in (comparators.c02, comparators.c03, comparators.c06,):
+    for query in (comparators.c02, comparators.c03, comparators.c06, comparators.c07):
         made = plan(query(spark, small))
         assert "array_except" not in made and "array_sort" not in made  # what was tried of each pair of results
         exploded = query(spark, small)._jdf.queryExecution().executedPlan().toString().split("Generate explode")[1].split("\n")[0]
         assert "pred" not in exploded and "rows#" not in exploded.split("], ")[-1]  # no result goes with each shape's row
 
+
+def test_dropped_columns_are_those_named(spark):
+    frame = spark.createDataFrame([(["k", "uom"], [[(None, "a", None), (None, "usd", None)], [(None, "b", None), (None, "usd", None)]], [[(None, "a", None)], [(None, "b", None)]])], f"c array<string>, g {RESULT}, p {RESULT}")
+    assert frame.select(cases.without_context(F.col("c"), F.col("g"), F.array(F.lit("k")), F.col("p")).alias("m")).first()[0]
