@@ -62,11 +62,16 @@ def normal_quantile(u: Column) -> Column:
     return F.when(tail >= 0.02425, at(a, half * half) * half / at(b, half * half)).when(half < 0, low).otherwise(-low)
 
 
-def drawn(u: Column, mean: Column, cdf: Column) -> Column:
-    """The smallest k, a long, whose cumulative probability is over u; cdf is used for means up to TABLED."""
-    z, root = normal_quantile(u), F.sqrt(mean)
+def tabled(u: Column, cdf: Column) -> Column:
+    """The smallest k, a long, whose cumulative probability is over u."""
+    return F.size(F.filter(cdf, lambda c: c <= u)).cast("long")
+
+
+def drawn(u: Column, mean: Column, cdf: Column, z: Column | None = None) -> Column:
+    """The smallest k, a long, whose cumulative probability is over u; cdf is used for means up to TABLED. z: u's normal quantile, where a column holds it."""
+    z, root = normal_quantile(u) if z is None else z, F.sqrt(mean)
     far = mean + root * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * root)
-    return F.when(mean <= TABLED, F.size(F.filter(cdf, lambda c: c <= u)).cast("long")).otherwise(F.greatest(F.lit(0.0), F.ceil(far - 0.5)).cast("long"))
+    return F.when(mean <= TABLED, tabled(u, cdf)).otherwise(F.greatest(F.lit(0.0), F.ceil(far - 0.5)).cast("long"))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", text_col: str = "text", total: int | None = None) -> DataFrame:
@@ -117,20 +122,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
 
 
 def counted(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total: int | None = None) -> tuple[DataFrame, float, str, str, str]:
-    """(docs' rows that are drawn at all with how often, the largest mean, and the names of the columns of the source, of the number of times, and of one more that is free)."""
+    """(docs' rows that are drawn at all with how often, the largest mean, and the names of the columns of the source, of the number of times, and of one more that is free).
+
+    The number drawn for a row and its normal quantile are columns: written out wherever they are used they would stand in the
+    plan hundreds of times, which takes the driver's memory.
+    """
     kept = docs.columns
-    source, rate, cdf, times, salt, chunk = fresh([*kept, "copy", "mix_key"], "source_text", "rate", "cdf", "times", "salt", "chunk")
+    source, rate, cdf, times, salt, chunk, u, z = fresh([*kept, "copy", "mix_key"], "source_text", "rate", "cdf", "times", "salt", "chunk", "unit", "quantile")
     by_source = rates(docs, weights, source_col, text_col, total).select(F.col("_source").alias(source), F.col("_rate").alias(rate))
     sources, most = by_source.agg(F.count("*"), F.max(rate)).first()
     by_source = by_source.select(source, rate, F.when(F.col(rate) <= TABLED, cumulative(F.least(F.col(rate), F.lit(TABLED)))).alias(cdf))
     keyed = docs.withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    keyed = keyed.withColumn(u, unit(seed, F.col(source), F.col(id_col), F.lit(0)))
+    far = (most or 0.0) > TABLED
+    if far:
+        keyed = keyed.withColumn(z, normal_quantile(F.col(u)))
     if sources <= MOST_SOURCES:
         keyed = keyed.join(F.broadcast(by_source), source)
     else:
         dealt = by_source.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int")).join(dealt, [source, salt])
-    u = unit(seed, F.col(source), F.col(id_col), F.lit(0))
-    counts = keyed.select(*kept, source, drawn(u, F.col(rate), F.col(cdf)).alias(times)).where(F.col(times) > 0)
+    n = drawn(F.col(u), F.col(rate), F.col(cdf), F.col(z)) if far else tabled(F.col(u), F.col(cdf))
+    counts = keyed.select(*kept, source, n.alias(times)).where(F.col(times) > 0)
     return counts, most or 0.0, source, times, chunk
 
 

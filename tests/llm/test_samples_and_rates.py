@@ -66,3 +66,11 @@ def test_the_mixture_keeps_its_order(spark, tmp_path):
     for r in out.collect():
         cut.setdefault(r.doc_id, set()).add(tuple(r.ids))
     assert sum(len(c) > 1 for k, c in cut.items() if k % 25 == 0) >= 10  # each copy in its own way
+
+
+def test_the_plan_does_not_repeat_what_is_drawn(spark):
+    rows = [(k, "x" * 1000, "big") for k in range(100)] + [(999, "ab", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for total in (None, 2_100_000):  # means in the table, and far over it
+        plan = mixing.mix(docs, total=total)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") <= 6 and len(plan) < 60_000
